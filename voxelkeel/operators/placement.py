@@ -172,28 +172,69 @@ def shift_landmarks(points: DataFrame, delta_um: float) -> DataFrame:
 # --- tracks ---------------------------------------------------------------------------------
 
 
-def _with_width(df: DataFrame, axis) -> DataFrame:
-    """Unit vector across the electrode columns (``_wap, _wml, _wdv``): axis x ML, or axis x AP
-    for a lateral shank."""
-    lateral = F.abs(axis[1]) > 0.9
-    raw = {"_wap": F.when(lateral, 0.0).otherwise(-axis[2]), "_wml": F.when(lateral, axis[2]).otherwise(0.0),
-           "_wdv": F.when(lateral, -axis[1]).otherwise(axis[0])}
-    df = df.withColumns(raw).withColumn("_wn", norm3(*[F.col(c) for c in raw]))
-    return df.withColumns({c: F.when(F.col("_wn") > 1e-9, F.col(c) / F.col("_wn")).otherwise(0.0) for c in raw}).drop("_wn")
+_AXES = ("ap", "ml", "dv")
 
 
-def place_channels(sites: DataFrame, depth: str = "depth_from_tip_um", lateral: str | None = "lateral_um") -> DataFrame:
-    """Site CCF along the straight tip-entry line, adding ``ap_um, ml_um, dv_um``."""
-    axes = ("ap", "ml", "dv")
-    v = [F.col(f"tip_{a}") - F.col(f"entry_{a}") for a in axes]
-    df = sites.withColumn("_len", norm3(*v))
-    df = df.withColumns({f"_x{a}": v[j] / F.nullif("_len", F.lit(0.0)) for j, a in enumerate(axes)})
-    df = _with_width(df, [F.col(f"_x{a}") for a in axes])
+def _segments(df: DataFrame, vertices: str, out: str = "segments") -> DataFrame:
+    """Per track, each segment's start (``s, ap, ml, dv``), unit tangent ``t*`` and width ``w*``.
+
+    The width runs across the electrode columns: (entry-wards axis) x ML, or x AP for a
+    lateral segment. All of this is worked out per segment, before any site joins.
+    """
+    n = F.size(vertices)
+
+    def measured(p, i):
+        q = F.get(vertices, i + 1)
+        d = {a: q[a] - p[a] for a in _AXES}
+        return F.struct(p["s"].alias("s"), *[p[a].alias(a) for a in _AXES], *[d[a].alias(f"d{a}") for a in _AXES],
+                        norm3(*d.values()).alias("n"))
+
+    def directed(p):
+        # A segment without length points along DV.
+        t = {a: F.when(p["n"] > 1e-12, p[f"d{a}"] / p["n"]).otherwise(1.0 if a == "dv" else 0.0) for a in _AXES}
+        return F.struct(p["s"].alias("s"), *[p[a].alias(a) for a in _AXES], *[t[a].alias(f"t{a}") for a in _AXES])
+
+    def widened(p):
+        lateral = F.abs(p["tml"]) > 0.9
+        w = {"ap": F.when(lateral, 0.0).otherwise(p["tdv"]), "ml": F.when(lateral, -p["tdv"]).otherwise(0.0),
+             "dv": F.when(lateral, p["tml"]).otherwise(-p["tap"])}
+        return F.struct(p["s"].alias("s"), *[p[c].alias(c) for a in _AXES for c in (a, f"t{a}")],
+                        *[w[a].alias(f"r{a}") for a in _AXES], norm3(*w.values()).alias("rn"))
+
+    def scaled(p):
+        w = {a: F.when(p["rn"] > 1e-9, p[f"r{a}"] / p["rn"]).otherwise(0.0) for a in _AXES}
+        return F.struct(p["s"].alias("s"), *[p[c].alias(c) for a in _AXES for c in (a, f"t{a}")],
+                        *[w[a].alias(f"w{a}") for a in _AXES])
+
+    df = df.withColumn(out, F.transform(F.slice(vertices, F.lit(1), F.greatest(n - 1, F.lit(0))), measured))
+    for fn in (directed, widened, scaled):
+        df = df.withColumn(out, F.transform(out, fn))
+    return df
+
+
+def _on_segment(sites: DataFrame, seg: Column, depth: str, lateral: str | None) -> DataFrame:
     off = (F.col(lateral) - C.COLUMN_CENTRE_UM) if lateral else F.lit(0.0)
-    along = {a: F.col(f"entry_{a}") + (F.col("_len") - F.col(depth)) * F.col(f"_x{a}") + off * F.col(f"_w{a}") for a in axes}
-    df = df.withColumns({f"{a}_um": F.when(F.col("_len") < 1.0, F.col(f"entry_{a}")).when(F.col("_len") >= 1.0, along[a])
-                         for a in axes})
-    return df.drop("_len", *[f"_x{a}" for a in axes], *[f"_w{a}" for a in axes])
+    df = sites.withColumn("_seg", seg)
+    s = F.col("_seg")
+    return df.withColumns({f"{a}_um": s[a] + (F.col(depth) - s["s"]) * s[f"t{a}"] + off * s[f"w{a}"] for a in _AXES}).drop("_seg")
+
+
+def shank_frames(shanks: DataFrame) -> DataFrame:
+    """The straight tip-entry segment of each shank, as ``segments``."""
+    vertices = F.array(*[F.struct(F.lit(0.0).alias("s"), *[F.col(f"{end}_{a}").cast("double").alias(a) for a in _AXES])
+                         for end in ("tip", "entry")])
+    return _segments(shanks.withColumn("_v", vertices), "_v").drop("_v")
+
+
+def place_channels(sites: DataFrame, depth: str = "depth_from_tip_um", lateral: str | None = "lateral_um") -> DataFrame:
+    """Site CCF along the straight tip-entry line, adding ``ap_um, ml_um, dv_um``.
+
+    ``sites`` carries the ``segments`` of :func:`shank_frames`. A shank shorter than 1 um has
+    all its sites at the entry.
+    """
+    out = _on_segment(sites, F.get("segments", F.lit(0)), depth, lateral)
+    length = norm3(*[F.col(f"tip_{a}") - F.col(f"entry_{a}") for a in _AXES])
+    return out.withColumns({f"{a}_um": F.when(length < 1.0, F.col(f"entry_{a}")).when(length >= 1.0, F.col(f"{a}_um")) for a in _AXES})
 
 
 def sample_track(shanks: DataFrame, *, step_um: float, top_um: float = 0.0, margin_um: float = 0.0) -> DataFrame:
@@ -217,17 +258,18 @@ def track_polyline(shanks: DataFrame, waypoints: DataFrame, keys: list[str]) ->
     Waypoints are ordered by projection on tip-entry; a point within 1e-6 of the last kept
     one is dropped; ``s`` is the arc length so far.
     """
-    axes = ("ap", "ml", "dv")
+    axes = _AXES
     picked = waypoints.groupBy(*keys).agg(F.collect_list(F.struct("i", *axes)).alias("_w"))
-    df = shanks.join(picked, keys, "left")
     v = [F.col(f"entry_{a}") - F.col(f"tip_{a}") for a in axes]
-    length = norm3(*v)
+    df = shanks.join(picked, keys, "left").withColumn("_len", norm3(*v))
+    length = F.col("_len")
+    df = df.withColumn("curved", F.col("_w").isNotNull() & (length > 0))
     project = lambda p: sum((p[a] - F.col(f"tip_{a}")) * v[j] / length for j, a in enumerate(axes))
     ordered = F.array_sort(F.transform("_w", lambda p: F.struct(project(p).alias("t"), p["i"].alias("i"),
                                                                 *[p[a].alias(a) for a in axes])))
     point = lambda get: F.struct(*[get(a).cast("double").alias(a) for a in axes])
     tip, entry = point(lambda a: F.col(f"tip_{a}")), point(lambda a: F.col(f"entry_{a}"))
-    curved = F.col("_w").isNotNull() & (length > 0)
+    curved = F.col("curved")
     rest = F.when(curved, F.concat(F.transform(ordered, lambda p: point(lambda a: p[a])), F.array(entry))).otherwise(F.array(entry))
 
     def step(acc, p):
@@ -237,7 +279,7 @@ def track_polyline(shanks: DataFrame, waypoints: DataFrame, keys: list[str]) ->
         return F.when((d > 1e-6) | ~curved, grown).otherwise(acc)
 
     start = F.array(F.struct(*[F.col(f"tip_{a}").cast("double").alias(a) for a in axes], F.lit(0.0).alias("s")))
-    return df.withColumns({"path": F.aggregate(rest, start, step), "curved": curved}).drop("_w")
+    return df.withColumn("path", F.aggregate(rest, start, step)).drop("_w", "_len")
 
 
 def track_stats(tracks: DataFrame) -> DataFrame:
@@ -260,23 +302,17 @@ def track_stats(tracks: DataFrame) -> DataFrame:
 
 
 def place_channels_curved(sites: DataFrame, depth: str = "depth_from_tip_um", lateral: str | None = "lateral_um") -> DataFrame:
-    """As P22 along ``path`` by arc length from the tip; ends extrapolate along their segment."""
-    axes = ("ap", "ml", "dv")
-    d = F.col(depth)
-    df = sites.withColumn("_i", F.greatest(F.lit(1), F.least(F.size("path") - 1, F.size(F.filter("path", lambda p: p["s"] <= d)))))
-    df = df.withColumns({"_a": F.get("path", F.col("_i") - 1), "_b": F.get("path", F.col("_i"))})
-    a, b = F.col("_a"), F.col("_b")
-    df = df.withColumn("_n", norm3(*[b[x] - a[x] for x in axes]))
-    # A segment without length points along DV.
-    flat = {"ap": 0.0, "ml": 0.0, "dv": 1.0}
-    df = df.withColumns({f"_t{x}": F.when(F.col("_n") > 1e-12, (b[x] - a[x]) / F.col("_n")).otherwise(flat[x]) for x in axes})
-    df = _with_width(df, [-F.col(f"_t{x}") for x in axes])
-    off = (F.col(lateral) - C.COLUMN_CENTRE_UM) if lateral else F.lit(0.0)
-    # Past the last vertex the end segment continues from that vertex.
-    past = d > b["s"]
-    out = {f"{x}_um": F.when(past, b[x] + (d - b["s"]) * F.col(f"_t{x}")).otherwise(a[x] + (d - a["s"]) * F.col(f"_t{x}"))
-           + off * F.col(f"_w{x}") for x in axes}
-    return df.withColumns(out).drop("_i", "_a", "_b", "_n", *[f"_t{x}" for x in axes], *[f"_w{x}" for x in axes])
+    """As P22 along a polyline by arc length from the tip; ends extrapolate along their segment.
+
+    ``sites`` carries the ``segments`` of :func:`curved_frames`.
+    """
+    started = F.size(F.filter("segments", lambda p: p["s"] <= F.col(depth)))
+    return _on_segment(sites, F.get("segments", F.greatest(started - 1, F.lit(0))), depth, lateral)
+
+
+def curved_frames(tracks: DataFrame) -> DataFrame:
+    """Segments of each track's polyline."""
+    return _segments(tracks, "path")
 
 
 def aligned_depths(sites: DataFrame, length: str = "path_length_um", depth: str = "depth_from_tip_um") -> DataFrame:
@@ -311,11 +347,14 @@ def place_probe_channels(shanks: DataFrame, waypoints: DataFrame, alignments: Da
     ``alignments`` has ``fs, ts, extremes_mode, insertion_depth_um`` per shank.
     """
     placed = shanks.filter("tip_ap IS NOT NULL AND entry_ap IS NOT NULL")
-    tracks = track_stats(track_polyline(placed, waypoints, keys))
+    tracks = curved_frames(track_stats(track_polyline(placed, waypoints, keys))).drop("path")
     fitted = sorted_knots(fit_tails(alignments), "ff", "tf", "kx", "ky")
     tracks = alignment_use(tracks.join(fitted.select(*keys, "fs", "ts", "kx", "ky", "insertion_depth_um"), keys, "left"))
     sites = aligned_depths(with_sites(tracks.drop("fs", "ts", "insertion_depth_um")))
-    straight = place_channels(sites.filter(~F.col("curved")), "aligned_depth_um")
-    curved = place_channels_curved(sites.filter("curved"), "aligned_depth_um")
+    # A track without waypoints is the two-vertex path, so one branch serves both; only a
+    # straight shank shorter than 1 um keeps all its sites at the entry.
+    out = place_channels_curved(sites, "aligned_depth_um")
+    stub = ~F.col("curved") & (F.col("path_length_um") < 1.0)
+    names = {f"{a}_um": F.when(stub, F.col(f"entry_{a}")).otherwise(F.col(f"{a}_um")) for a in ("ap", "ml", "dv")}
     source = F.when(F.col("used_alignment"), "ephys_alignment").otherwise("geometry")
-    return straight.unionByName(curved).withColumn("depth_source", source).drop("kx", "ky", "path", "layout")
+    return out.withColumns(names).withColumn("depth_source", source).drop("kx", "ky", "segments", "layout")

@@ -15,7 +15,7 @@ Groups are built from unique keys with bounded sizes (a slide has 20 boxes, a re
 from __future__ import annotations
 
 import re
-from functools import cached_property
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -219,6 +219,7 @@ SELECT k AS section, CAST(gx AS INT) AS gx, CAST(gy AS INT) AS gy, ((gx * 7 + gy
 FROM (SELECT k, gx, SEQ[0;7] AS gy FROM (SELECT p_partkey AS k, SEQ[0;7] AS gx FROM part) a) t
 """
 
+_SOURCES = re.compile(r"\b(FROM|JOIN)\s+(" + "|".join(SOURCE_TABLES) + r")\b")
 _TOKEN = re.compile(r"(SEQ|ARR|AT)\[((?:[^\[\]]|\[[^\]]*\])*)\]")
 
 
@@ -268,15 +269,18 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in SOURCE_TABLES:
-            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            return self.spark.table(self._view(name))
         if name in BINDINGS:
             return self.sql(f"SELECT * FROM {name}")
         raise AttributeError(name)
 
-    @cached_property
-    def _paths(self) -> re.Pattern:
-        return re.compile(r"\b(FROM|JOIN)\s+(" + "|".join(SOURCE_TABLES) + r")\b")
+    def _view(self, name: str) -> str:
+        """Temporary view of one given table; made once, so its schema is read once."""
+        view = f"vk_{zlib.crc32(self.sf_dir.encode()):08x}_{name}"
+        if not self.spark.catalog.tableExists(view):
+            self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet").createOrReplaceTempView(view)
+        return view
 
     def sql(self, body: str) -> DataFrame:
         text = with_bindings(body, "spark")
-        return self.spark.sql(self._paths.sub(rf"\1 parquet.`{self.sf_dir}/\2.parquet` AS \2", text))
+        return self.spark.sql(_SOURCES.sub(lambda m: f"{m.group(1)} {self._view(m.group(2))} AS {m.group(2)}", text))

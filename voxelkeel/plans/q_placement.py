@@ -130,7 +130,7 @@ def _s14(t):
 @query("p22_place_channels", f"""WITH {SITES_SQL.strip()}, {SITE_ROWS_SQL}, {straight_sql('rows', 'sp').strip()}
 SELECT probe, shank, CAST(channel AS INT) AS channel, round(ap, 6) + 0e0 AS ap_um, round(ml, 6) + 0e0 AS ml_um, round(dv, 6) + 0e0 AS dv_um FROM sp""")
 def _p22(t):
-    sites = P.with_sites(t.b_shanks.filter("tip_ap IS NOT NULL"))
+    sites = P.with_sites(P.shank_frames(t.b_shanks.filter("tip_ap IS NOT NULL")))
     return G.rounded(P.place_channels(sites).select("probe", "shank", "channel", "ap_um", "ml_um", "dv_um"))
 
 
@@ -138,7 +138,7 @@ def _p22(t):
 SELECT probe, shank, CAST(channel AS INT) AS channel, round(ap, 6) + 0e0 AS ap_um, round(ml, 6) + 0e0 AS ml_um, round(dv, 6) + 0e0 AS dv_um FROM cp""")
 def _p23(t):
     moving = t.b_shanks.filter("tip_ap IS NOT NULL AND NOT (tip_ap = entry_ap AND tip_ml = entry_ml AND tip_dv = entry_dv)")
-    sites = P.with_sites(P.track_polyline(moving, t.b_track_points, KEY))
+    sites = P.with_sites(P.curved_frames(P.track_polyline(moving, t.b_track_points, KEY)))
     return G.rounded(P.place_channels_curved(sites).select("probe", "shank", "channel", "ap_um", "ml_um", "dv_um"))
 
 
