@@ -19,7 +19,7 @@ def knot_arrays(points: DataFrame, keys: list[str], x: str, y: str, order: str |
     return packed.select(*keys, F.col("_k.x").alias(xs), F.col("_k.y").alias(ys))
 
 
-def interp(df: DataFrame, out: str, q: Column, xs: str, ys: str, mode: str = "clamp") -> DataFrame:
+def interp(df: DataFrame, out: str, q: Column | str, xs: str, ys: str, mode: str = "clamp") -> DataFrame:
     """Add ``out``, the value at ``q``. ``clamp`` holds the ends, ``null`` gives null outside, and
     ``extrapolate`` continues the end segments (slope 1 where their x coincide; one knot is a
     shift, no knot the identity).
@@ -28,19 +28,16 @@ def interp(df: DataFrame, out: str, q: Column, xs: str, ys: str, mode: str = "cl
     """
     if mode not in ("clamp", "null", "extrapolate"):
         raise ValueError(f"unknown mode {mode!r}; use clamp, null or extrapolate")
-    df = df.withColumn("_q", q)
-    df = df.withColumn("_at", F.size(F.filter(xs, lambda x: x <= F.col("_q"))))
-    n, q, at = F.size(xs), F.col("_q"), F.col("_at")
-    i = F.greatest(F.lit(1), F.least(n - 1, at))
-    df = df.withColumns({"_x0": F.get(xs, i - 1), "_x1": F.get(xs, i), "_y0": F.get(ys, i - 1), "_y1": F.get(ys, i)})
-    x0, x1, y0, y1 = (F.col(c) for c in ("_x0", "_x1", "_y0", "_y1"))
-    slope = F.when(x1 == x0, 1.0).otherwise((y1 - y0) / (x1 - x0))
-    line = F.when(at >= n, y1 + slope * (q - x1)).otherwise(y0 + slope * (q - x0))
-    first_x, last_x, last_y = F.get(xs, F.lit(0)), F.get(xs, n - 1), F.get(ys, n - 1)
-    if mode == "extrapolate":
-        value = F.when(F.col(xs).isNull() | (n == 0), q).when(n == 1, q + (y0 - x0)).otherwise(line)
-    elif mode == "clamp":
-        value = F.when(q <= first_x, F.get(ys, F.lit(0))).when(q >= last_x, last_y).otherwise(line)
-    else:
-        value = F.when((q >= first_x) & (q <= last_x), F.when(n == 1, y0).otherwise(line))
-    return df.withColumn(out, value).drop("_q", "_at", "_x0", "_x1", "_y0", "_y1")
+    df = df.withColumn("_q", q if isinstance(q, Column) else F.expr(q))
+    df = df.withColumn("_at", F.expr(f"size(filter({xs}, x -> x <= _q))"))
+    df = df.withColumn("_i", F.expr(f"greatest(1, least(size({xs}) - 1, _at))"))
+    df = df.withColumn("_s", F.expr(
+        f"named_struct('x0', get({xs}, _i - 1), 'x1', get({xs}, _i), 'y0', get({ys}, _i - 1), 'y1', get({ys}, _i))"))
+    slope = "CASE WHEN _s.x1 = _s.x0 THEN 1D ELSE (_s.y1 - _s.y0) / (_s.x1 - _s.x0) END"
+    line = f"CASE WHEN _at >= size({xs}) THEN _s.y1 + {slope} * (_q - _s.x1) ELSE _s.y0 + {slope} * (_q - _s.x0) END"
+    value = {
+        "extrapolate": f"CASE WHEN {xs} IS NULL OR size({xs}) = 0 THEN _q WHEN size({xs}) = 1 THEN _q + (_s.y0 - _s.x0) ELSE {line} END",
+        "clamp": f"CASE WHEN _q <= {xs}[0] THEN {ys}[0] WHEN _at >= size({xs}) THEN get({ys}, size({xs}) - 1) ELSE {line} END",
+        "null": f"CASE WHEN _q >= {xs}[0] AND _q <= get({xs}, size({xs}) - 1) THEN CASE WHEN size({xs}) = 1 THEN _s.y0 ELSE {line} END END",
+    }[mode]
+    return df.withColumn(out, F.expr(value)).drop("_q", "_at", "_i", "_s")

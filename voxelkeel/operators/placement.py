@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelkeel.functions import constants as C
-from voxelkeel.functions.geometry import norm3
 from voxelkeel.functions.interp import interp
 
+_AXES = ("ap", "ml", "dv")
 NP1, NP2 = "Neuropixels 1.0", "Neuropixels 2.0 (4-shank)"
 POLY3 = "NeuroNexus A1x32-Poly3-10mm-25s-177-OA32LP"
 POLY2 = "NeuroNexus A1x32-Poly2-10mm-50s-177-OA32LP"
@@ -81,50 +81,45 @@ def alignment_arrays(points: DataFrame, keys: list[str]) -> DataFrame:
     return packed.select(*keys, F.col("_p.feature_um").alias("fs"), F.col("_p.track_um").alias("ts"))
 
 
-def _mean(xs: Column) -> Column:
-    return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / F.size(xs)
-
-
-def _total(xs: Column) -> Column:
-    return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
-
-
 def fit_tails(aligned: DataFrame, mode: str = "extremes_mode", *, extend_um: float = 1e6) -> DataFrame:
     """P25: arrays ``ff`` and ``tf`` with the tails handled as ``mode`` says.
 
     Without user pairs (two entries) or with mode ``none`` the pairs are used as they are.
     """
-    fs, ts, n, m = F.col("fs"), F.col("ts"), F.size("fs"), F.col(mode)
-    gap = lambda i: F.get(fs, i) - F.get(ts, i)
-    first_step = gap(F.lit(1)) - gap(F.lit(0))
-    last_step = gap(n - 1) - gap(n - 2)
-    uniform_ts = F.transform(ts, lambda v, i: F.when(i == 0, v - first_step).when(i == n - 1, v + last_step).otherwise(v))
-    fi, ti = F.slice(fs, F.lit(2), F.greatest(n - 2, F.lit(0))), F.slice(ts, F.lit(2), F.greatest(n - 2, F.lit(0)))
-    work = aligned.withColumns({"_fi": fi, "_ti": ti})
-    mf, mt = _mean(F.col("_fi")), _mean(F.col("_ti"))
-    linear = (m == "linear") & (n >= 5)
-    work = work.withColumns({"_mf": F.when(n >= 5, mf), "_mt": F.when(n >= 5, mt)})
-    slope = (_total(F.zip_with("_fi", "_ti", lambda f, t: (f - F.col("_mf")) * (t - F.col("_mt"))))
-             / _total(F.transform("_fi", lambda f: (f - F.col("_mf")) * (f - F.col("_mf")))))
-    work = work.withColumn("_slope", F.when(linear, slope))
-    f0, fn = F.get(ts, F.lit(0)) - extend_um, F.get(ts, n - 1) + extend_um
-    at = lambda f: F.col("_mt") + F.col("_slope") * (f - F.col("_mf"))
-    as_is = (n <= 2) | (m == "none")
-    ff = F.when(as_is | ~linear, fs).otherwise(
-        F.transform(fs, lambda v, i: F.when(i == 0, f0).when(i == n - 1, fn).otherwise(v)))
-    tf = F.when(as_is, ts).when(~linear, uniform_ts).otherwise(
-        F.transform(ts, lambda v, i: F.when(i == 0, at(f0)).when(i == n - 1, at(fn)).otherwise(v)))
-    return work.withColumns({"ff": ff, "tf": tf}).drop("_fi", "_ti", "_mf", "_mt", "_slope")
+    total = lambda xs: f"aggregate({xs}, 0D, (a, x) -> a + x)"
+    df = aligned.withColumns({
+        "_n": F.size("fs"),
+        "_how": F.expr(f"CASE WHEN size(fs) <= 2 OR {mode} = 'none' THEN 'as_is' WHEN {mode} = 'linear' AND size(fs) >= 5 THEN 'linear' ELSE 'uniform' END"),
+        "_fi": F.expr("slice(fs, 2, greatest(size(fs) - 2, 0))"), "_ti": F.expr("slice(ts, 2, greatest(size(ts) - 2, 0))"),
+    })
+    # Uniform tails: the outer pairs move by the neighbouring change of (feature - track).
+    df = df.withColumns({
+        "_first": F.expr("(fs[1] - ts[1]) - (fs[0] - ts[0])"),
+        "_last": F.expr("(get(fs, _n - 1) - get(ts, _n - 1)) - (get(fs, _n - 2) - get(ts, _n - 2))"),
+        "_mf": F.expr(f"CASE WHEN _n > 2 THEN {total('_fi')} / (_n - 2) END"),
+        "_mt": F.expr(f"CASE WHEN _n > 2 THEN {total('_ti')} / (_n - 2) END"),
+    })
+    # Linear tails: least squares through the interior pairs, evaluated far outside.
+    sxy, sxx = total("zip_with(_fi, _ti, (f, t) -> (f - _mf) * (t - _mt))"), total("transform(_fi, f -> (f - _mf) * (f - _mf))")
+    df = df.withColumns({
+        "_slope": F.expr(f"CASE WHEN _how = 'linear' THEN {sxy} / {sxx} END"),
+        "_lo": F.expr(f"ts[0] - {extend_um!r}D"), "_hi": F.expr(f"get(ts, _n - 1) + {extend_um!r}D"),
+    })
+    return df.withColumns({
+        "ff": F.expr("CASE WHEN _how = 'linear' THEN transform(fs, (v, i) -> CASE WHEN i = 0 THEN _lo WHEN i = _n - 1 THEN _hi ELSE v END) ELSE fs END"),
+        "tf": F.expr("""CASE _how WHEN 'as_is' THEN ts
+            WHEN 'linear' THEN transform(ts, (v, i) -> CASE WHEN i = 0 THEN _mt + _slope * (_lo - _mf) WHEN i = _n - 1 THEN _mt + _slope * (_hi - _mf) ELSE v END)
+            ELSE transform(ts, (v, i) -> CASE WHEN i = 0 THEN v - _first WHEN i = _n - 1 THEN v + _last ELSE v END) END"""),
+    }).drop("_n", "_how", "_fi", "_ti", "_first", "_last", "_mf", "_mt", "_slope", "_lo", "_hi")
 
 
 def sorted_knots(df: DataFrame, fs: str, ts: str, xs: str, ys: str) -> DataFrame:
     """Pairs sorted by ``fs`` as arrays ``xs, ys``; done per shank, before sites join."""
-    packed = F.array_sort(F.zip_with(fs, ts, lambda f, t: F.struct(f.alias("x"), t.alias("y"))))
-    df = df.withColumn("_k", packed)
+    df = df.withColumn("_k", F.expr(f"array_sort(zip_with({fs}, {ts}, (f, t) -> named_struct('x', f, 'y', t)))"))
     return df.withColumns({xs: F.col("_k.x"), ys: F.col("_k.y")}).drop("_k")
 
 
-def map_depth(df: DataFrame, out: str, q: Column, xs: str, ys: str) -> DataFrame:
+def map_depth(df: DataFrame, out: str, q: Column | str, xs: str, ys: str) -> DataFrame:
     """Feature depth to track depth through sorted landmarks (swap the pair for the inverse)."""
     return interp(df, out, q, xs, ys, "extrapolate")
 
@@ -135,30 +130,25 @@ def anchors_last_wins(points: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def landmark_checks(aligned: DataFrame) -> DataFrame:
-    """First crossing (if any), mean offset of user pairs, shifted pairs' ends, and stretches.
+    """First crossing (if any), mean offset of user pairs, and stretches.
 
     One row per shank; ``stretch`` is an array over the sorted segments (null where the
-    feature depths coincide).
+    feature depths coincide). A shared feature depth is reported before a crossed track.
     """
-    n = F.size("fs")
-    packed = F.array_sort(F.zip_with("fs", "ts", lambda f, t: F.struct(f.alias("f"), t.alias("t"))))
-    df = aligned.withColumn("_s", packed)
-    s = F.col("_s")
-    steps = F.transform(F.slice(s, F.lit(1), F.greatest(n - 1, F.lit(0))), lambda a, i: F.struct(
-        a["f"].alias("f0"), a["t"].alias("t0"), F.get(s, i + 1)["f"].alias("f1"), F.get(s, i + 1)["t"].alias("t1")))
-    df = df.withColumn("_d", steps)
-    same_feature = F.get(F.filter("_d", lambda d: d["f1"] - d["f0"] <= 0), F.lit(0))
-    crossed = F.get(F.filter("_d", lambda d: d["t1"] - d["t0"] <= 0), F.lit(0))
-    df = df.withColumns({"_sf": same_feature, "_cr": crossed})
-    bad = F.coalesce("_sf", "_cr")
-    user = lambda name: F.slice(name, F.lit(2), F.greatest(n - 2, F.lit(0)))
-    offset = F.when(n > 2, _mean(F.zip_with(user("ts"), user("fs"), lambda t, f: t - f))).otherwise(0.0)
+    df = aligned.withColumn("_s", F.expr("array_sort(zip_with(fs, ts, (f, t) -> named_struct('f', f, 't', t)))"))
+    df = df.withColumn("_d", F.expr("""transform(slice(_s, 1, greatest(size(_s) - 1, 0)),
+        (a, i) -> named_struct('f0', a.f, 't0', a.t, 'f1', get(_s, i + 1).f, 't1', get(_s, i + 1).t))"""))
+    df = df.withColumns({"_sf": F.expr("get(filter(_d, d -> d.f1 <= d.f0), 0)"), "_cr": F.expr("get(filter(_d, d -> d.t1 <= d.t0), 0)")})
+    df = df.withColumn("_bad", F.coalesce("_sf", "_cr"))
+    interior = lambda xs: f"slice({xs}, 2, greatest(size(fs) - 2, 0))"
     return df.withColumns({
-        "violation": F.when(F.col("_sf").isNotNull(), "same_feature").when(F.col("_cr").isNotNull(), "crossed"),
-        "bad_feature": bad["f0"], "bad_track": bad["t0"], "next_feature": bad["f1"], "next_track": bad["t1"],
-        "offset_um": offset,
-        "stretch": F.transform("_d", lambda d: F.when(d["f1"] != d["f0"], (d["t1"] - d["t0"]) / (d["f1"] - d["f0"]))),
-    }).drop("_s", "_d", "_sf", "_cr")
+        "violation": F.expr("CASE WHEN _sf IS NOT NULL THEN 'same_feature' WHEN _cr IS NOT NULL THEN 'crossed' END"),
+        "bad_feature": F.col("_bad.f0"), "bad_track": F.col("_bad.t0"),
+        "next_feature": F.col("_bad.f1"), "next_track": F.col("_bad.t1"),
+        "offset_um": F.expr(f"""CASE WHEN size(fs) > 2 THEN aggregate(zip_with({interior('ts')}, {interior('fs')}, (t, f) -> t - f),
+            0D, (a, x) -> a + x) / (size(fs) - 2) ELSE 0D END"""),
+        "stretch": F.expr("transform(_d, d -> CASE WHEN d.f1 <> d.f0 THEN (d.t1 - d.t0) / (d.f1 - d.f0) END)"),
+    }).drop("_s", "_d", "_sf", "_cr", "_bad")
 
 
 def shift_landmarks(points: DataFrame, delta_um: float) -> DataFrame:
@@ -172,7 +162,12 @@ def shift_landmarks(points: DataFrame, delta_um: float) -> DataFrame:
 # --- tracks ---------------------------------------------------------------------------------
 
 
-_AXES = ("ap", "ml", "dv")
+def _norm(prefix: str, of: str = "p") -> str:
+    return "sqrt(" + " + ".join(f"{of}.{prefix}{a} * {of}.{prefix}{a}" for a in _AXES) + ")"
+
+
+def _struct(**fields: str) -> str:
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
 
 
 def _segments(df: DataFrame, vertices: str, out: str = "segments") -> DataFrame:
@@ -181,49 +176,36 @@ def _segments(df: DataFrame, vertices: str, out: str = "segments") -> DataFrame:
     The width runs across the electrode columns: (entry-wards axis) x ML, or x AP for a
     lateral segment. All of this is worked out per segment, before any site joins.
     """
-    n = F.size(vertices)
-
-    def measured(p, i):
-        q = F.get(vertices, i + 1)
-        d = {a: q[a] - p[a] for a in _AXES}
-        return F.struct(p["s"].alias("s"), *[p[a].alias(a) for a in _AXES], *[d[a].alias(f"d{a}") for a in _AXES],
-                        norm3(*d.values()).alias("n"))
-
-    def directed(p):
-        # A segment without length points along DV.
-        t = {a: F.when(p["n"] > 1e-12, p[f"d{a}"] / p["n"]).otherwise(1.0 if a == "dv" else 0.0) for a in _AXES}
-        return F.struct(p["s"].alias("s"), *[p[a].alias(a) for a in _AXES], *[t[a].alias(f"t{a}") for a in _AXES])
-
-    def widened(p):
-        lateral = F.abs(p["tml"]) > 0.9
-        w = {"ap": F.when(lateral, 0.0).otherwise(p["tdv"]), "ml": F.when(lateral, -p["tdv"]).otherwise(0.0),
-             "dv": F.when(lateral, p["tml"]).otherwise(-p["tap"])}
-        return F.struct(p["s"].alias("s"), *[p[c].alias(c) for a in _AXES for c in (a, f"t{a}")],
-                        *[w[a].alias(f"r{a}") for a in _AXES], norm3(*w.values()).alias("rn"))
-
-    def scaled(p):
-        w = {a: F.when(p["rn"] > 1e-9, p[f"r{a}"] / p["rn"]).otherwise(0.0) for a in _AXES}
-        return F.struct(p["s"].alias("s"), *[p[c].alias(c) for a in _AXES for c in (a, f"t{a}")],
-                        *[w[a].alias(f"w{a}") for a in _AXES])
-
-    df = df.withColumn(out, F.transform(F.slice(vertices, F.lit(1), F.greatest(n - 1, F.lit(0))), measured))
-    for fn in (directed, widened, scaled):
-        df = df.withColumn(out, F.transform(out, fn))
+    kept = {"s": "p.s", **{a: f"p.{a}" for a in _AXES}}
+    tangents = {f"t{a}": f"p.t{a}" for a in _AXES}
+    # A segment without length points along DV.
+    unit = {f"t{a}": f"CASE WHEN {_norm('d')} > 1e-12D THEN p.d{a} / {_norm('d')} ELSE {1.0 if a == 'dv' else 0.0}D END" for a in _AXES}
+    side = "abs(p.tml) > 0.9D"
+    raw = {"rap": f"CASE WHEN {side} THEN 0D ELSE p.tdv END", "rml": f"CASE WHEN {side} THEN -p.tdv ELSE 0D END",
+           "rdv": f"CASE WHEN {side} THEN p.tml ELSE -p.tap END"}
+    width = {f"w{a}": f"CASE WHEN {_norm('r')} > 1e-9D THEN p.r{a} / {_norm('r')} ELSE 0D END" for a in _AXES}
+    steps = (_struct(**kept, **unit), _struct(**kept, **tangents, **raw), _struct(**kept, **tangents, **width))
+    deltas = _struct(**kept, **{f"d{a}": f"get({vertices}, i + 1).{a} - p.{a}" for a in _AXES})
+    df = df.withColumn(out, F.expr(f"transform(slice({vertices}, 1, greatest(size({vertices}) - 1, 0)), (p, i) -> {deltas})"))
+    for step in steps:
+        df = df.withColumn(out, F.expr(f"transform({out}, p -> {step})"))
     return df
 
 
-def _on_segment(sites: DataFrame, seg: Column, depth: str, lateral: str | None) -> DataFrame:
-    off = (F.col(lateral) - C.COLUMN_CENTRE_UM) if lateral else F.lit(0.0)
-    df = sites.withColumn("_seg", seg)
-    s = F.col("_seg")
-    return df.withColumns({f"{a}_um": s[a] + (F.col(depth) - s["s"]) * s[f"t{a}"] + off * s[f"w{a}"] for a in _AXES}).drop("_seg")
+def _on_segment(sites: DataFrame, seg: str, depth: str, lateral: str | None) -> DataFrame:
+    off = f"({lateral} - {C.COLUMN_CENTRE_UM}D)" if lateral else "0D"
+    df = sites.withColumn("_seg", F.expr(seg))
+    return df.withColumns({
+        f"{a}_um": F.expr(f"_seg.{a} + ({depth} - _seg.s) * _seg.t{a} + {off} * _seg.w{a}") for a in _AXES}).drop("_seg")
 
 
 def shank_frames(shanks: DataFrame) -> DataFrame:
     """The straight tip-entry segment of each shank, as ``segments``."""
-    vertices = F.array(*[F.struct(F.lit(0.0).alias("s"), *[F.col(f"{end}_{a}").cast("double").alias(a) for a in _AXES])
-                         for end in ("tip", "entry")])
-    return _segments(shanks.withColumn("_v", vertices), "_v").drop("_v")
+    ends = [_struct(s="0D", **{a: f"CAST({end}_{a} AS DOUBLE)" for a in _AXES}) for end in ("tip", "entry")]
+    return _segments(shanks.withColumn("_v", F.expr(f"array({ends[0]}, {ends[1]})")), "_v").drop("_v")
+
+
+_CHORD = "sqrt(" + " + ".join(f"power(entry_{a} - tip_{a}, 2)" for a in _AXES) + ")"
 
 
 def place_channels(sites: DataFrame, depth: str = "depth_from_tip_um", lateral: str | None = "lateral_um") -> DataFrame:
@@ -232,24 +214,20 @@ def place_channels(sites: DataFrame, depth: str = "depth_from_tip_um", lateral:
     ``sites`` carries the ``segments`` of :func:`shank_frames`. A shank shorter than 1 um has
     all its sites at the entry.
     """
-    out = _on_segment(sites, F.get("segments", F.lit(0)), depth, lateral)
-    length = norm3(*[F.col(f"tip_{a}") - F.col(f"entry_{a}") for a in _AXES])
-    return out.withColumns({f"{a}_um": F.when(length < 1.0, F.col(f"entry_{a}")).when(length >= 1.0, F.col(f"{a}_um")) for a in _AXES})
+    out = _on_segment(sites, "segments[0]", depth, lateral).withColumn("_len", F.expr(_CHORD))
+    return out.withColumns({
+        f"{a}_um": F.expr(f"CASE WHEN _len < 1D THEN entry_{a} WHEN _len >= 1D THEN {a}_um END") for a in _AXES}).drop("_len")
 
 
 def sample_track(shanks: DataFrame, *, step_um: float, top_um: float = 0.0, margin_um: float = 0.0) -> DataFrame:
     """Points every ``step_um`` below the entry along each placed shank (``depth_um`` below surface)."""
-    axes = ("ap", "ml", "dv")
-    v = [F.col(f"tip_{a}") - F.col(f"entry_{a}") for a in axes]
-    length = norm3(*v)
-    last = F.floor((length + margin_um - top_um) / step_um)
-    df = shanks.filter("tip_ap IS NOT NULL AND entry_ap IS NOT NULL").withColumn(
-        "sample", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(last, F.lit(0)))))
-    d = F.col("sample") * float(step_um) + float(top_um)
-    out = {"depth_um": d}
-    for j, a in enumerate(axes):
-        out[f"{a}_um"] = F.col(f"entry_{a}") + F.when(length > 0, d * v[j] / length).otherwise(0.0)
-    return df.withColumns(out)
+    df = shanks.filter("tip_ap IS NOT NULL AND entry_ap IS NOT NULL").withColumn("_len", F.expr(_CHORD))
+    last = f"greatest(CAST(floor((_len + {margin_um!r}D - {top_um!r}D) / {step_um!r}D) AS BIGINT), 0L)"
+    df = df.withColumn("sample", F.expr(f"explode(sequence(0L, {last}))"))
+    df = df.withColumn("depth_um", F.expr(f"sample * {step_um!r}D + {top_um!r}D"))
+    return df.withColumns({
+        f"{a}_um": F.expr(f"entry_{a} + CASE WHEN _len > 0 THEN depth_um * (tip_{a} - entry_{a}) / _len ELSE 0D END")
+        for a in _AXES}).drop("_len")
 
 
 def track_polyline(shanks: DataFrame, waypoints: DataFrame, keys: list[str]) -> DataFrame:
@@ -258,47 +236,36 @@ def track_polyline(shanks: DataFrame, waypoints: DataFrame, keys: list[str]) ->
     Waypoints are ordered by projection on tip-entry; a point within 1e-6 of the last kept
     one is dropped; ``s`` is the arc length so far.
     """
-    axes = _AXES
-    picked = waypoints.groupBy(*keys).agg(F.collect_list(F.struct("i", *axes)).alias("_w"))
-    v = [F.col(f"entry_{a}") - F.col(f"tip_{a}") for a in axes]
-    df = shanks.join(picked, keys, "left").withColumn("_len", norm3(*v))
-    length = F.col("_len")
-    df = df.withColumn("curved", F.col("_w").isNotNull() & (length > 0))
-    project = lambda p: sum((p[a] - F.col(f"tip_{a}")) * v[j] / length for j, a in enumerate(axes))
-    ordered = F.array_sort(F.transform("_w", lambda p: F.struct(project(p).alias("t"), p["i"].alias("i"),
-                                                                *[p[a].alias(a) for a in axes])))
-    point = lambda get: F.struct(*[get(a).cast("double").alias(a) for a in axes])
-    tip, entry = point(lambda a: F.col(f"tip_{a}")), point(lambda a: F.col(f"entry_{a}"))
-    curved = F.col("curved")
-    rest = F.when(curved, F.concat(F.transform(ordered, lambda p: point(lambda a: p[a])), F.array(entry))).otherwise(F.array(entry))
-
-    def step(acc, p):
-        last = F.element_at(acc, -1)
-        d = norm3(*[p[a] - last[a] for a in axes])
-        grown = F.concat(acc, F.array(F.struct(*[p[a].alias(a) for a in axes], (last["s"] + d).alias("s"))))
-        return F.when((d > 1e-6) | ~curved, grown).otherwise(acc)
-
-    start = F.array(F.struct(*[F.col(f"tip_{a}").cast("double").alias(a) for a in axes], F.lit(0.0).alias("s")))
-    return df.withColumn("path", F.aggregate(rest, start, step)).drop("_w", "_len")
+    picked = waypoints.groupBy(*keys).agg(F.collect_list(F.struct("i", *_AXES)).alias("_w"))
+    df = shanks.join(picked, keys, "left").withColumn("_len", F.expr(_CHORD))
+    df = df.withColumn("curved", F.expr("_w IS NOT NULL AND _len > 0"))
+    along = " + ".join(f"(p.{a} - tip_{a}) * (entry_{a} - tip_{a})" for a in _AXES)
+    end = lambda which, **more: _struct(**{a: f"CAST({which}_{a} AS DOUBLE)" for a in _AXES}, **more)
+    point = _struct(**{a: f"CAST(p.{a} AS DOUBLE)" for a in _AXES})
+    tagged = _struct(t=f"({along}) / _len", i="p.i", **{a: f"p.{a}" for a in _AXES})
+    df = df.withColumn("_rest", F.expr(
+        f"CASE WHEN curved THEN concat(transform(array_sort(transform(_w, p -> {tagged})), p -> {point}), array({end('entry')})) "
+        f"ELSE array({end('entry')}) END"))
+    gap = "sqrt(" + " + ".join(f"power(p.{a} - element_at(acc, -1).{a}, 2)" for a in _AXES) + ")"
+    grown = _struct(**{a: f"p.{a}" for a in _AXES}, s=f"element_at(acc, -1).s + {gap}")
+    df = df.withColumn("path", F.expr(
+        f"aggregate(_rest, array({end('tip', s='0D')}), (acc, p) -> CASE WHEN {gap} > 1e-6D OR NOT curved THEN concat(acc, array({grown})) ELSE acc END)"))
+    return df.drop("_w", "_rest", "_len")
 
 
 def track_stats(tracks: DataFrame) -> DataFrame:
     """Path length and the largest departure from the tip-entry chord."""
-    axes = ("ap", "ml", "dv")
-    n = F.size("path")
-    first, last = F.get("path", F.lit(0)), F.get("path", n - 1)
-    v = [last[a] - first[a] for a in axes]
-    length = norm3(*v)
-
-    def departure(p):
-        rel = [p[a] - first[a] for a in axes]
-        along = F.when(length > 0, sum(r * x / length for r, x in zip(rel, v))).otherwise(0.0)
-        return norm3(*[r - along * F.when(length > 0, x / length).otherwise(0.0) for r, x in zip(rel, v)])
-
-    return tracks.withColumns({
-        "path_length_um": last["s"],
-        "max_deviation_um": F.when(n < 3, 0.0).otherwise(F.array_max(F.transform("path", departure))),
-    })
+    df = tracks.withColumns({"_a": F.expr("path[0]"), "_b": F.expr("element_at(path, -1)")})
+    df = df.withColumn("_len", F.expr("sqrt(" + " + ".join(f"power(_b.{a} - _a.{a}, 2)" for a in _AXES) + ")"))
+    # Squared departure = squared distance from the tip minus the squared run along the chord;
+    # taken from the perpendicular components, which keeps it exact for nearly straight tracks.
+    run = "CASE WHEN _len > 0 THEN (" + " + ".join(f"(p.{a} - _a.{a}) * (_b.{a} - _a.{a})" for a in _AXES) + ") / _len ELSE 0D END"
+    off = "sqrt(" + " + ".join(
+        f"power(p.{a} - _a.{a} - CASE WHEN _len > 0 THEN {run} * (_b.{a} - _a.{a}) / _len ELSE 0D END, 2)" for a in _AXES) + ")"
+    return df.withColumns({
+        "path_length_um": F.col("_b.s"),
+        "max_deviation_um": F.expr(f"CASE WHEN size(path) < 3 THEN 0D ELSE array_max(transform(path, p -> {off})) END"),
+    }).drop("_a", "_b", "_len")
 
 
 def place_channels_curved(sites: DataFrame, depth: str = "depth_from_tip_um", lateral: str | None = "lateral_um") -> DataFrame:
@@ -306,8 +273,7 @@ def place_channels_curved(sites: DataFrame, depth: str = "depth_from_tip_um", la
 
     ``sites`` carries the ``segments`` of :func:`curved_frames`.
     """
-    started = F.size(F.filter("segments", lambda p: p["s"] <= F.col(depth)))
-    return _on_segment(sites, F.get("segments", F.greatest(started - 1, F.lit(0))), depth, lateral)
+    return _on_segment(sites, f"get(segments, greatest(size(filter(segments, p -> p.s <= {depth})) - 1, 0))", depth, lateral)
 
 
 def curved_frames(tracks: DataFrame) -> DataFrame:
@@ -317,9 +283,8 @@ def curved_frames(tracks: DataFrame) -> DataFrame:
 
 def aligned_depths(sites: DataFrame, length: str = "path_length_um", depth: str = "depth_from_tip_um") -> DataFrame:
     """``aligned_depth_um``, given sorted landmarks ``kx, ky``, ``used_alignment`` and ``reference_um``."""
-    d = F.col(depth)
-    mapped = map_depth(sites, "_below", F.col("reference_um") - d, "kx", "ky")
-    return mapped.withColumn("aligned_depth_um", F.when(F.col("used_alignment"), F.col(length) - F.col("_below")).otherwise(d)).drop("_below")
+    mapped = map_depth(sites, "_below", f"reference_um - {depth}", "kx", "ky")
+    return mapped.withColumn("aligned_depth_um", F.expr(f"CASE WHEN used_alignment THEN {length} - _below ELSE {depth} END")).drop("_below")
 
 
 def alignment_use(tracks: DataFrame, length: str = "path_length_um") -> DataFrame:
@@ -328,12 +293,10 @@ def alignment_use(tracks: DataFrame, length: str = "path_length_um") -> DataFram
     Unused with fewer than two pairs, unequal lengths, or an identity map on equal axes.
     Needs ``fs, ts`` (nullable) and ``insertion_depth_um``.
     """
-    track_len = F.col(length)
-    ref = F.when(F.col("insertion_depth_um") > 0, F.col("insertion_depth_um")).otherwise(track_len)
-    identity = F.forall(F.zip_with("fs", "ts", lambda f, t: F.abs(f - t) <= 1e-6 + 1e-5 * F.abs(t)), lambda b: b)
-    usable = F.coalesce((F.size("fs") >= 2) & (F.size("fs") == F.size("ts")), F.lit(False))
-    same = F.coalesce(identity & (F.abs(ref - track_len) <= 1e-6), F.lit(False))
-    return tracks.withColumns({"used_alignment": usable & ~same, "reference_um": ref})
+    df = tracks.withColumn("reference_um", F.expr(f"CASE WHEN insertion_depth_um > 0 THEN insertion_depth_um ELSE {length} END"))
+    return df.withColumn("used_alignment", F.expr(f"""coalesce(size(fs) >= 2 AND size(fs) = size(ts), false)
+        AND NOT coalesce(forall(zip_with(fs, ts, (f, t) -> abs(f - t) <= 1e-6D + 1e-5D * abs(t)), b -> b)
+            AND abs(reference_um - {length}) <= 1e-6D, false)"""))
 
 
 def feature_reference_depth(recordings: DataFrame, keys: list[str]) -> DataFrame:
@@ -354,7 +317,6 @@ def place_probe_channels(shanks: DataFrame, waypoints: DataFrame, alignments: Da
     # A track without waypoints is the two-vertex path, so one branch serves both; only a
     # straight shank shorter than 1 um keeps all its sites at the entry.
     out = place_channels_curved(sites, "aligned_depth_um")
-    stub = ~F.col("curved") & (F.col("path_length_um") < 1.0)
-    names = {f"{a}_um": F.when(stub, F.col(f"entry_{a}")).otherwise(F.col(f"{a}_um")) for a in ("ap", "ml", "dv")}
+    names = {f"{a}_um": F.expr(f"CASE WHEN NOT curved AND path_length_um < 1D THEN entry_{a} ELSE {a}_um END") for a in _AXES}
     source = F.when(F.col("used_alignment"), "ephys_alignment").otherwise("geometry")
     return out.withColumns(names).withColumn("depth_source", source).drop("kx", "ky", "segments", "layout")

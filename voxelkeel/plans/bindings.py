@@ -63,9 +63,9 @@ FROM b_shanks WHERE k % 8 <> 0
 BINDINGS["b_alignment_points"] = """
 SELECT k, probe, shank, i, extremes_mode, n_user,
   CASE WHEN i = 0 THEN 0e0 WHEN i = n_user + 1 THEN 4000e0 + k % 50
-    ELSE i * 650e0 + (k * 11) % 90 END AS feature_um,
+    WHEN k % 14 = 5 AND i = 2 THEN 650e0 + (k * 11) % 90 ELSE i * 650e0 + (k * 11) % 90 END AS feature_um,
   CASE WHEN i = 0 THEN (k % 3) * 20e0 WHEN i = n_user + 1 THEN 4000e0 + k % 50 - (k % 2) * 60
-    ELSE i * 640e0 + (k * 13 + i * 17) % 110 END AS track_um
+    WHEN k % 12 = 7 AND i = 2 THEN 500e0 ELSE i * 640e0 + (k * 13 + i * 17) % 110 END AS track_um
 FROM (SELECT k, probe, shank, extremes_mode, n_user, SEQ[0;n_user + 1] AS i FROM b_alignments) a
 """
 # --- atlas: a 250 um grid whose labels are owned by the nations ---------------------------
