@@ -468,7 +468,7 @@ def detect_boundaries(profile: DataFrame, keys: list[str], *, min_separation_um:
     The floor of each peak is a windowed minimum; the greedy choice sees only a shank's peaks.
     """
     span = max(float(min_separation_um), 1.0)
-    near = Window.partitionBy(*keys).orderBy("depth_um").rangeBetween(-span, span)
+    near = Window.partitionBy(*keys).orderBy("depth_um").rangeBetween(-int(span), int(span))
     peaks = profile_peaks(profile.withColumn("_floor", F.min("z").over(near)), keys)
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:

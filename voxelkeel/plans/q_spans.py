@@ -169,8 +169,8 @@ _PATHS = """SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN concat('/da
 
 
 @query("s11_path_ids", f"""
-WITH p AS (SELECT *, list_filter(str_split(path, '/'), x -> x <> '') AS parts FROM ({_PATHS}) q),
-a AS (SELECT *, list_position(list_transform(parts, x -> regexp_matches(x, '^\\d{{4}}[_-]\\d{{2}}[_-]\\d{{2}}$')), true) AS hit, regexp_replace(path, '/[^/]+/?$', '') AS parent FROM p),
+WITH p AS (SELECT *, list_filter(str_split(path, '/'), lambda x: x <> '') AS parts FROM ({_PATHS}) q),
+a AS (SELECT *, list_position(list_transform(parts, lambda x: regexp_matches(x, '^\\d{{4}}[_-]\\d{{2}}[_-]\\d{{2}}$')), true) AS hit, regexp_replace(path, '/[^/]+/?$', '') AS parent FROM p),
 b AS (SELECT *, regexp_replace(parent, '/[^/]+/?$', '') AS grand, trim(regexp_replace(lower(split_part(parent, '/', -1)), '[^a-z0-9]+', ' ', 'g')) AS pn FROM a)
 SELECT id, CASE WHEN hit > 1 THEN parts[hit - 1] END AS subject, CASE WHEN hit > 0 THEN replace(parts[hit], '_', '-') END AS session_date, CASE WHEN hit > 0 AND hit < len(parts) THEN parts[hit + 1] END AS recording_label,
   CASE WHEN pn IN ('raw ephys data', 'raw ephys', 'ephys', 'raw', 'raw data', 'data', 'openephys', 'open ephys', 'recording', 'recordings') AND grand <> '' THEN grand ELSE parent END AS session_folder,
