@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from voxelkeel.functions import constants as C
 from voxelkeel.functions.interp import interp, knot_arrays
 from voxelkeel.functions.ranges import range_join
+from voxelkeel.session import cut_lineage
 
 # --- windows and screening (W16, A11-A14, O01) ------------------------------------------------
 
@@ -280,6 +281,7 @@ def level_offsets(cells: DataFrame) -> DataFrame:
 def stack_shank(cells: DataFrame, *, bin_um: float = C.NP2_ROW_PITCH_UM, match_levels: bool = True) -> DataFrame:
     """One depth x frequency map per shank; uncovered cells stay as nulls on the full grid."""
     keys = ["penetration", "shank"]
+    cells = cut_lineage(cells)  # already binned: a small fraction of the spectra
     levelled = cells
     if match_levels:
         off = level_offsets(cells).select(*keys, "recording", "level_offset_dec")
@@ -388,61 +390,79 @@ def adaptive_windows(profile: DataFrame, keys: list[str], *, ladder=(60.0, 100.0
     return ext.select(*keys, F.expr(f"explode(CASE WHEN size({usable}) > 0 THEN {usable} ELSE array({min(ladder)!r}D) END) AS window_um"))
 
 
-def phase_surrogates(profile: DataFrame, keys: list[str], *, n_surrogates: int = 16, seed: int = 0) -> DataFrame:
-    """Phase-randomised copies of each shank's features, keeping their spectra.
-
-    One generator per shank, drawn surrogate by surrogate and feature by feature.
+def _contrast_curve(depths: np.ndarray, z: np.ndarray, window: float, step: float) -> tuple[np.ndarray, np.ndarray]:
+    """W06 at every mark of one profile, by running sums: mean contrast over features, else 0."""
+    marks = np.arange(depths[0] + window, depths[-1] - window, step)
+    ends = [np.searchsorted(depths, marks + d, side="left") for d in (-window, 0.0, window)]
+    n = np.array([ends[1] - ends[0], ends[2] - ends[1]])[:, :, None]
+    # Sums about the column mean keep the variances well conditioned.
+    c1 = np.vstack([np.zeros(z.shape[1]), np.cumsum(z, axis=0)])
+    c2 = np.vstack([np.zeros(z.shape[1]), np.cumsum(z * z, axis=0)])
+    both = lambda c: np.stack([c[ends[1]] - c[ends[0]], c[ends[2]] - c[ends[1]]])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mean, square = both(c1) / n, both(c2) / n
+        var = np.maximum(square - mean ** 2, 0.0)
+        d = np.abs(mean[0] - mean[1]) / np.sqrt(0.5 * (var[0] + var[1]))
+    d[((n < 3).any(axis=0) | ~np.isfinite(d))] = np.nan
+    counts = np.isfinite(d).sum(axis=1)
+    return marks, np.where(counts > 0, np.nansum(d, axis=1) / np.maximum(counts, 1), 0.0)
+
+
+def surrogate_contrasts(profile: DataFrame, windows: DataFrame, keys: list[str], *, step_um: float = 20.0,
+                        n_surrogates: int = 16, seed: int = 0) -> DataFrame:
+    """Contrast curves of phase-randomised copies of each shank, per window.
+
+    A shank's few hundred depths are one group; one generator per shank draws surrogate by
+    surrogate and feature by feature. Only the curves leave the group.
     """
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         wide = pdf.pivot(index="depth_um", columns="feature", values="value").sort_index()
-        n, rng, parts = len(wide), np.random.default_rng(seed), []
+        depths, n = wide.index.to_numpy(dtype=float), len(wide)
         filled = wide.interpolate(method="linear", limit_direction="both").fillna(0.0).to_numpy(dtype=float)
-        spectra = np.fft.rfft(filled, axis=0)
+        spectra, rng, parts = np.abs(np.fft.rfft(filled, axis=0)), np.random.default_rng(seed), []
         for s in range(n_surrogates):
-            cols = []
-            for j in range(filled.shape[1]):
-                phase = rng.uniform(0.0, 2.0 * np.pi, size=len(spectra))
-                phase[0] = 0.0
-                if n % 2 == 0:
-                    phase[-1] = 0.0
-                cols.append(np.fft.irfft(np.abs(spectra[:, j]) * np.exp(1j * phase), n=n))
-            block = pd.DataFrame(np.column_stack(cols), index=wide.index, columns=wide.columns)
-            long = block.reset_index().melt(id_vars="depth_um", var_name="feature", value_name="value")
-            parts.append(long.assign(surrogate=s))
-        out = pd.concat(parts, ignore_index=True)
-        for c in keys:
-            out[c] = pdf[c].iloc[0]
-        return out[[*keys, "surrogate", "feature", "depth_um", "value"]]
+            phases = rng.uniform(0.0, 2.0 * np.pi, size=spectra.shape[::-1]).T
+            phases[0] = 0.0
+            if n % 2 == 0:
+                phases[-1] = 0.0
+            copy = np.fft.irfft(spectra * np.exp(1j * phases), n=n, axis=0)
+            spread = copy.std(axis=0)
+            z = (copy - copy.mean(axis=0)) / np.where(spread > 0, spread, 1.0)
+            for w in pdf["windows"].iloc[0]:
+                at, score = _contrast_curve(depths, z, float(w), step_um)
+                parts.append((np.full(len(at), s), np.full(len(at), float(w)), at, score))
+        cols = dict(zip(("surrogate", "window_um", "at", "score"), (np.concatenate(c) for c in zip(*parts))))
+        out = pd.DataFrame({**{c: pdf[c].iloc[0] for c in keys}, **cols})
+        return out[[*keys, "surrogate", "window_um", "at", "score"]]
 
+    enough = profile.groupBy(*keys).agg(F.count_distinct("depth_um").alias("_n")).filter("_n >= 8").drop("_n")
+    listed = windows.groupBy(*keys).agg(F.array_sort(F.collect_list("window_um")).alias("windows")).join(enough, keys)
     types = {f.name: f.dataType.simpleString() for f in profile.schema.fields}
-    cols = ", ".join([*(f"{c} {types[c]}" for c in keys), "surrogate int", f"feature {types['feature']}", "depth_um double", "value double"])
-    return profile.select(*keys, "feature", "depth_um", "value").groupBy(*keys).applyInPandas(draw, cols)
+    cols = ", ".join([*(f"{c} {types[c]}" for c in keys), "surrogate int", "window_um double", "at double", "score double"])
+    return profile.select(*keys, "feature", "depth_um", "value").join(listed, keys).groupBy(*keys).applyInPandas(draw, cols)
 
 
 def null_calibration(profile: DataFrame, windows: DataFrame, keys: list[str], *, step_um: float = 20.0, n_surrogates: int = 16,
-                     percentile: float = 0.9, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Per (shank, window) centre and spread of surrogate contrast, and per shank the null peak z.
+                     percentile: float = 0.9, seed: int = 0) -> DataFrame:
+    """Per (shank, window) ``centre`` and ``spread`` of surrogate contrast, and the shank's ``null_z``.
 
-    Shanks need eight depths. The contrasts run on Spark; only the phase draw is grouped Python.
+    Shanks need eight depths; ``null_z`` is a percentile of the surrogates' peak z.
     """
-    enough = profile.groupBy(*keys).agg(F.count_distinct("depth_um").alias("_n")).filter("_n >= 8").drop("_n")
-    sur = phase_surrogates(profile.join(enough, keys, "left_semi"), keys, n_surrogates=n_surrogates, seed=seed)
-    skeys = [*keys, "surrogate"]
-    wins = windows.join(sur.select(*skeys).distinct(), keys)
-    prof = step_profile(sur, wins, skeys, step_um=step_um, reject_bad=False)
-    centre = prof.groupBy(*keys, "window_um").agg(F.median("score").alias("centre"))
-    dev = prof.join(centre, [*keys, "window_um"]).withColumn("_d", F.abs(F.col("score") - F.col("centre")))
-    spread = dev.groupBy(*keys, "window_um").agg((F.median("_d") * 1.4826).alias("_s"))
-    stats = centre.join(spread, [*keys, "window_um"]).select(*keys, "window_um", "centre", F.expr("CASE WHEN _s > 0 THEN _s ELSE 1D END AS spread"))
-    peaks = prof.join(stats, [*keys, "window_um"]).groupBy(*skeys).agg(F.max((F.col("score") - F.col("centre")) / F.col("spread")).alias("_p"))
+    curves = cut_lineage(surrogate_contrasts(profile, windows, keys, step_um=step_um, n_surrogates=n_surrogates, seed=seed))
+    wkeys = [*keys, "window_um"]
+    centre = curves.groupBy(*wkeys).agg(F.median("score").alias("centre"))
+    dev = curves.join(centre, wkeys).groupBy(*wkeys).agg((F.median(F.abs(F.col("score") - F.col("centre"))) * 1.4826).alias("_s"))
+    stats = centre.join(dev, wkeys).select(*wkeys, "centre", F.expr("CASE WHEN _s > 0 THEN _s ELSE 1D END AS spread"))
+    peaks = curves.join(stats, wkeys).groupBy(*keys, "surrogate").agg(F.max((F.col("score") - F.col("centre")) / F.col("spread")).alias("_p"))
     null = peaks.groupBy(*keys).agg(F.percentile("_p", F.lit(percentile)).alias("null_z"))
-    return stats, null
+    return stats.join(null, keys)
 
 
 def multiscale_profile(profile: DataFrame, keys: list[str], *, step_um: float = 5.0, n_surrogates: int = 16, seed: int = 0) -> DataFrame:
     """W06 multiscale: best calibrated z over windows on a common grid, its window, and the null level."""
     windows = adaptive_windows(profile, keys)
-    stats, null = null_calibration(profile, windows, keys, n_surrogates=n_surrogates, seed=seed)
+    stats = cut_lineage(null_calibration(profile, windows, keys, n_surrogates=n_surrogates, seed=seed))
+    null = stats.groupBy(*keys).agg(F.max("null_z").alias("null_z"))
     raw = step_profile(profile, windows, keys, step_um=step_um)
     z = raw.join(stats, [*keys, "window_um"]).withColumn("z", F.expr("(score - centre) / spread"))
     knots = knot_arrays(z, [*keys, "window_um"], "at", "z")
@@ -492,5 +512,6 @@ def step_evidence(psd: DataFrame, keys: list[str], depth: str = "depth_um") -> D
     rows = psd.groupBy(*keys, depth).agg(F.count("power").alias("_c")).filter("_c > 0")
     enough = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 8").select(*keys)
     kept = psd.join(enough, keys, "left_semi").join(rows.select(*keys, depth), [*keys, depth], "left_semi")
+    kept = cut_lineage(kept)
     bands = band_power(kept, [*keys, depth]).select(*keys, F.col("band").alias("feature"), F.col(depth).alias("depth_um"), F.col("power").alias("value"))
-    return detect_boundaries(multiscale_profile(bands, keys), keys)
+    return detect_boundaries(multiscale_profile(cut_lineage(bands), keys), keys)

@@ -288,8 +288,7 @@ def _w06b(t):
 
 @query("a35_null_calibration")
 def _a35(t):
-    stats, null = A.null_calibration(t.b_profiles, A.adaptive_windows(t.b_profiles, ["k"]), ["k"])
-    return G.rounded(stats.join(null, "k"), 5)
+    return G.rounded(A.null_calibration(t.b_profiles, A.adaptive_windows(t.b_profiles, ["k"]), ["k"]), 5)
 
 
 _Z = "SELECT vec_id AS k, (i - 1) * 20e0 AS depth_um, CASE WHEN i % 17 = 5 THEN NULL ELSE abs(CAST(AT[embedding;i] AS DOUBLE)) * 20 END AS z, 100e0 AS scale_um, CASE WHEN vec_id % 3 = 0 THEN 2.5e0 END AS null_z FROM (SELECT vec_id, embedding, SEQ[1;64] AS i FROM embeddings) q"

@@ -33,3 +33,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(configured)
     return configured
+
+
+def cut_lineage(df):
+    """Write ``df`` once to the shared checkpoint folder and go on from there.
+
+    For intermediate results several later steps read: the work before is done once and
+    survives lost executors.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
