@@ -241,14 +241,16 @@ def cell_tables(cells: DataFrame, keys: list[str]) -> DataFrame:
 def warp_triangles(points: DataFrame, triangles: DataFrame) -> DataFrame:
     """Points moved by their section's triangles; the first triangle holding a point wins.
 
-    Points outside every triangle stay. A section has a few dozen triangles, held as one
-    array on its row; ``triangles`` has ``section, tri`` and the two sets of corners.
+    Points outside every triangle stay. A section has a few dozen triangles, held as one array
+    on its row: ``section, tri``, corners ``p1x .. p3y`` and where they move, ``q1x .. q3y``
+    (swap the two sets for the inverse).
     """
-    packed = triangles.groupBy("section").agg(F.array_sort(F.collect_list(F.struct("tri", "ax", "ay", "bx", "by", "cx", "cy", "ax2", "ay2", "bx2", "by2", "cx2", "cy2"))).alias("_t"))
-    det = "((t.bx - t.ax) * (t.cy - t.ay) - (t.cx - t.ax) * (t.by - t.ay))"
-    u = f"((x_px - t.ax) * (t.cy - t.ay) - (t.cx - t.ax) * (y_px - t.ay)) / {det}"
-    v = f"((t.bx - t.ax) * (y_px - t.ay) - (x_px - t.ax) * (t.by - t.ay)) / {det}"
+    corners = [f"{c}{n}{a}" for c in "pq" for n in (1, 2, 3) for a in "xy"]
+    packed = triangles.groupBy("section").agg(F.array_sort(F.collect_list(F.struct("tri", *corners))).alias("_t"))
+    det = "((t.p2x - t.p1x) * (t.p3y - t.p1y) - (t.p3x - t.p1x) * (t.p2y - t.p1y))"
+    u = f"((x_px - t.p1x) * (t.p3y - t.p1y) - (t.p3x - t.p1x) * (y_px - t.p1y)) / {det}"
+    v = f"((t.p2x - t.p1x) * (y_px - t.p1y) - (x_px - t.p1x) * (t.p2y - t.p1y)) / {det}"
     df = points.join(packed, "section", "left").withColumn("_h", F.expr(
         f"get(filter(transform(filter(_t, t -> abs{det} >= 1e-12D), t -> named_struct('t', t, 'u', {u}, 'v', {v})), h -> h.u >= 0 AND h.v >= 0 AND h.u + h.v <= 1), 0)"))
-    out = {f"{a}_warped": F.expr(f"coalesce(_h.t.a{a}2 + (_h.t.b{a}2 - _h.t.a{a}2) * _h.u + (_h.t.c{a}2 - _h.t.a{a}2) * _h.v, {a}_px)") for a in ("x", "y")}
+    out = {f"{a}_warped": F.expr(f"coalesce(_h.t.q1{a} + (_h.t.q2{a} - _h.t.q1{a}) * _h.u + (_h.t.q3{a} - _h.t.q1{a}) * _h.v, {a}_px)") for a in "xy"}
     return df.withColumns(out).drop("_t", "_h")

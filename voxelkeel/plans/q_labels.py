@@ -31,11 +31,11 @@ def _j12(t):
 c AS (SELECT section, x, y, va, vd, vm, a, d, m FROM vx, (VALUES (0), (1)) p(a), (VALUES (0), (1)) q(d), (VALUES (0), (1)) r(m) WHERE {_IN}),
 w AS (SELECT *, CASE WHEN a = 1 THEN va - floor(va) ELSE 1 - va + floor(va) END * CASE WHEN d = 1 THEN vd - floor(vd) ELSE 1 - vd + floor(vd) END * CASE WHEN m = 1 THEN vm - floor(vm) ELSE 1 - vm + floor(vm) END AS w FROM c),
 s AS (SELECT w.section, w.x, w.y, sum(w * (structure_id * 1.5e0)) AS t FROM w JOIN b_annotation v ON v.i_ap = floor(va) + a AND v.i_dv = floor(vd) + d AND v.i_ml = floor(vm) + m GROUP BY 1, 2, 3)
-SELECT vx.section, CAST(vx.x AS INT) AS x, CAST(vx.y AS INT) AS y, round(coalesce(t, 0), 5) + 0e0 AS intensity FROM vx LEFT JOIN s USING (section, x, y)""")
+SELECT vx.section, CAST(vx.x AS INT) AS x, CAST(vx.y AS INT) AS y, round(coalesce(t, 0), 8) + 0e0 AS intensity FROM vx LEFT JOIN s USING (section, x, y)""")
 def _j12b(t):
     vox = L.plane_voxels(L.plane_pixels(t.sql(_PLANES)))
     volume = t.b_annotation.withColumn("value", F.col("structure_id") * 1.5)
-    return G.rounded(L.sample_intensity(vox, volume, ["section", "x", "y"], SHAPE).select("section", "x", "y", "intensity"), 5)
+    return G.rounded(L.sample_intensity(vox, volume, ["section", "x", "y"], SHAPE).select("section", "x", "y", "intensity"), 8)
 
 
 @query("j13_section_labels", f"""WITH {_LAB_SQL},
@@ -51,11 +51,11 @@ _POINTS = "SELECT k AS pid, k AS section, k % 34 - 2e0 AS x_px, (k * 7 % 31) * 1
 
 @query("p18_field_warp_points", f"""
 WITH f AS (SELECT *, least(greatest(x_px / 4, 0), 7) AS fx, least(greatest(y_px / 4, 0), 7) AS fy FROM ({_POINTS}) p), g AS (SELECT *, least(floor(fx), 6) AS x0, least(floor(fy), 6) AS y0 FROM f)
-SELECT pid, g.section, round(x_px + sum(w * dx), 6) + 0e0 AS x_warped, round(y_px + sum(w * dy), 6) + 0e0 AS y_warped
+SELECT pid, g.section, round(x_px + sum(w * dx), 9) + 0e0 AS x_warped, round(y_px + sum(w * dy), 9) + 0e0 AS y_warped
 FROM (SELECT g.*, x0 + i AS cx, y0 + j AS cy, CASE WHEN i = 1 THEN fx - x0 ELSE 1 - fx + x0 END * CASE WHEN j = 1 THEN fy - y0 ELSE 1 - fy + y0 END AS w FROM g, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j)) g
 JOIN b_field v ON v.section = g.section AND v.gx = cx AND v.gy = cy GROUP BY pid, g.section, x_px, y_px""")
 def _p18(t):
-    return G.rounded(L.field_warp_points(t.sql(_POINTS), t.b_field, step=4.0, nx=8, ny=8))
+    return G.rounded(L.field_warp_points(t.sql(_POINTS), t.b_field, step=4.0, nx=8, ny=8), 9)
 
 
 _VFIELD = "SELECT i, j, k3 AS k, CASE WHEN (i + j + k3) % 5 = 0 THEN 0e0 ELSE i * 0.9e0 + j * 0.01e0 END AS d0, CASE WHEN (i + j + k3) % 5 = 0 THEN 0e0 ELSE j * 0.8e0 END AS d1, CASE WHEN (i + j + k3) % 5 = 0 THEN 0e0 ELSE k3 * 1.1e0 END AS d2 FROM (SELECT n_nationkey AS i, j, SEQ[0;9] AS k3 FROM (SELECT n_nationkey, SEQ[0;9] AS j FROM nation) a) b"
@@ -129,10 +129,10 @@ def _a28(t):
 WITH m AS (SELECT section, avg(x) AS cx, avg(y) AS cy, var_pop(x) AS a, var_pop(y) AS c, covar_pop(x, y) AS b FROM b_labels WHERE tissue AND (x < 8 OR y > 3 + section % 3 OR x + y < 11) GROUP BY 1 HAVING count(*) >= 10),
 e AS (SELECT *, (a + c) / 2 - sqrt(((a - c) / 2) ** 2 + b * b) AS l FROM m), v AS (SELECT *, CASE WHEN abs(b) < 1e-12 THEN CASE WHEN a < c THEN 1 ELSE 0 END ELSE l - c END AS dx, CASE WHEN abs(b) < 1e-12 THEN CASE WHEN a < c THEN 0 ELSE 1 END ELSE b END AS dy FROM e),
 u AS (SELECT *, dx / sqrt(dx * dx + dy * dy) * CASE WHEN dy < 0 THEN -1 ELSE 1 END AS ux, dy / sqrt(dx * dx + dy * dy) * CASE WHEN dy < 0 THEN -1 ELSE 1 END AS uy FROM v)
-SELECT section, round(cx, 6) + 0e0 AS centroid_x, round(cy, 6) + 0e0 AS centroid_y, round(ux, 5) + 0e0 AS dir_x, round(uy, 5) + 0e0 AS dir_y, round(degrees(atan2(ux, uy)), 4) + 0e0 AS angle_deg FROM u""")
+SELECT section, round(cx, 9) + 0e0 AS centroid_x, round(cy, 9) + 0e0 AS centroid_y, round(ux, 4) + 0e0 AS dir_x, round(uy, 4) + 0e0 AS dir_y, round(degrees(atan2(ux, uy)), 3) + 0e0 AS angle_deg FROM u""")
 def _a39(t):
     out = L.midline_pca(t.b_labels, "tissue AND (x < 8 OR y > 3 + section % 3 OR x + y < 11)")
-    return G.rounded(out).withColumns({"dir_x": F.round("dir_x", 5) + 0.0, "dir_y": F.round("dir_y", 5) + 0.0, "angle_deg": F.round("angle_deg", 4) + 0.0})
+    return G.rounded(out, 9).withColumns({"dir_x": F.round("dir_x", 4) + 0.0, "dir_y": F.round("dir_y", 4) + 0.0, "angle_deg": F.round("angle_deg", 3) + 0.0})
 
 
 @query("a29_min_area_estimate", f"""
@@ -153,14 +153,14 @@ def _a24(t):
     return L.cell_tables(t.b_cells, ["project_id"])
 
 
-_TRIANGLES = """SELECT k AS section, tri, 0e0 AS ax, 0e0 AS ay, CASE tri WHEN 0 THEN 30e0 ELSE 0e0 END AS bx, CASE tri WHEN 0 THEN 0e0 ELSE 30e0 END AS by, 30e0 + k % 5 AS cx, 30e0 AS cy,
-  1e0 AS ax2, k % 3 * 1e0 AS ay2, CASE tri WHEN 0 THEN 29e0 ELSE 0e0 END AS bx2, CASE tri WHEN 0 THEN 1e0 ELSE 31e0 END AS by2, 32e0 AS cx2, 28e0 + k % 4 AS cy2 FROM (SELECT k, SEQ[0;1] AS tri FROM b_sections) q"""
+_TRIANGLES = """SELECT k AS section, tri, 0e0 AS p1x, 0e0 AS p1y, CASE tri WHEN 0 THEN 30e0 ELSE 0e0 END AS p2x, CASE tri WHEN 0 THEN 0e0 ELSE 30e0 END AS p2y, 30e0 + k % 5 AS p3x, 30e0 AS p3y,
+  1e0 AS q1x, k % 3 * 1e0 AS q1y, CASE tri WHEN 0 THEN 29e0 ELSE 0e0 END AS q2x, CASE tri WHEN 0 THEN 1e0 ELSE 31e0 END AS q2y, 32e0 AS q3x, 28e0 + k % 4 AS q3y FROM (SELECT k, SEQ[0;1] AS tri FROM b_sections) q"""
 
 
 @query("p17_marker_warp", f"""
-WITH h AS (SELECT p.*, t.*, ((x_px - ax) * (cy - ay) - (cx - ax) * (y_px - ay)) / ((bx - ax) * (cy - ay) - (cx - ax) * (by - ay)) AS u, ((bx - ax) * (y_px - ay) - (x_px - ax) * (by - ay)) / ((bx - ax) * (cy - ay) - (cx - ax) * (by - ay)) AS v
+WITH h AS (SELECT p.*, t.*, ((x_px - p1x) * (p3y - p1y) - (p3x - p1x) * (y_px - p1y)) / ((p2x - p1x) * (p3y - p1y) - (p3x - p1x) * (p2y - p1y)) AS u, ((p2x - p1x) * (y_px - p1y) - (x_px - p1x) * (p2y - p1y)) / ((p2x - p1x) * (p3y - p1y) - (p3x - p1x) * (p2y - p1y)) AS v
   FROM ({_POINTS}) p LEFT JOIN ({_TRIANGLES}) t ON t.section = p.section),
 w AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY CASE WHEN u >= 0 AND v >= 0 AND u + v <= 1 THEN 0 ELSE 1 END, tri) AS rn FROM h)
-SELECT pid, round(CASE WHEN u >= 0 AND v >= 0 AND u + v <= 1 THEN ax2 + (bx2 - ax2) * u + (cx2 - ax2) * v ELSE x_px END, 6) + 0e0 AS x_warped, round(CASE WHEN u >= 0 AND v >= 0 AND u + v <= 1 THEN ay2 + (by2 - ay2) * u + (cy2 - ay2) * v ELSE y_px END, 6) + 0e0 AS y_warped FROM w WHERE rn = 1""")
+SELECT pid, round(CASE WHEN u >= 0 AND v >= 0 AND u + v <= 1 THEN q1x + (q2x - q1x) * u + (q3x - q1x) * v ELSE x_px END, 6) + 0e0 AS x_warped, round(CASE WHEN u >= 0 AND v >= 0 AND u + v <= 1 THEN q1y + (q2y - q1y) * u + (q3y - q1y) * v ELSE y_px END, 6) + 0e0 AS y_warped FROM w WHERE rn = 1""")
 def _p17(t):
     return G.rounded(L.warp_triangles(t.sql(_POINTS), t.sql(_TRIANGLES)).select("pid", "x_warped", "y_warped"))
