@@ -31,11 +31,11 @@ def _j12(t):
 c AS (SELECT section, x, y, va, vd, vm, a, d, m FROM vx, (VALUES (0), (1)) p(a), (VALUES (0), (1)) q(d), (VALUES (0), (1)) r(m) WHERE {_IN}),
 w AS (SELECT *, CASE WHEN a = 1 THEN va - floor(va) ELSE 1 - va + floor(va) END * CASE WHEN d = 1 THEN vd - floor(vd) ELSE 1 - vd + floor(vd) END * CASE WHEN m = 1 THEN vm - floor(vm) ELSE 1 - vm + floor(vm) END AS w FROM c),
 s AS (SELECT w.section, w.x, w.y, sum(w * (structure_id * 1.5e0)) AS t FROM w JOIN b_annotation v ON v.i_ap = floor(va) + a AND v.i_dv = floor(vd) + d AND v.i_ml = floor(vm) + m GROUP BY 1, 2, 3)
-SELECT vx.section, CAST(vx.x AS INT) AS x, CAST(vx.y AS INT) AS y, round(coalesce(t, 0), 8) + 0e0 AS intensity FROM vx LEFT JOIN s USING (section, x, y)""")
+SELECT vx.section, CAST(vx.x AS INT) AS x, CAST(vx.y AS INT) AS y, round(coalesce(t, 0), 11) + 0e0 AS intensity FROM vx LEFT JOIN s USING (section, x, y)""")
 def _j12b(t):
     vox = L.plane_voxels(L.plane_pixels(t.sql(_PLANES)))
     volume = t.b_annotation.withColumn("value", F.col("structure_id") * 1.5)
-    return G.rounded(L.sample_intensity(vox, volume, ["section", "x", "y"], SHAPE).select("section", "x", "y", "intensity"), 8)
+    return G.rounded(L.sample_intensity(vox, volume, ["section", "x", "y"], SHAPE).select("section", "x", "y", "intensity"), 11)
 
 
 @query("j13_section_labels", f"""WITH {_LAB_SQL},
