@@ -97,7 +97,7 @@ def find_recordings(listing: DataFrame, *, max_depth: int = 6) -> DataFrame:
     exp = exp.select(F.regexp_replace("dir", r"/[^/]+$", "").alias("dir")).distinct().withColumn("exp", F.lit(True))
     loose = "(endswith(name, '.rhd') OR endswith(name, '.rhs'))"
     facts = files.groupBy("dir").agg(F.bool_or(F.expr("name IN ('info.rhd', 'info.rhs', 'settings.rhd', 'settings.rhs')")).alias("_info"), F.count_if(F.expr(loose)).alias("_loose"), F.bool_or(F.col("name") == "structure.oebin").alias("_oebin"))
-    dirs = rows.filter("is_dir").select(F.col("path").alias("dir")).union(rows.select("dir")).distinct()
+    dirs = rows.filter("is_dir").select(F.col("path").alias("dir")).union(rows.select("dir")).union(glx.select("dir")).union(exp.select("dir")).distinct()
     df = dirs.join(facts, "dir", "left").join(glx, "dir", "left").join(exp, "dir", "left")
     df = df.withColumn("format", F.expr("""CASE WHEN coalesce(_info, false) OR coalesce(_loose, 0) = 1 THEN 'intan' WHEN glx THEN 'spikeglx'
         WHEN coalesce(_oebin, false) OR exp OR startswith(lower(substring_index(dir, '/', -1)), 'record node') THEN 'openephys' END"""))
