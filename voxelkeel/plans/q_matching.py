@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from voxelkeel.functions import geometry as G
 from voxelkeel.operators import matching as M
+from voxelkeel.plans.bindings import with_bindings
+from voxelkeel.plans.q_features import _SCREEN_SQL
 from voxelkeel.plans.q_series import BOXES, SLIDE
+from voxelkeel.plans.q_sources import _LIST
 from voxelkeel.plans.registry import query
-from voxelkeel.session import ensure_checkpoint_dir
+from voxelkeel.session import scratch_folder
 from voxelkeel.sinks import tables as K
 from voxelkeel.streaming import operators as ST
 
@@ -42,10 +43,10 @@ def _p21(t):
 
 
 @query("p21_copy_cells", f"""
-SELECT pos, m.section_index, round((m4 * (x_px - m2) - m1 * (y_px - m5)) / (m0 * m4 - m1 * m3), 6) + 0e0 AS x_px, round((m0 * (y_px - m5) - m3 * (x_px - m2)) / (m0 * m4 - m1 * m3), 6) + 0e0 AS y_px
+SELECT pos, m.section_index, round((m4 * (x_px - m2) - m1 * (y_px - m5)) / (m0 * m4 - m1 * m3), 9) + 0e0 AS x_px, round((m0 * (y_px - m5) - m3 * (x_px - m2)) / (m0 * m4 - m1 * m3), 9) + 0e0 AS y_px
 FROM b_cells c LEFT JOIN (SELECT project_id, reference_section, section_index, m0, m1, m2, m3, m4, m5 FROM ({_MATCH}) q) m ON m.project_id = c.project_id AND m.reference_section = c.section_index AND x_px IS NOT NULL AND y_px IS NOT NULL""")
 def _p21b(t):
-    return G.rounded(M.copy_cells(t.b_cells, t.sql(_MATCH)).select("pos", "section_index", "x_px", "y_px"))
+    return G.rounded(M.copy_cells(t.b_cells, t.sql(_MATCH)).select("pos", "section_index", "x_px", "y_px"), 9)
 
 
 def _outlines(t):
@@ -79,19 +80,12 @@ def _j17(t):
 @query("k03_export_all_csv")
 def _k03(t):
     from voxelkeel.plans.q_sources import _located
-    out = tempfile.mkdtemp(prefix="export-", dir=_local(ensure_checkpoint_dir(t.spark)))
+    out = scratch_folder(t.spark, "export")
     placed = _located(t).withColumn("atlas_name", F.lit("allen_mouse_25um"))
     K.export_all(placed.select("probe", "shank", "channel", "ap_um", "ml_um", "dv_um", "depth_source", "atlas_name", *K.REGION_COLUMNS), None, out)
     return t.spark.read.csv(f"{out}/ccf", header=True).groupBy("depth_source", "region").agg(F.count(F.lit(1)).alias("n_channels"))
 
 
-def _local(folder: str) -> str | None:
-    """A folder ``mkdtemp`` can use, when the checkpoint folder is on this machine."""
-    import os
-    path = folder.removeprefix("file:")
-    return path if os.path.isdir(path) else None
-
-
 def _spike_stream(t):
     ev = ST.event_stream(t.spark, f"{t.sf_dir}/events.parquet")
     return ev.select("ts", ((F.col("event_id") * 37) % 5745).cast("double").alias("depth_um"), F.col("value").alias("amplitude"))
@@ -101,7 +95,27 @@ def _spike_stream(t):
 SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, CAST(floor((event_id * 37) % 5745 / 2000) AS BIGINT) AS bin, count(*) AS n_spikes, round(CASE WHEN count(*) >= 3 THEN count(*) / 3600e0 END, 9) + 0e0 AS rate_hz, round(CASE WHEN count(*) >= 3 THEN sum(value) / count(*) END, 6) + 0e0 AS mean_amplitude FROM events GROUP BY 1, 2""")
 def _t01(t):
     profiles = ST.stream_depth_profiles(_spike_stream(t), bin_um=2000.0, min_spikes=3)
-    ckpt = tempfile.mkdtemp(prefix="stream-", dir=_local(ensure_checkpoint_dir(t.spark)))
-    name = "t01_" + ckpt.rsplit("-", 1)[-1].replace("-", "_")
-    out = ST.drain(profiles, name, ckpt)
+    ckpt = scratch_folder(t.spark, "profiles")
+    out = ST.drain(profiles, "t01_" + ckpt.rsplit("-", 1)[-1], ckpt)
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "bin", "n_spikes", (F.round("rate_hz", 9) + 0.0).alias("rate_hz"), (F.round("mean_amplitude", 6) + 0.0).alias("mean_amplitude"))
+
+
+@query("t02_stream_screen_windows", f"WITH {_SCREEN_SQL} SELECT recording, win, round(artifact, 6) + 0e0 AS artifact, round(activity, 6) + 0e0 AS activity, reject_reason FROM sc")
+def _t02(t):
+    orders = ST.event_stream(t.spark, f"{t.sf_dir}/orders.parquet", glob="orders.parquet", time=None)
+    orders.createOrReplaceTempView("vk_orders_stream")
+    samples = t.spark.sql(with_bindings("SELECT * FROM b_lfp", "spark").replace("FROM orders", "FROM vk_orders_stream AS orders"))
+    out = scratch_folder(t.spark, "screened")
+    ST.screen_each_batch(samples, out, scratch_folder(t.spark, "screened-ckpt")).awaitTermination()
+    return G.rounded(ST.latest_verdicts(t.spark, out).select("recording", "win", "artifact", "activity", "reject_reason"))
+
+
+@query("t03_stream_discover", """
+SELECT CASE o_orderkey % 7 WHEN 0 THEN 'intan' WHEN 5 THEN 'intan' WHEN 2 THEN 'spikeglx' ELSE 'openephys' END AS format, count(*) AS n_folders FROM orders WHERE o_orderkey % 7 IN (0, 2, 3, 4, 5) GROUP BY 1""")
+def _t03(t):
+    # Two listing files, each holding whole recording folders.
+    listed, out = scratch_folder(t.spark, "listing"), scratch_folder(t.spark, "found")
+    t.sql(_LIST).repartition(2, F.expr("substring_index(path, '/', 4)")).write.parquet(listed)
+    stream = ST.event_stream(t.spark, listed, glob="*.parquet", time=None)
+    ST.discover_each_batch(stream, out, scratch_folder(t.spark, "found-ckpt")).awaitTermination()
+    return t.spark.read.parquet(out).groupBy("format").agg(F.count_distinct("dir").alias("n_folders"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -35,6 +36,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def scratch_folder(spark: SparkSession, prefix: str) -> str:
+    """A new path in the shared checkpoint folder, for tables a job writes and reads back."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df):
     """Write ``df`` once to the shared checkpoint folder and go on from there.
 

@@ -13,12 +13,13 @@ from voxelkeel.operators.recordings import group_penetrations
 from voxelkeel.sources.recordings import find_recordings
 
 
-def event_stream(spark: SparkSession, path: str, *, glob: str = "events.parquet", max_files: int = 1) -> DataFrame:
+def event_stream(spark: SparkSession, path: str, *, glob: str = "events.parquet", max_files: int = 1,
+                 time: str | None = "ts") -> DataFrame:
     """Events arriving as parquet files; the schema is the batch table's."""
     folder = os.path.dirname(path) if path.endswith(".parquet") else path
     schema = spark.read.parquet(path).schema
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).option("pathGlobFilter", glob).parquet(folder)
-    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    return rows.withColumn(time, F.col(time).cast("timestamp")) if time else rows
 
 
 def stream_depth_profiles(spikes: DataFrame, *, window: str = "1 hour", window_s: float = 3600.0, bin_um: float = 250.0,
@@ -45,21 +46,35 @@ def drain(stream: DataFrame, name: str, checkpoint: str, *, mode: str = "complet
 
 
 def screen_each_batch(samples: DataFrame, out_path: str, checkpoint: str):
-    """Windows screened as their files arrive, by the batch rule.
+    """Windows screened as samples arrive, by the batch rule.
 
-    A window's medians need all its samples, and a window arrives as whole files, so each
-    micro-batch is screened as a batch. One file set per window keeps the write idempotent:
-    the batch id names it, so a retried batch replaces its own output.
+    Medians are not incremental, so samples are staged, and each micro-batch screens anew the
+    windows it touches, from all their staged samples. Both writes are named by the batch id:
+    a retried batch replaces its own output. :func:`latest_verdicts` reads the result.
     """
+    spark = samples.sparkSession
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        A.screen_windows(batch).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{out_path}/samples/batch={batch_id}")
+        staged = spark.read.parquet(f"{out_path}/samples").filter(F.col("batch") <= batch_id).drop("batch")
+        touched = spark.read.parquet(f"{out_path}/samples/batch={batch_id}").select("recording", "win").distinct()
+        A.screen_windows(staged.join(touched, ["recording", "win"], "left_semi")).write.mode("overwrite").parquet(f"{out_path}/verdicts/batch={batch_id}")
 
     return samples.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def latest_verdicts(spark: SparkSession, out_path: str) -> DataFrame:
+    """The last verdict of each window."""
+    v = spark.read.parquet(f"{out_path}/verdicts")
+    best = v.groupBy("recording", "win").agg(F.max_by(F.struct(*[c for c in v.columns if c not in ("recording", "win", "batch")]), "batch").alias("v"))
+    return best.select("recording", "win", "v.*")
+
+
 def discover_each_batch(listing: DataFrame, out_path: str, checkpoint: str):
     """Recording folders found in arriving listings, each folder once over the whole stream.
 
+    A listing file is expected to hold whole recording folders.
+
     The state is the table of folders already found; a batch's folders are anti-joined with
     the other batches' and written under the batch's own id.
     """
