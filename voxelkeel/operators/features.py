@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from voxelkeel.functions import constants as C
 from voxelkeel.functions.interp import interp, knot_arrays
 from voxelkeel.functions.ranges import range_join
-from voxelkeel.session import cut_lineage
+from voxelkeel.session import cut_lineage, spread
 
 # --- windows and screening (W16, A11-A14, O01) ------------------------------------------------
 
@@ -104,7 +104,7 @@ def lfp_psd(lfp: DataFrame, *, fmin: float = 0.0, fmax: float = 300.0) -> DataFr
         return pd.DataFrame({"recording": pdf["recording"].iloc[0], "win": pdf["win"].iloc[0],
                              "channel": c.ravel(), "freq_hz": f.ravel(), "power": mean.ravel()})
 
-    return lfp.select("recording", "win", "channel", "sample", "uv", "fs").groupBy("recording", "win").applyInPandas(
+    return spread(lfp.select("recording", "win", "channel", "sample", "uv", "fs"), "recording", "win").groupBy("recording", "win").applyInPandas(
         welch, "recording long, win int, channel int, freq_hz double, power double")
 
 
@@ -320,7 +320,7 @@ def depth_marks(profile: DataFrame, windows: DataFrame, keys: list[str], *, step
     """Marks every ``step_um`` from first depth + window up to (excluding) last depth - window."""
     rng = profile.groupBy(*keys).agg(F.min("depth_um").alias("_lo"), F.max("depth_um").alias("_hi"))
     df = rng.join(windows, keys).withColumn("_n", F.expr(f"CAST(ceil((_hi - window_um - (_lo + window_um)) / {step_um}D) AS BIGINT)"))
-    df = df.filter("_n > 0").withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    df = spread(df.filter("_n > 0"), *keys).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
     return df.select(*keys, "window_um", F.expr(f"_lo + window_um + _i * {step_um}D AS at"))
 
 
@@ -439,7 +439,8 @@ def surrogate_contrasts(profile: DataFrame, windows: DataFrame, keys: list[str],
     listed = windows.groupBy(*keys).agg(F.array_sort(F.collect_list("window_um")).alias("windows")).join(enough, keys)
     types = {f.name: f.dataType.simpleString() for f in profile.schema.fields}
     cols = ", ".join([*(f"{c} {types[c]}" for c in keys), "surrogate int", "window_um double", "at double", "score double"])
-    return profile.select(*keys, "feature", "depth_um", "value").join(listed, keys).groupBy(*keys).applyInPandas(draw, cols)
+    rows = profile.select(*keys, "feature", "depth_um", "value").join(listed, keys)
+    return spread(rows, *keys).groupBy(*keys).applyInPandas(draw, cols)
 
 
 def null_calibration(profile: DataFrame, windows: DataFrame, keys: list[str], *, step_um: float = 20.0, n_surrogates: int = 16,
@@ -467,7 +468,7 @@ def multiscale_profile(profile: DataFrame, keys: list[str], *, step_um: float =
     z = raw.join(stats, [*keys, "window_um"]).withColumn("z", F.expr("(score - centre) / spread"))
     knots = knot_arrays(z, [*keys, "window_um"], "at", "z")
     rng = profile.groupBy(*keys).agg(F.min("depth_um").alias("_lo"), F.max("depth_um").alias("_hi"))
-    grid = rng.withColumn("_i", F.explode(F.expr(f"sequence(0L, CAST(ceil((_hi + {step_um}D - _lo) / {step_um}D) AS BIGINT) - 1)")))
+    grid = spread(rng, *keys).withColumn("_i", F.explode(F.expr(f"sequence(0L, CAST(ceil((_hi + {step_um}D - _lo) / {step_um}D) AS BIGINT) - 1)")))
     grid = grid.select(*keys, F.expr(f"_lo + _i * {step_um}D AS depth_um"))
     on_grid = interp(grid.join(knots, keys), "z", F.col("depth_um"), "xs", "ys", "null")
     best = on_grid.groupBy(*keys, "depth_um").agg(F.max(F.when(F.col("z").isNotNull(), F.struct("z", (-F.col("window_um")).alias("w")))).alias("_b"))
@@ -502,7 +503,7 @@ def detect_boundaries(profile: DataFrame, keys: list[str], *, min_separation_um:
         return pdf.loc[kept]
 
     cols = [*keys, "depth_um", "z", "scale_um", "_floor"]
-    chosen = peaks.select(*cols).groupBy(*keys).applyInPandas(choose, peaks.select(*cols).schema)
+    chosen = spread(peaks.select(*cols), *keys).groupBy(*keys).applyInPandas(choose, peaks.select(*cols).schema)
     return chosen.select(*keys, "depth_um", "z", (F.col("z") - F.col("_floor")).alias("prominence"), "scale_um",
                          F.greatest(F.lit(0.0), F.least("z", F.col("z") - F.col("_floor"))).alias("weight"))
 

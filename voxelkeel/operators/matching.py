@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelkeel.session import spread
+
 # --- P16: thin-plate splines ---------------------------------------------------------------------
 
 
@@ -192,7 +194,7 @@ def match_sections(overlaps: DataFrame, *, min_overlap: float = 0.75) -> DataFra
                 out.append((pdf["pair"].iloc[0], wide.index[i], wide.columns[j], score[i, j], others.max() if others.size else 0.0))
         return pd.DataFrame(out, columns=["pair", "section", "reference", "overlap", "runner_up"])
 
-    chosen = overlaps.select("pair", "section", "reference", "overlap").groupBy("pair").applyInPandas(pair, "pair long, section long, reference long, overlap double, runner_up double")
+    chosen = spread(overlaps.select("pair", "section", "reference", "overlap"), "pair").groupBy("pair").applyInPandas(pair, "pair long, section long, reference long, overlap double, runner_up double")
     return chosen.join(overlaps.select("pair", "section", "reference", "mirror", "turn"), ["pair", "section", "reference"])
 
 
@@ -230,4 +232,4 @@ def merge_fragments(boxes: DataFrame, keys: list[str], *, x_overlap_frac: float
 
     cols = [*keys, "piece", "x0", "y0", "x1", "y1", "area_px", "cx", "cy", "n_merged"]
     types = ", ".join(f"{c} {'double' if c in ('cx', 'cy') else 'long'}" for c in cols)
-    return boxes.select(*keys, "k", "x0", "y0", "x1", "y1", "area_px", "cx", "cy").groupBy(*keys).applyInPandas(lambda pdf: merge(pdf)[cols], types)
+    return spread(boxes.select(*keys, "k", "x0", "y0", "x1", "y1", "area_px", "cx", "cy"), *keys).groupBy(*keys).applyInPandas(lambda pdf: merge(pdf)[cols], types)

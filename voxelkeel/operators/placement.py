@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voxelkeel.functions import constants as C
 from voxelkeel.functions.interp import interp
+from voxelkeel.session import spread
 
 _AXES = ("ap", "ml", "dv")
 NP1, NP2 = "Neuropixels 1.0", "Neuropixels 2.0 (4-shank)"
@@ -313,7 +314,8 @@ def place_probe_channels(shanks: DataFrame, waypoints: DataFrame, alignments: Da
     tracks = curved_frames(track_stats(track_polyline(placed, waypoints, keys))).drop("path")
     fitted = sorted_knots(fit_tails(alignments), "ff", "tf", "kx", "ky")
     tracks = alignment_use(tracks.join(fitted.select(*keys, "fs", "ts", "kx", "ky", "insertion_depth_um"), keys, "left"))
-    sites = aligned_depths(with_sites(tracks.drop("fs", "ts", "insertion_depth_um")))
+    # One row per shank grows into hundreds of sites from here on.
+    sites = aligned_depths(with_sites(spread(tracks.drop("fs", "ts", "insertion_depth_um"), *keys)))
     # A track without waypoints is the two-vertex path, so one branch serves both; only a
     # straight shank shorter than 1 um keeps all its sites at the entry.
     out = place_channels_curved(sites, "aligned_depth_um")

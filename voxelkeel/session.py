@@ -49,3 +49,14 @@ def cut_lineage(df):
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df, *keys: str):
+    """Hash ``df`` by ``keys`` over all shuffle partitions before work that grows its rows or runs Python.
+
+    Such inputs are small in bytes, so adaptive coalescing would put them into one task; a
+    repartition to a stated number is left as it is, and a following grouping on ``keys``
+    reuses it.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)

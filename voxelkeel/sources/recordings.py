@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from voxelkeel import schemas
 from voxelkeel.functions import text as X
 from voxelkeel.functions.constants import values_table
+from voxelkeel.session import cut_lineage
 
 
 def _norm(s: str) -> str:
@@ -101,7 +102,8 @@ def find_recordings(listing: DataFrame, *, max_depth: int = 6) -> DataFrame:
     df = dirs.join(facts, "dir", "left").join(glx, "dir", "left").join(exp, "dir", "left")
     df = df.withColumn("format", F.expr("""CASE WHEN coalesce(_info, false) OR coalesce(_loose, 0) = 1 THEN 'intan' WHEN glx THEN 'spikeglx'
         WHEN coalesce(_oebin, false) OR exp OR startswith(lower(substring_index(dir, '/', -1)), 'record node') THEN 'openephys' END"""))
-    hits = df.filter("format IS NOT NULL").select("dir", "format")
+    # The hits are read twice below: once as folders, once as ancestors.
+    hits = cut_lineage(df.filter("format IS NOT NULL").select("dir", "format"))
     above = hits.select(F.col("dir").alias("_hit"), F.explode(F.expr("transform(sequence(2, size(split(dir, '/')) - 1), n -> substring_index(dir, '/', n))")).alias("dir"))
     nested = above.join(hits.select("dir"), "dir", "left_semi").select(F.col("_hit").alias("dir")).distinct()
     return hits.join(nested, "dir", "left_anti")
