@@ -28,12 +28,13 @@ def build_session(app_name: str = "voxelkeel", master: str | None = None, **extr
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder lineage is cut in; a temporary one only where none is configured."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured is None:
-        configured = tempfile.mkdtemp(prefix="spark-ckpt-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="spark-ckpt-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    return folder
 
 
 def scratch_folder(spark: SparkSession, prefix: str) -> str:
