@@ -40,7 +40,7 @@ def _settle(forward, start: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return y
 
 
-def tps_warp_points(points: DataFrame, landmarks: DataFrame, *, inverse: bool = False, chunk: int = 20000) -> DataFrame:
+def tps_warp_points(points: DataFrame, landmarks: DataFrame, *, inverse: bool = False) -> DataFrame:
     """Points moved by their section's landmark spline (``inverse`` undoes it).
 
     ``landmarks`` has ``section, i, sx, sy, tx, ty, forward``; a section has a few dozen. They

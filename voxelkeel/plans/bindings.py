@@ -1,12 +1,13 @@
 """Domain tables derived from the given star-schema tables.
 
 Each binding is one SQL text in the common subset of Spark SQL and DuckDB, so both
-engines start from the same rows. Four tokens cover the places where the dialects differ:
+engines start from the same rows. Three tokens cover the places where the dialects differ:
 
 * ``SEQ[a;b]``   one row per integer a..b (explode of a sequence)
 * ``ARR[a,b,..]`` array constructor
 * ``AT[xs;i]``   1-based array element
-* ``EVERY``-free, hash-free arithmetic otherwise; doubles are written ``1e0``.
+
+Otherwise only arithmetic, ``floor``, ``%`` and casts; doubles are written ``1e0``.
 
 Groups are built from unique keys with bounded sizes (a slide has 20 boxes, a recording
 32 channels), so the number of groups grows with the data and no group does.
