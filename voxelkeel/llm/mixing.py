@@ -64,7 +64,12 @@ def memberships(docs: DataFrame, model: list[tuple[str, float, list[float]]], te
     """Adds n_tokens and ``_p``, the probability of each domain in the model's order."""
     read = docs.withColumn("_buckets", _bucket_list(F.col(f"`{text}`").cast("string"))).withColumn("n_tokens", F.size("_buckets").cast("long"))
     weight = F.least(F.lit(EVIDENCE), F.col("n_tokens")) / F.greatest(F.lit(1), F.col("n_tokens"))
-    scores = [F.lit(prior) + weight * F.aggregate("_buckets", F.lit(0.0), lambda a, b, v=values: a + F.get(_literal(v), b)) for _, prior, values in model]
+
+    def evidence(values: list[float]) -> Column:
+        logs = _literal(values)
+        return F.aggregate("_buckets", F.lit(0.0), lambda a, b: a + F.get(logs, b))
+
+    scores = [F.lit(prior) + weight * evidence(values) for _, prior, values in model]
     read = read.withColumn("_s", F.array(*scores)).drop("_buckets")
     read = read.withColumn("_e", F.transform("_s", lambda s: F.exp(s - F.array_max("_s")))).drop("_s")
     total = F.aggregate("_e", F.lit(0.0), lambda a, x: a + x)

@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 LENGTH = 4096
 END_ID = 2
 #: Cost in ids of padding of cutting a document at a sentence's end, or within a sentence.
-SENTENCE_CUT, INNER_CUT = 2.0, 8.0
+SENTENCE_CUT, INNER_CUT = 2.0, 6.0
 #: Least ids between two sentence cuts, and the step of cuts within long sentences.
-LEAST_GAP, INNER_STEP = 16, 512
+LEAST_GAP, INNER_STEP = 16, 32
 #: Ids that are laid out at a time; words whose ids are kept.
 BLOCK_IDS, KEPT_WORDS = 2 << 20, 600_000
 
