@@ -191,16 +191,14 @@ def pool_texts(p: dict[str, np.ndarray], texts: list[bytes]) -> np.ndarray:
     windows = padded.reshape(-1, WINDOW)
     ordinal = np.arange(len(owner)) - np.repeat(starts // WINDOW, per_text)
     live = np.minimum(sizes[owner] - ordinal * WINDOW, WINDOW)
-    # windows of about one length together, so that short last windows do not run over padding
-    order = np.argsort(live, kind="stable")
+    # a short window ends in zero bytes, in training too, so it does not matter what it runs with
     sums = np.zeros((len(owner), languages))
-    for at in range(0, len(order), BLOCK):
-        rows = order[at : at + BLOCK]
-        longest = int(live[rows[-1]])
-        probabilities = label_places(p, np.ascontiguousarray(windows[rows, :longest].T))
-        if live[rows[0]] < longest:
-            probabilities *= (np.arange(longest)[:, None] < live[rows][None, :])[:, :, None]
-        sums[rows] = probabilities.sum(axis=0)
+    place = np.arange(WINDOW)[:, None]
+    for at in range(0, len(owner), BLOCK):
+        probabilities = label_places(p, np.ascontiguousarray(windows[at : at + BLOCK].T))
+        short = np.flatnonzero(live[at : at + BLOCK] < WINDOW)
+        probabilities[:, short] *= (place < live[at : at + BLOCK][short])[:, :, None]
+        sums[at : at + BLOCK] = probabilities.sum(axis=0)
     pooled = np.zeros((len(texts), languages))
     np.add.at(pooled, owner, sums)
     return pooled / sizes[:, None]

@@ -88,7 +88,7 @@ def tempered_targets(present: dict[str, float], power: float = 0.7) -> dict[str,
     return {d: v / sum(raised.values()) for d, v in raised.items()}
 
 
-def fit_rates(rows: DataFrame, domains: list[str], targets: dict[str, float] | None, total_tokens: float | None) -> tuple[DataFrame, Column]:
+def fit_rates(rows: DataFrame, domains: list[str], targets: dict[str, float] | None, total_tokens: float | None, least_rate: float = 0.0) -> tuple[DataFrame, Column]:
     """Rows and the rate expression that brings their expected domain tokens to the targets.
 
     Without ``total_tokens`` it is the least total at which no domain has to shrink.
@@ -110,7 +110,7 @@ def fit_rates(rows: DataFrame, domains: list[str], targets: dict[str, float] | N
         if max(map(abs, miss.values())) < CLOSE:
             break
         slope = sum((F.col("_p")[domains.index(d)] * F.lit(m) for d, m in miss.items()), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - slope)
+        rate = F.greatest(F.lit(float(least_rate)), rate - slope)
         if step % STAGE_EVERY == STAGE_EVERY - 1:
             rows = staged(rows.withColumn("_rate", rate), "rates")
             rate = F.col("_rate")
@@ -118,11 +118,11 @@ def fit_rates(rows: DataFrame, domains: list[str], targets: dict[str, float] | N
     return rows, rate
 
 
-def mix_documents(docs: DataFrame, label: str = "lang", text: str = "text", targets: dict[str, float] | None = None, total_tokens: float | None = None, labelled: DataFrame | None = None) -> DataFrame:
+def mix_documents(docs: DataFrame, label: str = "lang", text: str = "text", targets: dict[str, float] | None = None, total_tokens: float | None = None, labelled: DataFrame | None = None, least_rate: float = 0.0) -> DataFrame:
     """``docs`` with n_tokens, domain (the likeliest), posterior (its probability), rate and copies.
 
-    ``labelled`` is the table that the classifier learns from, ``docs`` itself if not given; ``copies``
-    is the rate rounded up or down by a hash of the id and text, so that it is right in the mean.
+    ``labelled`` is the table that the classifier learns from, ``docs`` itself if not given; no rate is
+    under ``least_rate``, so with 1 no document is given up; ``copies`` is the rate rounded up or down by a hash of the id and text, so that it is right in the mean.
     """
     given = [c for c in docs.columns if c not in (*ADDED, "_p", "_rate", "_buckets")]
     docs = docs.select(*[F.col(f"`{c}`") for c in given])
@@ -131,7 +131,7 @@ def mix_documents(docs: DataFrame, label: str = "lang", text: str = "text", targ
         return docs.withColumn("n_tokens", F.size(words(F.col(f"`{text}`").cast("string"))).cast("long")).withColumn("domain", F.lit(None).cast("string")).withColumn("posterior", F.lit(None).cast("double")).withColumn("rate", F.lit(1.0)).withColumn("copies", F.lit(1))
     domains = [d for d, _, _ in model]
     rows = staged(memberships(docs, model, text), "memberships")
-    rows, rate = fit_rates(rows, domains, targets, total_tokens)
+    rows, rate = fit_rates(rows, domains, targets, total_tokens, least_rate)
     best = F.array_position("_p", F.array_max("_p")).cast("int")
     draw = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in given if c in ("doc_id", text)], F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
     out = rows.withColumn("domain", F.element_at(F.array(*map(F.lit, domains)), best)).withColumn("posterior", F.array_max("_p")).withColumn("_final", rate)

@@ -18,6 +18,7 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -122,6 +123,12 @@ class WordIds(dict):
         return found, behind[self.ends[rows]]
 
 
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """One store of words per vocabulary and Python worker, which serves one task after another."""
+    return WordIds(path)
+
+
 def cut_places(size: int, sentence_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where a document of ``size`` ids may be cut and what each cut costs; its end costs nothing."""
     kept: list[int] = []
@@ -237,7 +244,7 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import public_tokenizers
 
-        words = WordIds(vocabulary or public_tokenizers.path("word_bpe_49k.json"))
+        words = word_ids(vocabulary or public_tokenizers.path("word_bpe_49k.json"))
         stream = Stream(TaskContext.get().partitionId() << 36)
         for batch in batches:
             for doc_id, text in zip(batch.doc_id, batch.text):

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelkeel.llm import ann, ctw, langid, mixing, packing, quality, rules, subdedup, warc
+import corpus_pipeline
+from voxelkeel.llm import ann, ctw, jaccard, langid, mixing, packing, quality, rules, subdedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,6 +50,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similarity_components(table(spark, sf_dir, "documents").select("doc_id", "text"), n=4, percent=85)
+
+
 @query
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subdedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -77,9 +83,12 @@ WITH d AS (
            list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS lines
     FROM documents
 ), places AS (
-    SELECT r, unnest(range(0, len(words) - 4)) AS i, words FROM d WHERE len(words) >= 5
+    SELECT r, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM d
+), runs AS (
+    SELECT r, i, w || ' ' || lead(w, 1) OVER s || ' ' || lead(w, 2) OVER s || ' ' || lead(w, 3) OVER s || ' ' || lead(w, 4) OVER s AS five
+    FROM places WINDOW s AS (PARTITION BY r ORDER BY i)
 ), windows AS (
-    SELECT r, i, count(*) OVER (PARTITION BY r, array_to_string(words[i + 1 : i + 5], ' ')) AS n FROM places
+    SELECT r, i, count(*) OVER (PARTITION BY r, five) AS n FROM runs WHERE five IS NOT NULL
 ), covered AS (
     SELECT r, count(DISTINCT i + k) AS n_repeat_words
     FROM (SELECT r, i, unnest(range(0, 5)) AS k FROM windows WHERE n >= 2) GROUP BY r
@@ -118,3 +127,63 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes, payload_digest,
        CASE WHEN page_id <> best THEN best END AS refers_to
 FROM p JOIN b USING (hex)
 """
+ORACLES["op6_jaccard_join"] = """
+WITH RECURSIVE d AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words
+    FROM documents
+), places AS (
+    SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM d WHERE len(words) >= 4
+), grams AS (
+    SELECT doc_id, w || ' ' || lead(w, 1) OVER s || ' ' || lead(w, 2) OVER s || ' ' || lead(w, 3) OVER s AS g
+    FROM places WINDOW s AS (PARTITION BY doc_id ORDER BY i)
+), tokens AS (
+    SELECT DISTINCT doc_id, g FROM grams WHERE g IS NOT NULL
+    UNION ALL SELECT doc_id, array_to_string(words, ' ') FROM d WHERE len(words) BETWEEN 1 AND 3
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM tokens GROUP BY doc_id
+), common AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM tokens x JOIN tokens y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2
+), links AS (
+    SELECT a, b FROM common JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b WHERE 100 * common.n >= 85 * (s.n + t.n - common.n)
+), edges AS (
+    SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(a, b) AS (
+    SELECT doc_id, doc_id FROM d UNION SELECT reach.a, edges.b FROM reach JOIN edges ON edges.a = reach.b
+)
+SELECT d.doc_id, coalesce(any_value(sizes.n), 0)::BIGINT AS n_shingles, min(reach.b)::BIGINT AS component_id
+FROM d LEFT JOIN sizes USING (doc_id) JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id
+"""
+ORACLES["op7_substring_dedup"] = """
+WITH d AS (
+    SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents
+), l AS (
+    SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d
+), n AS (
+    SELECT *, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS plain,
+           coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+    FROM l
+), ranked AS (
+    SELECT *, row_number() OVER u > 1 AS marked, first_value(doc_id) OVER u AS keeper
+    FROM n WHERE plain <> '' WINDOW u AS (PARTITION BY plain ORDER BY doc_id, i)
+), grouped AS (
+    SELECT *, sum((NOT marked)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM ranked
+), runs AS (
+    SELECT doc_id, run, min(i) AS a, max(i) AS b, min(pos) AS start, max(pos + length(line)) AS stop, arg_min(keeper, i) AS keeper, count(*) AS units
+    FROM grouped WHERE marked GROUP BY doc_id, run HAVING sum(len(string_split(plain, ' '))) >= 25
+), gone AS (
+    SELECT n.doc_id, n.i FROM n JOIN runs ON n.doc_id = runs.doc_id AND n.i BETWEEN runs.a AND runs.b
+), kept AS (
+    SELECT n.doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM n ANTI JOIN gone ON n.doc_id = gone.doc_id AND n.i = gone.i GROUP BY n.doc_id
+), summed AS (
+    SELECT doc_id, sum(units) AS n_removed, list(start ORDER BY a) AS removed_start, list(stop ORDER BY a) AS removed_end, list(keeper ORDER BY a) AS kept_doc_id FROM runs GROUP BY doc_id
+)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(kept.text, '') END AS text,
+       coalesce((SELECT count(*) FROM ranked WHERE ranked.doc_id = d.doc_id), 0)::BIGINT AS n_units, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(removed_start, [])::BIGINT[] AS removed_start, coalesce(removed_end, [])::BIGINT[] AS removed_end, coalesce(kept_doc_id, [])::BIGINT[] AS kept_doc_id
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN summed USING (doc_id)
+"""
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
