@@ -8,7 +8,7 @@ at the deepest context that training saw.
 
 The counts are those of all training texts, so they grow with the input. They are never gathered in one
 place: documents are dealt to blocks, each block asks for the distinct byte runs it holds, the runs are
-counted and priced in groups of one two-byte context (two deepest levels), and only the two upper
+counted and priced in groups of one two-byte context (all levels from there down), and only the two upper
 levels, at most 256 * 255 + 255 numbers whatever the input, are shared. Words for the unigram base go
 the same way.
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from voxelkeel.llm.common import crc_mod, shuffle_partitions, staged
 
-DEPTH = 3
+DEPTH = 4
 #: The end mark, also the context before a text; never a byte of UTF-8.
 END = 0xFF
 #: About as many bytes of text make a block.
@@ -37,21 +37,20 @@ BLOCK_BYTES = 12 << 20
 #: Byte runs that are priced together, a bound on a task's memory.
 PRICED_RUNS = 40_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_SHIFT = np.arange(7, -1, -1, dtype=np.uint32)
 
 
 def byte_runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Every byte and end mark of ``texts`` with the three bytes before it, as one number; and each text's count."""
-    joined = np.frombuffer(b"\xff\xff\xff" + b"\xff".join(texts) + b"\xff", np.uint8).astype(np.uint32)
-    runs = joined[3:].copy()
-    for back in (1, 2, 3):
-        runs |= joined[3 - back : len(joined) - back] << np.uint32(8 * back)
+    """Every byte and end mark of ``texts`` with the ``DEPTH`` bytes before it, as one number; and each text's count."""
+    pad = b"\xff" * DEPTH
+    joined = np.frombuffer(pad + b"\xff".join(texts) + b"\xff", np.uint8).astype(np.int64)
+    runs = joined[DEPTH:].copy()
+    for back in range(1, DEPTH + 1):
+        runs |= joined[DEPTH - back : len(joined) - back] << (8 * back)
     # what stands before a text's first byte is the end mark, whatever the text before it was
     sizes = np.array([len(t) + 1 for t in texts])
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    for k, mask in ((0, 0xFFFFFF00), (1, 0xFFFF0000), (2, 0xFF000000)):
-        at = starts[sizes > k] + k
-        runs[at] |= np.uint32(mask)
+    for k in range(DEPTH):
+        runs[starts[sizes > k] + k] |= ((1 << 8 * (DEPTH - k)) - 1) << 8 * (k + 1)
     return runs, sizes
 
 
@@ -139,58 +138,62 @@ def _log_factorial(n: np.ndarray) -> np.ndarray:
 
 def _decisions(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Tree node (1..255) and bit of each of a byte's eight decisions: rows x 8."""
-    wide = symbols.astype(np.int64)[:, None]
-    nodes = (1 << np.arange(8)) + (wide >> (8 - np.arange(8)))
-    return nodes, (wide >> _SHIFT.astype(np.int64)) & 1
+    wide, place = symbols[:, None], np.arange(8)
+    return (1 << place) + (wide >> (8 - place)), (wide >> (7 - place)) & 1
 
 
 class Level:
-    """All nodes of one depth: counts of both bits, own estimate, weight of it."""
+    """The nodes of one depth that occur: sorted keys (context, tree node), counts of both bits, own weight."""
 
-    def __init__(self, zeros: np.ndarray, ones: np.ndarray, contexts: np.ndarray | None = None):
-        self.zeros, self.ones, self.contexts = zeros, ones, contexts
-        self.seen = zeros + ones > 0
+    def __init__(self, keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray):
+        self.keys, self.zeros, self.ones = keys, zeros, ones
+        self.weight = np.ones(len(keys))
 
     def weigh(self, children: np.ndarray | None) -> np.ndarray:
         """Log of the weighted probability of every node; ``children`` is the sum of its children's logs."""
-        own = np.zeros(self.zeros.shape)
-        own[self.seen] = kt_log(self.zeros[self.seen], self.ones[self.seen])
+        own = kt_log(self.zeros, self.ones)
         if children is None:
-            self.weight = np.ones(own.shape)
             return own
         mixed = np.logaddexp(own, children) - np.log(2)
         self.weight = np.exp(np.minimum(0, own - np.log(2) - mixed))
-        return np.where(self.seen, mixed, 0.0)
+        return mixed
 
-    def at(self, rows: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, ...]:
-        return self.ones[rows, nodes], self.zeros[rows, nodes], self.weight[rows, nodes], self.seen[rows, nodes]
+    def at(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether each key occurs, its estimate of a one, its weight."""
+        if not len(self.keys):
+            return np.zeros(keys.shape, bool), np.full(keys.shape, 0.5), np.ones(keys.shape)
+        row = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.keys[row] == keys, (self.ones[row] + 0.5) / (self.zeros[row] + self.ones[row] + 1), self.weight[row]
 
 
-def count_level(contexts: np.ndarray, symbols: np.ndarray, n: np.ndarray) -> Level:
-    """A level of the contexts that occur, from counted symbols."""
-    found, inverse = np.unique(contexts, return_inverse=True)
-    nodes, bits = _decisions(symbols)
-    at, times = (inverse[:, None] * 256 + nodes).ravel(), np.repeat(n, 8)
-    one = bits.ravel() == 1
-    zeros, ones = (np.bincount(at[x], times[x], len(found) * 256).reshape(-1, 256) for x in (~one, one))
-    return Level(zeros, ones, found)
+def _keys_of(runs: np.ndarray, nodes: np.ndarray, depth: int) -> np.ndarray:
+    """Keys of the nodes of ``runs`` at ``depth``: rows x 8."""
+    return ((runs >> 8) & ((1 << 8 * depth) - 1))[:, None] << 8 | nodes
 
 
-def summed(inner: np.ndarray, owner: np.ndarray, owners: int) -> np.ndarray:
-    """Rows of ``inner`` added up by ``owner``."""
-    out = np.zeros((owners, inner.shape[1]))
-    np.add.at(out, owner, inner)
-    return out
+def _shorter(keys: np.ndarray, depth: int) -> np.ndarray:
+    """Keys of the same tree nodes with contexts cut to ``depth`` bytes."""
+    return (keys >> 8 & ((1 << 8 * depth) - 1)) << 8 | keys & 0xFF
 
 
-def _two_levels(runs: np.ndarray, n: np.ndarray) -> tuple[Level, Level, np.ndarray]:
-    """The levels of three-byte and two-byte contexts, and the weighted logs of the latter."""
-    symbols = runs & 0xFF
-    deep = count_level(runs >> 8, symbols, n)
-    upper = count_level((runs >> 8) & 0xFFFF, symbols, n)
-    inner = deep.weigh(None)
-    owner = np.searchsorted(upper.contexts, deep.contexts & 0xFFFF)
-    return deep, upper, upper.weigh(summed(inner, owner, len(upper.contexts)))
+def _group(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted distinct keys, and each of ``values`` added up by key."""
+    found, owner = np.unique(keys, return_inverse=True)
+    return found, *(np.bincount(owner, v, len(found)) for v in values)
+
+
+def lower_levels(runs: np.ndarray, n: np.ndarray) -> tuple[list[Level], np.ndarray]:
+    """Levels from two-byte contexts down to the deepest, weighed, and the logs of the first."""
+    nodes, bits = _decisions(runs & 0xFF)
+    times = np.repeat(n, 8).astype(np.float64)
+    one = bits.ravel()
+    level = Level(*_group(_keys_of(runs, nodes, DEPTH).ravel(), times * (1 - one), times * one))
+    levels, logs = [level], level.weigh(None)
+    for depth in range(DEPTH - 1, 1, -1):
+        keys, zeros, ones, below = _group(_shorter(level.keys, depth), level.zeros, level.ones, logs)
+        level = Level(keys, zeros, ones)
+        levels, logs = [level, *levels], level.weigh(below)
+    return levels, logs
 
 
 def _by_pair(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -216,46 +219,34 @@ def fit_tree(counts: DataFrame) -> tuple[Level, Level]:
 
     def logs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for runs, n in _by_pair(batches):
-            keep = n > 0
-            if not keep.any():
-                continue
-            _, upper, weighted = _two_levels(runs[keep], n[keep])
-            last = upper.contexts & 0xFF
-            names, owner = np.unique(last, return_inverse=True)
-            parts = [summed(x, owner, len(names)) for x in (upper.zeros, upper.ones, weighted)]
-            row, node = np.nonzero(parts[0] + parts[1] > 0)
-            yield pd.DataFrame({"last": names[row], "node": node, "zeros": parts[0][row, node], "ones": parts[1][row, node], "logs": parts[2][row, node]})
-
-    small = counts.mapInPandas(logs, "last long, node long, zeros double, ones double, logs double").groupBy("last", "node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "logs")]).toPandas()
-    zeros, ones, children = np.zeros((3, 256, 256))
-    for grid, name in ((zeros, "zeros"), (ones, "ones"), (children, "logs")):
-        grid[small["last"].to_numpy(np.int64), small["node"].to_numpy(np.int64)] = small[name].to_numpy()
-    first, root = Level(zeros, ones), Level(zeros.sum(axis=0, keepdims=True), ones.sum(axis=0, keepdims=True))
-    root.weigh(first.weigh(children).sum(axis=0, keepdims=True))
+            if (n > 0).any():
+                levels, weighted = lower_levels(runs[n > 0], n[n > 0])
+                keys, zeros, ones, below = _group(_shorter(levels[0].keys, 1), levels[0].zeros, levels[0].ones, weighted)
+                yield pd.DataFrame({"key": keys, "zeros": zeros, "ones": ones, "logs": below})
+
+    # a byte and a tree node each: 256 * 255 rows at most, whatever the input
+    small = counts.mapInPandas(logs, "key long, zeros double, ones double, logs double").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "logs")]).orderBy("key").toPandas()
+    first = Level(*(small[c].to_numpy() for c in ("key", "zeros", "ones")))
+    inner = first.weigh(small["logs"].to_numpy())
+    keys, zeros, ones, below = _group(_shorter(first.keys, 0), first.zeros, first.ones, inner)
+    root = Level(keys, zeros, ones)
+    root.weigh(below)
     return first, root
 
 
 def price(counts: DataFrame, first: Level, root: Level) -> DataFrame:
     """log10 probability of the last byte of every run, given those before it: run, price."""
-    shared = counts.sparkSession.sparkContext.broadcast((first, root))
+    shared = counts.sparkSession.sparkContext.broadcast((root, first))
 
     def prices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first, root = shared.value
         for runs, n in _by_pair(batches):
-            keep = n > 0
             nodes, bits = _decisions(runs & 0xFF)
-            levels = [root.at(np.zeros((len(runs), 1), np.int64), nodes), first.at(((runs >> 8) & 0xFF)[:, None], nodes)]
-            if keep.any():
-                deep, upper, _ = _two_levels(runs[keep], n[keep])
-                for level, contexts in ((upper, (runs >> 8) & 0xFFFF), (deep, runs >> 8)):
-                    row = np.minimum(np.searchsorted(level.contexts, contexts), len(level.contexts) - 1)
-                    ones, zeros, weight, seen = level.at(row[:, None], nodes)
-                    levels.append((ones, zeros, weight, seen & (level.contexts[row] == contexts)[:, None]))
-            # from the root down: `share` is what the deeper contexts are worth, `p` what is settled
-            p, share = np.zeros(nodes.shape), np.ones(nodes.shape)
-            settled = np.full(nodes.shape, 0.5)  # the estimate of the deepest node seen so far
-            for ones, zeros, weight, seen in levels:
-                own = (ones + 0.5) / (ones + zeros + 1)
+            levels = [*shared.value, *(lower_levels(runs[n > 0], n[n > 0])[0] if (n > 0).any() else [])]
+            # from the root down: `share` is what the deeper contexts are worth, `p` what is settled,
+            # `settled` the estimate of the deepest node seen so far
+            p, share, settled = np.zeros(nodes.shape), np.ones(nodes.shape), np.full(nodes.shape, 0.5)
+            for depth, level in enumerate(levels):
+                seen, own, weight = level.at(_keys_of(runs, nodes, depth))
                 p = np.where(seen, p + share * weight * own, p)
                 share = np.where(seen, share * (1 - weight), share)
                 settled = np.where(seen, own, settled)
@@ -265,6 +256,36 @@ def price(counts: DataFrame, first: Level, root: Level) -> DataFrame:
     return counts.mapInPandas(prices, "run long, price double")
 
 
+class RunPrices:
+    """Prices of a block's runs, found by dense steps: three bytes first, then one more at a time."""
+
+    def __init__(self, runs: np.ndarray, prices: np.ndarray):
+        # the byte itself and the two before it, then each byte further back
+        self.column = np.zeros(256, np.int64)
+        used = np.unique(np.concatenate([(runs >> 8 * k) & 0xFF for k in range(DEPTH + 1)])) if len(runs) else np.zeros(1, np.int64)
+        self.column[used] = np.arange(len(used))
+        self.width = len(used)
+        self.start, self.steps = np.zeros(1 << 24, np.int32), []
+        known, row = np.unique(runs & 0xFFFFFF, return_inverse=True)
+        self.start[known] = np.arange(len(known))
+        count = len(known)
+        for k in range(3, DEPTH + 1):
+            cell = row * self.width + self.column[(runs >> 8 * k) & 0xFF]
+            cells, row = np.unique(cell, return_inverse=True)
+            step = np.zeros(count * self.width, np.int32)
+            step[cells] = np.arange(len(cells))
+            self.steps.append(step)
+            count = len(cells)
+        self.prices = np.zeros(max(1, count))
+        self.prices[row] = prices
+
+    def total(self, runs: np.ndarray) -> float:
+        row = self.start[runs & 0xFFFFFF].astype(np.int64)
+        for k, step in enumerate(self.steps, 3):
+            row = step[row * self.width + self.column[(runs >> 8 * k) & 0xFF]].astype(np.int64)
+        return float(self.prices[row].sum())
+
+
 def score_blocks(blocked: DataFrame, prices: DataFrame, counts: DataFrame, total: int, distinct: int) -> DataFrame:
     """Score every row from its block's priced runs and counted words."""
     base_of = F.log10((F.col("n") + 1) / F.lit(float(total + distinct + 1)))
@@ -276,28 +297,16 @@ def score_blocks(blocked: DataFrame, prices: DataFrame, counts: DataFrame, total
     def score(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         is_run = answers.run.notna().to_numpy()
         run = answers.run.to_numpy()[is_run].astype(np.int64)
-        order = np.argsort(run)
-        run, value = run[order], answers.value.to_numpy()[is_run][order]
-        contexts, first = np.unique(run >> 8, return_index=True)
-        # byte -> column, three-byte context -> row: two looks for each byte of the text
-        row_of = np.zeros(1 << 24, np.int32)
-        row_of[contexts] = np.arange(len(contexts))
-        symbols = np.unique(run & 0xFF)
-        column_of = np.zeros(256, np.int64)
-        column_of[symbols] = np.arange(len(symbols))
-        grid = np.zeros((len(contexts), len(symbols)), np.float64)
-        grid[row_of[run >> 8], column_of[run & 0xFF]] = value
-        flat, width = grid.ravel(), len(symbols)
+        prices = RunPrices(run, answers.value.to_numpy()[is_run])
         words = {bytes(w): (v, n > 0) for w, v, n in zip(answers.word[~is_run], answers.value[~is_run], answers.n[~is_run])}
         out = []
         for doc_id, text, train in zip(docs.doc_id, docs.text, docs.train):
             raw = text.encode("utf-8", "replace")
             runs, _ = byte_runs([raw])
-            price = float(flat[row_of[runs >> np.uint32(8)].astype(np.int64) * width + column_of[runs & np.uint32(0xFF)]].sum())
             found = [words[w] for w in plain_words(raw)]
             base = sum(v for v, _ in found)
             known = sum(k for _, k in found)
-            out.append((doc_id, train, len(found) + 1, known, base, price, len(raw)))
+            out.append((doc_id, train, len(found) + 1, known, base, prices.total(runs), len(raw)))
         frame = pd.DataFrame(out, columns=[c.split()[0] for c in columns.split(", ")])
         return frame
 
