@@ -23,7 +23,7 @@ def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = staged(_hang(both, least, F.col("v") > F.col("u")).filter("u <> v").distinct(), "edges")
+        large = _hang(both, least, F.col("v") > F.col("u")).filter("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         hung = _hang(down, least, F.col("v") != F.col("m")).unionByName(least.select("u", F.col("m").alias("v")))

@@ -7,11 +7,13 @@ lack, and is indexed by single tokens for rare ones and by pairs of tokens of on
 frequent ones, which alone would be shared by many unrelated texts. Sets below ``SMALL`` tokens are indexed by
 single tokens throughout; sizes near the bound are indexed both ways, so any two similar sets meet.
 
-Candidates are verified in two steps that lose nothing: first every member of an index list against one
-member of the list, whose links are joined to components; then, in lists that still hold several
+Candidates are verified in steps that lose nothing. First every member of an index list against one
+member of the list, whose links are joined to components. Then, in lists that still hold several
 components, all members of different components, list part against list part, by sketches that
-bound the difference of two sets from below. What a sketch can't refute is compared token by token.
-So large groups of near copies cost a link a member, not a link a pair.
+bound the difference of two sets from below: of what a sketch can't refute, only enough pairs to join
+what might be joined are compared token by token, and when most of a group has so become one
+component, all that is left between components. So large groups of near copies cost a few
+comparisons a member, not one a pair.
 
 Defined results: a document without words, or null, has no tokens, is linked with nothing and is its own
 component; with fewer than ``n`` words its whole sequence is its one token; equal rows are in one class; a
@@ -56,7 +58,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > 500_000:
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = self[word] = xxhash.xxh3_64_intdigest(word) >> 2
         return value
 
 
@@ -65,7 +67,7 @@ def token_set(text: str | None, n: int, hashes: WordHashes) -> np.ndarray:
     found = (text or "").encode("utf-8", "replace").translate(_LOWER).split()
     if not found:
         return np.zeros(0, np.uint64)
-    h = np.array([hashes[w] for w in found], np.uint64)
+    h = np.fromiter(map(hashes.__getitem__, found), np.int64, len(found)).view(np.uint64)
     if len(h) < n:
         whole = np.uint64(len(h))
         for x in h:
@@ -75,7 +77,8 @@ def token_set(text: str | None, n: int, hashes: WordHashes) -> np.ndarray:
     total = np.zeros(span, np.uint64)
     for k in range(n):
         total = (total + h[k : k + span]) * _MIX[k % 4]
-    return np.unique(mixed(total))
+    total = np.sort(mixed(total))
+    return total if (total[1:] != total[:-1]).all() else np.unique(total)
 
 
 class KnownTokens:
@@ -102,7 +105,7 @@ def signatures(tokens: np.ndarray, known: KnownTokens, percent: int) -> np.ndarr
     n = len(tokens)
     spare = n - -(-percent * n // 100)  # tokens that a similar set may lack
     count = known.count(tokens)
-    order = np.lexsort((tokens, count))
+    order = np.argsort(count, kind="stable")  # tokens are sorted, so ties stay in their order
     ranked, count = tokens[order], count[order]
     out = []
     if n < SMALL:
@@ -128,7 +131,7 @@ def signatures(tokens: np.ndarray, known: KnownTokens, percent: int) -> np.ndarr
 
 
 def sketch_bits(n: int) -> int:
-    return 512 if n <= 1024 else 2048 if n <= 4096 else 8192 if n <= 16384 else 32768
+    return 1024 if n <= 1024 else 2048 if n <= 4096 else 8192 if n <= 16384 else 32768
 
 
 def sketch(tokens: np.ndarray) -> bytes:
@@ -248,11 +251,27 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, perc
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * both >= percent * (F.size("t_a") + F.size("t_b") - both)).select("a", "b")
 
 
-def across_components(lists: DataFrame, percent: int, partitions: int) -> DataFrame:
-    """Pairs (a, b) of different components in one list that sizes and sketches leave possible.
+def _forest(passing: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a matrix of possible pairs as few as join every label that any of them joins, best-connected members first."""
+    group = np.unique(label, return_inverse=True)[1]
+    left, right = [], []
+    for k in np.argsort(-passing.sum(axis=1), kind="stable"):
+        near = np.flatnonzero(passing[k])
+        near = near[group[near] != group[k]]
+        if near.size:
+            groups, first = np.unique(group[near], return_index=True)
+            left.append(np.full(len(first), k))
+            right.append(near[first])
+            group[np.isin(group, groups)] = group[k]
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
+
+
+def across_components(lists: DataFrame, percent: int, partitions: int, forest: bool) -> DataFrame:
+    """Pairs (sig, a, b) of different components in one list that sizes and sketches leave possible.
 
     ``lists`` has sig, size (of the list), id, label, n, sketch. A long list is split into parts, and
-    each part meets each other part in a task of its own.
+    each part meets each other part in a task of its own. With ``forest`` only pairs enough to
+    join what all of them would join are given.
     """
     parts = F.greatest(F.lit(1), F.ceil(F.col("size") / LIST_PART)).cast("int")
     own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
@@ -260,45 +279,59 @@ def across_components(lists: DataFrame, percent: int, partitions: int) -> DataFr
     rows = rows.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "label", "n", "sketch")
     rows = rows.repartition(partitions, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame | None:
-        label, n, own = group.label.to_numpy(), group.n.to_numpy(), group.own.to_numpy()
+    def compare(ids: np.ndarray, label: np.ndarray, n: np.ndarray, own: np.ndarray, sketches: list, i: int, j: int):
         if (label == label[0]).all():
             return None
-        ids, left, right = group.id.to_numpy(), [], []
-        size = min(map(len, group.sketch))
-        bits = np.array([folded(s, size) for s in group.sketch])
-        wide = bits.view(np.uint64)
-        i, j = group.i.iat[0], group.j.iat[0]
+        size = min(map(len, sketches))
+        wide = np.array([np.frombuffer(s, np.uint8) if len(s) == size else folded(s, size) for s in sketches]).view(np.uint64)
+        passing = np.zeros((len(ids), len(ids)), bool)
         for k in np.flatnonzero(own == i):
-            other = np.flatnonzero((own == j) & (label != label[k]) & ((ids > ids[k]) | (i != j)))
-            other = other[may_be_similar(n[k], n[other], 0, percent)]
-            if len(other):
-                differing = np.bitwise_count(wide[other] ^ wide[k]).sum(axis=1)
-                other = other[may_be_similar(n[k], n[other], differing.astype(np.int64), percent)]
-                left += [ids[k]] * len(other)
-                right += ids[other].tolist()
-        return pd.DataFrame({"a": np.minimum(left, right), "b": np.maximum(left, right)}) if left else None
+            apart = label != label[k]
+            if i != j:
+                apart &= own == j
+            other = np.flatnonzero(apart & may_be_similar(n[k], n, 0, percent))
+            if other.size:
+                differing = np.bitwise_count(wide[other] ^ wide[k]).sum(axis=1).astype(np.int64)
+                passing[k, other[may_be_similar(n[k], n[other], differing, percent)]] = True
+        if not passing.any():
+            return None
+        passing |= passing.T
+        left, right = _forest(passing, label) if forest else np.nonzero(np.triu(passing))
+        return np.minimum(ids[left], ids[right]), np.maximum(ids[left], ids[right])
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
-        for batch in batches:
+        for batch, last in _with_last(batches):
             rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            key = rest[["sig", "i", "j"]].to_numpy()
-            edges = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            begin = 0
-            for end in edges:
-                if (found := compare(rest.iloc[begin:end])) is not None:
-                    yield found
-                begin = end
-            rest = rest.iloc[begin:].reset_index(drop=True)
-        if rest is not None and len(rest) and (found := compare(rest)) is not None:
-            yield found
-
-    return rows.mapInPandas(pairs, "a long, b long").distinct()
+            sig, i, j = (rest[c].to_numpy() for c in ("sig", "i", "j"))
+            edges = np.flatnonzero((sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            edges = [0, *edges.tolist(), *([len(rest)] if last else [])]
+            ids, label, n, own = (rest[c].to_numpy() for c in ("id", "label", "n", "own"))
+            sketches = rest.sketch.tolist()
+            out = []
+            for a, b in zip(edges, edges[1:]):
+                if b - a > 1 and (found := compare(ids[a:b], label[a:b], n[a:b], own[a:b], sketches[a:b], i[a], j[a])) is not None:
+                    out.append((np.full(len(found[0]), sig[a]), *found))
+            if out:
+                yield pd.DataFrame(dict(zip(("sig", "a", "b"), map(np.concatenate, zip(*out)))))
+            rest = rest.iloc[edges[-1] :]
+
+    return rows.mapInPandas(pairs, "sig long, a long, b long")
+
+
+def _with_last(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, bool]]:
+    before = None
+    for batch in batches:
+        if len(batch):
+            if before is not None:
+                yield before, False
+            before = batch
+    if before is not None:
+        yield before, True
 
 
 def similar_classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Indexed documents, classes of equal token sets, and enough links between classes to join all that are similar."""
+    """Indexed documents, classes of equal token sets, and the root of every class that is joined to a smaller one."""
     spark = docs.sparkSession
     rows = staged(index_rows(docs, frequent_tokens(docs, n), n, percent), "indexed")
     grouped = rows.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("min_doc"), F.count(F.lit(1)).alias("members"), F.first(F.struct(F.col("n_shingles").alias("n"), "sigs", "sketch")).alias("x"))
@@ -309,17 +342,22 @@ def similar_classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, D
     stars = shared.filter("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
     possible = staged(refute_by_sketch(stars, classes, percent), "stars")
     links = staged(verified(possible, docs, classes, n, percent), "links")
-    roots = connected(links)
+    roots, tested = connected(links), possible
     # lists of two have been compared in full
-    labelled = shared.filter("size > 2").select("sig", "size", "id").join(roots, "id", "left").withColumn("label", F.coalesce("root", "id")).drop("root")
-    labelled = staged(labelled, "labelled")
-    split = labelled.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("sig")
-    members = labelled.join(split, "sig", "left_semi").join(classes.select("id", "n", "sketch"), "id")
-    rest = across_components(members, percent, shuffle_partitions(spark))
-    rest = staged(rest.join(possible, ["a", "b"], "left_anti"), "across")
-    if not rest.isEmpty():
-        links = links.unionByName(staged(verified(rest, docs, classes, n, percent), "links"))
-    return rows, classes, links
+    lists, sketches = shared.filter("size > 2").select("sig", "size", "id"), classes.select("id", "n", "sketch")
+    for forest in (True, True, False):
+        labelled = staged(lists.join(roots, "id", "left").withColumn("label", F.coalesce("root", "id")).drop("root"), "labelled")
+        split = labelled.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("sig")
+        members = labelled.join(split, "sig", "left_semi").join(sketches, "id")
+        found = staged(across_components(members, percent, shuffle_partitions(spark), forest), "across")
+        fresh = staged(found.select("a", "b").distinct(), "pairs").join(tested, ["a", "b"], "left_anti")
+        fresh = staged(fresh, "fresh")
+        if not fresh.isEmpty():
+            links = links.unionByName(staged(verified(fresh, docs, classes, n, percent), "links"))
+            roots, tested = connected(links), tested.unionByName(fresh)
+        # a list in which nothing was possible has been settled for good
+        lists = lists.join(found.select("sig").distinct(), "sig", "left_semi")
+    return rows, classes, roots
 
 
 def similarity_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -328,8 +366,7 @@ def similarity_components(docs: DataFrame, n: int = 5, percent: int = 80) -> Dat
     Documents link when the shared tokens are at least ``percent`` per cent of their joint ones; a
     component is named by its smallest doc_id.
     """
-    rows, classes, links = similar_classes(docs, n, percent)
-    roots = connected(links)
+    rows, classes, roots = similar_classes(docs, n, percent)
     labelled = staged(classes.select("id", "digest", "min_doc", "members").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "roots")
     names = labelled.groupBy("root").agg(F.min("min_doc").alias("component_id"))
     named = labelled.join(names, "root").select("digest", "members", "component_id")
