@@ -1,8 +1,11 @@
 """Hand-computed cases, invariants and brute-force checks of single operators."""
 
 import itertools
+import json
+import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,9 +17,11 @@ from voxelkeel.operators import labels as L
 from voxelkeel.operators import matching as M
 from voxelkeel.operators import placement as P
 from voxelkeel.operators import regions as R
+from voxelkeel.operators import series as SE
 from voxelkeel.operators import spans as S
 from voxelkeel.operators import trajectory as T
 from voxelkeel.sinks import tables as K
+from voxelkeel.sources import projects as SP
 from voxelkeel.sources import recordings as SR
 from voxelkeel.streaming import operators as ST
 
@@ -161,7 +166,7 @@ def test_match_ordered_is_optimal():
     for _ in range(20):
         f, a = np.sort(rng.uniform(0, 1000, 4)), np.sort(rng.uniform(0, 1000, 5))
         w = rng.uniform(0.5, 2, 4)
-        got = sum(g for *_x, g in T._match_ordered(f, w, a, 120.0, 350.0))
+        got = T._ordered_pairs(f[None], w[None], a[None], 120.0, 350.0)[3].sum()
         gain = lambda i, j: w[i] * np.exp(-0.5 * ((f[i] - a[j]) / 120) ** 2) if abs(f[i] - a[j]) <= 350 else -1.0
         best = 0.0
         for n in range(1, 5):
@@ -262,11 +267,31 @@ def test_stream_profiles_equal_batch(spark, tmp_path):
     for part in range(3):
         batch.filter(F.minute("ts") % 3 == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = ST.event_stream(spark, str(tmp_path / "in"), glob="*.parquet")
-    rule = lambda df: ST.stream_depth_profiles(df, window="10 minutes", window_s=600.0, bin_um=20.0, min_spikes=2)
-    got = ST.drain(rule(stream), "profiles_test", str(tmp_path / "ckpt"))
+    rule = lambda df: ST.stream_depth_profiles(df, window="10 minutes", window_s=600.0, bin_um=20.0, min_spikes=2, late="1 day")
+    got = ST.drain(rule(stream), ["window_start", "bin"], str(tmp_path / "out"), str(tmp_path / "ckpt"))
     assert got.exceptAll(rule(batch)).count() == 0 and rule(batch).exceptAll(got).count() == 0
 
 
+def test_stream_drops_what_is_later_than_the_watermark(spark, tmp_path):
+    rows = lambda *minutes: make(spark, "ts string, depth_um double, amplitude double", [(f"2024-01-01 00:{m:02d}:00", 5.0, 1.0) for m in minutes]).withColumn("ts", F.to_timestamp("ts")).coalesce(1)
+    for part in (rows(1, 2), rows(40, 41), rows(42), rows(3), rows(45)):
+        part.write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # the stream takes files in order of their age
+    stream = ST.stream_depth_profiles(ST.event_stream(spark, str(tmp_path / "in")), window="10 minutes", bin_um=20.0, min_spikes=1, late="10 minutes")
+    got = ST.drain(stream, ["window_start", "bin"], str(tmp_path / "out"), str(tmp_path / "ckpt"))
+    assert sorted(r.n_spikes for r in got.collect()) == [2, 4]
+
+
+def test_stream_of_a_folder_or_a_file(spark, tmp_path):
+    make(spark, "a int", [(1,), (2,)]).repartition(2).write.parquet(str(tmp_path / "t.parquet"))
+    single = next(p for p in (tmp_path / "t.parquet").iterdir() if p.name.endswith(".parquet"))
+    for path, n in ((tmp_path / "t.parquet", 2), (single, 1)):
+        out = tmp_path / f"out{n}"
+        rows = ST.event_stream(spark, str(path), time=None)
+        rows.writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(tmp_path / f"c{n}")).trigger(availableNow=True).start().awaitTermination()
+        assert spark.read.parquet(str(out)).count() == n
+
+
 @pytest.mark.parametrize("parts", [1, 3])
 def test_stream_screening_equals_batch_when_windows_are_split(spark, tmp_path, parts):
     rng = np.random.default_rng(4)
@@ -290,3 +315,122 @@ def test_empty_inputs(spark):
     assert A.depth_profiles(spikes, ["recording"]).count() == 0
     assert S.merge_spans(make(spark, "p int, top_um double, bottom_um double", []), ["p"]).count() == 0
     assert L.label_edges(make(spark, "section int, x int, y int, region_id int", [])).count() == 0
+
+
+def test_edges_need_a_neighbour_one_pixel_away(spark):
+    rows = [(1, 0, 0, 7), (1, 5, 0, 8), (1, 6, 0, 8), (1, 7, 0, 9), (1, 7, 3, 1)]
+    got = L.label_edges(make(spark, "section int, x int, y int, region_id int", rows)).collect()
+    assert sorted((r.x, r.y) for r in got) == [(6, 0), (7, 0)]
+
+
+def test_points_without_landmarks_or_field_stay(spark):
+    lm = make(spark, "section long, i int, sx double, sy double, tx double, ty double, forward boolean", [(1, i, float(i % 3), float(i // 3), float(i % 3), float(i // 3), True) for i in range(6)])
+    pts = make(spark, "pid long, section long, x_px double, y_px double", [(1, 1, 1.0, 1.0), (2, 9, 3.0, 4.0)])
+    got = {r.pid: r for r in M.tps_warp_points(pts, lm).collect()}
+    assert (got[2].x_warped, got[2].y_warped, got[2].settled) == (3.0, 4.0, True) and got[1].settled
+    field = make(spark, "section long, gx int, gy int, dx double, dy double", [(1, 0, 0, 0.5, 0.0), (1, 1, 0, 0.5, 0.0), (1, 0, 1, 0.5, 0.0)])
+    moved = {r.pid: r.x_warped for r in L.field_warp_points(pts, field, step=2.0, nx=2, ny=2).collect()}
+    assert moved == {1: 1.5, 2: 3.0}
+
+
+def test_spline_points_do_not_depend_on_each_other(spark):
+    rng = np.random.default_rng(5)
+    src = rng.uniform(0, 100, (9, 2))
+    dst = src + rng.normal(size=(9, 2)) * 6
+    lm = make(spark, "section long, i int, sx double, sy double, tx double, ty double, forward boolean", [(1, i, *map(float, src[i]), *map(float, dst[i]), False) for i in range(9)])
+    pts = [(i, 1, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-300, 400, (30, 2)))]
+    schema = "pid long, section long, x_px double, y_px double"
+    together = {r.pid: (r.x_warped, r.y_warped, r.settled) for r in M.tps_warp_points(make(spark, schema, pts), lm).collect()}
+    for p in pts[:5]:
+        alone = M.tps_warp_points(make(spark, schema, [p]), lm).first()
+        assert np.allclose((alone.x_warped, alone.y_warped), together[p[0]][:2], atol=1e-6) and alone.settled == together[p[0]][2]
+
+
+def test_box_neighbours_on_a_slide_of_many_boxes(spark):
+    rng = np.random.default_rng(6)
+    xy = rng.integers(0, 4000, (2300, 2))
+    wh = rng.integers(5, 60, (2300, 2))
+    rows = [(1, k, int(x), int(y), int(x + w), int(y + h), 5000, 5000) for k, ((x, y), (w, h)) in enumerate(zip(xy, wh))]
+    out = SE.box_neighbours(make(spark, "slide int, k long, x0 long, y0 long, x1 long, y1 long, image_w long, image_h long", rows), ["slide"])
+    got = {r.k: r.gap_px for r in out.collect()}
+    b = np.array([r[2:6] for r in rows])
+    for k in range(0, 2300, 37):
+        x0, y0, x1, y1 = b[k]
+        o = np.delete(b, k, axis=0)
+        rowmates, colmates = (y1 > o[:, 1]) & (y0 < o[:, 3]), (x1 > o[:, 0]) & (x0 < o[:, 2])
+        gaps = [*(o[rowmates, 0] - x1), *(x0 - o[rowmates, 2]), *(o[colmates, 1] - y1), *(y0 - o[colmates, 3])]
+        assert got[k] == min((g for g in gaps if g >= 0), default=None)
+
+
+def test_fragments_merge_to_the_fixed_point(spark):
+    # A chain: each box overlaps only the union of those before it.
+    rows = [(1, k, 10 * k, 0, 10 * k + 20, 10, 1000 - k, 10.0 * k, 5.0) for k in range(9)] + [(1, 9, 500, 0, 520, 10, 50, 510.0, 5.0)]
+    out = M.merge_fragments(make(spark, "slide int, k long, x0 long, y0 long, x1 long, y1 long, area_px long, cx double, cy double", rows), ["slide"]).collect()
+    assert sorted((r.x0, r.x1, r.n_merged) for r in out) == [(0, 100, 9), (500, 520, 1)]
+
+
+def test_ordered_pairs_against_exhaustive_search():
+    rng = np.random.default_rng(8)
+
+    def best(f, w, a, i=0, j=0):
+        if i == len(f) or j == len(a):
+            return 0.0
+        gap = abs(f[i] - a[j])
+        pair = w[i] * np.exp(-0.5 * (gap / 50) ** 2) + best(f, w, a, i + 1, j + 1) if gap <= 120 else 0.0
+        return max(pair, best(f, w, a, i + 1, j), best(f, w, a, i, j + 1))
+
+    lists = [(np.sort(rng.uniform(0, 600, rng.integers(1, 6))), np.sort(rng.uniform(0, 600, rng.integers(1, 6)))) for _ in range(40)]
+    weights = [rng.uniform(0.5, 2, len(f)) for f, _ in lists]
+    pad = lambda rows: T._padded(pd.Series(rows))
+    row, i, j, gain = T._ordered_pairs(pad([f for f, _ in lists]), pad(weights), pad([a for _, a in lists]), 50.0, 120.0)
+    for r, (f, a) in enumerate(lists):
+        mine = row == r
+        assert np.isclose(gain[mine].sum(), best(f, weights[r], a))
+        assert (np.diff(i[mine]) > 0).all() and (np.diff(j[mine]) > 0).all()
+
+
+def test_leave_one_out_goes_through_the_fit(spark):
+    # Gains peak at roll 5 when the offset is the fitted 100, and at -5 on the line through zero.
+    rows = []
+    for n, (off, roll) in enumerate((o, r) for o in (0.0, 100.0) for r in (-5.0, 0.0, 5.0)):
+        for shank in range(3):
+            gain = (2.0 if roll == (5.0 if off else -5.0) else 1.0) * (2.0 if off else 1.0)
+            rows.append((1, n, shank, off, roll, 0.0, gain, 4.0 + shank, 1, 1))
+    scores = make(spark, "probe int, cand int, shank int, offset_um double, roll_deg double, tilt_deg double, gain double, weight double, matched long, available long", rows)
+    best = T.best_placement(T.placement_score(scores, ["probe", "cand", *T._PARAMS]))
+    r = T.leave_one_out(scores, best, tolerance=5.0).first()
+    assert r.full == 5.0 and r.stable and r.n_held == 3 and np.isclose(r.weight_share, 4.0 / 15.0)
+
+
+def test_project_documents_come_back_whole(spark, tmp_path):
+    section = {"index": 3, "slide_idx": 0, "bbox_px": [1, 2, 30, 40], "ap_order": 2, "slide_number": 4, "plane": {"ap_um": 10.5, "ml_tilt_deg": 1.5, "dv_tilt_deg": -2.0, "midline_px": 7.0, "dorsal_surface_px": 3.0, "pixel_size_um": 4.0, "image_right_is_anatomical_right": True},
+               "ap_source": "user", "rotation_deg": 12.5, "deepslice_anchoring": [float(i) for i in range(9)], "registration": {"anchoring": [1.0 * i for i in range(9)], "output_size_px": [20, 30], "bspline_transform_path": "t.h5", "residual": 0.5},
+               "flip_h": True, "flip_v": True, "manual_affine": [[1.0, 0.0, 2.0], [0.0, 1.0, 3.0]], "manual_landmarks": {"source": [[1.0, 2.0]], "target": [[3.0, 4.0]], "forward": True}, "image_path": "s.png",
+               "reference": {"project_path": "r.json", "section_index": 5, "matrix": [[1.0, 0.0, 0.0]], "mirrored": False}}
+    shank = {"index": 0, "tip_px": {"x_px": 1.0, "y_px": 2.0}, "tip_section_idx": 3, "entry_px": {"x_px": 3.0, "y_px": 4.0}, "entry_section_idx": 3, "tip_ccf_um": [1.0, 2.0, 3.0], "entry_ccf_um": [4.0, 5.0, 6.0], "track_points_ccf_um": [[1.0, 2.0, 3.0]],
+             "track_picks": [{"point": {"x_px": 1.0, "y_px": 2.0}, "section_idx": 3}], "ephys": {"feature_um": [1.0, 2.0], "track_um": [1.0, 2.0], "extremes_mode": "uniform", "insertion_depth_um": 100.0}}
+    doc = {"version": 3, "atlas": {"name": "kim_mouse_50um", "resolution_um": 50.0}, "slides": [{"image_path": "a.tif", "source_paths": ["b.tif"], "sections": [section, {**section, "index": 4, "plane": None}], "flip_h": False, "flip_v": True, "pixel_um": 2.5}],
+           "probes": [{"label": "A", "type": {"name": "NP2", "n_shanks": 1, "shank_pitch_um": 250.0}, "shanks": [shank], "recordings": [{"path": "/r", "label": "x", "stream_name": "lf", "insertion_depth_um": 3.0, "electrode_range": [0, 9], "bank_offset_um": 15.0, "epochs": [{"t_start_s": 0.0, "t_end_s": 1.0, "kept": False, "reject_reason": "noise"}]}]}],
+           "section_spacing_um": 60.0, "cell_sets": [{"name": "c", "source": "s", "cells": [{"ap_um": 1.0, "ml_um": 2.0, "dv_um": 3.0, "section_index": 3, "x_px": 4.0, "y_px": 5.0, "cell_type": "t", "region": "CA1"}]}], "seen_from": "front"}
+    (tmp_path / "p.json").write_text(json.dumps(doc, indent=1))
+    read = SP.read_projects(spark, str(tmp_path / "p.json"))
+    key = read.first().project_id
+    K.save_projects(read, str(tmp_path / "same"))
+    bare = lambda d: {k: bare(v) for k, v in d.items() if v is not None} if isinstance(d, dict) else [bare(x) for x in d] if isinstance(d, list) else d
+    same = json.loads(spark.read.text(str(tmp_path / "same")).first().value)
+    assert same == bare(doc)
+    change = make(spark, "project_id string, slide_idx long, section_index long, ap_um double, flip_h boolean", [(key, 0, 4, 99.0, False)])
+    shanks = make(spark, "project_id string, probe string, shank long, tip_ccf_um array<double>", [(key, "A", 0, [7.0, 8.0, 9.0])])
+    K.save_projects(K.change_projects(read, sections=change, shanks=shanks), str(tmp_path / "new"))
+    new = json.loads(spark.read.text(str(tmp_path / "new")).first().value)
+    want = bare(doc)
+    want["slides"][0]["sections"][1] |= {"plane": {"ap_um": 99.0}, "flip_h": False}
+    want["probes"][0]["shanks"][0]["tip_ccf_um"] = [7.0, 8.0, 9.0]
+    assert new == want
+    assert SP.read_saved_projects(spark, str(tmp_path / "new")).filter("reject_reason IS NULL").count() == 1
+
+
+def test_recordings_deep_down_and_beside_zarr(spark):
+    rows = [("/mnt/a/b/c/d/e/f/g/h/i/rec1/info.rhd", False), ("/mnt/x.zarr/info.rhd", False), ("/mnt/x.zarr", True), ("/mnt/my.zarr_export/rec2/info.rhd", False), ("/other/rec3/info.rhd", False)]
+    got = {r.dir for r in SR.find_recordings(make(spark, "path string, is_dir boolean", rows), root="/mnt").collect()}
+    assert got == {"/mnt/a/b/c/d/e/f/g/h/i/rec1", "/mnt/my.zarr_export/rec2"}

@@ -217,7 +217,7 @@ def all_spikes(*recordings: DataFrame) -> DataFrame:
     return out
 
 
-def thin_raster(spikes: DataFrame, keys: list[str], row_id: str, *, max_points: int = 200000, seed: int = 0) -> DataFrame:
+def thin_raster(spikes: DataFrame, keys: list[str], row_id: str, *, max_points: int, seed: int = 0) -> DataFrame:
     """A uniform, repeatable draw of exactly ``min(n, max_points)`` spikes per recording.
 
     Rows are ordered by a hash. Whole hash buckets are taken by their counts, and only the one
@@ -254,7 +254,7 @@ def place_psd(psd: DataFrame, channels: DataFrame, *, bin_um: float = C.NP2_ROW_
         F.avg("power").alias("power"), F.min("depth_um").alias("_lo"), F.max("depth_um").alias("_hi"))
 
 
-def level_offsets(cells: DataFrame) -> DataFrame:
+def level_offsets(cells: DataFrame, *, bin_um: float = C.NP2_ROW_PITCH_UM) -> DataFrame:
     """Per recording, the median log ratio to the widest recording over shared positive cells.
 
     The widest is the first one on ties. Overlap counts bins where both have data.
@@ -275,7 +275,7 @@ def level_offsets(cells: DataFrame) -> DataFrame:
     is_ref = F.col("recording") == F.col("widest")
     return df.select(*keys, "recording", "top_um", "bottom_um", is_ref.alias("is_level_reference"),
                      F.when(~is_ref, F.col("_off")).alias("level_offset_dec"),
-                     F.when(is_ref, 0.0).otherwise(F.coalesce("_ov", F.lit(0)) * C.NP2_ROW_PITCH_UM).alias("overlap_um"))
+                     F.when(is_ref, 0.0).otherwise(F.coalesce("_ov", F.lit(0)) * float(bin_um)).alias("overlap_um"))
 
 
 def stack_shank(cells: DataFrame, *, bin_um: float = C.NP2_ROW_PITCH_UM, match_levels: bool = True) -> DataFrame:
@@ -284,7 +284,7 @@ def stack_shank(cells: DataFrame, *, bin_um: float = C.NP2_ROW_PITCH_UM, match_l
     cells = cut_lineage(cells)  # already binned: a small fraction of the spectra
     levelled = cells
     if match_levels:
-        off = level_offsets(cells).select(*keys, "recording", "level_offset_dec")
+        off = level_offsets(cells, bin_um=bin_um).select(*keys, "recording", "level_offset_dec")
         levelled = cells.join(off, [*keys, "recording"]).withColumn("power", F.expr("power / power(10D, coalesce(level_offset_dec, 0D))"))
     mean = levelled.groupBy(*keys, "bin", "freq_hz").agg(F.avg("power").alias("power"))
     freqs = cells.select(*keys, "freq_hz").distinct()

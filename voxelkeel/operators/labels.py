@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelkeel.operators.regions import voxel_key
+from voxelkeel.operators.regions import spread_outside, voxel_key
+from voxelkeel.session import cut_lineage
 
 
 def plane_pixels(sections: DataFrame) -> DataFrame:
@@ -32,7 +33,7 @@ def sample_labels(pixels: DataFrame, annotation: DataFrame, shape, out: str = "r
     near = [F.expr(f"CAST(floor({c} + 0.5D) AS BIGINT)") for c in ("v_ap", "v_dv", "v_ml")]
     grid = annotation.filter("structure_id > 0").select(
         voxel_key(F.col("i_ap"), F.col("i_dv"), F.col("i_ml")).alias("_vox"), F.col("structure_id").alias("_sid"))
-    keyed = pixels.withColumn("_vox", F.when(F.expr(_inside(shape)), voxel_key(*near)))
+    keyed = pixels.withColumn("_vox", spread_outside(F.when(F.expr(_inside(shape)), voxel_key(*near)), *map(F.col, ("v_ap", "v_dv", "v_ml"))))
     return keyed.join(grid, "_vox", "left").withColumn(out, F.coalesce("_sid", F.lit(0))).drop("_vox", "_sid")
 
 
@@ -64,19 +65,22 @@ def resize_nearest(sections: DataFrame) -> DataFrame:
 def field_warp_points(points: DataFrame, field: DataFrame, *, step: float, nx: int, ny: int) -> DataFrame:
     """Points moved by a displacement field sampled every ``step`` px: bilinear, held at the edges.
 
-    The four corners join on (section, gx, gy) and are summed with their weights. ``points``
-    has ``pid, section, x_px, y_px``.
+    The field is gathered once into one row per cell with the shifts of its four corners, so a
+    point takes part in one equi join. Of corners that are missing the weight goes to the others;
+    a point without any stays where it is. ``points`` has ``pid, section, x_px, y_px``.
     """
     df = points.withColumns({
         "_fx": F.expr(f"least(greatest(x_px / {step}D, 0D), {nx - 1}D)"), "_fy": F.expr(f"least(greatest(y_px / {step}D, 0D), {ny - 1}D)")})
     df = df.withColumns({"_x0": F.expr(f"CAST(least(floor(_fx), {nx - 2}) AS INT)"), "_y0": F.expr(f"CAST(least(floor(_fy), {ny - 2}) AS INT)")})
-    df = df.withColumn("_c", F.explode(F.expr("""array(
-        named_struct('gx', _x0, 'gy', _y0, 'w', (1D - (_fx - _x0)) * (1D - (_fy - _y0))), named_struct('gx', _x0 + 1, 'gy', _y0, 'w', (_fx - _x0) * (1D - (_fy - _y0))),
-        named_struct('gx', _x0, 'gy', _y0 + 1, 'w', (1D - (_fx - _x0)) * (_fy - _y0)), named_struct('gx', _x0 + 1, 'gy', _y0 + 1, 'w', (_fx - _x0) * (_fy - _y0)))""")))
-    df = df.select("pid", "section", "x_px", "y_px", F.col("_c.gx").alias("gx"), F.col("_c.gy").alias("gy"), F.col("_c.w").alias("_w"))
-    hit = df.join(field.select("section", "gx", "gy", "dx", "dy"), ["section", "gx", "gy"])
-    moved = hit.groupBy("pid", "section", "x_px", "y_px").agg(F.sum(F.col("_w") * F.col("dx")).alias("_dx"), F.sum(F.col("_w") * F.col("dy")).alias("_dy"))
-    return moved.select("pid", "section", F.expr("x_px + _dx AS x_warped"), F.expr("y_px + _dy AS y_warped"))
+    corner = F.expr("explode(flatten(transform(array(0, 1), i -> transform(array(0, 1), j -> named_struct('i', i, 'j', j)))))").alias("c")
+    cells = field.select("section", "gx", "gy", "dx", "dy", corner).groupBy("section", (F.col("gx") - F.col("c.i")).alias("_x0"), (F.col("gy") - F.col("c.j")).alias("_y0")).agg(
+        F.collect_list(F.struct("c.i", "c.j", "dx", "dy")).alias("_c"))
+    df = df.join(cells, ["section", "_x0", "_y0"], "left")
+    weight = "(CASE WHEN c.i = 1 THEN _fx - _x0 ELSE 1D - (_fx - _x0) END) * (CASE WHEN c.j = 1 THEN _fy - _y0 ELSE 1D - (_fy - _y0) END)"
+    total = lambda of: f"aggregate(transform(coalesce(_c, array()), c -> {weight}{of}), 0D, (a, b) -> a + b)"
+    df = df.withColumns({"_w": F.expr(total("")), "_dx": F.expr(total(" * c.dx")), "_dy": F.expr(total(" * c.dy"))})
+    moved = lambda p, d: F.expr(f"CASE WHEN _w > 0 THEN {p} + {d} / _w ELSE {p} END AS {p[0]}_warped")
+    return df.select("pid", "section", moved("x_px", "_dx"), moved("y_px", "_dy"))
 
 
 def volume_field_to_ccf(points: DataFrame, field: DataFrame, shape) -> DataFrame:
@@ -94,26 +98,36 @@ def plausible_extent(dv_extent_um: str, *, expected_um: float = 8000.0, toleranc
     return f"abs({dv_extent_um} / {expected_um}D - 1D) <= {tolerance}D"
 
 
-def dorsal_surface(points: DataFrame, annotation: DataFrame, shape, *, resolution_um: float, max_radius: int = 8) -> DataFrame:
+def dorsal_surface(points: DataFrame, annotation: DataFrame, shape, *, resolution_um: float) -> DataFrame:
     """First labelled DV at an (AP, ML) column, else the least over the first square ring with any.
 
-    The surface is one row per column of the atlas. Only points missing it look at rings: at
-    most 17 x 17 offsets each.
+    The surface is one row per column of the atlas. Rings are looked up once per empty column that a
+    point falls on, and grow, doubling, until every such column has met a labelled one or the
+    whole atlas has been seen.
     """
-    surface = annotation.filter("structure_id > 0").groupBy("i_ap", "i_ml").agg(F.min("i_dv").alias("_s"))
+    surface = cut_lineage(annotation.filter("structure_id > 0").groupBy("i_ap", "i_ml").agg(F.min("i_dv").alias("_s")))
     nearest = lambda c, n: f"CAST(least(greatest(rint({c} / {float(resolution_um)}D), 0), {n - 1}) AS INT)"
     df = points.withColumns({"i_ap": F.expr(nearest("ap_um", shape[0])), "i_ml": F.expr(nearest("ml_um", shape[2]))})
     direct = df.join(surface, ["i_ap", "i_ml"], "left")
-    # Rings are looked up once per empty column, not once per point.
-    empty = direct.filter("_s IS NULL").select("i_ap", "i_ml").distinct()
-    r = max_radius
-    ring = empty.select("i_ap", "i_ml", F.explode(F.expr(
-        f"flatten(transform(sequence(-{r}, {r}), a -> transform(sequence(-{r}, {r}), m -> named_struct('a', a, 'm', m, 'r', greatest(abs(a), abs(m))))))")).alias("o")).filter("o.r > 0")
-    ring = ring.withColumns({"ra": F.expr(f"least(greatest(i_ap + o.a, 0), {shape[0] - 1})"), "rm": F.expr(f"least(greatest(i_ml + o.m, 0), {shape[2] - 1})")})
-    near = ring.join(surface.select(F.col("i_ap").alias("ra"), F.col("i_ml").alias("rm"), F.col("_s").alias("_n")), ["ra", "rm"])
-    near = near.groupBy("i_ap", "i_ml").agg(F.min(F.struct(F.col("o.r").alias("r"), F.col("_n").alias("n"))).alias("_b"))
-    return direct.join(near, ["i_ap", "i_ml"], "left").withColumn(
-        "surface_dv_um", F.coalesce("_s", "_b.n") * float(resolution_um)).drop("i_ap", "i_ml", "_s", "_b")
+    left = cut_lineage(direct.filter("_s IS NULL AND i_ap IS NOT NULL AND i_ml IS NOT NULL").select("i_ap", "i_ml").distinct())
+    lines = surface.groupBy(F.col("i_ap").alias("ra")).agg(F.array_sort(F.collect_list(F.struct(F.col("i_ml").alias("m"), F.col("_s").alias("s")))).alias("_line"))
+    found, inner, widest = [], 1, max(shape[0], shape[2]) - 1
+    while inner <= widest and not left.isEmpty():
+        outer = min(widest, max(8, 2 * inner))
+        ring = "greatest(abs(ra - i_ap), abs(c.m - i_ml))"
+        # a column meets whole lines of the atlas, and of a line the columns within the ring
+        rows = left.withColumn("ra", F.explode(F.expr(f"sequence(greatest(i_ap - {outer}, 0), least(i_ap + {outer}, {shape[0] - 1}))"))).join(lines, "ra")
+        near = F.expr(f"array_min(transform(filter(_line, c -> abs(c.m - i_ml) <= {outer}), c -> named_struct('r', {ring}, 's', c.s)))")
+        met = cut_lineage(rows.withColumn("_b", near).filter("_b IS NOT NULL").groupBy("i_ap", "i_ml").agg(F.min("_b").alias("_b")))
+        found.append(met)
+        left = cut_lineage(left.join(met, ["i_ap", "i_ml"], "left_anti"))
+        inner = outer + 1
+    if found:
+        near = found[0]
+        for more in found[1:]:
+            near = near.unionByName(more)
+        direct = direct.join(near, ["i_ap", "i_ml"], "left").withColumn("_s", F.coalesce("_s", "_b.s")).drop("_b")
+    return direct.withColumn("surface_dv_um", F.col("_s") * float(resolution_um)).drop("i_ap", "i_ml", "_s")
 
 
 def region_area(labels: DataFrame, structures: DataFrame) -> DataFrame:
@@ -135,20 +149,24 @@ def reusable(stored: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def label_edges(labels: DataFrame) -> DataFrame:
-    """Pixels whose label differs from one of the four neighbours; both sides count."""
+    """Pixels whose label differs from one of the four neighbours; both sides count.
+
+    A pixel that is not in the table is no neighbour, so gaps make no edges.
+    """
     changed = None
     for line, along in (("y", "x"), ("x", "y")):
         w = Window.partitionBy("section", line).orderBy(along)
         for step in (F.lag, F.lead):
-            differs = F.coalesce(step("region_id").over(w) != F.col("region_id"), F.lit(False))
+            beside = F.abs(step(along).over(w) - F.col(along)) == 1
+            differs = F.coalesce(beside & (step("region_id").over(w) != F.col("region_id")), F.lit(False))
             changed = differs if changed is None else changed | differs
     return labels.withColumn("_e", changed).filter("_e").drop("_e")
 
 
 def mutual_information(pixels: DataFrame, mask: str, *, bins: int = 32) -> DataFrame:
-    """Mutual information of two intensities in [0, 1] over a mask; under 100 pixels it is 0.
+    """Mutual information of two intensities in [0, 1] over a mask, with the mask's pixel count.
 
-    Values outside [0, 1] fall out of the histogram. A section has at most bins^2 cells.
+    Under 100 pixels it is null: too few to tell from independent. Values outside [0, 1] fall out of the histogram. A section has at most bins^2 cells.
     """
     inside = pixels.filter(mask)
     n = inside.groupBy("section").agg(F.count(F.lit(1)).alias("_n"))
@@ -159,7 +177,7 @@ def mutual_information(pixels: DataFrame, mask: str, *, bins: int = 32) -> DataF
     mi = h.groupBy("section").agg(F.sum(F.expr("_c / _t * ln(_c * _t / (_ra * _cb))")).alias("_m"))
     base = pixels.select("section").distinct()
     return base.join(n, "section", "left").join(mi, "section", "left").select(
-        "section", F.expr("CASE WHEN coalesce(_n, 0) < 100 THEN 0D ELSE coalesce(_m, 0D) END AS mutual_information"))
+        "section", F.coalesce("_n", F.lit(0)).alias("n_pixels"), F.expr("CASE WHEN coalesce(_n, 0) >= 100 THEN coalesce(_m, 0D) END AS mutual_information"))
 
 
 def overlap_verdict(pixels: DataFrame, *, margin: float = 0.05) -> DataFrame:

@@ -27,17 +27,18 @@ def _spline(src: np.ndarray, dst: np.ndarray):
     return lambda p: np.hstack([_kernel((p - shift) / scale, s), np.ones((len(p), 1)), (p - shift) / scale]) @ w
 
 
-def _settle(forward, start: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Fixed-point inverse; points that do not settle keep the start."""
-    y = start.copy()
-    for _ in range(50):
-        step = wanted - forward(y)
-        y = y + step
-        if np.abs(step).max(initial=0.0) < 1e-4:
-            return y
-    lost = np.abs(wanted - forward(y)).max(axis=1) > 0.01
+def _settle(forward, start: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fixed-point inverse, each point on its own; points that do not settle keep the start and say so."""
+    y, moving = start.copy(), np.ones(len(start), dtype=bool)
+    for _ in range(200):
+        step = wanted[moving] - forward(y[moving])
+        y[moving] += step
+        moving[moving] = np.abs(step).max(axis=1) >= 1e-4
+        if not moving.any():
+            break
+    lost = moving & ~(np.abs(wanted - forward(y)).max(axis=1) <= 0.01)
     y[lost] = start[lost]
-    return y
+    return y, ~lost
 
 
 def tps_warp_points(points: DataFrame, landmarks: DataFrame, *, inverse: bool = False) -> DataFrame:
@@ -45,10 +46,14 @@ def tps_warp_points(points: DataFrame, landmarks: DataFrame, *, inverse: bool =
 
     ``landmarks`` has ``section, i, sx, sy, tx, ty, forward``; a section has a few dozen. They
     travel with the points as short arrays, so a section holding many points is spread over
-    tasks; within an Arrow batch the spline is solved once per section.
+    tasks; within an Arrow batch the spline is solved once per section. Points of a section
+    without landmarks stay where they are; ``settled`` is false where an inverse was not found
+    and the start was kept.
     """
     packed = landmarks.groupBy("section").agg(F.array_sort(F.collect_list(F.struct("i", "sx", "sy", "tx", "ty"))).alias("_l"), F.bool_or("forward").alias("_fwd"))
-    rows = points.join(packed, "section").select("pid", "section", "x_px", "y_px", "_fwd", F.col("_l.sx").alias("sx"), F.col("_l.sy").alias("sy"), F.col("_l.tx").alias("tx"), F.col("_l.ty").alias("ty"))
+    joined = points.join(packed, "section", "left")
+    still = joined.filter("_l IS NULL").select("pid", "section", F.col("x_px").cast("double").alias("x_warped"), F.col("y_px").cast("double").alias("y_warped"), F.lit(True).alias("settled"))
+    rows = joined.filter("_l IS NOT NULL").select("pid", "section", "x_px", "y_px", "_fwd", F.col("_l.sx").alias("sx"), F.col("_l.sy").alias("sy"), F.col("_l.tx").alias("tx"), F.col("_l.ty").alias("ty"))
 
     def move(batches):
         for pdf in batches:
@@ -59,16 +64,17 @@ def tps_warp_points(points: DataFrame, landmarks: DataFrame, *, inverse: bool =
                 dst = np.column_stack([head["tx"], head["ty"]]).astype(float)
                 p = g[["x_px", "y_px"]].to_numpy(float)
                 there, back = (src, dst) if not inverse else (dst, src)
+                settled = np.ones(len(p), dtype=bool)
                 # The fitted direction is applied directly; the other is solved from it.
                 if bool(head["_fwd"]) != inverse:
                     out = _spline(there, back)(p)
                 else:
-                    out = _settle(_spline(back, there), _spline(there, back)(p), p)
-                parts.append(pd.DataFrame({"pid": g["pid"], "section": section, "x_warped": out[:, 0], "y_warped": out[:, 1]}))
+                    out, settled = _settle(_spline(back, there), _spline(there, back)(p), p)
+                parts.append(pd.DataFrame({"pid": g["pid"], "section": section, "x_warped": out[:, 0], "y_warped": out[:, 1], "settled": settled}))
             if parts:
                 yield pd.concat(parts, ignore_index=True)
 
-    return rows.mapInPandas(move, "pid long, section long, x_warped double, y_warped double")
+    return still.unionByName(rows.mapInPandas(move, "pid long, section long, x_warped double, y_warped double, settled boolean"))
 
 
 # --- P21: planes inherited from a matched section ----------------------------------------------------
@@ -201,35 +207,35 @@ def match_sections(overlaps: DataFrame, *, min_overlap: float = 0.75) -> DataFra
 # --- J17: fragments of one section --------------------------------------------------------------------
 
 
-def merge_fragments(boxes: DataFrame, keys: list[str], *, x_overlap_frac: float = 0.5, max_passes: int = 4) -> DataFrame:
-    """Boxes of a slide joined where their columns overlap by half the narrower, largest first.
+def merge_fragments(boxes: DataFrame, keys: list[str], *, x_overlap_frac: float = 0.5) -> DataFrame:
+    """Boxes of a slide joined until no two overlap in x by ``x_overlap_frac`` of the narrower.
 
-    The rule is a sequence over one slide's tens of boxes; slides are the parallelism.
+    Pieces stand in order of area. While some pair overlaps enough, the first such pair in that order is
+    joined and the piece takes its place again; each join leaves one piece fewer, so it ends. The
+    rule is a sequence over one slide's tens of boxes; slides are the parallelism.
     """
+    cols = [*keys, "piece", "x0", "y0", "x1", "y1", "area_px", "cx", "cy", "n_merged"]
+
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pieces = pdf.sort_values(["area_px", "k"], ascending=[False, True])[["x0", "y0", "x1", "y1", "area_px", "cx", "cy"]].to_numpy(float).tolist()
-        pieces = [[*p, 1] for p in pieces]
-        for _ in range(max_passes):
-            groups, joined = [], False
-            for p in pieces:
-                for g in groups:
-                    narrow = min(g[2] - g[0], p[2] - p[0])
-                    if narrow > 0 and max(0.0, min(g[2], p[2]) - max(g[0], p[0])) / narrow >= x_overlap_frac:
-                        area = g[4] + p[4]
-                        g[5], g[6] = (g[5] * g[4] + p[5] * p[4]) / area, (g[6] * g[4] + p[6] * p[4]) / area
-                        g[0], g[1], g[2], g[3], g[4], g[7] = min(g[0], p[0]), min(g[1], p[1]), max(g[2], p[2]), max(g[3], p[3]), area, g[7] + p[7]
-                        joined = True
-                        break
-                else:
-                    groups.append(list(p))
-            pieces = sorted(groups, key=lambda g: -g[4])
-            if not joined:
+        pdf = pdf.sort_values(["area_px", "k"], ascending=[False, True])
+        lo, hi = (pdf[c].to_numpy(float) for c in (["x0", "y0"], ["x1", "y1"]))
+        area, centre, parts = pdf["area_px"].to_numpy(float), pdf[["cx", "cy"]].to_numpy(float), np.ones(len(pdf))
+        while True:
+            width = hi[:, 0] - lo[:, 0]
+            narrow = np.minimum.outer(width, width)
+            shared = np.minimum.outer(hi[:, 0], hi[:, 0]) - np.maximum.outer(lo[:, 0], lo[:, 0])
+            first, second = np.nonzero(np.triu((narrow > 0) & (np.maximum(shared, 0) >= x_overlap_frac * narrow), 1))
+            if not first.size:
                 break
-        out = pd.DataFrame(pieces, columns=["x0", "y0", "x1", "y1", "area_px", "cx", "cy", "n_merged"])
+            pair = [first[0], second[0]]
+            joined = (lo[pair].min(0), hi[pair].max(0), area[pair].sum(), (centre[pair] * area[pair, None]).sum(0) / area[pair].sum(), parts[pair].sum())
+            rest = [np.delete(v, pair, axis=0) for v in (lo, hi, area, centre, parts)]
+            at = int(np.searchsorted(-rest[2], -joined[2]))
+            lo, hi, area, centre, parts = (np.insert(v, at, new, axis=0) for v, new in zip(rest, joined))
+        out = pd.DataFrame(np.column_stack([lo, hi, area, centre, parts]), columns=["x0", "y0", "x1", "y1", "area_px", "cx", "cy", "n_merged"])
         for c in keys:
             out[c] = pdf[c].iloc[0]
-        return out.assign(piece=range(len(out))).astype({c: "int64" for c in ("x0", "y0", "x1", "y1", "area_px", "n_merged")})
+        return out.assign(piece=range(len(out))).astype({c: "int64" for c in ("x0", "y0", "x1", "y1", "area_px", "n_merged")})[cols]
 
-    cols = [*keys, "piece", "x0", "y0", "x1", "y1", "area_px", "cx", "cy", "n_merged"]
     types = ", ".join(f"{c} {'double' if c in ('cx', 'cy') else 'long'}" for c in cols)
-    return spread(boxes.select(*keys, "k", "x0", "y0", "x1", "y1", "area_px", "cx", "cy"), *keys).groupBy(*keys).applyInPandas(lambda pdf: merge(pdf)[cols], types)
+    return spread(boxes.select(*keys, "k", "x0", "y0", "x1", "y1", "area_px", "cx", "cy"), *keys).groupBy(*keys).applyInPandas(merge, types)

@@ -13,6 +13,11 @@ def voxel_key(i_ap: Column, i_dv: Column, i_ml: Column) -> Column:
     return F.when(inside, F.shiftleft(a, 42).bitwiseOR(F.shiftleft(d, 21)).bitwiseOR(m))
 
 
+def spread_outside(key: Column, *by: Column) -> Column:
+    """A voxel number, or, outside, a negative one that no voxel has: outside points would else all meet in one task."""
+    return F.coalesce(key, -F.shiftrightunsigned(F.xxhash64(*by), 1) - 1)
+
+
 def voxel_of(df: DataFrame, resolution_um: float, ap="ap_um", ml="ml_um", dv="dv_um") -> Column:
     idx = [F.floor(F.col(c) / float(resolution_um)) for c in (ap, dv, ml)]
     return voxel_key(*idx)
@@ -22,7 +27,8 @@ def region_at_point(points: DataFrame, annotation: DataFrame, structures: DataFr
     """``region, region_id, region_color`` at CCF points; "", 0, "" where unlabelled or outside.
 
     An equi left join on the packed voxel: the labelled voxels are unique, so rows are kept
-    one to one, and a voxel holding many points is split by adaptive skew handling. Neither
+    one to one, and a voxel holding many points is split by adaptive skew handling; points
+    outside get keys of their own that match nothing. Neither
     side carries a hint; the planner broadcasts whichever its statistics allow.
     """
     grid = annotation.filter("structure_id > 0").select(
@@ -31,7 +37,8 @@ def region_at_point(points: DataFrame, annotation: DataFrame, structures: DataFr
                               F.format_string("#%02x%02x%02x", "r", "g", "b").alias("_hex"))
     # Labels are resolved on the voxel side, which is bounded by the atlas.
     labelled = grid.join(names, F.col("_sid") == F.col("_id")).select("_vox", "_id", "_acr", "_hex")
-    out = points.withColumn("_vox", voxel_of(points, resolution_um)).join(labelled, "_vox", "left")
+    key = spread_outside(voxel_of(points, resolution_um), *[F.col(c) for c in ("ap_um", "ml_um", "dv_um")])
+    out = points.withColumn("_vox", key).join(labelled, "_vox", "left")
     return out.withColumns({
         "region": F.coalesce("_acr", F.lit("")), "region_id": F.coalesce("_id", F.lit(0)),
         "region_color": F.coalesce("_hex", F.lit("")),

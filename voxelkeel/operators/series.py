@@ -20,27 +20,24 @@ def series_rows(sections: DataFrame) -> DataFrame:
 
 def series_flags(rows: DataFrame, *, tilt_tolerance_deg: float = 2.0) -> DataFrame:
     """Out-of-order AP (the odd one of a pair is blamed), tilt off the median, mirrored."""
-    w = Window.partitionBy("project_id").orderBy("ap_order", "section_index")
-    aps = rows.filter("shown_ap_um IS NOT NULL").select("project_id", "ap_order", "section_index", "shown_ap_um")
-    aps = aps.withColumns({"_pos": F.row_number().over(w) - 1, "_step": F.lead("shown_ap_um").over(w) - F.col("shown_ap_um")})
-    stat = aps.groupBy("project_id").agg(
-        F.count(F.lit(1)).alias("_n"), F.median("_step").alias("_med"),
-        F.min_by("shown_ap_um", "_pos").alias("_a0"), F.max_by("shown_ap_um", "_pos").alias("_a1"))
-    aps = aps.join(stat, "project_id").filter("_n >= 3").withColumn("_res", F.expr("shown_ap_um - _med * _pos"))
-    centre = aps.groupBy("project_id").agg(F.median("_res").alias("_centre"))
-    aps = aps.join(centre, "project_id").withColumns({
-        "off_trend_um": F.expr("abs(_res - _centre)"), "_dir": F.expr("CASE WHEN _a1 >= _a0 THEN 1 ELSE -1 END")})
-    aps = aps.withColumns({"_noff": F.lead("off_trend_um").over(w), "_nsec": F.lead("section_index").over(w)})
-    odd = aps.filter("_step * _dir <= 0").select(
-        "project_id", F.expr("CASE WHEN off_trend_um > _noff THEN section_index ELSE _nsec END AS section_index"))
-    order = odd.groupBy("project_id", "section_index").agg(F.count(F.lit(1)).alias("n_order"))
-    planes = rows.filter("plane_ap_um IS NOT NULL").groupBy("project_id").agg(
-        F.count(F.lit(1)).alias("_np"), F.median("pitch_deg").alias("_mp"), F.median("yaw_deg").alias("_my"))
+    # Sections with and without an AP are apart, so one sort serves steps, medians and neighbours.
+    whole = Window.partitionBy("project_id", "_has")
+    w = whole.orderBy("ap_order", "section_index")
+    df = rows.withColumn("_has", F.col("shown_ap_um").isNotNull())
+    df = df.withColumns({"_pos": F.row_number().over(w) - 1, "_step": F.lead("shown_ap_um").over(w) - F.col("shown_ap_um")})
+    on_plane = lambda c: F.when(F.col("plane_ap_um").isNotNull(), F.col(c))
+    df = df.withColumns({
+        "_n": F.count("shown_ap_um").over(whole), "_med": F.median("_step").over(whole), "_a0": F.min_by("shown_ap_um", "_pos").over(whole), "_a1": F.max_by("shown_ap_um", "_pos").over(whole),
+        "_np": F.count("plane_ap_um").over(whole), "_mp": F.median(on_plane("pitch_deg")).over(whole), "_my": F.median(on_plane("yaw_deg")).over(whole)})
+    df = df.withColumn("_res", F.expr("CASE WHEN _n >= 3 THEN shown_ap_um - _med * _pos END"))
+    df = df.withColumn("off_trend_um", F.abs(F.col("_res") - F.median("_res").over(whole)))
+    backwards = F.col("_step") * F.when(F.col("_a1") >= F.col("_a0"), 1).otherwise(-1) <= 0
+    # Of a backward pair the one farther off the trend is blamed: true where it is the first.
+    df = df.withColumn("_self", F.when(backwards & F.col("off_trend_um").isNotNull(), F.col("off_trend_um") > F.lead("off_trend_um").over(w)))
+    blamed = F.coalesce(F.col("_self").cast("int"), F.lit(0)) + F.coalesce((~F.lag("_self").over(w)).cast("int"), F.lit(0))
     tol = float(tilt_tolerance_deg)
-    out = rows.join(planes, "project_id", "left").join(order, ["project_id", "section_index"], "left").join(
-        aps.select("project_id", "section_index", "off_trend_um"), ["project_id", "section_index"], "left")
-    return out.select(
-        "project_id", "section_index", "off_trend_um", F.coalesce("n_order", F.lit(0)).alias("n_out_of_order"),
+    return df.select(
+        "project_id", "section_index", "off_trend_um", blamed.cast("long").alias("n_out_of_order"),
         F.expr(f"coalesce(_np >= 3 AND abs(pitch_deg - _mp) > {tol}D, false) AS pitch_off"),
         F.expr(f"coalesce(_np >= 3 AND abs(yaw_deg - _my) > {tol}D, false) AS yaw_off"),
         F.coalesce("mirrored", F.lit(False)).alias("mirrored"))
@@ -213,25 +210,27 @@ def box_equalise(boxes: DataFrame, keys: list[str], *, image_w: str = "image_w",
     }).drop("_mw", "_mh", "_n", "_tw", "_th")
 
 
-def box_neighbours(boxes: DataFrame, keys: list[str], *, margin_frac: float = 0.06, pairwise_max: int = 2000) -> DataFrame:
+def box_neighbours(boxes: DataFrame, keys: list[str], *, margin_frac: float = 0.06) -> DataFrame:
     """Gap to the nearest facing box, and the margin it allows.
 
-    Pairs are formed inside a slide only. The published rule drops the neighbour cap on slides
-    above ``pairwise_max`` boxes, which also bounds this join.
+    Boxes that face each other share a row or a column of pixels, so they are compared within
+    bands about as high (or wide) as the slide's mean box, not with the whole slide.
     """
-    counted = boxes.join(boxes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys)
-    small = counted.filter(F.col("_n") <= pairwise_max)
-    other = small.select(*keys, *[F.col(c).alias(f"o_{c}") for c in ("k", "x0", "y0", "x1", "y1")])
-    gap = F.expr("""least(
-        CASE WHEN y1 > o_y0 AND y0 < o_y1 AND o_x0 >= x1 THEN o_x0 - x1 END, CASE WHEN y1 > o_y0 AND y0 < o_y1 AND o_x1 <= x0 THEN x0 - o_x1 END,
-        CASE WHEN x1 > o_x0 AND x0 < o_x1 AND o_y0 >= y1 THEN o_y0 - y1 END, CASE WHEN x1 > o_x0 AND x0 < o_x1 AND o_y1 <= y0 THEN y0 - o_y1 END)""")
-    nearest = small.join(other, keys).filter("k <> o_k").withColumn("_g", gap).groupBy("k").agg(F.min("_g").alias("gap_px"))
+    size = boxes.groupBy(*keys).agg(F.greatest(F.lit(1.0), F.avg(F.expr("y1 - y0"))).alias("_bh"), F.greatest(F.lit(1.0), F.avg(F.expr("x1 - x0"))).alias("_bw"))
+    sized = boxes.select(*keys, "k", "x0", "y0", "x1", "y1").join(size, keys)
+    sides = []
+    for lo, hi, near, far, band in (("y0", "y1", "x0", "x1", "_bh"), ("x0", "x1", "y0", "y1", "_bw")):
+        rows = sized.withColumn("_band", F.explode(F.expr(f"sequence(CAST(floor({lo} / {band}) AS BIGINT), CAST(floor(greatest({lo}, {hi}) / {band}) AS BIGINT))")))
+        other = rows.select(*keys, "_band", *[F.col(c).alias(f"o_{c}") for c in ("k", "x0", "y0", "x1", "y1")])
+        gap = F.expr(f"CASE WHEN {hi} > o_{lo} AND {lo} < o_{hi} THEN least(CASE WHEN o_{near} >= {far} THEN o_{near} - {far} END, CASE WHEN o_{far} <= {near} THEN {near} - o_{far} END) END")
+        sides.append(rows.join(other, [*keys, "_band"]).filter("k <> o_k").groupBy("k").agg(F.min(gap).alias("_g")))
+    nearest = sides[0].unionByName(sides[1]).groupBy("k").agg(F.min("_g").alias("gap_px"))
     want = f"{margin_frac}D * least(x1 - x0, y1 - y0)"
-    df = counted.join(nearest, "k", "left")
+    df = boxes.join(nearest, "k", "left")
     df = df.withColumn("margin_px", F.expr(f"CAST(greatest(0D, floor(least({want}, coalesce(gap_px / 2D, {want})))) AS BIGINT)"))
     return df.withColumns({
         "mx0": F.expr("greatest(0L, x0 - margin_px)"), "my0": F.expr("greatest(0L, y0 - margin_px)"),
-        "mx1": F.expr("least(image_w, x1 + margin_px)"), "my1": F.expr("least(image_h, y1 + margin_px)")}).drop("_n")
+        "mx1": F.expr("least(image_w, x1 + margin_px)"), "my1": F.expr("least(image_h, y1 + margin_px)")})
 
 
 def filter_components(components: DataFrame, keys: list[str], *, min_area_px: int = 5000, max_area_frac: float = 0.4,

@@ -68,10 +68,10 @@ def _w16(t):
 
 @query("w16_samples_in_windows", """
 WITH r AS (SELECT recording, CAST(max(t_s) AS BIGINT) AS n FROM b_spikes GROUP BY 1),
-w AS (SELECT recording, win, least(greatest((win + 0.5) * n / 6e0 - 5000, 0), n - 10000e0) AS a FROM (SELECT recording, n, unnest(generate_series(0, 5)) AS win FROM r WHERE n > 10000) q)
-SELECT w.recording, CAST(win AS INT) AS win, count(*) AS n_samples, round(sum(amplitude), 3) + 0e0 AS total FROM w JOIN b_spikes s ON s.recording = w.recording AND t_s >= a AND t_s < a + 10000 GROUP BY 1, 2""")
+w AS (SELECT recording, win, least(10000e0, n) AS w, least(greatest((win + 0.5) * n / 6e0 - least(10000e0, n) / 2, 0), n - least(10000e0, n)) AS a FROM (SELECT recording, n, unnest(generate_series(0, 5)) AS win FROM r) q)
+SELECT w.recording, CAST(win AS INT) AS win, count(*) AS n_samples, round(sum(amplitude), 3) + 0e0 AS total FROM w JOIN b_spikes s ON s.recording = w.recording AND t_s >= a AND t_s < a + w GROUP BY 1, 2""")
 def _w16b(t):
-    recs = t.b_spikes.groupBy("recording").agg(F.max("t_s").cast("long").alias("n_samples")).filter("n_samples > 10000").withColumn("fs", F.lit(1.0))
+    recs = t.b_spikes.groupBy("recording").agg(F.max("t_s").cast("long").alias("n_samples")).withColumn("fs", F.lit(1.0))
     tagged = A.samples_in_windows(t.b_spikes, A.candidate_windows(recs, window_s=10000.0).select("recording", "win", "t_start_s", "t_end_s"), bucket_s=10000.0)
     return G.rounded(tagged.groupBy("recording", "win").agg(F.count(F.lit(1)).alias("n_samples"), F.sum("amplitude").alias("total")), 3)
 
@@ -174,10 +174,12 @@ def _u01(t):
     return A.all_spikes(s.filter("recording % 2 = 0"), shallow)
 
 
-@query("o02_thin_raster", "SELECT recording, least(count(*), 40) AS n_kept FROM b_spikes GROUP BY recording")
+# Which rows a hash draws is Spark's; that they are rows of the table, none twice and as many as asked for, SQL can say.
+@query("o02_thin_raster", "SELECT recording, least(count(*), 40) AS n_kept, least(count(*), 40) AS n_known FROM b_spikes GROUP BY recording")
 def _o02(t):
     thin = A.thin_raster(t.b_spikes, ["recording"], "spike_id", max_points=40)
-    return thin.groupBy("recording").agg(F.count_distinct("spike_id").alias("n_kept"))
+    known = thin.join(t.b_spikes.select("recording", "spike_id", "t_s"), ["recording", "spike_id", "t_s"], "left_semi").groupBy("recording").agg(F.count(F.lit(1)).alias("n_known"))
+    return thin.groupBy("recording").agg(F.count_distinct("spike_id").alias("n_kept")).join(known, "recording")
 
 
 # --- stacks --------------------------------------------------------------------------------------

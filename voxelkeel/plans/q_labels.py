@@ -58,6 +58,19 @@ def _p18(t):
     return G.rounded(L.field_warp_points(t.sql(_POINTS), t.b_field, step=4.0, nx=8, ny=8), 9)
 
 
+# Some sections without a field, and fields with holes.
+_HOLES = "SELECT * FROM b_field WHERE section % 6 <> 1 AND (section % 3 <> 2 OR (gx + gy * 3 + section) % 4 <> 0)"
+
+
+@query("p18_field_with_holes", f"""
+WITH f AS (SELECT *, least(greatest(x_px / 4, 0), 7) AS fx, least(greatest(y_px / 4, 0), 7) AS fy FROM ({_POINTS}) p), g AS (SELECT *, least(floor(fx), 6) AS x0, least(floor(fy), 6) AS y0 FROM f),
+h AS (SELECT pid, sum(w) AS w, sum(w * dx) AS dx, sum(w * dy) AS dy FROM (SELECT g.*, x0 + i AS cx, y0 + j AS cy, CASE WHEN i = 1 THEN fx - x0 ELSE 1 - fx + x0 END * CASE WHEN j = 1 THEN fy - y0 ELSE 1 - fy + y0 END AS w FROM g, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j)) g
+  JOIN ({_HOLES}) v ON v.section = g.section AND v.gx = cx AND v.gy = cy GROUP BY 1)
+SELECT f.pid, f.section, round(x_px + CASE WHEN w > 0 THEN dx / w ELSE 0 END, 9) + 0e0 AS x_warped, round(y_px + CASE WHEN w > 0 THEN dy / w ELSE 0 END, 9) + 0e0 AS y_warped FROM f LEFT JOIN h USING (pid)""")
+def _p18b(t):
+    return G.rounded(L.field_warp_points(t.sql(_POINTS), t.sql(_HOLES), step=4.0, nx=8, ny=8), 9)
+
+
 _VFIELD = "SELECT i, j, k3 AS k, CASE WHEN (i + j + k3) % 5 = 0 THEN 0e0 ELSE i * 0.9e0 + j * 0.01e0 END AS d0, CASE WHEN (i + j + k3) % 5 = 0 THEN 0e0 ELSE j * 0.8e0 END AS d1, CASE WHEN (i + j + k3) % 5 = 0 THEN 0e0 ELSE k3 * 1.1e0 END AS d2 FROM (SELECT n_nationkey AS i, j, SEQ[0;9] AS k3 FROM (SELECT n_nationkey, SEQ[0;9] AS j FROM nation) a) b"
 _VPOINTS = "SELECT pos, ap_um / 400 AS v0, dv_um / 650 AS v1, ml_um / 900 - 1 AS v2, project_id FROM b_cells"
 
@@ -74,8 +87,7 @@ def _p19(t):
 
 @query("j14_dorsal_surface", """
 WITH s AS (SELECT i_ap, i_ml, min(i_dv) AS s FROM b_annotation WHERE structure_id > 0 GROUP BY 1, 2), p AS (SELECT pos, least(greatest(round_even(ap_um / 250, 0), 0), 51) AS a, least(greatest(round_even(ml_um / 250, 0), 0), 45) AS m FROM (SELECT pos, ap_um, ml_um - 1400 AS ml_um FROM b_cells) c),
-e AS (SELECT DISTINCT a, m FROM p), r AS (SELECT a, m, greatest(abs(da), abs(dm)) AS r, least(greatest(a + da, 0), 51) AS ra, least(greatest(m + dm, 0), 45) AS rm FROM e, (SELECT unnest(generate_series(-8, 8)) AS da) x, (SELECT unnest(generate_series(-8, 8)) AS dm) y),
-b AS (SELECT a, m, s FROM (SELECT r.a, r.m, s.s, row_number() OVER (PARTITION BY r.a, r.m ORDER BY r, s.s) AS rn FROM r JOIN s ON s.i_ap = ra AND s.i_ml = rm) q WHERE rn = 1)
+e AS (SELECT DISTINCT a, m FROM p), b AS (SELECT a, m, s FROM (SELECT e.a, e.m, s.s, row_number() OVER (PARTITION BY e.a, e.m ORDER BY greatest(abs(s.i_ap - e.a), abs(s.i_ml - e.m)), s.s) AS rn FROM e, s) q WHERE rn = 1)
 SELECT pos, s * 250e0 AS surface_dv_um FROM p LEFT JOIN b USING (a, m)""")
 def _j14(t):
     pts = t.b_cells.select("pos", "ap_um", (F.col("ml_um") - 1400).alias("ml_um"))
@@ -103,10 +115,19 @@ def _w15(t):
     return L.label_edges(t.b_labels.select("section", "x", "y", "region_id"))
 
 
+_SPARSE = "SELECT section, x, y, region_id FROM b_labels WHERE (x * 5 + y * 3 + section) % 4 <> 0"
+
+
+@query("w15_sparse_label_edges", f"""
+WITH s AS ({_SPARSE}) SELECT a.section, a.x, a.y, a.region_id FROM s a WHERE EXISTS (SELECT 1 FROM s b WHERE b.section = a.section AND abs(b.x - a.x) + abs(b.y - a.y) = 1 AND b.region_id <> a.region_id)""")
+def _w15b(t):
+    return L.label_edges(t.sql(_SPARSE))
+
+
 @query("a26_mutual_information", """
 WITH i AS (SELECT section, least(CAST(floor(va * 32) AS INT), 31) AS a, least(CAST(floor(vb * 32) AS INT), 31) AS b FROM b_labels WHERE region_id <> 3), h AS (SELECT section, a, b, count(*) AS c FROM i GROUP BY 1, 2, 3),
 n AS (SELECT section, count(*) AS n FROM i GROUP BY 1), ra AS (SELECT section, a, sum(c) AS ca FROM h GROUP BY 1, 2), rb AS (SELECT section, b, sum(c) AS cb FROM h GROUP BY 1, 2)
-SELECT section, round(CASE WHEN max(n) < 100 THEN 0 ELSE sum(c / n * ln((c / n) / (ca / n * cb / n))) END, 6) + 0e0 AS mutual_information FROM h JOIN n USING (section) JOIN ra USING (section, a) JOIN rb USING (section, b) GROUP BY section""")
+SELECT section, max(n) AS n_pixels, round(CASE WHEN max(n) >= 100 THEN sum(c / n * ln((c / n) / (ca / n * cb / n))) END, 6) + 0e0 AS mutual_information FROM h JOIN n USING (section) JOIN ra USING (section, a) JOIN rb USING (section, b) GROUP BY section""")
 def _a26(t):
     return G.rounded(L.mutual_information(t.b_labels, "region_id <> 3"))
 

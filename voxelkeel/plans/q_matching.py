@@ -8,6 +8,7 @@ from voxelkeel.functions import geometry as G
 from voxelkeel.operators import matching as M
 from voxelkeel.plans.bindings import with_bindings
 from voxelkeel.plans.q_features import _SCREEN_SQL
+from voxelkeel.plans.q_placement import PLACED_SQL, region_sql
 from voxelkeel.plans.q_series import BOXES, SLIDE
 from voxelkeel.plans.q_sources import _LIST
 from voxelkeel.plans.registry import query
@@ -22,7 +23,8 @@ _PTS = "SELECT k * 4 + j AS pid, k AS section, 20e0 + j * 40 + k % 9 AS x_px, 30
 
 @query("p16_tps_warp_points")
 def _p16(t):
-    return G.rounded(M.tps_warp_points(t.sql(_PTS), t.sql(_LANDMARKS)), 4)
+    # A ninth of the sections have no landmarks; their points stay.
+    return G.rounded(M.tps_warp_points(t.sql(_PTS), t.sql(_LANDMARKS).filter("section % 9 <> 4")), 4)
 
 
 _MATCH = """SELECT k, project_id, slide_idx, section_index, (section_index * 7) % 100 AS reference_section, x1 - x0 AS w, y1 - y0 AS h, out_w, out_h, ARR[ox, oy, oz, ux, uy, uz, vx, vy, vz] AS reg_anchoring, k % 4 = 1 AS was_mirrored,
@@ -77,13 +79,21 @@ def _j17(t):
     return G.rounded(M.merge_fragments(t.sql(BOXES), SLIDE))
 
 
-@query("k03_export_all_csv")
+@query("k03_export_all_csv", f"""WITH {PLACED_SQL}, {region_sql('placed', 'hit').strip()}
+SELECT 'ccf' AS export, nullif(region, '') AS region, count(*) AS n_channels FROM hit GROUP BY 2
+UNION ALL SELECT 'ccf_other_atlas', concat('x', region), count(*) FROM hit GROUP BY 2
+UNION ALL SELECT 'paxinos', nullif(region, ''), count(*) FROM hit GROUP BY 2""")
 def _k03(t):
     from voxelkeel.plans.q_sources import _located
     out = scratch_folder(t.spark, "export")
     placed = _located(t).withColumn("atlas_name", F.lit("allen_mouse_25um"))
-    K.export_all(placed.select("probe", "shank", "channel", "ap_um", "ml_um", "dv_um", "depth_source", "atlas_name", *K.REGION_COLUMNS), None, out)
-    return t.spark.read.csv(f"{out}/ccf", header=True).groupBy("depth_source", "region").agg(F.count(F.lit(1)).alias("n_channels"))
+    placed = placed.select("probe", "shank", "channel", "ap_um", "ml_um", "dv_um", "depth_source", "atlas_name", *K.REGION_COLUMNS)
+    K.export_all(placed, placed.withColumn("region", F.concat(F.lit("x"), "region")), out)
+    parts = []
+    for name in ("ccf", "ccf_other_atlas", "paxinos"):
+        rows = t.spark.read.csv(f"{out}/{name}", header=True)
+        parts.append(rows.groupBy(F.lit(name).alias("export"), "region").agg(F.count(F.lit(1)).alias("n_channels")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def _spike_stream(t):
@@ -94,15 +104,15 @@ def _spike_stream(t):
 @query("t01_stream_depth_profiles", """
 SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, CAST(floor((event_id * 37) % 5745 / 2000) AS BIGINT) AS bin, count(*) AS n_spikes, round(CASE WHEN count(*) >= 3 THEN count(*) / 3600e0 END, 9) + 0e0 AS rate_hz, round(CASE WHEN count(*) >= 3 THEN sum(value) / count(*) END, 6) + 0e0 AS mean_amplitude FROM events GROUP BY 1, 2""")
 def _t01(t):
-    profiles = ST.stream_depth_profiles(_spike_stream(t), bin_um=2000.0, min_spikes=3)
+    profiles = ST.stream_depth_profiles(_spike_stream(t), bin_um=2000.0, min_spikes=3, late="36500 days")  # files of a table come in any order
     ckpt = scratch_folder(t.spark, "profiles")
-    out = ST.drain(profiles, "t01_" + ckpt.rsplit("-", 1)[-1], ckpt)
+    out = ST.drain(profiles, ["window_start", "bin"], scratch_folder(t.spark, "profiles-out"), ckpt)
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "bin", "n_spikes", (F.round("rate_hz", 9) + 0.0).alias("rate_hz"), (F.round("mean_amplitude", 6) + 0.0).alias("mean_amplitude"))
 
 
 @query("t02_stream_screen_windows", f"WITH {_SCREEN_SQL} SELECT recording, win, round(artifact, 6) + 0e0 AS artifact, round(activity, 6) + 0e0 AS activity, reject_reason FROM sc")
 def _t02(t):
-    orders = ST.event_stream(t.spark, f"{t.sf_dir}/orders.parquet", glob="orders.parquet", time=None)
+    orders = ST.event_stream(t.spark, f"{t.sf_dir}/orders.parquet", time=None)
     orders.createOrReplaceTempView("vk_orders_stream")
     samples = t.spark.sql(with_bindings("SELECT * FROM b_lfp", "spark").replace("FROM orders", "FROM vk_orders_stream AS orders"))
     out = scratch_folder(t.spark, "screened")
@@ -116,6 +126,6 @@ def _t03(t):
     # Two listing files, each holding whole recording folders.
     listed, out = scratch_folder(t.spark, "listing"), scratch_folder(t.spark, "found")
     t.sql(_LIST).repartition(2, F.expr("substring_index(path, '/', 4)")).write.parquet(listed)
-    stream = ST.event_stream(t.spark, listed, glob="*.parquet", time=None)
+    stream = ST.event_stream(t.spark, listed, time=None)
     ST.discover_each_batch(stream, out, scratch_folder(t.spark, "found-ckpt")).awaitTermination()
     return t.spark.read.parquet(out).groupBy("format").agg(F.count_distinct("dir").alias("n_folders"))

@@ -114,7 +114,8 @@ def _w14(t):
     return S.slide_bands(t.sql(_SOURCES), SLIDE).select(*SLIDE, "band", "band_y0", "band_y1")
 
 
-_ITEMS = "SELECT k, project_id, slide_idx, k % 20 AS pos, x1 - x0 AS w, y1 - y0 AS h FROM b_sections WHERE k % 20 < 5 + k % 100 / 10"
+# Ragged slides: the later sections of a slide are moved to a second one.
+_ITEMS = "SELECT k, project_id, slide_idx, row_number() OVER (PARTITION BY project_id, slide_idx ORDER BY k) - 1 AS pos, w, h FROM (SELECT k, project_id, slide_idx + CASE WHEN k % 20 < 5 + k % 100 / 10 THEN 0 ELSE 1000 END AS slide_idx, x1 - x0 AS w, y1 - y0 AS h FROM b_sections) q"
 
 
 @query("w14_slide_layout", f"""

@@ -12,6 +12,7 @@ from voxelkeel.plans.q_geometry import planes
 from voxelkeel.plans.q_placement import PLACED_SQL, RES, TRACK_SQL, placed_channels, region_sql, track_hits
 from voxelkeel.plans.q_trajectory import EVIDENCE
 from voxelkeel.plans.registry import query
+from voxelkeel.session import scratch_folder
 from voxelkeel.sinks import tables as K
 from voxelkeel.sources import projects as SP
 from voxelkeel.sources import recordings as SR
@@ -49,6 +50,21 @@ def _k14(t):
     return s.select("project_id", "probe", "shank", "probe_type", "tip_ap", "tip_ml", "tip_dv", "entry_dv")
 
 
+@query("k14_change_and_save", """
+SELECT section_index, slide_idx, x0, y1, ap_order, CASE WHEN k % 3 = 0 THEN ap_order * 1e0 ELSE ap_um END AS ap_um, CASE WHEN k % 3 = 0 THEN 'user' ELSE ap_source END AS ap_source, rotation_deg, CASE WHEN has_reg THEN uy END AS reg_uy, CASE WHEN has_ds THEN vz END AS ds_vz,
+  CAST(project_id AS VARCHAR) AS spacing, 'kim_mouse_50um' AS atlas_name, 50e0 AS resolution_um FROM b_sections""")
+def _k14b(t):
+    # Whole documents of another atlas, a third of the sections changed, through files and back.
+    docs = _documents(t).withColumn("doc", F.regexp_replace("doc", r'"atlas":\{[^}]*\}', '"atlas":{"name":"kim_mouse_50um","resolution_um":50.0}'))
+    docs = docs.withColumn("doc", F.concat(F.lit('{"section_spacing_um":'), "project_id", F.lit(","), F.expr("substring(doc, 2)")))
+    change = t.b_sections.filter("k % 3 = 0").select("project_id", "slide_idx", "section_index", (F.col("ap_order") * 1.0).alias("ap_um"), F.lit("user").alias("ap_source"))
+    out = scratch_folder(t.spark, "projects")
+    K.save_projects(K.change_projects(SP.parse_projects(docs), sections=change), out)
+    back = SP.read_saved_projects(t.spark, out)
+    s = SP.project_tables(back)["sections"].join(back.select("project_id", F.col("section_spacing_um").cast("long").cast("string").alias("spacing"), "atlas_name"), "project_id")
+    return s.select("section_index", F.col("slide_idx").cast("long").alias("slide_idx"), "x0", "y1", "ap_order", "ap_um", "ap_source", "rotation_deg", F.element_at("reg_anchoring", 5).alias("reg_uy"), F.element_at("ds_anchoring", 9).alias("ds_vz"), "spacing", "atlas_name", "resolution_um")
+
+
 _SIDE = """SELECT o_orderkey AS `Row No`, concat('m', CAST(o_custkey AS STRING)) AS `Animal`, CASE WHEN o_orderkey % 3 = 0 THEN '2024_01_09' ELSE '9-1-24' END AS `Session date`, concat('run', CAST(o_orderkey % 4 AS STRING)) AS `Session`,
   'ProbeA' AS `Probe Label`, CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'n/a' ELSE CAST(o_orderkey % 5000 AS STRING) END AS `Insertion  Depth`, concat('x (', o_orderpriority, ')') AS `Tracer`, o_orderstatus AS `Rig` FROM orders"""
 
@@ -135,6 +151,18 @@ def _s09(t):
     return SR.find_recordings(t.sql(_LIST))
 
 
+# The same folders ten levels down, below one whose name merely contains ".zarr".
+_DEEP = "/mnt/a/b/c/d/e/f/g/my.zarr_export/"
+
+
+@query("s09_find_deep_recordings", f"""
+SELECT concat('{_DEEP}d/', CAST(o_custkey % 300 AS VARCHAR), '/', CAST(o_orderkey AS VARCHAR), CASE WHEN o_orderkey % 7 = 3 THEN '/Record Node 101' ELSE '' END) AS dir,
+  CASE o_orderkey % 7 WHEN 0 THEN 'intan' WHEN 5 THEN 'intan' WHEN 2 THEN 'spikeglx' ELSE 'openephys' END AS format FROM orders WHERE o_orderkey % 7 IN (0, 2, 3, 4, 5)""")
+def _s09b(t):
+    listing = t.sql(_LIST.replace("'/d/'", f"'{_DEEP}d/'"))
+    return SR.find_recordings(listing.unionByName(listing.withColumn("path", F.concat(F.lit("/elsewhere"), "path"))), root="/mnt/a/b")
+
+
 @query("s13_atlas_tables", """
 SELECT acronym, name, len(path) AS tree_depth, count(*) AS n_voxels, min(i_dv) AS top, count(*) * 0.015625e0 AS volume_mm3 FROM b_annotation JOIN b_structures s ON s.id = structure_id WHERE structure_id > 0 GROUP BY 1, 2, 3""")
 def _s13(t):
@@ -142,13 +170,14 @@ def _s13(t):
     return v.groupBy("acronym", "name", "tree_depth").agg(F.count(F.lit(1)).alias("n_voxels"), F.min("i_dv").alias("top"), (F.count(F.lit(1)) * 0.25 ** 3).alias("volume_mm3"))
 
 
-_RECMAPS = "SELECT o_orderkey AS recording, CASE o_orderkey % 3 WHEN 0 THEN 'NeuroNexus A1x32-Poly3 + A32>RHD2132' WHEN 1 THEN 'NeuroNexus A1x32-Poly2 + A32>RHD2132' ELSE 'Neuropixels 1.0' END AS probe_map, CASE WHEN o_orderkey % 3 = 2 THEN 384 ELSE 32 END AS n_channels FROM orders WHERE o_orderkey % 50 < 3"
+_RECMAPS = "SELECT c_custkey AS recording, CASE c_custkey % 3 WHEN 0 THEN 'NeuroNexus A1x32-Poly3 + A32>RHD2132' WHEN 1 THEN 'NeuroNexus A1x32-Poly2 + A32>RHD2132' ELSE 'Neuropixels 1.0' END AS probe_map, CASE WHEN c_custkey % 3 = 2 THEN 384 ELSE 32 END AS n_channels FROM customer"
+_POLY2 = "[375, 425, 475, 525, 575, 625, 675, 725, 775, 825, 325, 275, 225, 175, 125, 75, 100, 150, 200, 250, 300, 350, 850, 800, 750, 700, 650, 600, 550, 500, 450, 400]"
 
 
 @query("s15_wired_maps", f"""
 WITH p AS (SELECT CAST(unnest(generate_series(0, 31)) AS INT) AS pin, unnest([30, 26, 21, 17, 27, 22, 20, 25, 28, 23, 19, 24, 29, 18, 31, 16, 0, 15, 2, 13, 8, 9, 7, 1, 6, 14, 10, 11, 5, 12, 4, 3]) AS channel),
 m AS (SELECT 'NeuroNexus A1x32-Poly3 + A32>RHD2132' AS probe_map, channel, 62 + CASE WHEN pin < 10 THEN 12.5e0 + 25 * pin WHEN pin < 16 THEN 50e0 * (pin - 10) WHEN pin < 22 THEN 275e0 - 50 * (pin - 16) ELSE 237.5e0 - 25 * (pin - 22) END AS depth_um, CASE WHEN pin < 10 THEN -18e0 WHEN pin < 22 THEN 0e0 ELSE 18e0 END AS x_um FROM p
-  UNION ALL SELECT 'NeuroNexus A1x32-Poly2 + A32>RHD2132', channel, CASE WHEN pin < 10 THEN 375e0 + 50 * pin WHEN pin < 16 THEN 325e0 - 50 * (pin - 10) WHEN pin < 22 THEN 100e0 + 50 * (pin - 16) ELSE 850e0 - 50 * (pin - 22) END, CASE WHEN pin < 16 THEN -21.5e0 ELSE 21.5e0 END FROM p
+  UNION ALL SELECT 'NeuroNexus A1x32-Poly2 + A32>RHD2132', channel, {_POLY2}[pin + 1] * 1e0, CASE WHEN pin < 16 THEN -21.5e0 ELSE 21.5e0 END FROM p
   UNION ALL SELECT 'Neuropixels 1.0', CAST(c AS INT), 220 + (c // 2) * 20e0, CASE WHEN (c // 2) % 2 = 0 THEN 27e0 ELSE 11e0 END + (c % 2) * 32 - 35 FROM range(384) z(c))
 SELECT recording, channel, depth_um, x_um FROM ({_RECMAPS}) r JOIN m USING (probe_map)""")
 def _s15(t):

@@ -73,12 +73,17 @@ def _p32(t):
 
 
 @query("j11_registration_suggestion", f"""WITH {_MOVE_SQL.strip()},
-d AS (SELECT mv.probe, mv.tip_ap - s.tip_ap AS a, mv.tip_ml - s.tip_ml AS m, mv.tip_dv - s.tip_dv AS v FROM mv JOIN b_shanks s ON s.probe = mv.probe AND s.shank = mv.shank WHERE cand = 3), c AS (SELECT probe, avg(a) AS ma, avg(m) AS mm, avg(v) AS mv FROM d GROUP BY 1)
-SELECT d.probe, round(ma, 6) + 0e0 AS ap_um, round(mm, 6) + 0e0 AS ml_um, round(mv, 6) + 0e0 AS dv_um, round(max(sqrt((a - ma) ** 2 + (m - mm) ** 2 + (v - mv) ** 2)), 6) + 0e0 AS shank_spread_um,
-  max(sqrt((a - ma) ** 2 + (m - mm) ** 2 + (v - mv) ** 2)) >= 50 AS has_rotation, round(ma / 60, 6) + 0e0 AS ap_in_sections, abs(ma) < 25 AS ap_negligible FROM d JOIN c USING (probe) GROUP BY d.probe, ma, mm, mv""")
+d AS (SELECT mv.probe, mv.cand, mv.tip_ap - s.tip_ap AS a, mv.tip_ml - s.tip_ml AS m, mv.tip_dv - s.tip_dv AS v FROM mv JOIN b_shanks s ON s.probe = mv.probe AND s.shank = mv.shank ), c AS (SELECT probe, cand, avg(a) AS ma, avg(m) AS mm, avg(v) AS mv FROM d GROUP BY 1, 2)
+SELECT d.probe, CAST(d.cand AS BIGINT) AS cand, round(ma, 6) + 0e0 AS ap_um, round(mm, 6) + 0e0 AS ml_um, round(mv, 6) + 0e0 AS dv_um, round(max(sqrt((a - ma) ** 2 + (m - mm) ** 2 + (v - mv) ** 2)), 6) + 0e0 AS shank_spread_um,
+  max(sqrt((a - ma) ** 2 + (m - mm) ** 2 + (v - mv) ** 2)) >= 50 AS has_rotation, round(ma / 60, 6) + 0e0 AS ap_in_sections, abs(ma) < 25 AS ap_negligible FROM d JOIN c ON c.probe = d.probe AND c.cand = d.cand GROUP BY d.probe, d.cand, ma, mm, mv""")
 def _j11(t):
-    out = T.registration_suggestion(t.b_shanks.filter("tip_ap IS NOT NULL"), _moved(t).filter("cand = 3"), section_spacing_um=60.0)
-    return G.rounded(out)
+    # Every move of the grid, named by probe and candidate.
+    moves, shanks = _moved(t).withColumn("of", F.col("probe")), t.b_shanks.filter("tip_ap IS NOT NULL")
+    name = F.format_string("%d:%d", "of", "cand")
+    per_move = shanks.withColumnRenamed("probe", "of").withColumn("cand", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("probe", name)
+    out = T.registration_suggestion(per_move, moves.withColumn("probe", name), section_spacing_um=60.0)
+    parts = F.split("probe", ":")
+    return G.rounded(out.withColumn("cand", parts[1].cast("long")).withColumn("probe", parts[0].cast("long")))
 
 
 _PS = "SELECT project_id, probe, (k * 7) % 23 + e AS section_index FROM (SELECT *, SEQ[0;1] AS e FROM b_shanks WHERE tip_ap IS NOT NULL) q"
@@ -140,6 +145,13 @@ def _a30(t):
     return G.rounded(out.fillna(0.0, ["mean_residual_um", "residual_spread_um"]), 5)
 
 
+@query("a30_unsearched_probes", f"""
+WITH n AS (SELECT probe, count(entry_ap) AS n_shanks FROM b_shanks WHERE tip_ap IS NOT NULL AND k % 19 <> 18 GROUP BY 1), e AS (SELECT DISTINCT probe FROM ({EVIDENCE}) q WHERE probe % 7 <> 2)
+SELECT probe, n_shanks, CASE WHEN n_shanks < 2 THEN 'fewer than two placed shanks' ELSE 'no detected boundaries' END AS reason FROM n LEFT JOIN e USING (probe) WHERE n_shanks < 2 OR e.probe IS NULL""")
+def _a30b(t):
+    return T.unsearched_probes(_placed(t), t.sql(EVIDENCE).filter("probe % 7 <> 2"))
+
+
 @query("a31_fit_trajectory")
 def _a31(t):
     scored = _scored(_scores(t)[0])
@@ -150,13 +162,14 @@ def _a31(t):
 
 @query("a32_leave_one_out")
 def _a32(t):
-    return G.rounded(T.leave_one_out(_scores(t)[0], "roll_deg", tolerance=5.0), 5)
+    scores = _scores(t)[0]
+    return G.rounded(T.leave_one_out(scores, T.best_placement(_scored(scores)), "roll_deg", tolerance=5.0), 5)
 
 
 @query("a34_profile_score")
 def _a34(t):
     edges = T.atlas_edges(_placed(t).select("probe", "shank", *_T, *_E), t.b_annotation, t.b_structures, ["probe", "shank"], resolution_um=RES, margin_um=1200.0, step_um=20.0)
-    profiles = t.sql("SELECT s.probe, s.shank, e.depth_um, e.value AS score FROM b_shanks s JOIN (SELECT vec_id, (i - 1) * 60e0 AS depth_um, abs(CAST(AT[embedding;i] AS DOUBLE)) * 10 AS value FROM (SELECT vec_id, embedding, SEQ[1;64] AS i FROM embeddings) q) e ON e.vec_id = s.k % 500")
+    profiles = t.sql("SELECT s.probe, s.shank, e.depth_um, e.value AS score FROM b_shanks s JOIN (SELECT vec_id, (i - 1) * 60e0 AS depth_um, abs(CAST(AT[embedding;i] AS DOUBLE)) * 10 AS value FROM (SELECT vec_id, embedding, SEQ[1;64] AS i FROM embeddings) q) e ON e.vec_id = s.k % (SELECT count(*) FROM embeddings)")
     return G.rounded(T.profile_score(edges, profiles, ["probe", "shank"]), 5)
 
 

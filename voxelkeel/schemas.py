@@ -18,6 +18,13 @@ _SLIDE = f"STRUCT<image_path STRING, source_paths ARRAY<STRING>, sections ARRAY<
 PROJECT = f"""version BIGINT, atlas STRUCT<name STRING, resolution_um DOUBLE>, slides ARRAY<{_SLIDE}>, probes ARRAY<{_PROBE}>,
   section_spacing_um DOUBLE, cell_sets ARRAY<STRUCT<name STRING, source STRING, cells ARRAY<{_CELL}>>>, seen_from STRING"""
 
+#: Fields of the document, and the types of the structs a change may begin.
+DOCUMENT_FIELDS = ("version", "atlas", "slides", "probes", "section_spacing_um", "cell_sets", "seen_from")
+PARTS = {
+    "plane": "ap_um DOUBLE, ml_tilt_deg DOUBLE, dv_tilt_deg DOUBLE, midline_px DOUBLE, dorsal_surface_px DOUBLE, pixel_size_um DOUBLE, image_right_is_anatomical_right BOOLEAN",
+    "registration": "anchoring ARRAY<DOUBLE>, output_size_px ARRAY<BIGINT>, bspline_transform_path STRING, residual DOUBLE",
+}
+
 QUINT = """target STRING, `target-resolution` ARRAY<BIGINT>, slices ARRAY<STRUCT<filename STRING, nr BIGINT, width BIGINT, height BIGINT, anchoring ARRAY<DOUBLE>, markers ARRAY<ARRAY<DOUBLE>>>>,
   sections ARRAY<STRUCT<filename STRING, nr BIGINT, width BIGINT, height BIGINT, ouv ARRAY<DOUBLE>, markers ARRAY<ARRAY<DOUBLE>>>>"""
 

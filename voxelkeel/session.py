@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -27,11 +29,19 @@ def build_session(app_name: str = "voxelkeel", master: str | None = None, **extr
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder lineage is cut in; a temporary one only where none is configured."""
+    """The shared folder that lineage is cut in and intermediate tables are written to.
+
+    It is what the session names in ``spark.checkpoint.dir``. Where nothing is named, a session whose
+    executors run in the driver takes a temporary folder, removed at exit; a cluster must name one,
+    since its executors would not see the driver's disk.
+    """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-ckpt-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder

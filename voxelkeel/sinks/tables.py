@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelkeel.functions import geometry as G
+from voxelkeel.schemas import DOCUMENT_FIELDS, PARTS
 
 REGION_COLUMNS = ("region", "region_id", "region_color")
 
@@ -170,8 +171,9 @@ def herbs_tables(samples: DataFrame, keys: list[str], position: str, *, grid_um:
 
 
 def nest_projects(sections: DataFrame, shanks: DataFrame) -> DataFrame:
-    """Flat sections and shanks back to project documents (``project_id, doc``), built bottom up.
+    """New project documents (``project_id, doc``) from flat sections and shanks, built bottom up.
 
+    For documents that exist already see :func:`change_projects`, which keeps what it doesn't change.
     A project has some hundred sections and a few dozen shanks.
     """
     axes = ("ap", "ml", "dv")
@@ -191,6 +193,65 @@ def nest_projects(sections: DataFrame, shanks: DataFrame) -> DataFrame:
     return df.select("project_id", F.to_json(doc).alias("doc"))
 
 
-def save_projects(sections: DataFrame, shanks: DataFrame, path: str) -> None:
-    """Write project documents, one JSON text per project."""
-    nest_projects(sections, shanks).select("doc").write.mode("overwrite").text(path)
+#: Columns of a section change and where their value goes in the document.
+_SECTION_FIELDS = {"ap_order": "ap_order", "slide_number": "slide_number", "ap_source": "ap_source", "rotation_deg": "rotation_deg", "flip_h": "flip_h", "flip_v": "flip_v",
+                   "ds_anchoring": "deepslice_anchoring", "bbox_px": "bbox_px", "ap_um": "plane.ap_um", "reg_anchoring": "registration.anchoring", "output_size_px": "registration.output_size_px"}
+_SHANK_FIELDS = {"tip_ccf_um": "tip_ccf_um", "entry_ccf_um": "entry_ccf_um", "tip_section_idx": "tip_section_idx", "entry_section_idx": "entry_section_idx", "track_points_ccf_um": "track_points_ccf_um"}
+
+
+def _changed(item, change, columns: list[str], fields: dict[str, str]):
+    """``item`` with the fields of ``change`` replaced; all others stay. A struct that is not there yet is begun."""
+    out = item
+    for c in columns:
+        head, _, leaf = fields[c].partition(".")
+        if leaf:
+            inner = F.coalesce(item[head], F.from_json(F.lit("{}"), PARTS[head])).withField(leaf, change[c])
+            for other in (x for x in columns if fields[x].startswith(f"{head}.") and x != c):
+                inner = inner.withField(fields[other].partition(".")[2], change[other])
+            out = out.withField(head, inner)
+        else:
+            out = out.withField(head, change[c])
+    return F.when(change.isNull(), item).otherwise(out)
+
+
+def _packed(changes: DataFrame, key, fields: dict[str, str], name: str) -> tuple[DataFrame, list[str]]:
+    columns = [c for c in changes.columns if c in fields]
+    entry = F.struct(key, F.struct(*columns))
+    return changes.groupBy("project_id").agg(F.map_from_entries(F.collect_list(entry)).alias(name)), columns
+
+
+def change_projects(projects: DataFrame, *, sections: DataFrame | None = None, shanks: DataFrame | None = None) -> DataFrame:
+    """Parsed documents with the given fields of some sections and shanks replaced, all else as it was.
+
+    ``sections`` has ``project_id, slide_idx, section_index`` and columns of ``_SECTION_FIELDS``; ``shanks``
+    has ``project_id, probe, shank`` and columns of ``_SHANK_FIELDS``. A project's changes travel as
+    one short map.
+    """
+    df = projects
+    if sections is not None:
+        packed, columns = _packed(sections, F.format_string("%d:%d", F.col("slide_idx").cast("long"), F.col("section_index").cast("long")), _SECTION_FIELDS, "_sections")
+        df = df.join(packed, "project_id", "left")
+        at = lambda i, x: F.element_at(F.col("_sections"), F.format_string("%d:%d", i.cast("long"), x["index"]))
+        new = lambda s, i: s.withField("sections", F.transform(s["sections"], lambda x: _changed(x, at(i, x), columns, _SECTION_FIELDS)))
+        df = df.withColumn("slides", F.when(F.col("_sections").isNull(), F.col("slides")).otherwise(F.transform("slides", new))).drop("_sections")
+    if shanks is not None:
+        packed, columns = _packed(shanks, F.format_string("%s:%d", F.col("probe").cast("string"), F.col("shank").cast("long")), _SHANK_FIELDS, "_shanks")
+        df = df.join(packed, "project_id", "left")
+        at = lambda p, x: F.element_at(F.col("_shanks"), F.format_string("%s:%d", p["label"], x["index"]))
+        new = lambda p: p.withField("shanks", F.transform(p["shanks"], lambda x: _changed(x, at(p, x), columns, _SHANK_FIELDS)))
+        df = df.withColumn("probes", F.when(F.col("_shanks").isNull(), F.col("probes")).otherwise(F.transform("probes", new))).drop("_shanks")
+    return df
+
+
+def project_documents(projects: DataFrame) -> DataFrame:
+    """Parsed documents as JSON texts (``project_id, doc``), every field of the schema; absent ones stay absent."""
+    fields = [c for c in DOCUMENT_FIELDS if c in projects.columns]
+    return projects.select("project_id", F.to_json(F.struct(*fields)).alias("doc"))
+
+
+def save_projects(projects: DataFrame, path: str) -> None:
+    """Write parsed (and changed) project documents, one JSON text per file row.
+
+    ``path`` must not be the folder the documents are read from: Spark reads while it writes.
+    """
+    project_documents(projects).select("doc").write.mode("overwrite").text(path)

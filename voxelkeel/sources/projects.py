@@ -14,6 +14,12 @@ def read_projects(spark: SparkSession, path: str) -> DataFrame:
     return parse_projects(text)
 
 
+def read_saved_projects(spark: SparkSession, path: str) -> DataFrame:
+    """Documents written by ``save_projects``, one a line, keyed by file and a hash of the text."""
+    key = F.concat_ws("#", F.col("_metadata.file_path"), F.xxhash64("value").cast("string"))
+    return parse_projects(spark.read.text(path).select(key.alias("project_id"), F.col("value").alias("doc")))
+
+
 def parse_projects(documents: DataFrame) -> DataFrame:
     """Parse ``doc``; defaults filled, and ``reject_reason`` set where a rule is broken."""
     df = documents.withColumn("_p", F.from_json("doc", schemas.PROJECT)).select(*[c for c in documents.columns if c != "doc"], "_p.*", F.col("_p").isNull().alias("_bad"))

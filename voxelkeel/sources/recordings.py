@@ -81,25 +81,32 @@ def parse_rhx_map(documents: DataFrame) -> DataFrame:
     return sites.join(ok, "map_id").withColumn("shank", F.when(F.col("_pages") > 0, F.col("shank"))).drop("_pages")
 
 
-def find_recordings(listing: DataFrame, *, max_depth: int = 6) -> DataFrame:
-    """Recording folders of a file listing (``path, is_dir``), their format, none below another.
+def find_recordings(listing: DataFrame, *, root: str = "") -> DataFrame:
+    """Recording folders of a file listing (``path, is_dir``) at or below ``root``, their format, none
+    below another.
 
-    Folder facts are grouped booleans and counts; the pruning is an anti join on ancestors.
+    Folders whose name ends in ``.zarr`` are not looked into. Facts of a folder, also those that a
+    child or grandchild tells, are gathered by one grouping per file stem and one per folder;
+    the pruning is an anti join on ancestors.
     """
-    rows = listing.filter(~F.col("path").contains(".zarr")).select("path", "is_dir", F.regexp_replace("path", r"/[^/]+$", "").alias("dir"), F.lower(F.substring_index("path", "/", -1)).alias("name"))
-    rows = rows.filter(F.size(F.split("path", "/")) - 2 <= max_depth + 3)
-    meta = "name RLIKE '[.](imec|nidq)' AND endswith(name, '.meta')"
-    stem = F.regexp_replace("name", r"\.(meta|bin)$", "")
-    files = rows.filter("NOT is_dir")
-    glx = files.filter(f"({meta}) OR endswith(name, '.bin')").withColumn("_stem", stem).groupBy("dir", "_stem").agg(
-        F.bool_or(F.expr(meta)).alias("_m"), F.bool_or(F.expr("endswith(name, '.bin')")).alias("_b")).filter("_m AND _b").select("dir").distinct()
-    glx = glx.select("dir").union(glx.select(F.regexp_replace("dir", r"/[^/]+$", ""))).distinct().withColumn("glx", F.lit(True))
-    exp = rows.filter("is_dir AND name RLIKE '^recording[0-9]+$'").select("dir").distinct().filter(F.lower(F.substring_index("dir", "/", -1)).rlike("^experiment[0-9]+$"))
-    exp = exp.select(F.regexp_replace("dir", r"/[^/]+$", "").alias("dir")).distinct().withColumn("exp", F.lit(True))
-    loose = "(endswith(name, '.rhd') OR endswith(name, '.rhs'))"
-    facts = files.groupBy("dir").agg(F.bool_or(F.expr("name IN ('info.rhd', 'info.rhs', 'settings.rhd', 'settings.rhs')")).alias("_info"), F.count_if(F.expr(loose)).alias("_loose"), F.bool_or(F.col("name") == "structure.oebin").alias("_oebin"))
-    dirs = rows.filter("is_dir").select(F.col("path").alias("dir")).union(rows.select("dir")).union(glx.select("dir")).union(exp.select("dir")).distinct()
-    df = dirs.join(facts, "dir", "left").join(glx, "dir", "left").join(exp, "dir", "left")
+    under = root.rstrip("/") + "/"
+    rows = listing.filter(F.col("path").startswith(under) & ~F.col("path").contains(".zarr/") & ~(F.col("is_dir") & F.lower("path").endswith(".zarr")))
+    parent = lambda c: F.regexp_replace(c, r"/[^/]+$", "")
+    rows = rows.select("path", "is_dir", parent(F.col("path")).alias("dir"), F.lower(F.substring_index("path", "/", -1)).alias("name"))
+    meta, binary = F.expr("NOT is_dir AND name RLIKE '[.](imec|nidq)' AND endswith(name, '.meta')"), F.expr("NOT is_dir AND endswith(name, '.bin')")
+    run = F.expr("is_dir AND name RLIKE '^recording[0-9]+$'") & F.lower(F.substring_index("dir", "/", -1)).rlike("^experiment[0-9]+$")
+    by_stem = rows.groupBy("dir", F.when(meta | binary, F.regexp_replace("name", r"\.(meta|bin)$", "")).alias("stem")).agg(
+        F.bool_or(meta).alias("_m"), F.bool_or(binary).alias("_b"), F.bool_or(run).alias("_run"), F.bool_or(F.expr("NOT is_dir AND name IN ('info.rhd', 'info.rhs', 'settings.rhd', 'settings.rhs')")).alias("info"),
+        F.count_if(F.expr("NOT is_dir AND (endswith(name, '.rhd') OR endswith(name, '.rhs'))")).alias("loose"), F.bool_or(F.expr("NOT is_dir AND name = 'structure.oebin'")).alias("oebin"))
+    no = F.lit(False)
+    fact = lambda at, glx, exp, info=no, loose=F.lit(0), oebin=no: F.struct(at.alias("dir"), glx.alias("glx"), exp.alias("exp"), info.alias("info"), loose.cast("long").alias("loose"), oebin.alias("oebin"))
+    glx, above = F.col("_m") & F.col("_b"), parent(F.col("dir"))
+    told = by_stem.select(F.inline(F.filter(F.array(
+        fact(F.col("dir"), glx, no, F.col("info"), F.col("loose"), F.col("oebin")),
+        F.when(glx, fact(above, F.lit(True), no)), F.when(F.col("_run"), fact(above, no, F.lit(True)))), lambda x: x.isNotNull())))
+    folders = rows.filter("is_dir").select(F.inline(F.array(fact(F.col("path"), no, no))))
+    df = told.unionByName(folders).groupBy("dir").agg(F.bool_or("glx").alias("glx"), F.bool_or("exp").alias("exp"), F.bool_or("info").alias("_info"), F.sum("loose").alias("_loose"), F.bool_or("oebin").alias("_oebin"))
+    df = df.filter(F.concat("dir", F.lit("/")).startswith(under))
     df = df.withColumn("format", F.expr("""CASE WHEN coalesce(_info, false) OR coalesce(_loose, 0) = 1 THEN 'intan' WHEN glx THEN 'spikeglx'
         WHEN coalesce(_oebin, false) OR exp OR startswith(lower(substring_index(dir, '/', -1)), 'record node') THEN 'openephys' END"""))
     # The hits are read twice below: once as folders, once as ancestors.
@@ -117,6 +124,13 @@ def labelled_voxels(annotation: DataFrame, structures: DataFrame) -> DataFrame:
 
 # A32 connector pin to RHD2132 channel.
 A32_TO_RHD2132 = (30, 26, 21, 17, 27, 22, 20, 25, 28, 23, 19, 24, 29, 18, 31, 16, 0, 15, 2, 13, 8, 9, 7, 1, 6, 14, 10, 11, 5, 12, 4, 3)
+# Poly2 site (height above the tip, lateral position, um) at each connector pin.
+POLY2_SITES = (
+    (375.0, -21.5), (425.0, -21.5), (475.0, -21.5), (525.0, -21.5), (575.0, -21.5), (625.0, -21.5), (675.0, -21.5), (725.0, -21.5),
+    (775.0, -21.5), (825.0, -21.5), (325.0, -21.5), (275.0, -21.5), (225.0, -21.5), (175.0, -21.5), (125.0, -21.5), (75.0, -21.5),
+    (100.0, 21.5), (150.0, 21.5), (200.0, 21.5), (250.0, 21.5), (300.0, 21.5), (350.0, 21.5), (850.0, 21.5), (800.0, 21.5),
+    (750.0, 21.5), (700.0, 21.5), (650.0, 21.5), (600.0, 21.5), (550.0, 21.5), (500.0, 21.5), (450.0, 21.5), (400.0, 21.5),
+)
 # Names of the wired maps.
 POLY3_WIRED, POLY2_WIRED = "NeuroNexus A1x32-Poly3 + A32>RHD2132", "NeuroNexus A1x32-Poly2 + A32>RHD2132"
 
@@ -128,10 +142,8 @@ def wired_maps(spark: SparkSession) -> DataFrame:
     poly3 = pins.select(F.lit(POLY3_WIRED).alias("map_name"), "channel", F.expr("""62D + CASE WHEN pin < 10 THEN 12.5D + 25D * pin
         WHEN pin < 16 THEN 50D * (pin - 10) WHEN pin < 22 THEN 275D - 50D * (pin - 16) ELSE 237.5D - 25D * (pin - 22) END AS depth_um"""),
         F.expr("CASE WHEN pin < 10 THEN -18D WHEN pin < 22 THEN 0D ELSE 18D END AS x_um"))
-    # Poly2 electrodes 1-32 by pin: left column 1-16, right column 17-32.
-    poly2 = pins.select(F.lit(POLY2_WIRED).alias("map_name"), "channel", F.expr("""CASE WHEN pin < 10 THEN 825D - 50D * (9 - pin) WHEN pin < 16 THEN 825D - 50D * pin
-        WHEN pin < 22 THEN 100D + 50D * (pin - 16) ELSE 850D - 50D * (pin - 22) END AS depth_um"""), F.expr("CASE WHEN pin < 16 THEN -21.5D ELSE 21.5D END AS x_um"))
-    return poly3.unionByName(poly2)
+    poly2 = pins.join(F.broadcast(values_table(spark, ["pin", "depth_um", "x_um"], [(pin, *site) for pin, site in enumerate(POLY2_SITES)])), "pin")  # 32 rows
+    return poly3.unionByName(poly2.select(F.lit(POLY2_WIRED).alias("map_name"), "channel", "depth_um", "x_um"))
 
 
 def resolve_map(recordings: DataFrame, maps: DataFrame, catalog: DataFrame) -> DataFrame:

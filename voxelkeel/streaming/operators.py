@@ -13,12 +13,17 @@ from voxelkeel.operators.recordings import group_penetrations
 from voxelkeel.sources.recordings import find_recordings
 
 
-def event_stream(spark: SparkSession, path: str, *, glob: str = "events.parquet", max_files: int = 1,
+def event_stream(spark: SparkSession, path: str, *, glob: str = "*.parquet", max_files: int = 1,
                  time: str | None = "ts") -> DataFrame:
-    """Events arriving as parquet files; the schema is the batch table's."""
-    folder = os.path.dirname(path) if path.endswith(".parquet") else path
-    schema = spark.read.parquet(path).schema
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).option("pathGlobFilter", glob).parquet(folder)
+    """Events arriving as parquet files; the schema is the batch table's.
+
+    ``path`` is a table: a folder of files, which the stream follows, or one single file.
+    """
+    table = spark.read.parquet(path)
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+    if any(f.rstrip("/").endswith(f"/{name}") for f in table.inputFiles()[:1]):
+        path, glob = os.path.dirname(path.rstrip("/")), name
+    rows = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", max_files).option("pathGlobFilter", glob).parquet(path)
     return rows.withColumn(time, F.col(time).cast("timestamp")) if time else rows
 
 
@@ -26,8 +31,8 @@ def stream_depth_profiles(spikes: DataFrame, *, window: str = "1 hour", window_s
                           min_spikes: int = 50, late: str = "10 minutes") -> DataFrame:
     """Count, rate and mean amplitude per tumbling window and depth bin; null under ``min_spikes``.
 
-    Counts and sums are incremental state per (window, bin). Rows later than the watermark are
-    dropped. Works on a stream or a batch of ``ts, depth_um, amplitude``.
+    Counts and sums are incremental state per (window, bin). In a stream, rows later than the
+    watermark are dropped and windows before it forgotten. Works on a stream or a batch of ``ts, depth_um, amplitude``.
     """
     bin_ = F.floor(F.col("depth_um") / float(bin_um)).alias("bin")
     agg = spikes.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), bin_).agg(
@@ -37,12 +42,22 @@ def stream_depth_profiles(spikes: DataFrame, *, window: str = "1 hour", window_s
                       F.when(enough, F.col("_a") / F.col("n_spikes")).alias("mean_amplitude"))
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str, *, mode: str = "complete") -> DataFrame:
-    """Run a stream over all that has arrived and give its result as a batch table."""
-    query = (stream.writeStream.format("memory").queryName(name).outputMode(mode)
-             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def drain(stream: DataFrame, keys: list[str], out_path: str, checkpoint: str) -> DataFrame:
+    """Run a stream over all that has arrived and give its latest row per key as a batch table.
+
+    Each micro-batch writes the rows it changed under its own id, so a retried batch replaces its
+    own output, the result never passes through the driver, and state older than the watermark is
+    let go.
+    """
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+
+    stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    changed = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema.fields)}, batch long").parquet(out_path)
+    rest = [c for c in stream.columns if c not in keys]
+    return changed.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_v")).select(*keys, "_v.*")
 
 
 def screen_each_batch(samples: DataFrame, out_path: str, checkpoint: str):
