@@ -303,17 +303,28 @@ def contrast_at(profile: DataFrame, marks: DataFrame, keys: list[str], *, window
     Null below ``min_samples`` a side or without spread. ``marks`` has the keys, ``at`` and the
     window column.
     """
-    ivs = marks.withColumns({"_lo": F.col("at") - F.col(window), "_hi": F.col("at") + F.col(window)})
-    rows = range_join(profile, ivs, keys, "depth_um", "_lo", "_hi", bucket=250.0)
-    side = lambda fn, cond: F.expr(f"{fn}(CASE WHEN {cond} THEN value END)")
-    above, below = "depth_um < at", "depth_um >= at"
-    feature = [c for c in ("feature",) if c in profile.columns]
-    agg = rows.groupBy(*keys, *feature, window, "at").agg(
-        F.count_if(F.expr(above)).alias("_na"), F.count_if(F.expr(below)).alias("_nb"), side("avg", above).alias("_ma"), side("avg", below).alias("_mb"),
-        side("var_pop", above).alias("_va"), side("var_pop", below).alias("_vb"))
-    d = F.expr(f"""CASE WHEN _na >= {min_samples} AND _nb >= {min_samples} AND 0.5D * (_va + _vb) > 0
+    group = [*keys, *(c for c in ("feature",) if c in profile.columns)]
+    # Running counts and sums along depth, read off where each side of a mark begins and ends: samples and
+    # marks are sorted together once, and no mark meets a sample. A mark goes before a sample at its depth.
+    ends = F.array(*[F.struct(F.lit(i).alias("_end"), (F.col("at") + F.lit(float(i - 1)) * F.col(window)).alias("_at")) for i in range(3)])
+    probes = marks.join(profile.select(*group).distinct(), keys).select(*group, window, "at", F.inline(ends)).withColumn("value", F.lit(None).cast("double"))
+    samples = profile.select(*group, F.col("depth_um").alias("_at"), F.col("value").cast("double").alias("value"), F.lit(3).alias("_end"))
+    rows = samples.unionByName(probes, allowMissingColumns=True)
+    # Sums about the mean keep the variances well conditioned.
+    rows = rows.withColumn("value", F.col("value") - F.avg("value").over(Window.partitionBy(*group)))
+    upto = Window.partitionBy(*group).orderBy("_at", "_end").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"_n": F.count_if(F.col("_end") == 3).over(upto), "_c": F.count("value").over(upto), "_s": F.coalesce(F.sum("value").over(upto), F.lit(0.0)), "_q": F.coalesce(F.sum(F.col("value") * F.col("value")).over(upto), F.lit(0.0))})
+    at_end = [F.max(F.when(F.col("_end") == i, F.struct("_n", "_c", "_s", "_q"))).alias(f"_e{i}") for i in range(3)]
+    agg = rows.filter("_end < 3").groupBy(*group, window, "at").agg(*at_end)
+    for side, lo, hi in (("a", "_e0", "_e1"), ("b", "_e1", "_e2")):
+        step = lambda f: F.col(f"{hi}.{f}") - F.col(f"{lo}.{f}")
+        agg = agg.withColumns({f"_n{side}": step("_n"), f"_m{side}": F.when(step("_c") > 0, step("_s") / step("_c")), f"_v{side}": F.when(step("_c") > 0, step("_q") / step("_c"))})
+        agg = agg.withColumn(f"_v{side}", F.greatest(F.lit(0.0), F.col(f"_v{side}") - F.col(f"_m{side}") * F.col(f"_m{side}")))
+    # What rounding leaves of a side without spread is no spread.
+    flat = "0.5D * (_va + _vb) > 1e-12D * greatest(_ma * _ma, _mb * _mb)"
+    d = F.expr(f"""CASE WHEN _na >= {min_samples} AND _nb >= {min_samples} AND 0.5D * (_va + _vb) > 0 AND {flat}
         THEN abs(_ma - _mb) / sqrt(0.5D * (_va + _vb)) END""")
-    return agg.withColumn("contrast", d).drop("_na", "_nb", "_ma", "_mb", "_va", "_vb")
+    return agg.filter("_na + _nb > 0").withColumn("contrast", d).select(*group, window, "at", "contrast")
 
 
 def depth_marks(profile: DataFrame, windows: DataFrame, keys: list[str], *, step_um: float) -> DataFrame:
