@@ -8,6 +8,8 @@ from voxelkeel.functions import geometry as G
 from voxelkeel.operators import matching as M
 from voxelkeel.plans.bindings import with_bindings
 from voxelkeel.plans.q_features import _SCREEN_SQL
+from voxelkeel.plans.q_geometry import _AFFINE
+from voxelkeel.plans.q_labels import _POINTS
 from voxelkeel.plans.q_placement import PLACED_SQL, region_sql
 from voxelkeel.plans.q_series import BOXES, SLIDE
 from voxelkeel.plans.q_sources import _LIST
@@ -27,6 +29,25 @@ def _p16(t):
     return G.rounded(M.tps_warp_points(t.sql(_PTS), t.sql(_LANDMARKS).filter("section % 9 <> 4")), 4)
 
 
+# A third of the sections have landmarks that shift by (3, -2), a third an affine correction; all have a field.
+_SHIFTED = "SELECT k AS section, i, (i % 3) * 15e0 AS sx, floor(i / 3) * 12e0 AS sy, (i % 3) * 15e0 + 3 AS tx, floor(i / 3) * 12e0 - 2 AS ty, false AS forward FROM (SELECT k, SEQ[0;8] AS i FROM b_sections WHERE k % 3 = 0) q"
+
+
+@query("p14_pixel_chain", f"""
+WITH s AS (SELECT *, {_AFFINE} FROM b_sections), p AS (SELECT p.pid, p.section, x_px, y_px, s.* FROM ({_POINTS}) p JOIN s ON s.k = p.section),
+a AS (SELECT *, CASE k % 3 WHEN 0 THEN x_px - 3 WHEN 1 THEN (m0 * (x_px - m5) - m3 * (y_px - m2)) / (m0 * m4 - m1 * m3) ELSE x_px END AS xa, CASE k % 3 WHEN 0 THEN y_px + 2 WHEN 1 THEN (m4 * (y_px - m2) - m1 * (x_px - m5)) / (m0 * m4 - m1 * m3) ELSE y_px END AS ya FROM p),
+f AS (SELECT *, least(greatest(xa / 4, 0), 7) AS fx, least(greatest(ya / 4, 0), 7) AS fy FROM a), g AS (SELECT *, least(floor(fx), 6) AS gx0, least(floor(fy), 6) AS gy0 FROM f),
+w AS (SELECT pid, sum(w * dx) AS dx, sum(w * dy) AS dy FROM (SELECT g.*, gx0 + i AS cx, gy0 + j AS cy, CASE WHEN i = 1 THEN fx - gx0 ELSE 1 - fx + gx0 END * CASE WHEN j = 1 THEN fy - gy0 ELSE 1 - fy + gy0 END AS w FROM g, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j)) g JOIN b_field v ON v.section = g.section AND v.gx = cx AND v.gy = cy GROUP BY 1),
+l AS (SELECT a.*, xa + coalesce(dx, 0) AS xl, ya + coalesce(dy, 0) AS yl FROM a LEFT JOIN w USING (pid))
+SELECT pid, round(CASE WHEN has_reg THEN (ox + xl / out_w * ux + yl / out_h * vx) * 25 END, 4) + 0e0 AS ap_um, round(CASE WHEN has_reg THEN (oz + xl / out_w * uz + yl / out_h * vz) * 25 END, 4) + 0e0 AS ml_um, round(CASE WHEN has_reg THEN (oy + xl / out_w * uy + yl / out_h * vy) * 25 END, 4) + 0e0 AS dv_um, true AS settled FROM l""")
+def _p14b(t):
+    affine = F.expr("k % 3 = 1")
+    sections = t.sql(f"SELECT k AS section, k, CASE WHEN has_reg THEN ARR[ox, oy, oz, ux, uy, uz, vx, vy, vz] END AS reg_anchoring, out_w, out_h, 25e0 AS resolution_um, {_AFFINE} FROM b_sections")
+    sections = sections.withColumns({f"m{i}": F.when(affine, F.col(f"m{i}")) for i in range(6)})
+    out = M.section_pixels_to_ccf(t.sql(_POINTS), sections, landmarks=t.sql(_SHIFTED), field=t.b_field, step=4.0, nx=8, ny=8)
+    return G.rounded(out.select("pid", "ap_um", "ml_um", "dv_um", "settled"), 4)
+
+
 _MATCH = """SELECT k, project_id, slide_idx, section_index, (section_index * 7) % 100 AS reference_section, x1 - x0 AS w, y1 - y0 AS h, out_w, out_h, ARR[ox, oy, oz, ux, uy, uz, vx, vy, vz] AS reg_anchoring, k % 4 = 1 AS was_mirrored,
   0.7e0 + k % 5 * 0.02e0 AS m0, 0.03e0 * (k % 3 - 1) AS m1, k % 11 * 1e0 AS m2, -0.02e0 * (k % 3 - 1) AS m3, 0.72e0 AS m4, k % 6 * 1e0 AS m5, CASE WHEN k % 9 = 0 THEN NULL ELSE 4e0 + slide_idx END AS reference_pixel_um FROM b_sections WHERE has_reg"""
 _FLIP = "-{0} AS {0}, {0} * (w - 1) + {1} AS {1}, -{2} AS {2}, {2} * (w - 1) + {3} AS {3}"

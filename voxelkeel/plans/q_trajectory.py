@@ -169,7 +169,8 @@ def _a32(t):
 @query("a34_profile_score")
 def _a34(t):
     edges = T.atlas_edges(_placed(t).select("probe", "shank", *_T, *_E), t.b_annotation, t.b_structures, ["probe", "shank"], resolution_um=RES, margin_um=1200.0, step_um=20.0)
-    profiles = t.sql("SELECT s.probe, s.shank, e.depth_um, e.value AS score FROM b_shanks s JOIN (SELECT vec_id, (i - 1) * 60e0 AS depth_um, abs(CAST(AT[embedding;i] AS DOUBLE)) * 10 AS value FROM (SELECT vec_id, embedding, SEQ[1;64] AS i FROM embeddings) q) e ON e.vec_id = s.k % (SELECT count(*) FROM embeddings)")
+    vectors = t.embeddings.count()
+    profiles = t.sql(f"SELECT s.probe, s.shank, e.depth_um, e.value AS score FROM b_shanks s JOIN (SELECT vec_id, (i - 1) * 60e0 AS depth_um, abs(CAST(AT[embedding;i] AS DOUBLE)) * 10 AS value FROM (SELECT vec_id, embedding, SEQ[1;64] AS i FROM embeddings) q) e ON e.vec_id = s.k % {vectors}")
     return G.rounded(T.profile_score(edges, profiles, ["probe", "shank"]), 5)
 
 
