@@ -39,13 +39,13 @@ a AS (SELECT *, CASE k % 3 WHEN 0 THEN x_px - 3 WHEN 1 THEN (m0 * (x_px - m5) -
 f AS (SELECT *, least(greatest(xa / 4, 0), 7) AS fx, least(greatest(ya / 4, 0), 7) AS fy FROM a), g AS (SELECT *, least(floor(fx), 6) AS gx0, least(floor(fy), 6) AS gy0 FROM f),
 w AS (SELECT pid, sum(w * dx) AS dx, sum(w * dy) AS dy FROM (SELECT g.*, gx0 + i AS cx, gy0 + j AS cy, CASE WHEN i = 1 THEN fx - gx0 ELSE 1 - fx + gx0 END * CASE WHEN j = 1 THEN fy - gy0 ELSE 1 - fy + gy0 END AS w FROM g, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j)) g JOIN b_field v ON v.section = g.section AND v.gx = cx AND v.gy = cy GROUP BY 1),
 l AS (SELECT a.*, xa + coalesce(dx, 0) AS xl, ya + coalesce(dy, 0) AS yl FROM a LEFT JOIN w USING (pid))
-SELECT pid, round(CASE WHEN has_reg THEN (ox + xl / out_w * ux + yl / out_h * vx) * 25.013e0 END, 5) + 0e0 AS ap_um, round(CASE WHEN has_reg THEN (oz + xl / out_w * uz + yl / out_h * vz) * 25.013e0 END, 5) + 0e0 AS ml_um, round(CASE WHEN has_reg THEN (oy + xl / out_w * uy + yl / out_h * vy) * 25.013e0 END, 5) + 0e0 AS dv_um, true AS settled FROM l""")
+SELECT pid, round(CASE WHEN has_reg THEN (ox + xl / out_w * ux + yl / out_h * vx) * 25.013e0 END, 3) + 0e0 AS ap_um, round(CASE WHEN has_reg THEN (oz + xl / out_w * uz + yl / out_h * vz) * 25.013e0 END, 3) + 0e0 AS ml_um, round(CASE WHEN has_reg THEN (oy + xl / out_w * uy + yl / out_h * vy) * 25.013e0 END, 3) + 0e0 AS dv_um, true AS settled FROM l""")
 def _p14b(t):
     affine = F.expr("k % 3 = 1")
     sections = t.sql(f"SELECT k AS section, k, CASE WHEN has_reg THEN ARR[ox, oy, oz, ux, uy, uz, vx, vy, vz] END AS reg_anchoring, out_w, out_h, 25.013e0 AS resolution_um, {_AFFINE} FROM b_sections")
     sections = sections.withColumns({f"m{i}": F.when(affine, F.col(f"m{i}")) for i in range(6)})
     out = M.section_pixels_to_ccf(t.sql(_POINTS), sections, landmarks=t.sql(_SHIFTED), field=t.b_field, step=4.0, nx=8, ny=8)
-    return G.rounded(out.select("pid", "ap_um", "ml_um", "dv_um", "settled"), 5)
+    return G.rounded(out.select("pid", "ap_um", "ml_um", "dv_um", "settled"), 3)
 
 
 _MATCH = """SELECT k, project_id, slide_idx, section_index, (section_index * 7) % 100 AS reference_section, x1 - x0 AS w, y1 - y0 AS h, out_w, out_h, ARR[ox, oy, oz, ux, uy, uz, vx, vy, vz] AS reg_anchoring, k % 4 = 1 AS was_mirrored,
