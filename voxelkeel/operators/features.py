@@ -134,10 +134,10 @@ def normalise_bands(bands: DataFrame, group: list[str]) -> DataFrame:
     return df.join(med, [*group, "band"]).withColumn("level", F.col("_l") - F.col("_m")).drop("_l", "_m")
 
 
-def regrid_frequency(psd: DataFrame, grid: DataFrame, keys: list[str]) -> DataFrame:
-    """Spectra interpolated to ``grid`` (``freq_hz``), null outside their own range."""
+def regrid_frequency(psd: DataFrame, grid: list[float], keys: list[str]) -> DataFrame:
+    """Spectra interpolated to the frequencies of ``grid``, null outside their own range."""
     packed = knot_arrays(psd.filter("power IS NOT NULL"), keys, "freq_hz", "power")
-    return interp(packed.crossJoin(F.broadcast(grid)), "power", F.col("freq_hz"), "xs", "ys", "null").select(*keys, "freq_hz", "power")
+    return interp(packed.withColumn("freq_hz", F.explode(F.array(*[F.lit(float(f)) for f in grid]))), "power", F.col("freq_hz"), "xs", "ys", "null").select(*keys, "freq_hz", "power")
 
 
 def power_image(psd: DataFrame, keys: list[str], depth: str, *, log: bool = True, per_freq: bool = False) -> DataFrame:

@@ -117,7 +117,7 @@ SELECT c.recording, c.channel, g.freq_hz, round(coalesce(k.p0 + (k.p1 - k.p0) *
 FROM (SELECT DISTINCT recording, channel FROM b_psd) c CROSS JOIN g LEFT JOIN k ON k.recording = c.recording AND k.channel = c.channel AND g.freq_hz >= k.f0 AND g.freq_hz < k.f1
 LEFT JOIN k e ON e.recording = c.recording AND e.channel = c.channel AND e.f0 = g.freq_hz AND e.f1 IS NULL""")
 def _a08(t):
-    grid = t.spark.range(60).select((F.col("id") * 7.0 - 14.0).alias("freq_hz"))
+    grid = [i * 7.0 - 14.0 for i in range(60)]
     return G.rounded(A.regrid_frequency(t.b_psd, grid, ["recording", "channel"]), 9)
 
 

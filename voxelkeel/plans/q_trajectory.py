@@ -90,9 +90,10 @@ _PS = "SELECT project_id, probe, (k * 7) % 23 + e AS section_index FROM (SELECT
 
 
 @query("u03_shared_sections", f"""
-WITH s AS (SELECT DISTINCT * FROM ({_PS}) q), p AS (SELECT DISTINCT project_id, probe FROM s)
-SELECT a.project_id, a.probe, b.probe AS other, count(y.section_index) AS n_shared, count(y.section_index) = 0 AS disjoint
-FROM p a JOIN p b ON b.project_id = a.project_id AND b.probe <> a.probe JOIN s x ON x.probe = a.probe AND x.project_id = a.project_id LEFT JOIN s y ON y.probe = b.probe AND y.project_id = b.project_id AND y.section_index = x.section_index GROUP BY 1, 2, 3""")
+WITH s AS (SELECT DISTINCT project_id, probe, section_index FROM ({_PS}) q), p AS (SELECT DISTINCT project_id, probe FROM s),
+c AS (SELECT x.project_id, x.probe, y.probe AS other, count(*) AS n FROM s x JOIN s y ON y.project_id = x.project_id AND y.section_index = x.section_index AND y.probe <> x.probe GROUP BY 1, 2, 3)
+SELECT p.project_id, p.probe, c.other, coalesce(n, 0) AS n_shared, (SELECT count(*) FROM p q WHERE q.project_id = p.project_id AND q.probe <> p.probe) - (SELECT count(*) FROM c d WHERE d.project_id = p.project_id AND d.probe = p.probe) AS n_disjoint
+FROM p LEFT JOIN c ON c.project_id = p.project_id AND c.probe = p.probe""")
 def _u03(t):
     return T.shared_sections(t.sql(_PS))
 
