@@ -25,7 +25,7 @@ from voxelkeel.llm.common import crc_mod
 
 #: Bounds of the samples the network is fitted to.
 POSITIVES, UNLABELLED = 6000, 12000
-HIDDEN, EPOCHS, THRESHOLD = 16, 60, 0.3
+HIDDEN, STEPS, THRESHOLD = 16, 1500, 0.3
 FEATURES = (
     "log_words", "word_length", "upper", "digit", "symbol", "exclaim", "bar", "punctuation", "other_ascii", "non_ascii", "line_feeds",
     "distinct_words", "equal_neighbours", "distinct_pairs", "distinct_lines", "longest_run", "deflated", "lettered_words",
@@ -103,26 +103,23 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int
     p_all, u_all = net.standard(positive), net.standard(unlabelled)
     first, second = [np.zeros_like(v) for v in net.p], [np.zeros_like(v) for v in net.p]
     logistic = lambda s: 1 / (1 + np.exp(-np.clip(s, -30, 30)))
-    step = 0
-    for epoch in range(EPOCHS):
-        order = rng.permutation(len(u_all))
-        for at in range(0, len(order), batch):
-            u, p = u_all[order[at : at + batch]], p_all[rng.integers(0, len(p_all), batch)]
-            (hu, su), (hp, sp) = net.forward(u), net.forward(p)
-            negative_risk = np.logaddexp(0, su).mean() - prior * np.logaddexp(0, sp).mean()
-            as_negative = [a - b for a, b in zip(net.backward(u, hu, logistic(su) / len(su)), net.backward(p, hp, prior * logistic(sp) / len(sp)))]
-            if negative_risk >= 0:
-                as_positive = net.backward(p, hp, prior * (logistic(sp) - 1) / len(sp))
-                gradient = [a + b for a, b in zip(as_positive, as_negative)]
-            else:
-                gradient = [-b for b in as_negative]
-            step += 1
-            now = rate * (1 - 0.9 * epoch / EPOCHS)
-            for k, g in enumerate(gradient):
-                g = g + 1e-4 * net.p[k]
-                first[k] = 0.9 * first[k] + 0.1 * g
-                second[k] = 0.999 * second[k] + 0.001 * g * g
-                net.p[k] = net.p[k] - now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+    # as many steps for few rows as for many
+    for step in range(1, STEPS + 1):
+        u, p = u_all[rng.integers(0, len(u_all), batch)], p_all[rng.integers(0, len(p_all), batch)]
+        (hu, su), (hp, sp) = net.forward(u), net.forward(p)
+        negative_risk = np.logaddexp(0, su).mean() - prior * np.logaddexp(0, sp).mean()
+        as_negative = [a - b for a, b in zip(net.backward(u, hu, logistic(su) / len(su)), net.backward(p, hp, prior * logistic(sp) / len(sp)))]
+        if negative_risk >= 0:
+            as_positive = net.backward(p, hp, prior * (logistic(sp) - 1) / len(sp))
+            gradient = [a + b for a, b in zip(as_positive, as_negative)]
+        else:
+            gradient = [-b for b in as_negative]
+        now = rate * (1 - 0.9 * step / STEPS)
+        for k, g in enumerate(gradient):
+            g = g + 1e-4 * net.p[k]
+            first[k] = 0.9 * first[k] + 0.1 * g
+            second[k] = 0.999 * second[k] + 0.001 * g * g
+            net.p[k] = net.p[k] - now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
     return net
 
 
