@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +59,10 @@ def plain_words(raw: bytes) -> list[bytes]:
     return raw.translate(_LOWER).split()
 
 
+def word_key(word: bytes) -> int:
+    return -1 - (xxhash.xxh3_64_intdigest(word) >> 1)
+
+
 def with_blocks(docs: DataFrame) -> DataFrame:
     """doc_id, text, train and a block for each row; blocks hold about ``BLOCK_BYTES`` of text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (crc_mod(F.col("doc_id"), 7) != 2).alias("train"))
@@ -83,27 +88,42 @@ def _texts_of(batches: Iterator[pd.DataFrame], most: int = BLOCK_BYTES) -> Itera
         yield block, texts, flags
 
 
+def _pieces(texts: list[bytes], flags: list[bool], most: int = 1 << 20) -> Iterator[tuple[list[bytes], bool]]:
+    """Training texts and others apart, about ``most`` bytes at a time."""
+    for train in (True, False):
+        part, size = [], 0
+        for text, flag in zip(texts, flags):
+            if flag == train:
+                part.append(text)
+                size += len(text)
+                if size > most:
+                    yield part, train
+                    part, size = [], 0
+        if part:
+            yield part, train
+
+
 def ask(blocked: DataFrame) -> DataFrame:
     """What each block holds, once each: byte runs and words, with their counts in training rows.
 
-    Rows (block, run, word, n); one of run and word is null.
+    Rows (block, key, n). The key of a run is the run, that of a word a negative 63-bit hash.
     """
 
     def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block, texts, flags in _texts_of(batches):
-            runs, sizes = byte_runs(texts)
-            train = np.repeat(np.array(flags, bool), sizes)
-            seen, n = np.unique(runs[train], return_counts=True)
-            other = np.setdiff1d(np.unique(runs[~train]), seen, assume_unique=True)
-            yield pd.DataFrame({"block": block, "run": pd.array(np.concatenate([seen, other]).astype(np.int64), "Int64"), "word": None, "n": np.concatenate([n, np.zeros(len(other), np.int64)])})
+            found = np.zeros(0, np.int64), np.zeros(0)
+            for part, train in _pieces(texts, flags):
+                runs, times = np.unique(byte_runs(part)[0], return_counts=True)
+                found = _group(np.concatenate([found[0], runs]), np.concatenate([found[1], times * float(train)]))
+            yield pd.DataFrame({"block": block, "key": found[0], "n": found[1].astype(np.int64)})
             counts: dict[bytes, int] = {}
             for raw, step in zip(texts, flags):
                 for word in plain_words(raw):
                     counts[word] = counts.get(word, 0) + step
             if counts:
-                yield pd.DataFrame({"block": block, "run": pd.array([None] * len(counts), "Int64"), "word": list(counts), "n": np.array(list(counts.values()), np.int64)})
+                yield pd.DataFrame({"block": block, "key": np.fromiter(map(word_key, counts), np.int64, len(counts)), "n": np.fromiter(counts.values(), np.int64, len(counts))})
 
-    return blocked.select("block", "text", "train").mapInPandas(distinct, "block long, run long, word binary, n long")
+    return blocked.select("block", "text", "train").mapInPandas(distinct, "block long, key long, n long")
 
 
 def kt_log(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -286,29 +306,30 @@ class RunPrices:
         return float(self.prices[row].sum())
 
 
-def score_blocks(blocked: DataFrame, prices: DataFrame, counts: DataFrame, total: int, distinct: int) -> DataFrame:
-    """Score every row from its block's priced runs and counted words."""
-    base_of = F.log10((F.col("n") + 1) / F.lit(float(total + distinct + 1)))
-    answers = prices.select("block", "run", F.lit(None).cast("binary").alias("word"), F.lit(0).cast("long").alias("n"), F.col("price").alias("value")).unionByName(
-        counts.select("block", F.lit(None).cast("long").alias("run"), "word", "n", base_of.alias("value"))
-    )
+def score_blocks(blocked: DataFrame, answers: DataFrame, unknown: float) -> DataFrame:
+    """Score every row from its block's ``answers`` (block, key, value): prices of runs, log10 of words.
+
+    ``unknown`` is the value of a word that training doesn't have; known words are worth more.
+    """
     columns = "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long"
+    names = [c.split()[0] for c in columns.split(", ")]
 
     def score(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        is_run = answers.run.notna().to_numpy()
-        run = answers.run.to_numpy()[is_run].astype(np.int64)
-        prices = RunPrices(run, answers.value.to_numpy()[is_run])
-        words = {bytes(w): (v, n > 0) for w, v, n in zip(answers.word[~is_run], answers.value[~is_run], answers.n[~is_run])}
+        key, value = answers.key.to_numpy(), answers.value.to_numpy()
+        prices = RunPrices(key[key >= 0], value[key >= 0])
+        words = dict(zip(key[key < 0].tolist(), value[key < 0].tolist()))
+        seen: dict[bytes, float] = {}
         out = []
         for doc_id, text, train in zip(docs.doc_id, docs.text, docs.train):
             raw = text.encode("utf-8", "replace")
-            runs, _ = byte_runs([raw])
-            found = [words[w] for w in plain_words(raw)]
-            base = sum(v for v, _ in found)
-            known = sum(k for _, k in found)
-            out.append((doc_id, train, len(found) + 1, known, base, prices.total(runs), len(raw)))
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in columns.split(", ")])
-        return frame
+            found = plain_words(raw)
+            for word in found:
+                if word not in seen:
+                    seen[word] = words[word_key(word)]
+            base = np.fromiter(map(seen.__getitem__, found), np.float64, len(found))
+            known = int((base > unknown + 1e-12).sum())
+            out.append((doc_id, train, len(found) + 1, known, float(base.sum()), prices.total(byte_runs([raw])[0]), len(raw)))
+        return pd.DataFrame(out, columns=names)
 
     return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, columns)
 
@@ -321,20 +342,22 @@ def score_texts(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     blocked = with_blocks(docs)
     asked = staged(ask(blocked), "asked")
-    asked_runs, asked_words = asked.filter("run is not null").select("block", "run", "n"), asked.filter("word is not null").select("block", "word", "n")
+    runs, words = asked.filter("key >= 0").withColumnRenamed("key", "run"), asked.filter("key < 0")
     partitions = shuffle_partitions(spark)
     pair = F.shiftrightunsigned("run", 8).bitwiseAND(F.lit(0xFFFF).cast("long"))
-    counts = asked_runs.groupBy("run").agg(F.sum("n").alias("n")).withColumn("pair", pair).repartition(partitions, "pair").sortWithinPartitions("pair")
-    counts = staged(counts.select("run", "n", "pair"), "run-counts").repartition(partitions, "pair").sortWithinPartitions("pair")
-    first, root = fit_tree(counts)
-    prices = asked_runs.select("block", "run").join(price(counts, first, root), "run")
-    word_counts = staged(asked_words.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    counts = staged(runs.groupBy("run").agg(F.sum("n").alias("n")).withColumn("pair", pair), "run-counts").repartition(partitions, "pair").sortWithinPartitions("pair")
+    priced = price(counts, *fit_tree(counts))
+    word_counts = staged(words.groupBy("key").agg(F.sum("n").alias("n")), "word-counts")
     seen = word_counts.filter("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("distinct")).first()
     texts = docs.filter(crc_mod(F.col("doc_id"), 7) != 2).count()
     total, distinct = int(seen["total"]) + texts, int(seen["distinct"]) + (texts > 0)
-    answered = asked_words.select("block", "word").join(word_counts, "word")
-    scored = score_blocks(blocked, prices, answered, total, distinct)
-    end = float(np.log10((texts + 1) / (total + distinct + 1)))
+    log_of = lambda n: float(np.log10((n + 1) / (total + distinct + 1)))
+    values = word_counts.select("key", (F.log10((F.col("n") + 1) / F.lit(float(total + distinct + 1)))).alias("value"))
+    # a block that asked in several pieces may get an answer twice, which changes nothing
+    answers = runs.select("block", F.col("run").alias("key")).join(priced.withColumnRenamed("run", "key").withColumnRenamed("price", "value"), "key")
+    answers = answers.unionByName(words.select("block", "key").join(values, "key"))
+    scored = score_blocks(blocked, staged(answers.select("block", "key", "value"), "answers"), log_of(0))
+    end = log_of(texts)
     return scored.select(
         "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", (F.col("n_known") + int(texts > 0)).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base_score") + end).alias("base_score"), "score", (-F.col("score") * float(np.log2(10)) / F.greatest(F.col("n_bytes"), F.lit(1))).alias("bits_per_byte"),
