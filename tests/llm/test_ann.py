@@ -1,6 +1,7 @@
 """Neighbours against brute force."""
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from voxelkeel.llm import ann
@@ -67,3 +68,26 @@ def test_odd_rows(spark):
 def test_parts_are_balanced():
     points = np.random.default_rng(0).normal(size=(1000, 5))
     assert len(ann.halve(points, 40, np.random.default_rng(0))) == 32
+
+
+def test_recall_with_many_lists(spark):
+    """Thousand lists, of which none need be near: far more than a fixed number of lists must be read."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(100_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)}))
+    asked = np.arange(0, len(x), 250)
+    score = x[asked] @ x.T
+    score[np.arange(len(asked)), asked] = -2
+    want = {int(q): [(int(v), 0.0) for v in np.argpartition(-s, 20)[:20]] for q, s in zip(asked, score)}
+    got = collect(ann.nearest_neighbours(df, F.col("vec_id") % 250 == 0))
+    assert got.keys() == want.keys()
+    assert recall_of(got, want) > 0.95
+
+
+def test_boundary_vectors_are_written_to_several_lists():
+    x = np.random.default_rng(3).normal(size=(20_000, 64))
+    graph = ann.CentroidGraph(np.array(ann.halve(x, 100, np.random.default_rng(0))))
+    found, apart = graph.search(x[:500], 3 * ann.REPLICAS)
+    copies = ann.spread_out(graph, found, apart, ann.REPLICAS, ann.WRITE_RATIO).sum(axis=1)
+    assert copies.mean() > 1.5 and copies.max() <= ann.REPLICAS
