@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import io
+import random
 
 import pytest
 
@@ -57,3 +58,11 @@ def test_only_members_with_warc_headers_count():
     for start in range(len(raw) - len(good)):
         found = list(warc.records_in_range(io.BytesIO(raw), start, len(raw)))
         assert [at for at, _, _ in found] == ([raw.index(good)] if start <= raw.index(good) else [])
+
+
+def test_header_of_any_length():
+    url = "http://x/" + random.Random(2).randbytes(3 << 20).hex()
+    first, second = warc.record_member(1, url, b"payload", None, False), warc.record_member(2, "u", b"next", None, False)
+    found = list(warc.records_in_range(io.BytesIO(first + second), 0, len(first) + len(second)))
+    assert [at for at, _, _ in found] == [0, len(first)]
+    assert found[0][1]["warc-target-uri"] == url and found[0][2].endswith(b"payload")

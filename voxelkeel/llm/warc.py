@@ -8,7 +8,7 @@ that start in its range, reading over the range's end to finish the last one.
 Defined results: a null payload is empty; rows with a null key are written with the record id
 ``<urn:page:none:...>`` and read back with a null key; equal rows are equal records (rows that share the
 largest key of their payload are all responses); an empty table gives no file and no record; other
-columns of the input are ignored. Payloads of any length pass as a whole, one at a time.
+columns of the input are ignored. Headers and payloads of any length pass as a whole, one record at a time.
 """
 
 from __future__ import annotations
@@ -35,7 +35,6 @@ FILE_BYTES = 128 << 20
 #: Bytes of a range that one reading task owns.
 SPLIT_BYTES = 4 << 20
 CHUNK = 1 << 20
-HEADER_LIMIT = 1 << 20
 
 MANIFEST = "path string, bytes long, records long"
 RECORDS = (
@@ -153,7 +152,7 @@ def _member_at(window: _Window, at: int) -> tuple[dict[str, str], bytes, int] |
     """Headers and block of the record in the gzip member at ``at``, and the place behind it; None if there is none."""
     unpack = zlib.decompressobj(31)
     raw, place, header_end = [], at, -1
-    head = b""
+    head = bytearray()
     while not unpack.eof:
         window.fill(place + 1)
         part = window.data[place - window.start : place - window.start + (1 << 16)]
@@ -166,12 +165,11 @@ def _member_at(window: _Window, at: int) -> tuple[dict[str, str], bytes, int] |
         place += len(part)
         raw.append(got)
         if header_end < 0:
+            seen = max(0, len(head) - 3)
             head += got
             if not head.startswith(VERSION[: len(head)][: len(VERSION)]):
                 return None
-            header_end = head.find(b"\r\n\r\n")
-            if header_end < 0 and len(head) > HEADER_LIMIT:
-                return None
+            header_end = head.find(b"\r\n\r\n", seen)
     if header_end < 0:
         return None
     place -= len(unpack.unused_data)
