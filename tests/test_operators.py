@@ -434,3 +434,36 @@ def test_recordings_deep_down_and_beside_zarr(spark):
     rows = [("/mnt/a/b/c/d/e/f/g/h/i/rec1/info.rhd", False), ("/mnt/x.zarr/info.rhd", False), ("/mnt/x.zarr", True), ("/mnt/my.zarr_export/rec2/info.rhd", False), ("/other/rec3/info.rhd", False)]
     got = {r.dir for r in SR.find_recordings(make(spark, "path string, is_dir boolean", rows), root="/mnt").collect()}
     assert got == {"/mnt/a/b/c/d/e/f/g/h/i/rec1", "/mnt/my.zarr_export/rec2"}
+
+
+def test_section_overlaps_over_all_orientations(spark):
+    """Each of the 18 turns and mirrors alone, and the best of them, against bitmaps turned pixel by pixel."""
+    width, height, turns = 16, 12, [float(a) for a in range(-12, 13, 3)]
+    rng = np.random.default_rng(5)
+    shapes = {k: rng.random((height, width)) < 0.5 for k in range(4)}
+
+    def turned(shape, turn, mirror):
+        cx, cy, a = (width - 1) / 2, (height - 1) / 2, np.radians(turn)
+        oy, ox = np.mgrid[:height, :width]
+        x = np.rint(cx + np.cos(a) * (ox - cx) - np.sin(a) * (oy - cy)).astype(int)
+        y = np.rint(cy + np.sin(a) * (ox - cx) + np.cos(a) * (oy - cy)).astype(int)
+        x = width - 1 - x if mirror else x
+        inside = (x >= 0) & (x < width) & (y >= 0) & (y < height)
+        return inside & shape[np.clip(y, 0, height - 1), np.clip(x, 0, width - 1)]
+
+    pixels = make(spark, "pair long, section long, x int, y int", [(0, k, int(x), int(y)) for k, s in shapes.items() for y, x in zip(*np.nonzero(s))])
+    targets = M.outline_bitmaps(pixels.filter("section < 2"), ["pair", "section"], width=width, height=height, turns=turns, mirrors=(False, True)).cache()
+    references = M.outline_bitmaps(pixels.filter("section >= 2"), ["pair", "section"], width=width, height=height).cache()
+    own = targets.selectExpr("pair", "section * 1000 + cast(turn + 100 as long) * 2 + cast(mirror as long) as section", "turn", "mirror", "bits")
+    single = {(r.section, r.reference): r.overlap for r in M.section_overlaps(own, references).collect()}
+    best = {(r.section, r.reference): r for r in M.section_overlaps(targets, references).collect()}
+    assert len(single) == 2 * 18 * 2 and len(best) == 4
+    for t, r in itertools.product((0, 1), (2, 3)):
+        want = {}
+        for mirror, turn in itertools.product((False, True), turns):
+            b = turned(shapes[t], turn, mirror)
+            want[mirror, turn] = (b & shapes[r]).sum() / (b | shapes[r]).sum()
+            assert abs(single[t * 1000 + int(turn + 100) * 2 + mirror, r] - want[mirror, turn]) < 1e-12
+        top = max(want.values())
+        assert abs(best[t, r].overlap - top) < 1e-12
+        assert (best[t, r].mirror, best[t, r].turn) == min(o for o, v in want.items() if v >= top - 1e-12)
