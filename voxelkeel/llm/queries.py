@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from voxelkeel.llm import ann, ctw, jaccard, langid, mixing, packing, quality, rules, subdedup, warc
+from voxelkeel.llm import ann, ctw, jaccard, langid, mixing, packing, quality, repair, rules, subdedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,6 +76,11 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_digests(repair.damage_conversations(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+
+
 ORACLES["op2_quality_rules"] = """
 WITH d AS (
     SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
@@ -182,6 +187,62 @@ SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(kept.text, '') END A
        coalesce(removed_start, [])::BIGINT[] AS removed_start, coalesce(removed_end, [])::BIGINT[] AS removed_end, coalesce(kept_doc_id, [])::BIGINT[] AS kept_doc_id
 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN summed USING (doc_id)
 """
+ORACLES["op12_conversation_repair"] = """
+WITH RECURSIVE keyed AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k
+    FROM conversations
+), summed AS (
+    SELECT k, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length(k) + 1),
+               lambda i: [ascii(substr(k, i, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+               lambda c, o: CASE WHEN o >= 0 THEN xor(c, o) ELSE xor(c >> 1, 3988292384::BIGINT * (c & 1)) END), 4294967295::BIGINT) % 20 AS draw
+    FROM (SELECT DISTINCT k FROM keyed)
+), damaged AS (
+    SELECT conv_id, turn, CASE WHEN draw = 4 THEN 'user' ELSE role END AS role,
+           CASE draw WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+           unnest(range(CASE draw WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+    FROM keyed JOIN summed USING (k)
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged
+), faulty AS (
+    SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank'
+                   WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                   WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 'truncated' ELSE '' END AS fault,
+           lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before
+    FROM placed
+), inserts(a, b, letters, spent, said) AS (
+    VALUES (0, 0, '', 0, ''), (1, 1, '', 0, ''), (2, 2, '', 0, ''), (3, 3, '', 0, ''),
+           (0, 2, 'I', 5, 'user:' || chr(10)), (1, 2, 'I', 5, 'user:' || chr(10)), (2, 3, 'I', 5, 'assistant:' || chr(10)), (3, 2, 'I', 5, 'user:' || chr(10)),
+           (0, 3, 'II', 10, 'user:' || chr(10) || 'assistant:' || chr(10)), (1, 3, 'II', 10, 'user:' || chr(10) || 'assistant:' || chr(10)),
+           (2, 2, 'II', 10, 'assistant:' || chr(10) || 'user:' || chr(10)), (3, 3, 'II', 10, 'user:' || chr(10) || 'assistant:' || chr(10))
+), edits(a, b, letter, initial) AS (
+    VALUES (0, 0, 'D', ''), (1, 1, 'D', ''), (2, 2, 'D', ''), (3, 3, 'D', ''), (0, 2, 'R', 'user'), (1, 2, 'R', 'user'), (2, 3, 'R', 'assistant'), (3, 2, 'R', 'user'),
+           (0, 1, 'K', 's'), (0, 2, 'K', 'u'), (1, 2, 'K', 'u'), (2, 3, 'K', 'a'), (3, 2, 'K', 'u')
+), survivors(conv_id, i, state, best) AS (
+    SELECT DISTINCT conv_id, 0::BIGINT, 0, {'cost': 0, 'audit': '', 'said': ''} FROM conversations
+    UNION ALL
+    SELECT s.conv_id, s.i + 1, e.b, min({
+        'cost': s.best.cost + n.spent + CASE e.letter WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END + CASE WHEN f.fault = 'truncated' AND e.letter <> 'D' THEN 5 ELSE 0 END,
+        'audit': s.best.audit || n.letters || e.letter,
+        'said': s.best.said || n.said || CASE e.letter WHEN 'D' THEN '' WHEN 'R' THEN e.initial || ':' || f.text || chr(10) ELSE f.role || ':' || f.text || chr(10) END})
+    FROM survivors s JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.i = s.i + 1
+        JOIN inserts n ON n.a = s.state JOIN edits e ON e.a = n.b
+    WHERE (e.letter = 'D' OR f.fault NOT IN ('blank', 'duplicate')) AND (e.letter <> 'K' OR substr(f.role, 1, 1) = e.initial)
+    GROUP BY s.conv_id, s.i, e.b
+), counted AS (
+    SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) AS n, count(*) FILTER (fault = 'blank') AS blank,
+           count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+           count(*) FILTER (before || substr(role, 1, 1) NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM faulty GROUP BY conv_id
+), ended AS (
+    SELECT s.conv_id, min({'cost': s.best.cost + n.spent, 'audit': s.best.audit || n.letters, 'said': s.best.said || n.said}) AS best
+    FROM survivors s LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM s.conv_id JOIN inserts n ON n.a = s.state
+    WHERE s.i = coalesce(c.n, 0) AND n.b IN (0, 3) GROUP BY s.conv_id
+)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, best.cost::BIGINT AS cost, best.audit AS audit,
+       sha256(left(best.said, greatest(length(best.said) - 1, 0))) AS repaired_sha256
+FROM ended e LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
 
 
 @query
