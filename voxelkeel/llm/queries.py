@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from voxelkeel.llm import ann, ctw, jaccard, langid, mixing, packing, quality, repair, rules, subdedup, warc
+from voxelkeel.llm import alignment, ann, ctw, jaccard, langid, mixing, packing, quality, repair, rules, subdedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,6 +76,11 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_digests(repair.damage_conversations(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
