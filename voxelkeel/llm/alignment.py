@@ -39,13 +39,13 @@ from voxelkeel.llm.common import staged
 from voxelkeel.llm.packing import byte_letters
 
 #: Pairs whose counts every task gets, and pieces a worker keeps.
-KNOWN_PAIRS, KEPT_PIECES = 1 << 20, 600_000
+KNOWN_PAIRS, KEPT_PIECES = 1 << 20, 300_000
 #: A pair of ids as one number: A's id times this plus B's.
 B_IDS = 1 << 20
 #: Pieces that are aligned at a time.
 BLOCK_ROWS = 2000
 #: Characters of texts that are read at a time, and links that are counted at a time.
-BLOCK_CHARS, BLOCK_LINKS = 4 << 20, 4_000_000
+BLOCK_CHARS, BLOCK_LINKS = 2 << 20, 1_000_000
 #: A space at an end of the text or in front of white space.
 ODD_SPACE = re.compile(r"(?:^| )(?:\s|\Z)")
 
@@ -256,30 +256,38 @@ def linked_texts(docs: DataFrame, a_path: str | None = None, b_path: str | None
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(align, TEXTS)
 
 
-def _pairs(batch: pa.RecordBatch) -> np.ndarray:
-    """All links of a batch as one array of pairs."""
-    a, b = (batch.column(batch.schema.get_field_index(c)).flatten().to_numpy(zero_copy_only=False) for c in ("a", "b"))
-    return a.astype(np.int64) * B_IDS + b
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Runs of rows with about ``BLOCK_LINKS`` links, a row at least, and their links as one array of pairs."""
+    for batch in batches:
+        ends = np.cumsum(batch.column("n_links").to_numpy())
+        begin = 0
+        while begin < batch.num_rows:
+            before = ends[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, before + BLOCK_LINKS, "right")))
+            part = batch.slice(begin, end - begin)
+            pairs = part.column("a").flatten().to_numpy().astype(np.int64)
+            pairs *= B_IDS
+            pairs += part.column("b").flatten().to_numpy()
+            yield part, pairs
+            begin = end
 
 
 def pair_counts(texts: DataFrame) -> DataFrame:
-    """How many links hold each pair of ids linked, over all ``texts`` (a, b): pair, links."""
+    """How many links hold each pair of ids linked, over all ``texts`` (n_links, a, b): pair, links."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def summed() -> pa.RecordBatch:
-            found, links = np.unique(np.concatenate(waiting), return_counts=True)
-            waiting.clear()
-            return pa.RecordBatch.from_arrays([pa.array(found), pa.array(links)], names=["pair", "links"])
+        found, links = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for _, pairs in _blocks(batches):
+            more, times = np.unique(pairs, return_counts=True)
+            found, place = np.unique(np.concatenate([found, more]), return_inverse=True)
+            old, links = links, np.zeros(len(found), np.int64)
+            np.add.at(links, place, np.concatenate([old, times]))
+            if len(found) > BLOCK_LINKS:
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(links)], names=["pair", "links"])
+                found, links = found[:0], links[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(links)], names=["pair", "links"])
 
-        waiting: list[np.ndarray] = []
-        for batch in batches:
-            waiting.append(_pairs(batch))
-            if sum(map(len, waiting)) > BLOCK_LINKS:
-                yield summed()
-        if waiting:
-            yield summed()
-
-    return texts.select("a", "b").mapInArrow(count, PAIRS).groupBy("pair").agg(F.sum("links").alias("links"))
+    return texts.select("n_links", "a", "b").mapInArrow(count, PAIRS).groupBy("pair").agg(F.sum("links").alias("links"))
 
 
 def with_best(counts: DataFrame) -> DataFrame:
@@ -302,8 +310,7 @@ def align_tokenizers(docs: DataFrame, a_path: str | None = None, b_path: str | N
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, links, best = shared.value
-        for batch in batches:
-            pairs = _pairs(batch)
+        for batch, pairs in _blocks(batches):
             cuts = np.concatenate([[0], np.cumsum(batch.column("n_links").to_numpy())])
             if len(known):
                 at = np.minimum(np.searchsorted(known, pairs), len(known) - 1)
