@@ -39,9 +39,7 @@ from voxelkeel.llm.common import staged
 from voxelkeel.llm.packing import byte_letters
 
 #: Pairs whose counts every task gets, and pieces a worker keeps.
-KNOWN_PAIRS, KEPT_PIECES = 1 << 20, 300_000
-#: A pair of ids as one number: A's id times this plus B's.
-B_IDS = 1 << 20
+KNOWN_PAIRS, KEPT_PIECES = 1 << 20, 250_000
 #: Pieces that are aligned at a time.
 BLOCK_ROWS = 2000
 #: Characters of texts that are read at a time, and links that are counted at a time.
@@ -49,8 +47,12 @@ BLOCK_CHARS, BLOCK_LINKS = 2 << 20, 1_000_000
 #: A space at an end of the text or in front of white space.
 ODD_SPACE = re.compile(r"(?:^| )(?:\s|\Z)")
 
+#: Texts that A's splitting rule cuts into letters, stops and line ends only, and those parts.
+PLAIN = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-ÿ.,!?;:]++|\n(?!\n|\Z))++")
+PARTS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[.,!?;:]+|\n")
+
 PAIRS = "pair long, links long"
-TEXTS = "row_id long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, a array<int>, b array<int>"
+TEXTS = "row_id long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary"
 SCORED = "row_id long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long, rest array<long>"
 
 
@@ -96,14 +98,43 @@ class Vocabularies:
             piece = self.b.id_to_piece(i)
             byte = single.fullmatch(piece)
             self.b_bytes.append(bytes([int(byte[1], 16)]) if byte else piece.replace("▁", " ").encode())
+        # ids as text, and pairs of ids as one number
+        self.a_text, self.b_text = (list(map(str, range(len(x)))) for x in (self.a_bytes, self.b_bytes))
+        self.b_ids = len(self.b_bytes)
+        self.kind = np.dtype("<u4" if len(self.a_bytes) * self.b_ids <= 1 << 32 else "<u8")
+        self.letters = byte_letters()
+        #: ids of short parts, stops above all
+        self.stops: dict[str, list[int]] = {}
         self.a_size = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_size = np.array([len(x) for x in self.b_bytes], np.int64)
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of both for each text, without the space that A is given in front and B adds."""
-        a = [e.ids for e in self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+        tokenize = self.a.model.tokenize
+        a: list = []
+        for text in texts:
+            if text.isascii() and text.isalpha():
+                a.append([t.id for t in tokenize("Ġ" + text)])
+            else:
+                a.append(self._by_parts(text) if PLAIN.fullmatch(text) else None)
+        rest = [k for k, ids in enumerate(a) if ids is None]
+        for k, found in zip(rest, self.a.encode_batch([" " + texts[k] for k in rest], add_special_tokens=False)):
+            a[k] = found.ids
         return a, self.b.encode(texts, num_threads=1)
 
+    def _by_parts(self, text: str) -> list[int]:
+        """A's ids of a text of plain letters, stops and single line ends, which A takes apart before it joins bytes."""
+        ids: list[int] = []
+        for part in PARTS.findall(" " + text):
+            found = self.stops.get(part)
+            if found is None:
+                mapped = "".join([self.letters[b] for b in part.encode()])
+                found = [t.id for t in self.a.model.tokenize(mapped)]
+                if len(part) <= 2:
+                    self.stops[part] = found
+            ids += found
+        return ids
+
 
 class Grown:
     """A numpy array that values are added to."""
@@ -142,11 +173,11 @@ class Aligned:
         a_start, b_start = a_end - v.a_size[a], b_end - v.b_size[b]
         group = coalesce_intervals(np.concatenate([a_start, b_start]), np.concatenate([a_end, b_end]))
         left, right = overlapping(a_start, a_end, b_start, b_end)
-        self.links = a[left] * B_IDS + b[right]
+        self.links = a[left] * v.b_ids + b[right]
         n_groups = int(group.max()) + 1 if len(group) else 0
         numbers = np.arange(n_groups + 1)
         a_cut, b_cut = np.searchsorted(group[: len(a)], numbers).tolist(), np.searchsorted(group[len(a) :], numbers).tolist()
-        xs, ys = list(map(str, a_list)), list(map(str, b_list))
+        xs, ys = list(map(v.a_text.__getitem__, a_list)), list(map(v.b_text.__getitem__, b_list))
         parts = [f"{','.join(xs[p:q])}|{','.join(ys[r:s])}" for p, q, r, s in zip(a_cut, a_cut[1:], b_cut, b_cut[1:])]
         a_at, b_at = (np.cumsum([0, *map(len, x)]) for x in (a_ids, b_ids))
         group_at = np.append(group[: len(a)], n_groups)[a_at]
@@ -229,10 +260,11 @@ def _store(a_path: str | None, b_path: str | None) -> Pieces:
 
 
 def linked_texts(docs: DataFrame, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
-    """Counts, groups and links of each row of ``docs`` (doc_id, text); link k joins ids ``a[k]`` and ``b[k]``."""
+    """Counts, groups and links of each row of ``docs`` (doc_id, text); ``pairs`` holds A's id times the number of B's ids plus B's id of each link."""
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = _store(a_path, b_path)
+        kind = store.vocabularies.kind
         next_row = TaskContext.get().partitionId() << 36
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -243,11 +275,11 @@ def linked_texts(docs: DataFrame, a_path: str | None = None, b_path: str | None
                     chars += len(texts[end] or "")
                     end += 1
                 found = store.texts(texts[begin:end])
-                sizes = np.cumsum([0, *(len(links) for _, _, links in found)]).astype(np.int32)
-                links = np.concatenate([links for _, _, links in found])
+                sizes = np.cumsum([0, *(len(links) for _, _, links in found)])
+                links = np.concatenate([links for _, _, links in found]).astype(kind)
                 digests = [hashlib.sha256(groups.encode()).hexdigest() if groups else "" for _, groups, _ in found]
                 columns = [pa.array(range(next_row, next_row + len(found)), pa.int64()), pa.array(ids[begin:end], pa.int64()), *(pa.array([n[k] for n, _, _ in found], pa.int64()) for k in range(4)), pa.array(digests)]
-                columns += [pa.ListArray.from_arrays(pa.array(sizes), pa.array(x.astype(np.int32))) for x in (links // B_IDS, links % B_IDS)]
+                columns.append(pa.BinaryArray.from_buffers(pa.binary(), len(found), [None, pa.py_buffer((sizes * kind.itemsize).astype(np.int32)), pa.py_buffer(links)]))
                 yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in TEXTS.split(", ")])
                 next_row, begin = next_row + len(found), end
                 if len(store) > KEPT_PIECES:
@@ -256,7 +288,7 @@ def linked_texts(docs: DataFrame, a_path: str | None = None, b_path: str | None
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(align, TEXTS)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+def _blocks(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """Runs of rows with about ``BLOCK_LINKS`` links, a row at least, and their links as one array of pairs."""
     for batch in batches:
         ends = np.cumsum(batch.column("n_links").to_numpy())
@@ -265,19 +297,18 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             before = ends[begin - 1] if begin else 0
             end = max(begin + 1, int(np.searchsorted(ends, before + BLOCK_LINKS, "right")))
             part = batch.slice(begin, end - begin)
-            pairs = part.column("a").flatten().to_numpy().astype(np.int64)
-            pairs *= B_IDS
-            pairs += part.column("b").flatten().to_numpy()
-            yield part, pairs
+            column = part.column("pairs")
+            at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+            yield part, np.frombuffer(column.buffers()[2], kind)[at[0] // kind.itemsize : at[-1] // kind.itemsize].astype(np.int64)
             begin = end
 
 
-def pair_counts(texts: DataFrame) -> DataFrame:
-    """How many links hold each pair of ids linked, over all ``texts`` (n_links, a, b): pair, links."""
+def pair_counts(texts: DataFrame, kind: np.dtype) -> DataFrame:
+    """How many links hold each pair of ids linked, over all ``texts`` (n_links, pairs): pair, links."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, links = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for _, pairs in _blocks(batches):
+        for _, pairs in _blocks(batches, kind):
             more, times = np.unique(pairs, return_counts=True)
             found, place = np.unique(np.concatenate([found, more]), return_inverse=True)
             old, links = links, np.zeros(len(found), np.int64)
@@ -287,12 +318,12 @@ def pair_counts(texts: DataFrame) -> DataFrame:
                 found, links = found[:0], links[:0]
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(links)], names=["pair", "links"])
 
-    return texts.select("n_links", "a", "b").mapInArrow(count, PAIRS).groupBy("pair").agg(F.sum("links").alias("links"))
+    return texts.select("n_links", "pairs").mapInArrow(count, PAIRS).groupBy("pair").agg(F.sum("links").alias("links"))
 
 
-def with_best(counts: DataFrame) -> DataFrame:
+def with_best(counts: DataFrame, b_ids: int) -> DataFrame:
     """``counts`` with ``best``: no pair of the same B id has more links."""
-    b = F.col("pair") % B_IDS
+    b = F.col("pair") % b_ids
     most = counts.groupBy(b.alias("b")).agg(F.max("links").alias("most"))
     return counts.withColumn("b", b).join(most, "b").select("pair", "links", (F.col("links") == F.col("most")).alias("best"))
 
@@ -300,17 +331,19 @@ def with_best(counts: DataFrame) -> DataFrame:
 def align_tokenizers(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, known_pairs: int = KNOWN_PAIRS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): counts of tokens, groups and links, links that are their B id's most frequent, and a hash of the groups.
 
-    ``a_path`` and ``b_path`` are vocabulary files that every executor has; the public ones if none are
+    ``a_path`` and ``b_path`` are vocabulary files that the driver and every executor have; the public ones if none are
     given. At most ``known_pairs`` counts are sent to the tasks; others are joined.
     """
+    vocabularies = _store(a_path, b_path).vocabularies
+    kind, b_ids = vocabularies.kind, vocabularies.b_ids
     texts = staged(linked_texts(docs, a_path, b_path), "linked")
-    counts = staged(with_best(staged(pair_counts(texts), "pairs")), "counts")
+    counts = staged(with_best(staged(pair_counts(texts, kind), "pairs"), b_ids), "counts")
     top = counts.orderBy(F.desc("links"), "pair").limit(known_pairs).toPandas().sort_values("pair")
     shared = docs.sparkSession.sparkContext.broadcast((top.pair.to_numpy(np.int64), top.links.to_numpy(np.int64), top.best.to_numpy(bool)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, links, best = shared.value
-        for batch, pairs in _blocks(batches):
+        for batch, pairs in _blocks(batches, kind):
             cuts = np.concatenate([[0], np.cumsum(batch.column("n_links").to_numpy())])
             if len(known):
                 at = np.minimum(np.searchsorted(known, pairs), len(known) - 1)
