@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from voxelkeel.llm import alignment, ann, ctw, jaccard, langid, mixing, packing, quality, repair, rules, subdedup, warc
+from voxelkeel.llm import alignment, ann, ctw, htmlwrap, jaccard, langid, mixing, packing, quality, repair, rules, subdedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,6 +86,11 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_digests(repair.damage_conversations(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
 
 
+@query
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlwrap.main_texts(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 ORACLES["op2_quality_rules"] = """
 WITH d AS (
     SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
@@ -248,6 +253,16 @@ SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT
        sha256(left(best.said, greatest(length(best.said) - 1, 0))) AS repaired_sha256
 FROM ended e LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
 """
+#: The given pages share one template, which SQL can read off; other templates are tested by hand.
+ORACLES["op13_html_extraction"] = """
+WITH a AS (
+    SELECT page_id, url, regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS body
+    FROM pages
+), d AS (
+    SELECT page_id, url, trim(regexp_replace(replace(replace(replace(body, '&quot;', '"'), '&amp;', '&'), '&amp', '&'), '\\s+', ' ', 'g')) AS text FROM a
+)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM d
+"""
 
 
 @query
