@@ -1,58 +1,89 @@
-"""Line dedup against a plain Python pass."""
+"""Dedup of lines and clauses against a plain Python pass."""
 
 import random
+import re
+
+from pyspark.sql import functions as F
 
 from voxelkeel.llm import subdedup
 
+COLUMNS = ["doc_id", "text", "n_units", "n_removed", "n_repeated", "removed_start", "removed_end", "kept_doc_id"]
+
+
+def cut_up(text):
+    """(start, end, words) of every unit, word by word."""
+    words = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text or "")]
+    out, begin = [], 0
+    for k, (_, end) in enumerate(words):
+        behind = text[end : words[k + 1][0]] if k + 1 < len(words) else "\n"
+        if text[end - 1] in ".!?,;:" or "\n" in behind:
+            stop = words[k + 1][0] if k + 1 < len(words) else len(text)
+            out.append((words[begin][0], stop, tuple(text[a:b].encode().lower() for a, b in words[begin : k + 1])))
+            begin = k + 1
+    return out
+
 
 def brute(rows, min_words):
     """Rows are (doc_id, text) with distinct ids; a None id ranks last."""
-    seen: dict = {}
     order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
-    out = [None] * len(rows)
+    units = [cut_up(text) for _, text in rows]
+    seen, count, marks = {}, {}, {}
     for k in order:
-        doc_id, text = rows[k]
-        lines = text.split("\n") if text else []
-        marked = {}
-        for i, line in enumerate(lines):
-            plain = subdedup.normal(line)
-            if plain and plain in seen:
-                marked[i] = seen[plain]
-            elif plain:
-                seen[plain] = doc_id
-        gone, starts, ends, kept = set(), [], [], []
-        i = 0
-        while i < len(lines):
-            if i not in marked:
-                i += 1
-                continue
-            j, run = i, []
-            while j < len(lines) and (j in marked or not subdedup.normal(lines[j])):
-                run += [j] if j in marked else []
+        for i, (_, _, words) in enumerate(units[k]):
+            count[words] = count.get(words, 0) + 1
+            if words in seen:
+                marks[k, i] = seen[words]
+            else:
+                seen[words] = rows[k][0]
+
+    def runs(k, is_marked):
+        i, out = 0, []
+        while i < len(units[k]):
+            j = i
+            while j < len(units[k]) and is_marked(j):
                 j += 1
-            if sum(len(lines[r].split()) for r in run) >= min_words:
-                gone |= set(range(run[0], run[-1] + 1))
-                starts.append(sum(len(x) + 1 for x in lines[: run[0]]))
-                ends.append(sum(len(x) + 1 for x in lines[: run[-1]]) + len(lines[run[-1]]))
-                kept.append(marked[run[0]])
-            i = j
-        out[k] = (doc_id, None if text is None else "\n".join(x for i, x in enumerate(lines) if i not in gone), sum(bool(subdedup.normal(x)) for x in lines), sum(bool(subdedup.normal(lines[i])) for i in gone), starts, ends, kept)
+            if sum(len(u[2]) for u in units[k][i:j]) >= min_words:
+                out.append((i, j - 1))
+            i = max(j, i + 1)
+        return out
+
+    out = []
+    for k, (doc_id, text) in enumerate(rows):
+        gone = runs(k, lambda i: (k, i) in marks)
+        spans = [(units[k][a][0], units[k][b][1]) for a, b in gone]
+        left = text
+        for a, b in reversed(spans):
+            left = left[:a] + left[b:]
+        repeated = sum(b - a + 1 for a, b in runs(k, lambda i: count[units[k][i][2]] > 1))
+        out.append((doc_id, left, len(units[k]), sum(b - a + 1 for a, b in gone), repeated, [a for a, _ in spans], [b for _, b in spans], [marks[k, a] for a, _ in gone]))
     return sorted(out, key=str)
 
 
 def test_against_brute_force(spark):
     rng = random.Random(4)
-    lines = [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.choice([1, 3, 9, 30]))) for _ in range(60)] + ["", "  ", "Größe é"]
-    rows = [(k, "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 12)))) for k in range(150)] + [(900, None), (901, ""), (902, "\n\n"), (None, lines[3] + "\n" + lines[4].upper()), (903, (lines[2] + "\n") * 3000)]
+    parts = [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.choice([1, 3, 9, 30]))) + rng.choice(["", ".", ",", "\n", " \n\n ", ";\t"]) for _ in range(60)] + ["", "  ", "Größe é.", "\n"]
+    rows = [(k, " ".join(rng.choice(parts) for _ in range(rng.randint(1, 12)))) for k in range(150)] + [(900, None), (901, ""), (902, "\n\n"), (None, parts[3] + "\n" + parts[4].upper()), (903, (parts[2] + "\n") * 3000)]
     df = spark.createDataFrame([(t, d, "extra", 5) for d, t in rows], "text string, doc_id long, `a b` string, n_units int").repartition(4)
     out = subdedup.remove_repeats(df, 8)
-    assert out.columns == ["text", "doc_id", "a b", "n_units", "n_removed", "removed_start", "removed_end", "kept_doc_id"]
-    got = sorted((tuple(r) for r in out.select("doc_id", "text", "n_units", "n_removed", "removed_start", "removed_end", "kept_doc_id").collect()), key=str)
+    assert out.columns == ["text", "doc_id", "a b", *COLUMNS[2:]]
+    got = sorted((tuple(r) for r in out.select(COLUMNS).collect()), key=str)
     assert got == brute(rows, 8)
-    for doc_id, text, _, _, starts, ends, _ in got:
-        whole = dict(rows)[doc_id]
-        for a, b in zip(starts, ends):
-            assert subdedup.normal(whole[a:b])
+    assert any(r[3] for r in got) and any(r[4] > r[3] for r in got)
+
+
+def test_passage_inside_lines(spark):
+    """A passage of 55 words spliced into lines goes, but for the clauses it is cut in at its ends."""
+    rng = random.Random(9)
+    fresh = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(7)) + ("," if k % 8 == 7 else "") for k in range(n))
+    passage = fresh(55)
+    rows = [(k, f"{fresh(20)} {passage} {fresh(20)}.\n{fresh(30)}") for k in range(6)] + [(k, fresh(90)) for k in range(6, 12)]
+    out = {r.doc_id: r for r in subdedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [out[k].n_removed > 0 for k in range(12)] == [False] + [True] * 5 + [False] * 6
+    assert all(out[k].n_repeated > 0 for k in range(6)) and not any(out[k].n_repeated for k in range(6, 12))
+    for k in range(1, 6):
+        (a,), (b,) = out[k].removed_start, out[k].removed_end
+        whole = dict(rows)[k]
+        assert out[k].text == whole[:a] + whole[b:] and 40 <= len(whole[a:b].split()) <= 55 and whole[a:b].strip() in passage
 
 
 def test_hot_line_repeated_rows_and_empty_table(spark):
@@ -66,3 +97,14 @@ def test_hot_line_repeated_rows_and_empty_table(spark):
     copies = subdedup.remove_repeats(spark.createDataFrame([(1, hot), (1, hot)], "doc_id long, text string"), 5).collect()
     assert [r.text for r in copies] == [hot, hot]
     assert subdedup.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_clashing_columns_stay(spark):
+    line = "a line that both of the two documents have in full"
+    names = ["text_key", "marks", "marked_id", "marked_key", "cut", "_id", "_key", "_text", "_row", "_cut", "_marks", "_of", "unit", "digest", "rank"]
+    df = spark.createDataFrame([(1, line), (2, line + "\nmore")], "doc_id long, text string")
+    for name in names:
+        df = df.withColumn(name, F.lit(f"given {name}"))
+    out = subdedup.remove_repeats(df, 5).orderBy("doc_id").collect()
+    assert [r.text for r in out] == [line, "more"]
+    assert all(r[name] == f"given {name}" for r in out for name in names)

@@ -170,32 +170,33 @@ FROM d LEFT JOIN sizes USING (doc_id) JOIN reach ON reach.a = d.doc_id GROUP BY
 """
 ORACLES["op7_substring_dedup"] = """
 WITH d AS (
-    SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents
+    SELECT doc_id, text, regexp_extract_all(text, '(?:[^\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D.!?,;:][\\x20\\x09\\x0B-\\x0D]+)*[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*') AS units,
+           length(text) - length(ltrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS lead
+    FROM documents
 ), l AS (
-    SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d
+    SELECT doc_id, lead, unnest(units) AS unit, generate_subscripts(units, 1) AS i FROM d
 ), n AS (
-    SELECT *, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS plain,
-           coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+    SELECT *, trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS plain,
+           lead + coalesce(sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
     FROM l
 ), ranked AS (
-    SELECT *, row_number() OVER u > 1 AS marked, first_value(doc_id) OVER u AS keeper
-    FROM n WHERE plain <> '' WINDOW u AS (PARTITION BY plain ORDER BY doc_id, i)
+    SELECT *, row_number() OVER u > 1 AS marked, first_value(doc_id) OVER u AS keeper, count(*) OVER (PARTITION BY plain) > 1 AS twice
+    FROM n WINDOW u AS (PARTITION BY plain ORDER BY doc_id, i)
 ), grouped AS (
-    SELECT *, sum((NOT marked)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM ranked
+    SELECT *, sum((NOT marked)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run, sum((NOT twice)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run_of_twice FROM ranked
 ), runs AS (
-    SELECT doc_id, run, min(i) AS a, max(i) AS b, min(pos) AS start, max(pos + length(line)) AS stop, arg_min(keeper, i) AS keeper, count(*) AS units
-    FROM grouped WHERE marked GROUP BY doc_id, run HAVING sum(len(string_split(plain, ' '))) >= 25
-), gone AS (
-    SELECT n.doc_id, n.i FROM n JOIN runs ON n.doc_id = runs.doc_id AND n.i BETWEEN runs.a AND runs.b
+    SELECT doc_id, run, min(i) AS a, max(i) AS b, min(pos) AS start, max(pos + length(unit)) AS stop, arg_min(keeper, i) AS keeper, count(*) AS units
+    FROM grouped WHERE marked GROUP BY doc_id, run HAVING sum(len(string_split(plain, ' '))) >= 30
+), again AS (
+    SELECT doc_id, sum(units) AS n_repeated FROM (SELECT doc_id, count(*) AS units FROM grouped WHERE twice GROUP BY doc_id, run_of_twice HAVING sum(len(string_split(plain, ' '))) >= 30) GROUP BY doc_id
 ), kept AS (
-    SELECT n.doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM n ANTI JOIN gone ON n.doc_id = gone.doc_id AND n.i = gone.i GROUP BY n.doc_id
+    SELECT n.doc_id, string_agg(unit, '' ORDER BY i) AS text FROM n WHERE NOT EXISTS (SELECT 1 FROM runs WHERE n.doc_id = runs.doc_id AND n.i BETWEEN runs.a AND runs.b) GROUP BY n.doc_id
 ), summed AS (
     SELECT doc_id, sum(units) AS n_removed, list(start ORDER BY a) AS removed_start, list(stop ORDER BY a) AS removed_end, list(keeper ORDER BY a) AS kept_doc_id FROM runs GROUP BY doc_id
 )
-SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(kept.text, '') END AS text,
-       coalesce((SELECT count(*) FROM ranked WHERE ranked.doc_id = d.doc_id), 0)::BIGINT AS n_units, coalesce(n_removed, 0)::BIGINT AS n_removed,
+SELECT d.doc_id, left(d.text, d.lead) || coalesce(kept.text, '') AS text, coalesce(len(d.units), 0)::BIGINT AS n_units, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_repeated, 0)::BIGINT AS n_repeated,
        coalesce(removed_start, [])::BIGINT[] AS removed_start, coalesce(removed_end, [])::BIGINT[] AS removed_end, coalesce(kept_doc_id, [])::BIGINT[] AS kept_doc_id
-FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN summed USING (doc_id)
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN summed USING (doc_id) LEFT JOIN again USING (doc_id)
 """
 ORACLES["op12_conversation_repair"] = """
 WITH RECURSIVE keyed AS (

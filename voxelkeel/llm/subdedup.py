@@ -1,20 +1,23 @@
-"""Substring deduplication by line hashing.
+"""Substring deduplication by hashing lines and the clauses within them.
 
-Lines are normalised (A-Z in lower case, runs of white space as one space) and their digests grouped
-over all documents. The earliest occurrence, by document id, then place, stays; every later one is
-marked. Neighbouring marked lines, with blank lines between them, make a run, and a run of at least
-``min_words`` words is taken out; shorter runs, such as a repeated heading, stay. The places of what was
-taken out refer to the text as it was.
+A unit is a line, cut further behind words that end in ``.!?,;:``, so that a passage which begins and ends inside
+lines still holds whole units. Units are normalised (A-Z in lower case, runs of white space as one space) and
+their digests grouped over all documents. The earliest occurrence, by document id, then place, stays; every
+later one is marked. Neighbouring marked units make a run, across line ends too, and a run of at least ``min_words``
+words is taken out with the white space behind it; shorter runs, such as a repeated heading or a
+common clause, stay. The places of what was taken out refer to the text as it was, and the text left is the
+original without them.
 
 Defined results: a null text stays null and an empty one empty, with no units; rows with equal ids and
 texts are one document and treated alike, rows with equal ids and other texts are ranked by a hash of
 the text; a null id ranks last; an empty table gives an empty result; other columns stay as they are,
-and a column called like one that is added is replaced; texts of any length are handled whole.
+whatever their names, and a column called like one that is added is replaced; texts of any length are handled whole.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,96 +27,99 @@ from pyspark.sql import functions as F
 
 from voxelkeel.llm.common import join_keeping_hot, staged
 
-MIN_WORDS = 25
-ADDED = ("n_units", "n_removed", "removed_start", "removed_end", "kept_doc_id")
+MIN_WORDS = 30
+ADDED = ("n_units", "n_removed", "n_repeated", "removed_start", "removed_end", "kept_doc_id")
 UNITS = "doc_id long, text_key long, unit int, digest binary"
+#: Words up to one that ends in a stop, a line or the text, with the white space behind.
+UNIT = re.compile(r"(?:[^\x20\x09-\x0D]*[^\x20\x09-\x0D.!?,;:][\x20\x09\x0B-\x0D]+(?=[^\x20\x09-\x0D]))*+[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
 
-def lines_of(text: str | None) -> list[str]:
-    return text.split("\n") if text else []
+def units_of(text: str | None) -> list[re.Match]:
+    return list(UNIT.finditer(text)) if text else []
 
 
-def normal(line: str) -> bytes:
-    return b" ".join(line.encode("utf-8", "replace").lower().split())
+def normal(unit: str) -> bytes:
+    return b" ".join(unit.encode("utf-8", "replace").lower().split())
 
 
-def line_units(docs: DataFrame) -> DataFrame:
-    """A row for every line with a word: doc_id, text_key, unit (the line's number), digest."""
+def text_units(docs: DataFrame) -> DataFrame:
+    """A row for every unit of ``docs`` (_id, _key, _text): doc_id, text_key, unit (its number), digest."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             at, unit, digest = [], [], []
-            for i, text in enumerate(batch.text):
-                for k, line in enumerate(lines_of(text)):
-                    if plain := normal(line):
-                        at.append(i)
-                        unit.append(k)
-                        digest.append(hashlib.blake2b(plain, digest_size=16).digest())
-            yield pd.DataFrame({"doc_id": batch.doc_id.to_numpy()[at], "text_key": batch.text_key.to_numpy()[at], "unit": np.array(unit, np.int32), "digest": digest}).astype({"doc_id": "Int64"})
+            for i, text in enumerate(batch._2):
+                found = UNIT.findall(text) if text else []
+                at += [i] * len(found)
+                unit += range(len(found))
+                digest += [hashlib.blake2b(normal(u), digest_size=16).digest() for u in found]
+            yield pd.DataFrame({"doc_id": batch._0.to_numpy()[at], "text_key": batch._1.to_numpy()[at], "unit": np.array(unit, np.int32), "digest": digest}).astype({"doc_id": "Int64"})
 
-    return _keyed(docs).select("doc_id", "text_key", "text").mapInPandas(rows, UNITS)
+    return docs.select(F.col("_id").alias("_0"), F.col("_key").alias("_1"), F.col("_text").alias("_2")).mapInPandas(rows, UNITS)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("text_key", F.xxhash64(F.col("text").cast("string"))).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
-
-
-def later_occurrences(units: DataFrame) -> DataFrame:
-    """Units that an earlier one equals: doc_id, text_key, unit, kept_doc_id."""
+def repeated_units(units: DataFrame) -> DataFrame:
+    """Units that occur more than once: doc_id, text_key, unit, later (not the first), kept_doc_id (of the first)."""
     rank = F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), "text_key", "unit")
+    # as a grouping sees it first and last: one row may stand in several equal rows
     ranked = units.withColumn("rank", rank)
     first = ranked.groupBy("digest").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     joined = join_keeping_hot(ranked, first, "digest", "n", units.count())
     kept = F.when(~F.col("first.last"), F.col("first.doc_id"))
-    return joined.filter(F.col("first").isNotNull() & (F.col("rank") != F.col("first"))).select("doc_id", "text_key", "unit", kept.alias("kept_doc_id"))
-
-
-def removed_runs(lines: list[str], marked: dict[int, int | None], min_words: int) -> list[tuple[int, int, int | None]]:
-    """(first line, last line, document that keeps the first) of every run to take out."""
-    runs: list[tuple[int, int, int | None]] = []
-    first = last = None
-    words = 0
-    for k in range(len(lines) + 1):
-        if k < len(lines) and k in marked:
-            first, last = (k if first is None else first), k
-            words += len(lines[k].encode("utf-8", "replace").split())
-        elif k == len(lines) or normal(lines[k]):
-            if first is not None and words >= min_words:
-                runs.append((first, last, marked[first]))
+    return joined.filter(F.col("first").isNotNull()).select("doc_id", "text_key", "unit", (F.col("rank") != F.col("first")).alias("later"), kept.alias("kept_doc_id"))
+
+
+def runs_of(units: list[re.Match], marked: set[int], min_words: int) -> list[tuple[int, int]]:
+    """(first, last) of every run of neighbouring ``marked`` units with at least ``min_words`` words."""
+    runs, first, words = [], None, 0
+    for k in range(len(units) + 1):
+        if k < len(units) and k in marked:
+            first = k if first is None else first
+            words += len(units[k][0].encode("utf-8", "replace").split())
+        elif first is not None:
+            if words >= min_words:
+                runs.append((first, k - 1))
             first, words = None, 0
     return runs
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with later occurrences of repeated lines taken out of the text.
+    """``docs`` (doc_id, text, ...) with later occurrences of repeated passages taken out of the text.
 
-    Adds n_units, n_removed (lines taken out), and for each run taken out its place in the original
-    text (removed_start, removed_end, in characters) and the document that keeps its first line.
+    Adds n_units, n_removed (units taken out), n_repeated (units in passages that stand elsewhere too, kept ones
+    included), and for each run taken out its place in the original text (removed_start, removed_end, in
+    characters) and the document that keeps its first unit.
     """
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ADDED and c != "text_key"])
-    later = later_occurrences(staged(line_units(docs), "units"))
-    marks = later.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("unit", "kept_doc_id")).alias("marks")).withColumnRenamed("doc_id", "marked_id").withColumnRenamed("text_key", "marked_key")
-    keyed = _keyed(docs)
-    joined = keyed.join(marks, keyed["doc_id"].eqNullSafe(marks["marked_id"]) & (keyed["text_key"] == marks["marked_key"]), "left").drop("marked_id", "marked_key", "text_key")
-    fields = {"text": "string", "n_units": "long", "n_removed": "long", "removed_start": "array<long>", "removed_end": "array<long>", "kept_doc_id": "array<long>"}
+    names = [c for c in docs.columns if c not in ADDED]
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
+    whole = whole.withColumn("_key", F.xxhash64("_text"))
+    found = repeated_units(staged(text_units(whole), "units"))
+    marks = found.groupBy(F.col("doc_id").alias("_of"), F.col("text_key").alias("_of_key")).agg(F.collect_set(F.struct("unit", "later", "kept_doc_id")).alias("_marks"))
+    joined = whole.join(marks, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_key") == F.col("_of_key")), "left")
+    fields = {"text": "string", "n_units": "long", "n_removed": "long", "n_repeated": "long", "removed_start": "array<long>", "removed_end": "array<long>", "kept_doc_id": "array<long>"}
     cut_type = ", ".join(f"{k} {v}" for k, v in fields.items())
 
     @F.pandas_udf(cut_type)
     def cut(text: pd.Series, marks: pd.Series) -> pd.DataFrame:
         out = []
-        for whole, marked in zip(text, marks):
-            lines = lines_of(whole)
-            units = sum(bool(normal(line)) for line in lines)
-            runs = removed_runs(lines, {m["unit"]: m["kept_doc_id"] for m in marked}, min_words) if marked is not None and len(marked) else []
-            if not runs:
-                out.append((whole, units, 0, [], [], []))
+        for given, marked in zip(text, marks):
+            units = units_of(given)
+            if marked is None or not len(marked):
+                out.append((given, len(units), 0, 0, [], [], []))
                 continue
-            starts = np.cumsum([0, *(len(line) + 1 for line in lines)])
-            gone = {k for a, b, _ in runs for k in range(a, b + 1)}
-            kept = "\n".join(line for k, line in enumerate(lines) if k not in gone)
-            taken = sum(bool(normal(lines[k])) for k in gone)
-            out.append((kept, units, taken, [int(starts[a]) for a, _, _ in runs], [int(starts[b]) + len(lines[b]) for _, b, _ in runs], [None if d is None or d != d else int(d) for _, _, d in runs]))
+            # equal rows mark a unit as first and as later: together they keep it
+            firsts = {m["unit"] for m in marked if not m["later"]}
+            later = {m["unit"]: m["kept_doc_id"] for m in marked if m["later"] and m["unit"] not in firsts}
+            repeated = sum(b - a + 1 for a, b in runs_of(units, firsts | later.keys(), min_words))
+            runs = runs_of(units, later.keys(), min_words)
+            spans = [(units[a].start(), units[b].end()) for a, b in runs]
+            kept, at = [], 0
+            for begin, end in spans:
+                kept.append(given[at:begin])
+                at = end
+            ids = [None if later[a] is None or later[a] != later[a] else int(later[a]) for a, _ in runs]
+            out.append(("".join(kept) + given[at:] if given else given, len(units), sum(b - a + 1 for a, b in runs), repeated, [a for a, _ in spans], [b for _, b in spans], ids))
         return pd.DataFrame(out, columns=list(fields))
 
-    with_cut = joined.withColumn("cut", cut("text", "marks")).drop("marks")
-    return with_cut.select(*[F.col("cut.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], *[F.col(f"cut.{c}").alias(c) for c in fields if c != "text"])
+    with_cut = joined.select("_row", cut("_text", "_marks").alias("_cut"))
+    return with_cut.select(*[(F.col("_cut")["text"] if c == "text" else F.col("_row").getField(c)).alias(c) for c in names], *[F.col("_cut")[c].alias(c) for c in fields if c != "text"])
