@@ -5,7 +5,7 @@ lines still holds whole units. Units are normalised (A-Z in lower case, runs of
 their digests grouped over all documents. The earliest occurrence, by document id, then place, stays; every
 later one is marked. Neighbouring marked units make a run, across line ends too, and a run of at least ``min_words``
 words is taken out with the white space behind it; shorter runs, such as a repeated heading or a
-common clause, stay. The places of what was taken out refer to the text as it was, and the text left is the
+common clause, stay. A digest has 64 bits; a chance match would mark one unit and not a run. The places of what was taken out refer to the text as it was, and the text left is the
 original without them.
 
 Defined results: a null text stays null and an empty one empty, with no units; rows with equal ids and
@@ -22,14 +22,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelkeel.llm.common import join_keeping_hot, staged
+from voxelkeel.llm.common import HOT_SHARE, staged
 
 MIN_WORDS = 30
 ADDED = ("n_units", "n_removed", "n_repeated", "removed_start", "removed_end", "kept_doc_id")
-UNITS = "doc_id long, text_key long, unit int, digest binary"
+UNITS = "doc_id long, text_key long, unit int, digest long"
+#: One unit in this many is looked at to find digests that are so frequent that they are joined apart.
+LOOK = 64
 #: Words up to one that ends in a stop, a line or the text, with the white space behind.
 UNIT = re.compile(r"(?:[^\x20\x09-\x0D]*[^\x20\x09-\x0D.!?,;:][\x20\x09\x0B-\x0D]+(?=[^\x20\x09-\x0D]))*+[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
@@ -52,21 +54,31 @@ def text_units(docs: DataFrame) -> DataFrame:
                 found = UNIT.findall(text) if text else []
                 at += [i] * len(found)
                 unit += range(len(found))
-                digest += [hashlib.blake2b(normal(u), digest_size=16).digest() for u in found]
+                digest += [hashlib.blake2b(normal(u), digest_size=8).digest() for u in found]
+            digest = np.frombuffer(b"".join(digest), "<i8")
             yield pd.DataFrame({"doc_id": batch._0.to_numpy()[at], "text_key": batch._1.to_numpy()[at], "unit": np.array(unit, np.int32), "digest": digest}).astype({"doc_id": "Int64"})
 
     return docs.select(F.col("_id").alias("_0"), F.col("_key").alias("_1"), F.col("_text").alias("_2")).mapInPandas(rows, UNITS)
 
 
 def repeated_units(units: DataFrame) -> DataFrame:
-    """Units that occur more than once: doc_id, text_key, unit, later (not the first), kept_doc_id (of the first)."""
+    """Units that occur more than once: doc_id, text_key, unit, later (not the first), kept_doc_id (of the first).
+
+    Rows are shuffled once by digest and compared within a sorted window. Digests that a look at part of the rows finds frequent,
+    at most twice ``HOT_SHARE``, stay where they are: their first occurrences are aggregated and broadcast.
+    """
     rank = F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), "text_key", "unit")
-    # as a grouping sees it first and last: one row may stand in several equal rows
-    ranked = units.withColumn("rank", rank)
-    first = ranked.groupBy("digest").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    joined = join_keeping_hot(ranked, first, "digest", "n", units.count())
+    looked = units.filter(F.pmod(F.xxhash64("doc_id", "text_key", "unit"), F.lit(LOOK)) == 0)
+    bound = max(8.0, units.count() / LOOK / (2 * HOT_SHARE))
+    frequent = staged(looked.groupBy("digest").count().filter(F.col("count") > bound).select("digest"), "frequent")
+    marked = units.join(F.broadcast(frequent.withColumn("hot", F.lit(True))), "digest", "left")
+    hot, cold = marked.filter("hot").drop("hot"), marked.filter("hot IS NULL").drop("hot")
+    firsts = hot.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    apart = hot.join(F.broadcast(firsts), "digest")
+    order = Window.partitionBy("digest").orderBy(F.col("doc_id").asc_nulls_last(), "text_key", "unit")
+    together = cold.select("*", F.first(rank).over(order).alias("first"), ((F.row_number().over(order) > 1) | F.lead("unit").over(order).isNotNull()).alias("again")).filter("again").drop("again")
     kept = F.when(~F.col("first.last"), F.col("first.doc_id"))
-    return joined.filter(F.col("first").isNotNull()).select("doc_id", "text_key", "unit", (F.col("rank") != F.col("first")).alias("later"), kept.alias("kept_doc_id"))
+    return apart.unionByName(together).select("doc_id", "text_key", "unit", (rank != F.col("first")).alias("later"), kept.alias("kept_doc_id"))
 
 
 def runs_of(units: list[re.Match], marked: set[int], min_words: int) -> list[tuple[int, int]]:
