@@ -1,9 +1,11 @@
 """The pipeline's stages, each against brute force on what its predecessor kept."""
 
 from collections import Counter
+from pathlib import Path
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -13,6 +15,7 @@ import test_subdedup
 from voxelkeel.llm import quality
 from voxelkeel.llm.common import staged
 from voxelkeel.llm.subdedup import MIN_WORDS
+from voxelkeel.session import ensure_checkpoint_dir
 
 SF = "/root/testdata/sf0.001"
 
@@ -66,6 +69,30 @@ def test_pieces_hold_every_id(kept):
     test_packing.check_pieces(kept[5].collect(), pairs(kept[4]), tokenizer)
 
 
-def test_run_is_the_stages(spark, kept):
+def test_run_is_the_stages_and_clears_the_folder(spark, kept):
+    folder = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    before = {p.name for p in folder.iterdir()}
     got = corpus_pipeline.run(spark, SF)
     assert got.columns == kept[5].columns and got.count() == kept[5].count()
+    left = {p.name.rpartition("-")[0] for p in folder.iterdir() if p.name not in before and not p.name.startswith("rdd")}
+    assert left == {"mixing", "packing"}
+
+
+def test_odd_tables(spark, tmp_path):
+    """Null texts and ids, a repeated id, equal rows, further columns; then an empty table."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(900_001, None), (900_002, ""), (None, "No id but a good many words in a text of its own."), (7, "Another text under an id that is there already."), (900_003, "Same row."), (900_003, "Same row.")], "doc_id long, text string")
+    rows = docs.unionByName(odd, allowMissingColumns=True).withColumn("unit", F.lit("given")).withColumn("cut", F.lit(1)).drop("n_chars")
+    for name, table in (("odd", rows), ("empty", rows.limit(0))):
+        folder = str(tmp_path / name)
+        table.write.parquet(f"{folder}/documents.parquet")
+        spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{folder}/labels.parquet")
+        now = spark.read.parquet(f"{folder}/documents.parquet")
+        for stage, function in corpus_pipeline.STAGES[:-1]:
+            now = staged(function(spark, now, folder), stage)
+            assert now.columns == rows.columns
+            if name == "odd":
+                assert now.filter("unit = 'given' AND cut = 1").count() == now.count() > 100
+            else:
+                assert now.count() == 0
+        assert (corpus_pipeline.run(spark, folder).count() > 0) == (name == "odd")

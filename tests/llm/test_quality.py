@@ -40,11 +40,46 @@ def test_positive_unlabelled_learning_separates_hidden_negatives():
     positive = rng.normal(2, 1, (2000, 3))
     hidden = rng.random(6000) < 0.3
     unlabelled = np.where(hidden[:, None], rng.normal(-2, 1, (6000, 3)), rng.normal(2, 1, (6000, 3)))
-    net = quality.fit_pu(positive, unlabelled, 0.7)
+    net = quality.fit_ensemble(positive, unlabelled, 0.7)
     score = net.score(unlabelled)
     assert (score[hidden] < 0.3).mean() > 0.95 and (score[~hidden] >= 0.3).mean() > 0.95
 
 
+def test_risk_and_gradient_against_differences():
+    """The risk in plain loops, and its gradient where it falls and where it is turned round."""
+    rng = np.random.default_rng(1)
+    p, u = rng.normal(1, 1, (30, 4)), rng.normal(0, 1, (40, 4))
+    net, seen = quality.Network(u), []
+    by_score = lambda x: x[np.argsort(net.forward(x)[1])]
+    for p, u, prior in ((p, u, 0.4), (by_score(p)[-1:], by_score(u)[:3], 0.02), (by_score(p)[-5:], by_score(u)[:9], 0.98)):
+        one = lambda x: float(sum(np.tanh(sum(x[i] * net.p[0][i, h] for i in range(4)) + net.p[1][h]) * net.p[2][h] for h in range(quality.HIDDEN)) + net.p[3][0])  # noqa: B023, E731
+        loss = lambda s: np.log1p(np.exp(s))
+        good, bad = quality.pu_risk(net, p, u, prior)
+        assert np.isclose(good, prior * np.mean([loss(-one(x)) for x in p]))
+        assert np.isclose(bad, np.mean([loss(one(x)) for x in u]) - prior * np.mean([loss(one(x)) for x in p]))
+
+        def turned():
+            good, bad = quality.pu_risk(net, p, u, prior)  # noqa: B023
+            return good + bad if bad >= 0 else -bad
+
+        gradient = quality.pu_gradient(net, p, u, prior)
+        for v, g in zip(net.p, gradient):
+            for at in np.ndindex(v.shape):
+                old = v[at]
+                v[at] = old + 1e-5
+                up = turned()
+                v[at] = old - 1e-5
+                assert np.isclose((up - turned()) / 2e-5, g[at], atol=1e-6)
+                v[at] = old
+        seen.append(bad >= 0)
+    assert set(seen) == {True, False}
+
+
+def test_prior_is_the_lower_end():
+    assert quality.least_share(60, 8) < 60 / 68 and abs(quality.least_share(6_000_000, 800_000) - 60 / 68) < 1e-3
+    assert quality.least_share(1, 0) < 0.5 and quality.least_share(0, 50) == 0.02
+
+
 def test_describe_has_every_feature():
     for text in (None, "", " ", "a", "a a a\na a a", "É!", "x" * 100_000):
         row = quality.describe(text)

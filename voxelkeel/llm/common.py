@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelkeel.session import scratch_folder
@@ -17,13 +20,39 @@ HOT_SHARE = 1000
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Lists of paths that enclosing ``scratch_tables`` blocks will delete.
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables staged within the block are deleted at its end; what they led to must be written by then."""
+    paths: list[str] = []
+    _OPEN.append(paths)
+    try:
+        yield paths
+    finally:
+        _OPEN.remove(paths)
+        for path in paths:
+            delete_table(spark, path)
+
+
+def delete_table(spark: SparkSession, path: str) -> None:
+    """Delete a staged table, on whatever file system the shared folder lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the files, which outlive lost executors.
 
-    What was shuffled on the way is not needed again, so its files go at once.
+    What was shuffled on the way is not needed again, so its files go at once. The table stays until
+    the ``scratch_tables`` block around it ends, if there is one.
     """
     spark = df.sparkSession
     path = scratch_folder(spark, name)
+    if _OPEN:
+        _OPEN[-1].append(path)
     before = spark.conf.get(SHUFFLE_CLEANUP, None)
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:

@@ -3,7 +3,10 @@
 A small network is fitted to trusted positives and unlabelled web text under the non-negative unbiased
 risk: with class prior ``pi``, the risk of the negatives is that of the unlabelled rows less ``pi`` times
 that of the positives taken as negatives, and where a batch drives it under zero its gradient is turned
-round. The prior is estimated from the labelled rows. Features describe a whole text: shares of kinds of
+round. The prior is the lower end of the confidence interval of the labelled rows' share of positives: with
+too high a prior bad text is learnt as good, and few labels say little about it. How many steps are taken is chosen by
+the non-negative risk of held-back rows, over ``FOLDS`` parts that are held back in turn, and the score is
+the mean of ``NETWORKS`` networks fitted to all drawn rows. Features describe a whole text: shares of kinds of
 characters, repetition of words, pairs and lines, and how far the text compresses.
 
 Defined results: a null or empty text is scored like a text without words; equal texts get equal
@@ -26,6 +29,9 @@ from voxelkeel.llm.common import crc_mod
 #: Bounds of the samples the network is fitted to.
 POSITIVES, UNLABELLED = 6000, 12000
 HIDDEN, STEPS, THRESHOLD = 16, 1500, 0.3
+FOLDS, NETWORKS = 3, 3
+#: The held-back risk is read so often; standard deviations of the prior's lower end.
+LOOK_EVERY, CONFIDENCE = 50, 1.96
 FEATURES = (
     "log_words", "word_length", "upper", "digit", "symbol", "exclaim", "bar", "punctuation", "other_ascii", "non_ascii", "line_feeds",
     "distinct_words", "equal_neighbours", "distinct_pairs", "distinct_lines", "longest_run", "deflated", "lettered_words",
@@ -97,30 +103,69 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.forward(self.standard(x))[1], -30, 30)))
 
 
-def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 3, batch: int = 512, rate: float = 0.01) -> Network:
-    """Minimise the non-negative risk by Adam; logistic loss."""
-    net, rng = Network(unlabelled), np.random.default_rng(seed)
+logistic = lambda s: 1 / (1 + np.exp(-np.clip(s, -30, 30)))
+
+
+def pu_risk(net: Network, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float]:
+    """Risk of the positives and of the negatives (unlabelled less positives) on standardised rows; logistic loss."""
+    sp, su = net.forward(p)[1], net.forward(u)[1]
+    return prior * np.logaddexp(0, -sp).mean(), np.logaddexp(0, su).mean() - prior * np.logaddexp(0, sp).mean()
+
+
+def pu_gradient(net: Network, p: np.ndarray, u: np.ndarray, prior: float) -> list[np.ndarray]:
+    """Gradient of the risk, or, where the negatives' is under zero, of its opposite."""
+    (hu, su), (hp, sp) = net.forward(u), net.forward(p)
+    as_negative = [a - b for a, b in zip(net.backward(u, hu, logistic(su) / len(su)), net.backward(p, hp, prior * logistic(sp) / len(sp)))]
+    if np.logaddexp(0, su).mean() < prior * np.logaddexp(0, sp).mean():
+        return [-g for g in as_negative]
+    return [a + b for a, b in zip(net.backward(p, hp, prior * (logistic(sp) - 1) / len(sp)), as_negative)]
+
+
+def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 3, steps: int = STEPS, held: tuple[np.ndarray, np.ndarray] | None = None, batch: int = 512, rate: float = 0.01) -> tuple[Network, list[float]]:
+    """Minimise the non-negative risk by Adam for ``steps``; also the risk of ``held`` rows every ``LOOK_EVERY`` steps."""
+    net, rng = Network(unlabelled, seed + 2), np.random.default_rng(seed)
     p_all, u_all = net.standard(positive), net.standard(unlabelled)
-    first, second = [np.zeros_like(v) for v in net.p], [np.zeros_like(v) for v in net.p]
-    logistic = lambda s: 1 / (1 + np.exp(-np.clip(s, -30, 30)))
-    # as many steps for few rows as for many
-    for step in range(1, STEPS + 1):
-        u, p = u_all[rng.integers(0, len(u_all), batch)], p_all[rng.integers(0, len(p_all), batch)]
-        (hu, su), (hp, sp) = net.forward(u), net.forward(p)
-        negative_risk = np.logaddexp(0, su).mean() - prior * np.logaddexp(0, sp).mean()
-        as_negative = [a - b for a, b in zip(net.backward(u, hu, logistic(su) / len(su)), net.backward(p, hp, prior * logistic(sp) / len(sp)))]
-        if negative_risk >= 0:
-            as_positive = net.backward(p, hp, prior * (logistic(sp) - 1) / len(sp))
-            gradient = [a + b for a, b in zip(as_positive, as_negative)]
-        else:
-            gradient = [-b for b in as_negative]
+    first, second, seen = [np.zeros_like(v) for v in net.p], [np.zeros_like(v) for v in net.p], []
+    for step in range(1, steps + 1):
+        gradient = pu_gradient(net, p_all[rng.integers(0, len(p_all), batch)], u_all[rng.integers(0, len(u_all), batch)], prior)
         now = rate * (1 - 0.9 * step / STEPS)
         for k, g in enumerate(gradient):
             g = g + 1e-4 * net.p[k]
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.999 * second[k] + 0.001 * g * g
             net.p[k] = net.p[k] - now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-    return net
+        if held is not None and step % LOOK_EVERY == 0:
+            good, bad = pu_risk(net, net.standard(held[0]), net.standard(held[1]), prior)
+            seen.append(good + max(0.0, bad))
+    return net, seen
+
+
+class Ensemble:
+    """The mean score of several networks."""
+
+    def __init__(self, networks: list[Network]):
+        self.networks = networks
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return np.mean([net.score(x) for net in self.networks], axis=0)
+
+
+def fit_ensemble(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 3) -> Ensemble:
+    """Networks with as many steps as make the held-back risk least."""
+    rng, steps = np.random.default_rng(seed), STEPS
+    if min(len(positive), len(unlabelled)) >= FOLDS:
+        p_fold, u_fold = (rng.permutation(len(x)) % FOLDS for x in (positive, unlabelled))
+        risks = [fit_pu(positive[p_fold != f], unlabelled[u_fold != f], prior, seed + f, held=(positive[p_fold == f], unlabelled[u_fold == f]))[1] for f in range(FOLDS)]
+        steps = LOOK_EVERY * (1 + int(np.argmin(np.mean(risks, axis=0))))
+    return Ensemble([fit_pu(positive, unlabelled, prior, seed + 10 + k, steps)[0] for k in range(NETWORKS)])
+
+
+def least_share(good: int, bad: int, deviations: float = CONFIDENCE) -> float:
+    """Lower end of the score interval of the share of ``good`` among ``good + bad``."""
+    n, z = good + bad, deviations**2
+    share = good / n
+    low = (share + z / (2 * n) - deviations * np.sqrt(share * (1 - share) / n + z / (4 * n * n))) / (1 + z / n)
+    return float(min(0.98, max(0.02, low)))
 
 
 def draw(rows: DataFrame, most: int, total: int, salt: str) -> DataFrame:
@@ -129,15 +174,15 @@ def draw(rows: DataFrame, most: int, total: int, salt: str) -> DataFrame:
     return (rows if total <= most else rows.filter(place < int(1_000_000 * most / total))).limit(2 * most)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame) -> tuple[Network | None, float]:
-    """Network and class prior from the rows outside fold 0 of 5, by ``labels`` (doc_id, quality)."""
+def fit_quality(docs: DataFrame, labels: DataFrame) -> tuple[Ensemble | None, float]:
+    """Networks and class prior from the rows outside fold 0 of 5, by ``labels`` (doc_id, quality)."""
     learn = crc_mod(F.col("doc_id"), 5) != 0
     known = labels.filter(learn & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     counted = {r["quality"]: r["n"] for r in known.filter(F.col("quality").isin(0, 1)).groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     good, bad = counted.get(1, 0), counted.get(0, 0)
     if not good:
         return None, 0.5
-    prior = min(0.98, max(0.02, good / (good + bad)))
+    prior = least_share(good, bad)
     pool = docs.filter(learn & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     trusted = draw(known.filter("quality = 1").select("doc_id").distinct(), POSITIVES, good, "trusted")
     # the drawn ids are at most 2 * POSITIVES
@@ -147,10 +192,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> tuple[Network | None, flo
     if not (sample.trusted == 1).any() or not (sample.trusted == 0).any():
         return None, prior
     stack = lambda flag: np.array(sample.features[sample.trusted == flag].tolist())
-    return fit_pu(stack(1), stack(0), prior), prior
+    return fit_ensemble(stack(1), stack(0), prior), prior
 
 
-def score_documents(docs: DataFrame, net: Network | None, prior: float) -> DataFrame:
+def score_documents(docs: DataFrame, net: Ensemble | None, prior: float) -> DataFrame:
     """``doc_id``, ``score`` of every row of ``docs`` (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
