@@ -1,7 +1,12 @@
 """A training corpus from raw documents: five stages, each over all that the one before it kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-``documents``. What a stage returns is written as Parquet and read again before the next.
+``documents``. What a stage returns is written as Parquet and read again before the next; tables that
+an operator wrote on its way, and a stage's own once its successor is written, are deleted from the shared folder.
+
+Defined results: a null text is scored as one without words, has no near copies and no repeats, and is packed as
+its end id; rows with a null id or a repeated one are rows like others; equal rows are near copies of each other; an
+empty table gives no piece; further columns stay through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelkeel.llm.common import staged
+from voxelkeel.llm.common import delete_table, scratch_tables, staged
 from voxelkeel.llm.jaccard import keep_one_of_each
 from voxelkeel.llm.mixing import mix_documents, repeat_by_copies
 from voxelkeel.llm.packing import pack_documents
@@ -30,8 +35,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has are cut out; n_chars follows the text."""
     cut = remove_repeats(docs)
-    changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return cut.withColumn("n_chars", changed).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return cut.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +64,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        with scratch_tables(spark) as inner:
+            docs = staged(stage(spark, docs, sf_dir), name)
+            written = inner.pop()  # the stage's own table stays for its successor
+        if before is not None:
+            delete_table(spark, before)
+        before = written
     return docs
