@@ -75,7 +75,7 @@ def test_run_is_the_stages_and_clears_the_folder(spark, kept):
     got = corpus_pipeline.run(spark, SF)
     assert got.columns == kept[5].columns and got.count() == kept[5].count()
     left = {p.name.rpartition("-")[0] for p in folder.iterdir() if p.name not in before and not p.name.startswith("rdd")}
-    assert left == {"mixing", "packing"}
+    assert left == {"packing"}
 
 
 def test_odd_tables(spark, tmp_path):
