@@ -504,14 +504,17 @@ def detect_boundaries(profile: DataFrame, keys: list[str], *, min_separation_um:
     peaks = profile_peaks(profile.withColumn("_floor", F.min("z").over(near)), keys)
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        ranked = pdf.sort_values("depth_um").sort_values("z", ascending=False, kind="stable")
-        kept: list[int] = []
-        for i, depth in zip(ranked.index, ranked["depth_um"]):
-            if (pdf.loc[kept, "depth_um"] - depth).abs().ge(span).all():
+        depth, z = pdf["depth_um"].to_numpy(float), pdf["z"].to_numpy(float)
+        order = np.lexsort((depth, -z))
+        # how far each peak is from the nearest one kept so far, brought up to date once per kept peak
+        gap, kept = np.full(len(depth), np.inf), []
+        for i in order:
+            if gap[i] >= span:
                 kept.append(i)
+                gap = np.minimum(gap, np.abs(depth - depth[i]))
             if max_n is not None and len(kept) >= max_n:
                 break
-        return pdf.loc[kept]
+        return pdf.iloc[kept]
 
     cols = [*keys, "depth_um", "z", "scale_um", "_floor"]
     chosen = spread(peaks.select(*cols), *keys).groupBy(*keys).applyInPandas(choose, peaks.select(*cols).schema)

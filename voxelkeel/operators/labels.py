@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -256,6 +258,66 @@ def cell_tables(cells: DataFrame, keys: list[str]) -> DataFrame:
     return per.withColumn("type_no", rank).drop("_first")
 
 
+#: How far outside the section its four pinned corners lie, as a share of its size.
+CORNER_MARGIN = 0.1
+
+
+def delaunay(points: np.ndarray) -> np.ndarray:
+    """Triangles (rows of three places in ``points``, counter-clockwise in a frame with y up) whose circumcircles hold no other point.
+
+    The first four points are the corners of a rectangle around the others. Points are put in one after another:
+    the triangles whose circumcircle holds the new point go, and their outline is joined to it. A point on top
+    of another, or outside the rectangle, is left out.
+    """
+    tri = np.array([[0, 1, 2], [3, 2, 1]])
+    side = lambda a, b, c: (b[..., 0] - a[..., 0]) * (c[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (c[..., 0] - a[..., 0])
+    (left, top), (right, bottom) = points[:4].min(axis=0), points[:4].max(axis=0)
+    turned = side(points[tri[:, 0]], points[tri[:, 1]], points[tri[:, 2]]) < 0
+    tri[turned] = tri[turned][:, ::-1]
+    for k in range(4, len(points)):
+        p = points[k]
+        used = np.unique(tri)
+        if not (left < p[0] < right and top < p[1] < bottom) or (np.abs(points[used] - p).max(axis=1) < 1e-9).any():
+            continue
+        d = points[tri] - p
+        square = (d * d).sum(axis=2)
+        inside = square[:, 0] * (d[:, 1, 0] * d[:, 2, 1] - d[:, 1, 1] * d[:, 2, 0]) - square[:, 1] * (d[:, 0, 0] * d[:, 2, 1] - d[:, 0, 1] * d[:, 2, 0]) + square[:, 2] * (d[:, 0, 0] * d[:, 1, 1] - d[:, 0, 1] * d[:, 1, 0])
+        gone = inside > 1e-9 * np.abs(square).max(axis=1) ** 2
+        # the triangle that holds the point always goes, however the rounding falls
+        holds = np.min([side(points[tri[:, i]], points[tri[:, (i + 1) % 3]], p) for i in range(3)], axis=0)
+        gone[np.argmax(holds)] = True
+        edges = np.concatenate([tri[gone][:, [i, (i + 1) % 3]] for i in range(3)])
+        inner = {(a, b) for a, b in edges.tolist()}
+        outline = np.array([(a, b) for a, b in edges.tolist() if (b, a) not in inner])
+        outline = outline[side(points[outline[:, 0]], points[outline[:, 1]], p) > 0]
+        tri = np.concatenate([tri[~gone], np.column_stack([outline, np.full(len(outline), k)])])
+    return tri
+
+
+def marker_triangles(sections: DataFrame, margin: float = CORNER_MARGIN) -> DataFrame:
+    """Triangles over each section's moved markers and four pinned corners, as :func:`warp_triangles` takes them.
+
+    ``sections`` has section, width, height and markers (arrays of x, y, moved x, moved y; null: none). The
+    triangulation is over the moved positions; ``p`` are a triangle's corners before, ``q`` after. A section's few dozen
+    markers are a row, so this is a map over rows.
+    """
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for section, width, height, markers in pdf[["section", "width", "height", "markers"]].itertuples(index=False):
+                x, y = margin * width, margin * height
+                pinned = np.array([[-x, -y], [width + x, -y], [-x, height + y], [width + x, height + y]])
+                given = np.array([m[:4] for m in markers], float).reshape(-1, 4) if markers is not None else np.zeros((0, 4))
+                before, moved = np.vstack([pinned, given[:, :2]]), np.vstack([pinned, given[:, 2:]])
+                out += [(section, n, *before[t].ravel(), *moved[t].ravel()) for n, t in enumerate(delaunay(moved))]
+            yield pd.DataFrame(out, columns=["section", "tri", *corners])
+
+    corners = [f"{c}{n}{a}" for c in "pq" for n in (1, 2, 3) for a in "xy"]
+    kind = sections.schema["section"].dataType.simpleString()
+    rows = sections.select("section", F.col("width").cast("double"), F.col("height").cast("double"), F.col("markers").cast("array<array<double>>"))
+    return rows.mapInPandas(run, f"section {kind}, tri int, " + ", ".join(f"{c} double" for c in corners))
+
+
 def warp_triangles(points: DataFrame, triangles: DataFrame) -> DataFrame:
     """Points moved by their section's triangles; the first triangle holding a point wins.
 

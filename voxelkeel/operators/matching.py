@@ -149,13 +149,17 @@ def learn_pixel_size(matches: DataFrame) -> DataFrame:
 
 
 def copy_cells(cells: DataFrame, matches: DataFrame) -> DataFrame:
-    """The reference's cells on the matched sections, through the inverse map; others lose their pixel."""
-    j = cells.join(matches.select("project_id", F.col("reference_section").alias("section_index"), F.col("section_index").alias("_to"), *[f"m{i}" for i in range(6)]), ["project_id", "section_index"], "left")
+    """The reference's cells on the matched sections, through the inverse map; others lose their pixel.
+
+    Cells without a section match nothing and stay where they are: as a join key they would all meet in one task.
+    """
+    nowhere = cells.filter("section_index IS NULL").withColumns({"x_px": F.lit(None).cast("double"), "y_px": F.lit(None).cast("double")})
+    j = cells.filter("section_index IS NOT NULL").join(matches.select("project_id", F.col("reference_section").alias("section_index"), F.col("section_index").alias("_to"), *[f"m{i}" for i in range(6)]), ["project_id", "section_index"], "left")
     ok = "_to IS NOT NULL AND x_px IS NOT NULL AND y_px IS NOT NULL"
     det = "(m0 * m4 - m1 * m3)"
     return j.withColumns({
         "section_index": F.expr(f"CASE WHEN {ok} THEN _to END"), "_x": F.expr(f"CASE WHEN {ok} THEN (m4 * (x_px - m2) - m1 * (y_px - m5)) / {det} END"),
-        "_y": F.expr(f"CASE WHEN {ok} THEN (m0 * (y_px - m5) - m3 * (x_px - m2)) / {det} END")}).withColumns({"x_px": F.col("_x"), "y_px": F.col("_y")}).drop("_x", "_y", "_to", *[f"m{i}" for i in range(6)])
+        "_y": F.expr(f"CASE WHEN {ok} THEN (m0 * (y_px - m5) - m3 * (x_px - m2)) / {det} END")}).withColumns({"x_px": F.col("_x"), "y_px": F.col("_y")}).select(*cells.columns).unionByName(nowhere.select(*cells.columns))
 
 
 # --- J08: pairing sections by outline ---------------------------------------------------------------

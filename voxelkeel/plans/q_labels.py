@@ -185,3 +185,31 @@ w AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY CASE WHEN u >= 0 AN
 SELECT pid, round(CASE WHEN u >= 0 AND v >= 0 AND u + v <= 1 THEN q1x + (q2x - q1x) * u + (q3x - q1x) * v ELSE x_px END, 6) + 0e0 AS x_warped, round(CASE WHEN u >= 0 AND v >= 0 AND u + v <= 1 THEN q1y + (q2y - q1y) * u + (q3y - q1y) * v ELSE y_px END, 6) + 0e0 AS y_warped FROM w WHERE rn = 1""")
 def _p17(t):
     return G.rounded(L.warp_triangles(t.sql(_POINTS), t.sql(_TRIANGLES)).select("pid", "x_warped", "y_warped"))
+
+
+# Eight markers a section, from the vectors: where they stand and, a little off, where they are moved to.
+_MARKED = """SELECT vec_id AS section, 400D AS width, 300D AS height, transform(sequence(0, 7), i -> array(
+  30D + 45 * i + abs(embedding[i]) * 9, 20D + abs(embedding[i + 8]) * 80 + (i * 89 + vec_id) % 170,
+  32D + 45 * i + abs(embedding[i]) * 9 + embedding[i + 16], 22D + abs(embedding[i + 8]) * 80 + (i * 89 + vec_id) % 170 + embedding[i + 24])) AS markers FROM embeddings"""
+
+
+@query("p17_marker_triangles", """SELECT vec_id AS section, CAST(18 AS BIGINT) AS n_triangles, round(480e0 * 360, 3) AS area, CAST(0 AS BIGINT) AS n_in_circles FROM embeddings""")
+def _p17_triangles(t):
+    # 12 points with 4 on the outline make 18 triangles, which fill the pinned rectangle, with no point in any circumcircle.
+    tri = L.marker_triangles(t.sql(_MARKED))
+    area = F.expr("abs((q2x - q1x) * (q3y - q1y) - (q3x - q1x) * (q2y - q1y)) / 2")
+    points = tri.select("section", F.explode(F.expr("array(struct(q1x AS x, q1y AS y), struct(q2x AS x, q2y AS y), struct(q3x AS x, q3y AS y))")).alias("p")).distinct()
+    d = "2 * (q1x * (q2y - q3y) + q2x * (q3y - q1y) + q3x * (q1y - q2y))"
+    s = lambda n: f"(q{n}x * q{n}x + q{n}y * q{n}y)"
+    centre = tri.withColumns({"cx": F.expr(f"({s(1)} * (q2y - q3y) + {s(2)} * (q3y - q1y) + {s(3)} * (q1y - q2y)) / ({d})"), "cy": F.expr(f"({s(1)} * (q3x - q2x) + {s(2)} * (q1x - q3x) + {s(3)} * (q2x - q1x)) / ({d})")})
+    inside = F.expr("(p.x - cx) * (p.x - cx) + (p.y - cy) * (p.y - cy) < ((q1x - cx) * (q1x - cx) + (q1y - cy) * (q1y - cy)) * (1 - 1e-7D)")
+    held = centre.join(points, "section").groupBy("section").agg(F.count_if(inside).alias("n_in_circles"))
+    return tri.groupBy("section").agg(F.count(F.lit(1)).alias("n_triangles"), (F.round(F.sum(area), 3) + 0.0).alias("area")).join(held, "section")
+
+
+@query("p17_warp_by_markers")
+def _p17_warp(t):
+    # Every marker's own place goes to where it was moved, through the triangles laid over the moved places.
+    marked = t.sql(_MARKED)
+    points = marked.select("section", F.posexplode("markers").alias("i", "m")).select("section", "i", F.col("m")[0].alias("x_px"), F.col("m")[1].alias("y_px"))
+    return G.rounded(L.warp_triangles(points, L.marker_triangles(marked)).select("section", "i", "x_warped", "y_warped"), 6)

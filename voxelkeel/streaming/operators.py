@@ -86,28 +86,26 @@ def latest_verdicts(spark: SparkSession, out_path: str) -> DataFrame:
 
 
 def discover_each_batch(listing: DataFrame, out_path: str, checkpoint: str):
-    """Recording folders found in arriving listings, each folder once over the whole stream.
+    """Recording folders found in arriving listings, as an upsert by folder.
 
-    A listing file is expected to hold whole recording folders.
-
-    The state is the table of folders already found; a batch's folders are anti-joined with
-    the other batches' and written under the batch's own id.
+    A listing file is expected to hold whole recording folders. Each batch writes the folders it lists under its own id, as the
+    next version of them, and a retried batch replaces what it wrote; :func:`found_folders` reads the newest
+    version of each, so a folder that is listed again is replaced and nothing earlier is read while the stream runs.
     """
-    spark = listing.sparkSession
-
     def write(batch: DataFrame, batch_id: int) -> None:
-        found = find_recordings(batch).dropDuplicates(["dir"])
-        try:
-            known = spark.read.parquet(out_path).filter(F.col("batch") != batch_id).select("dir")
-            found = found.join(known, "dir", "left_anti")
-        except Exception as problem:  # the first batch has nothing to compare with
-            if "PATH_NOT_FOUND" not in str(problem) and "UNABLE_TO_INFER_SCHEMA" not in str(problem):
-                raise
-        found.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        find_recordings(batch).dropDuplicates(["dir"]).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
 
     return listing.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def found_folders(spark: SparkSession, out_path: str) -> DataFrame:
+    """The newest version of every folder found, with the batch (version) it comes from."""
+    found = spark.read.parquet(out_path)
+    rest = [c for c in found.columns if c not in ("dir", "batch")]
+    newest = found.groupBy("dir").agg(F.max_by(F.struct(*rest, "batch"), "batch").alias("v"))
+    return newest.select("dir", "v.*")
+
+
 def penetrations_of(found: DataFrame) -> DataFrame:
     """Found folders grouped into penetrations by the ids in their paths."""
     ids = X.path_ids(F.col("dir"))
