@@ -298,13 +298,20 @@ def test_stream_screening_equals_batch_when_windows_are_split(spark, tmp_path, p
     rng = np.random.default_rng(4)
     rows = [(1, w, s, c, 0, float(rng.normal() + (500 if w == 1 and 10 <= s < 20 else 0) * (1 + c))) for w in range(3) for s in range(60) for c in range(4)]
     df = make(spark, "recording long, win int, sample long, channel int, shank int, uv double", rows)
+    timed = df.withColumn("closes_at", F.timestamp_seconds((F.col("win") + 1) * 10))
     for p in range(parts):
-        df.filter(F.col("sample") % parts == p).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        timed.filter(F.col("sample") % parts == p).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    timed.limit(1).withColumn("recording", F.lit(-1).cast("long")).withColumn("closes_at", F.timestamp_seconds(F.lit(9000))).write.mode("append").parquet(str(tmp_path / "in"))
     stream = ST.event_stream(spark, str(tmp_path / "in"), glob="*.parquet", time=None)
-    ST.screen_each_batch(stream, str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination()
+    query = ST.screen_each_batch(stream, str(tmp_path / "out"), str(tmp_path / "ckpt"), late="1 minute")
+    query.awaitTermination()
+    # all that is left in state is the row that ended the stream
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
     pick = lambda d: G.rounded(d.select("recording", "win", "artifact", "activity", "reject_reason"))
     got, want = pick(ST.latest_verdicts(spark, str(tmp_path / "out"))), pick(A.screen_windows(df))
     assert got.exceptAll(want).count() == 0 and got.count() == want.count() == 3
+    once = spark.read.parquet(str(tmp_path / "out"))
+    assert once.count() == 3, "each window is screened once"
 
 
 def test_empty_inputs(spark):

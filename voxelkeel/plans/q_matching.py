@@ -133,11 +133,16 @@ def _t01(t):
 
 @query("t02_stream_screen_windows", f"WITH {_SCREEN_SQL} SELECT recording, win, round(artifact, 6) + 0e0 AS artifact, round(activity, 6) + 0e0 AS activity, reject_reason FROM sc")
 def _t02(t):
-    orders = ST.event_stream(t.spark, f"{t.sf_dir}/orders.parquet", time=None)
-    orders.createOrReplaceTempView("vk_orders_stream")
-    samples = t.spark.sql(with_bindings("SELECT * FROM b_lfp", "spark").replace("FROM orders", "FROM vk_orders_stream AS orders"))
-    out = scratch_folder(t.spark, "screened")
-    ST.screen_each_batch(samples, out, scratch_folder(t.spark, "screened-ckpt")).awaitTermination()
+    # Written in four parts by closing time, as a recorder would; files of one part come in any order, hence the lateness.
+    closes = F.timestamp_seconds(F.expr("(recording * 4 + win + 1) * 10"))
+    samples, fed, out = t.b_lfp.drop("fs").withColumn("closes_at", closes), scratch_folder(t.spark, "samples"), scratch_folder(t.spark, "screened")
+    last = samples.agg(F.max("recording")).first()[0] + 1
+    for part in range(4):
+        samples.filter(F.floor(F.col("recording") * 4 / last) == part).write.mode("append").parquet(fed)
+    end = t.spark.range(1).select(F.lit(-1).alias("recording"), F.lit(0).alias("win"), F.lit(0).alias("sample"), F.lit(0).alias("channel"), F.lit(0).alias("shank"), F.lit(0.0).alias("uv"), F.timestamp_seconds(F.lit(last * 400)).alias("closes_at"))
+    end.select(*[F.col(f.name).cast(f.dataType) for f in samples.schema.fields]).write.mode("append").parquet(fed)
+    stream = ST.event_stream(t.spark, fed, time=None)
+    ST.screen_each_batch(stream, out, scratch_folder(t.spark, "screened-ckpt"), late=f"{10 * last + 60} seconds").awaitTermination()
     return G.rounded(ST.latest_verdicts(t.spark, out).select("recording", "win", "artifact", "activity", "reject_reason"))
 
 

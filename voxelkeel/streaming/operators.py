@@ -60,27 +60,34 @@ def drain(stream: DataFrame, keys: list[str], out_path: str, checkpoint: str) ->
     return changed.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_v")).select(*keys, "_v.*")
 
 
-def screen_each_batch(samples: DataFrame, out_path: str, checkpoint: str):
-    """Windows screened as samples arrive, by the batch rule.
+def close_windows(samples: DataFrame, *, closes_at: str = "closes_at", late: str = "1 minute") -> DataFrame:
+    """The samples of every window once it is over, each window once.
 
-    Medians are not incremental, so samples are staged, and each micro-batch screens anew the
-    windows it touches, from all their staged samples. Both writes are named by the batch id:
-    a retried batch replaces its own output. :func:`latest_verdicts` reads the result.
+    A window's samples wait in keyed state, one entry per (recording, win, ``closes_at``); when the watermark on
+    ``closes_at`` has passed it, the entry comes out whole and is dropped. A sample that arrives over ``late`` behind the
+    newest closing time is left out, as Structured Streaming has it. A row that closes far in the future ends
+    the stream and brings out what is left.
     """
-    spark = samples.sparkSession
+    buffered = samples.withWatermark(closes_at, late).groupBy("recording", "win", closes_at).agg(F.collect_list(F.struct("sample", "channel", "shank", "uv")).alias("rows"))
+    return buffered.select("recording", "win", F.explode("rows").alias("r")).select("recording", "win", "r.*")
 
+
+def screen_each_batch(samples: DataFrame, out_path: str, checkpoint: str, *, closes_at: str = "closes_at", late: str = "1 minute"):
+    """Windows screened by the batch rule as they close (:func:`close_windows`), from state alone.
+
+    Medians are not incremental, so a window is screened once it is whole; nothing that arrived
+    before is read again. Writes are named by the batch id: a retried batch replaces its own output.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out_path}/samples/batch={batch_id}")
-        staged = spark.read.parquet(f"{out_path}/samples").filter(F.col("batch") <= batch_id).drop("batch")
-        touched = spark.read.parquet(f"{out_path}/samples/batch={batch_id}").select("recording", "win").distinct()
-        A.screen_windows(staged.join(touched, ["recording", "win"], "left_semi")).write.mode("overwrite").parquet(f"{out_path}/verdicts/batch={batch_id}")
+        A.screen_windows(batch).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
 
-    return samples.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    closed = close_windows(samples, closes_at=closes_at, late=late)
+    return closed.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest_verdicts(spark: SparkSession, out_path: str) -> DataFrame:
-    """The last verdict of each window."""
-    v = spark.read.parquet(f"{out_path}/verdicts")
+    """The verdict of each closed window; of a window that closed twice, which only a changed closing time does, the last."""
+    v = spark.read.parquet(out_path)
     best = v.groupBy("recording", "win").agg(F.max_by(F.struct(*[c for c in v.columns if c not in ("recording", "win", "batch")]), "batch").alias("v"))
     return best.select("recording", "win", "v.*")
 
