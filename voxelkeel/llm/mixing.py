@@ -6,7 +6,7 @@ tokens times probability added over all documents, meet the targets. The fit is
 descent on least squares, weighted by the domains' present totals; a step needs one sum per domain over
 all documents, and only those sums leave the executors. Starting from rate 1, it stays as near to it
 as the targets allow. The steps are what the fit learns: a rate is a fold over them, worked out from a document's own
-tokens and probabilities, so no text and no rate is ever written. The fit ends when the targets are met or
+tokens and probabilities. The fit ends when the targets are met or
 no step changes anything any more; targets that are not met, because rates have a lower bound or the steps ran
 out, are reported and warned of.
 
@@ -143,7 +143,9 @@ def mix_documents(docs: DataFrame, label: str = "lang", text: str = "text", targ
     back = [F.col("_row").getField(c).alias(c) for c in given]
     if not model:
         return rows.select(*back, F.size(words(F.col("_text"))).cast("long").alias("n_tokens"), F.lit(None).cast("string").alias("domain"), F.lit(None).cast("double").alias("posterior"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
-    steps, reached = fit_rates(staged(memberships(rows.select("_text"), model).select("_n", "_p"), "memberships"), domains, targets, total_tokens, least_rate)
+    # memberships cost most, so they are worked out once; the fit reads the two small columns of this table
+    rows = staged(memberships(rows, model).select("_row", "_draw", "_n", "_p"), "memberships")
+    steps, reached = fit_rates(rows.select("_n", "_p"), domains, targets, total_tokens, least_rate)
     if report is not None:
         report.update(reached)
     missed = {d: (goal, now) for d, (goal, now) in reached.items() if abs(now - goal) > WARN * max(goal, 1.0)}
@@ -151,7 +153,7 @@ def mix_documents(docs: DataFrame, label: str = "lang", text: str = "text", targ
         warnings.warn("targets not met (wanted, reached): " + ", ".join(f"{d} ({goal:.0f}, {now:.0f})" for d, (goal, now) in sorted(missed.items())), stacklevel=2)
     best = F.array_position("_p", F.array_max("_p")).cast("int")
     draw = F.pmod(F.col("_draw"), F.lit(1 << 30)) / float(1 << 30)
-    out = memberships(rows, model).withColumn("_rate", rate_after(steps, least_rate, F.lit(1.0)))
+    out = rows.withColumn("_rate", rate_after(steps, least_rate, F.lit(1.0)))
     return out.select(*back, F.col("_n").alias("n_tokens"), F.element_at(F.array(*map(F.lit, domains)), best).alias("domain"), F.array_max("_p").alias("posterior"), F.col("_rate").alias("rate"), F.floor(F.col("_rate") + draw).cast("int").alias("copies"))
 
 
