@@ -56,7 +56,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word) >> 2
         return value
