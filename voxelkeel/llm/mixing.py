@@ -60,8 +60,8 @@ def fit_domains(labelled: DataFrame, text: str, label: str) -> list[tuple[str, f
 
 
 def _rows(values: list[list[float]]) -> Column:
-    """Constant arrays; written as one text, which the optimizer turns into one literal."""
-    return F.transform(F.split(F.lit(";".join(",".join(map(repr, v)) for v in values)), ";"), lambda s: F.split(s, ",").cast("array<double>"))
+    """Constant arrays, each written as text; all of it is folded to one literal, which a lambda would prevent."""
+    return F.array(*[F.split(F.lit(",".join(map(repr, v))), ",").cast("array<double>") for v in values])
 
 
 def memberships(rows: DataFrame, model: list[tuple[str, float, list[float]]]) -> DataFrame:
