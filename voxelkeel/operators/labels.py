@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelkeel.operators.regions import spread_outside, voxel_key
-from voxelkeel.session import cut_lineage
+from voxelkeel.session import cut_lineage, unsized
 
 
 def plane_pixels(sections: DataFrame) -> DataFrame:
@@ -67,22 +67,24 @@ def resize_nearest(sections: DataFrame) -> DataFrame:
 def field_warp_points(points: DataFrame, field: DataFrame, *, step: float, nx: int, ny: int) -> DataFrame:
     """Points moved by a displacement field sampled every ``step`` px: bilinear, held at the edges.
 
-    The field is gathered once into one row per cell with the shifts of its four corners, so a
-    point takes part in one equi join. Of corners that are missing the weight goes to the others;
-    a point without any stays where it is. ``points`` has ``pid, section, x_px, y_px``.
+    A point is split into the four corners of its cell, which meet the field by position and are summed
+    back, so the field is read as it is. Of corners that are missing the weight goes to the others;
+    a point without any stays where it is. ``points`` has ``pid, section, x_px, y_px``; rows that are alike
+    come back as often as they came.
     """
-    df = points.withColumns({
-        "_fx": F.expr(f"least(greatest(x_px / {step}D, 0D), {nx - 1}D)"), "_fy": F.expr(f"least(greatest(y_px / {step}D, 0D), {ny - 1}D)")})
+    at = ["pid", "section", "x_px", "y_px"]
+    df = points.select(*at, F.expr(f"least(greatest(x_px / {step}D, 0D), {nx - 1}D)").alias("_fx"), F.expr(f"least(greatest(y_px / {step}D, 0D), {ny - 1}D)").alias("_fy"))
     df = df.withColumns({"_x0": F.expr(f"CAST(least(floor(_fx), {nx - 2}) AS INT)"), "_y0": F.expr(f"CAST(least(floor(_fy), {ny - 2}) AS INT)")})
-    corner = F.expr("explode(flatten(transform(array(0, 1), i -> transform(array(0, 1), j -> named_struct('i', i, 'j', j)))))").alias("c")
-    cells = field.select("section", "gx", "gy", "dx", "dy", corner).groupBy("section", (F.col("gx") - F.col("c.i")).alias("_x0"), (F.col("gy") - F.col("c.j")).alias("_y0")).agg(
-        F.collect_list(F.struct("c.i", "c.j", "dx", "dy")).alias("_c"))
-    df = df.join(cells, ["section", "_x0", "_y0"], "left")
-    weight = "(CASE WHEN c.i = 1 THEN _fx - _x0 ELSE 1D - (_fx - _x0) END) * (CASE WHEN c.j = 1 THEN _fy - _y0 ELSE 1D - (_fy - _y0) END)"
-    total = lambda of: f"aggregate(transform(coalesce(_c, array()), c -> {weight}{of}), 0D, (a, b) -> a + b)"
-    df = df.withColumns({"_w": F.expr(total("")), "_dx": F.expr(total(" * c.dx")), "_dy": F.expr(total(" * c.dy"))})
+    corner = lambda i, j: f"""named_struct('gx', _x0 + {i}, 'gy', _y0 + {j},
+        'w', ({'_fx - _x0' if i else '1D - (_fx - _x0)'}) * ({'_fy - _y0' if j else '1D - (_fy - _y0)'}))"""
+    corners = df.select(*at, F.expr(f"inline(array({', '.join(corner(i, j) for i in (0, 1) for j in (0, 1))}))"))
+    met = corners.join(unsized(field.select("section", "gx", "gy", "dx", "dy")), ["section", "gx", "gy"], "left")
+    total = met.groupBy(*at).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(F.expr("CASE WHEN dx IS NOT NULL THEN w END")).alias("_w"),
+        F.sum(F.col("w") * F.col("dx")).alias("_dx"), F.sum(F.col("w") * F.col("dy")).alias("_dy"))
+    total = total.withColumn("_again", F.explode(F.expr("array_repeat(0, CAST(_n / 4 AS INT))")))
     moved = lambda p, d: F.expr(f"CASE WHEN _w > 0 THEN {p} + {d} / _w ELSE {p} END AS {p[0]}_warped")
-    return df.select("pid", "section", moved("x_px", "_dx"), moved("y_px", "_dy"))
+    return total.select("pid", "section", moved("x_px", "_dx"), moved("y_px", "_dy"))
 
 
 def volume_field_to_ccf(points: DataFrame, field: DataFrame, shape) -> DataFrame:
@@ -330,7 +332,7 @@ def warp_triangles(points: DataFrame, triangles: DataFrame) -> DataFrame:
     det = "((t.p2x - t.p1x) * (t.p3y - t.p1y) - (t.p3x - t.p1x) * (t.p2y - t.p1y))"
     u = f"((x_px - t.p1x) * (t.p3y - t.p1y) - (t.p3x - t.p1x) * (y_px - t.p1y)) / {det}"
     v = f"((t.p2x - t.p1x) * (y_px - t.p1y) - (x_px - t.p1x) * (t.p2y - t.p1y)) / {det}"
-    df = points.join(packed, "section", "left").withColumn("_h", F.expr(
+    df = points.join(unsized(packed), "section", "left").withColumn("_h", F.expr(
         f"get(filter(transform(filter(_t, t -> abs{det} >= 1e-12D), t -> named_struct('t', t, 'u', {u}, 'v', {v})), h -> h.u >= 0 AND h.v >= 0 AND h.u + h.v <= 1), 0)"))
     out = {f"{a}_warped": F.expr(f"coalesce(_h.t.q1{a} + (_h.t.q2{a} - _h.t.q1{a}) * _h.u + (_h.t.q3{a} - _h.t.q1{a}) * _h.v, {a}_px)") for a in "xy"}
     return df.withColumns(out).drop("_t", "_h")

@@ -62,6 +62,15 @@ def cut_lineage(df):
     return df.checkpoint()
 
 
+def unsized(df):
+    """``df`` kept out of broadcasts, for tables that grow with the data.
+
+    The planner takes what an explode, a grouping of exploded rows or Python makes for about as
+    large as what was read, so it would send millions of rows through the driver.
+    """
+    return df.hint("merge")
+
+
 def spread(df, *keys: str):
     """Hash ``df`` by ``keys`` over all shuffle partitions before work that grows its rows or runs Python.
 
