@@ -26,3 +26,11 @@ def test_a_displacement_field_is_not_broadcast_and_alike_points_stay(spark):
     out = L.field_warp_points(pts, field, step=2.0, nx=2, ny=2)
     assert broadcasts(out) == 0
     assert sorted(map(tuple, out.collect())) == [(1, 1, 2.5, 2.0), (1, 1, 2.5, 2.0), (2, 1, 11.0, -3.0), (3, 2, 5.0, 5.0)]
+
+
+LANDMARKS = "section long, i int, sx double, sy double, tx double, ty double, forward boolean"
+
+
+def test_landmarks_are_not_broadcast(spark):
+    lm = make(spark, LANDMARKS, [(1, i, float(i % 3), float(i // 3), float(i % 3), float(i // 3), True) for i in range(6)])
+    assert broadcasts(M.tps_warp_points(make(spark, POINTS, [(1, 1, 1.0, 1.0)]), lm)) == 0

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxelkeel.functions import geometry as G
 from voxelkeel.operators.labels import field_warp_points
-from voxelkeel.session import spread
+from voxelkeel.session import spread, unsized
 
 # --- P16: thin-plate splines ---------------------------------------------------------------------
 
@@ -20,13 +20,17 @@ def _kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _spline(src: np.ndarray, dst: np.ndarray):
-    """Exact thin-plate map with a linear term, in centred and scaled coordinates."""
+    """Exact thin-plate map with a linear term, in centred and scaled coordinates.
+
+    It is solved for the shifts about their mean, which keeps a plain shift exact.
+    """
     shift, scale = src.mean(0), max(float(np.ptp(src, axis=0).max()), 1e-9)
     s = (src - shift) / scale
     poly = np.hstack([np.ones((len(s), 1)), s])
     left = np.block([[_kernel(s, s), poly], [poly.T, np.zeros((3, 3))]])
-    w = np.linalg.solve(left, np.vstack([dst, np.zeros((3, 2))]))
-    return lambda p: np.hstack([_kernel((p - shift) / scale, s), np.ones((len(p), 1)), (p - shift) / scale]) @ w
+    moved = dst - src
+    w = np.linalg.solve(left, np.vstack([moved - moved.mean(0), np.zeros((3, 2))]))
+    return lambda p: p + (moved.mean(0) + np.hstack([_kernel((p - shift) / scale, s), np.ones((len(p), 1)), (p - shift) / scale]) @ w)
 
 
 def _settle(forward, start: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,7 +57,7 @@ def tps_warp_points(points: DataFrame, landmarks: DataFrame, *, inverse: bool =
     and the start was kept.
     """
     packed = landmarks.groupBy("section").agg(F.array_sort(F.collect_list(F.struct("i", "sx", "sy", "tx", "ty"))).alias("_l"), F.bool_or("forward").alias("_fwd"))
-    joined = points.join(packed, "section", "left")
+    joined = points.join(unsized(packed), "section", "left")
     still = joined.filter("_l IS NULL").select("pid", "section", F.col("x_px").cast("double").alias("x_warped"), F.col("y_px").cast("double").alias("y_warped"), F.lit(True).alias("settled"))
     rows = joined.filter("_l IS NOT NULL").select("pid", "section", "x_px", "y_px", "_fwd", F.col("_l.sx").alias("sx"), F.col("_l.sy").alias("sy"), F.col("_l.tx").alias("tx"), F.col("_l.ty").alias("ty"))
 
@@ -96,17 +100,17 @@ def section_pixels_to_ccf(points: DataFrame, sections: DataFrame, *, landmarks:
     if landmarks is not None:
         moved = tps_warp_points(points, landmarks, inverse=True)
         df = moved.select("pid", "section", F.col("x_warped").alias("x_px"), F.col("y_warped").alias("y_px"), "settled")
-        sections = sections.join(landmarks.select("section").distinct().withColumn("_marked", F.lit(True)), "section", "left")
+        sections = sections.join(unsized(landmarks.select("section").distinct().withColumn("_marked", F.lit(True))), "section", "left")
         corrected = F.coalesce("_marked", F.lit(False))
-    df = df.join(sections.select("section", *names, corrected.alias("_corrected")), "section", "left")
+    df = df.join(unsized(sections.select("section", *names, corrected.alias("_corrected"))), "section", "left")
     x, y = G.affine_invert_apply([F.col(n) for n in names], F.col("x_px"), F.col("y_px"))
     undo = F.col("m0").isNotNull() & ~F.col("_corrected")
     df = df.withColumns({"_x": F.when(undo, x).otherwise(F.col("x_px")), "_y": F.when(undo, y).otherwise(F.col("y_px"))})
     df = df.select("pid", "section", "settled", F.col("_x").alias("x_px"), F.col("_y").alias("y_px"))
     if field is not None:
         warped = field_warp_points(df.select("pid", "section", "x_px", "y_px"), field, step=step, nx=nx, ny=ny)
-        df = df.select("pid", "settled").join(warped, "pid").withColumnsRenamed({"x_warped": "x_px", "y_warped": "y_px"})
-    placed = df.withColumnsRenamed({"x_px": "x_local", "y_px": "y_local"}).join(sections.select("section", "reg_anchoring", "out_w", "out_h", "resolution_um"), "section", "left")
+        df = df.select("pid", "settled").join(unsized(warped), "pid").withColumnsRenamed({"x_warped": "x_px", "y_warped": "y_px"})
+    placed = df.withColumnsRenamed({"x_px": "x_local", "y_px": "y_local"}).join(unsized(sections.select("section", "reg_anchoring", "out_w", "out_h", "resolution_um")), "section", "left")
     return G.registered_pixel_to_ccf(placed).select("pid", "section", "ap_um", "ml_um", "dv_um", "settled")
 
 
