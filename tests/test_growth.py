@@ -34,3 +34,13 @@ LANDMARKS = "section long, i int, sx double, sy double, tx double, ty double, fo
 def test_landmarks_are_not_broadcast(spark):
     lm = make(spark, LANDMARKS, [(1, i, float(i % 3), float(i // 3), float(i % 3), float(i // 3), True) for i in range(6)])
     assert broadcasts(M.tps_warp_points(make(spark, POINTS, [(1, 1, 1.0, 1.0)]), lm)) == 0
+
+
+def test_pixel_chain_broadcasts_nothing_and_a_plain_shift_is_exact(spark):
+    lm = make(spark, LANDMARKS, [(1, i, 15.0 * (i % 3), 12.0 * (i // 3), 15.0 * (i % 3) + 3, 12.0 * (i // 3) - 2, False) for i in range(9)])
+    pts = make(spark, POINTS, [(i, 1, i % 34 - 2.0, (i * 7 % 31) * 1.1 - 1) for i in range(60)])
+    moved = M.tps_warp_points(pts, lm, inverse=True).join(pts, ["pid", "section"])
+    assert all((r.x_warped, r.y_warped) == (r.x_px - 3, r.y_px + 2) for r in moved.collect())
+    sections = make(spark, "section long, reg_anchoring array<double>, out_w int, out_h int, resolution_um double", [(1, [1.0] * 9, 4, 4, 25.0)])
+    field = make(spark, FIELD, [(1, 0, 0, 0.5, 0.5)])
+    assert broadcasts(M.section_pixels_to_ccf(pts, sections, landmarks=lm, field=field, step=4.0, nx=2, ny=2)) == 0
