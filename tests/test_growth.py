@@ -1,9 +1,8 @@
 """What keeps queries whole on larger tables: plans that send no grown table through the driver, and exact ties."""
 
 import numpy as np
-import pytest
-from pyspark.sql import functions as F
 
+from voxelkeel.operators import features as A
 from voxelkeel.operators import labels as L
 from voxelkeel.operators import matching as M
 
@@ -44,3 +43,26 @@ def test_pixel_chain_broadcasts_nothing_and_a_plain_shift_is_exact(spark):
     sections = make(spark, "section long, reg_anchoring array<double>, out_w int, out_h int, resolution_um double", [(1, [1.0] * 9, 4, 4, 25.0)])
     field = make(spark, FIELD, [(1, 0, 0, 0.5, 0.5)])
     assert broadcasts(M.section_pixels_to_ccf(pts, sections, landmarks=lm, field=field, step=4.0, nx=2, ny=2)) == 0
+
+
+def test_null_calibration_keeps_curves_in_the_group_and_takes_repeated_depths(spark):
+    rows = [(1, f, 20.0 * i, float(np.sin(i * (f + 1)) + (i > 30))) for f in range(2) for i in range(64)]
+    schema = "k long, feature long, depth_um double, value double"
+    once, twice = make(spark, schema, rows), make(spark, schema, rows + rows)
+    calibrate = lambda p: A.null_calibration(p, A.adaptive_windows(p, ["k"]), ["k"])
+    assert broadcasts(calibrate(once)) == 0
+    want = sorted(map(tuple, calibrate(once).collect()))
+    assert len(want) == 4 and sorted(map(tuple, calibrate(twice).collect())) == want
+
+
+def test_grid_contrasts_agree_with_contrasts_at_marks(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, f, 20.0 * i, None if i == 7 else float(rng.normal() + (i > 20) * f)) for k in (1, 2) for f in range(3) for i in range(40)]
+    prof = make(spark, "k long, feature int, depth_um double, value double", rows)
+    windows = make(spark, "k long, window_um double", [(1, 100.0), (1, 150.0), (2, 60.0)])
+    want = A.contrast_at(prof, A.depth_marks(prof, windows, ["k"], step_um=25.0), ["k"], window="window_um")
+    grid = A.contrast_grid(prof, windows, ["k"], step_um=25.0, per_feature=True)
+    assert "Window" not in grid._jdf.queryExecution().executedPlan().toString() and broadcasts(grid) == 0
+    key = lambda r: (r.k, r.feature, r.window_um, r.at)
+    got, want = {key(r): r.contrast for r in grid.collect()}, {key(r): r.contrast for r in want.collect()}
+    assert got.keys() == want.keys() and all((a is None) == (want[i] is None) and (a is None or abs(a - want[i]) < 1e-9) for i, a in got.items())

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from voxelkeel.functions import constants as C
 from voxelkeel.functions.interp import interp, knot_arrays
 from voxelkeel.functions.ranges import range_join
-from voxelkeel.session import cut_lineage, spread
+from voxelkeel.session import cut_lineage, spread, unsized
 
 # --- windows and screening (W16, A11-A14, O01) ------------------------------------------------
 
@@ -307,7 +307,7 @@ def contrast_at(profile: DataFrame, marks: DataFrame, keys: list[str], *, window
     # Running counts and sums along depth, read off where each side of a mark begins and ends: samples and
     # marks are sorted together once, and no mark meets a sample. A mark goes before a sample at its depth.
     ends = F.array(*[F.struct(F.lit(i).alias("_end"), (F.col("at") + F.lit(float(i - 1)) * F.col(window)).alias("_at")) for i in range(3)])
-    probes = marks.join(profile.select(*group).distinct(), keys).select(*group, window, "at", F.inline(ends)).withColumn("value", F.lit(None).cast("double"))
+    probes = marks.join(unsized(profile.select(*group).distinct()), keys).select(*group, window, "at", F.inline(ends)).withColumn("value", F.lit(None).cast("double"))
     samples = profile.select(*group, F.col("depth_um").alias("_at"), F.col("value").cast("double").alias("value"), F.lit(3).alias("_end"))
     rows = samples.unionByName(probes, allowMissingColumns=True)
     # Sums about the mean keep the variances well conditioned.
@@ -335,11 +335,62 @@ def depth_marks(profile: DataFrame, windows: DataFrame, keys: list[str], *, step
     return df.select(*keys, "window_um", F.expr(f"_lo + window_um + _i * {step_um}D AS at"))
 
 
+def contrast_grid(profile: DataFrame, windows: DataFrame, keys: list[str], *, step_um: float, per_feature: bool, min_samples: int = 3) -> DataFrame:
+    """W05 on a regular grid of each shank: as :func:`contrast_at` at :func:`depth_marks`, from running sums of one shank.
+
+    With ``per_feature`` a row per feature, window and mark that has samples; else ``score``, the mean
+    over features that have a contrast (0 where none has), a row per window and mark. A shank's few hundred depths are one
+    group; its marks are made inside it, so no more rows are sorted than the profile has.
+    """
+    value = "contrast" if per_feature else "score"
+
+    def contrasts(pdf: pd.DataFrame) -> pd.DataFrame:
+        lo, hi, parts = pdf["depth_um"].min(), pdf["depth_um"].max(), []
+        sides = []
+        for feature, g in pdf.groupby("feature", sort=True):
+            g = g.sort_values("depth_um")
+            v = g["value"].to_numpy(float)
+            known = np.isfinite(v)
+            # Sums about the mean keep the variances well conditioned.
+            v = np.where(known, v - (v[known].mean() if known.any() else 0.0), 0.0)
+            sides.append((feature, g["depth_um"].to_numpy(float), [np.concatenate([[0.0], np.cumsum(x)]) for x in (np.ones(len(v)), known, v, v * v)]))
+        for w in pdf["windows"].iloc[0]:
+            at = lo + w + np.arange(max(0, int(np.ceil((hi - w - (lo + w)) / step_um)))) * step_um
+            total, count = np.zeros(len(at)), np.zeros(len(at))
+            for feature, depth, sums in sides:
+                ends = [np.searchsorted(depth, at + d, side="left") for d in (-w, 0.0, w)]
+                (na, ca, sa, qa), (nb, cb, sb, qb) = ([x[ends[e + 1]] - x[ends[e]] for x in sums] for e in (0, 1))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    ma, mb = sa / ca, sb / cb
+                    half = 0.5 * (np.maximum(0.0, qa / ca - ma * ma) + np.maximum(0.0, qb / cb - mb * mb))
+                    # What rounding leaves of a side without spread is no spread.
+                    ok = (na >= min_samples) & (nb >= min_samples) & (half > 1e-12 * np.maximum(ma * ma, mb * mb)) & (half > 0)
+                    d = np.where(ok, np.abs(ma - mb) / np.sqrt(half), np.nan)
+                if per_feature:
+                    some = na + nb > 0
+                    parts.append(pd.DataFrame({"feature": feature, "window_um": w, "at": at[some], value: d[some]}))
+                else:
+                    total, count = total + np.where(ok, d, 0.0), count + ok
+            if not per_feature:
+                parts.append(pd.DataFrame({"window_um": w, "at": at, value: np.where(count > 0, total / np.maximum(count, 1), 0.0)}))
+        out = pd.concat(parts, ignore_index=True)
+        for c in keys:
+            out[c] = pdf[c].iloc[0]
+        return out[names]
+
+    types = {f.name: f.dataType.simpleString() for f in profile.schema.fields}
+    names = [*keys, *(["feature"] if per_feature else []), "window_um", "at", value]
+    schema = ", ".join(f"{c} {types.get(c, 'double')}" if c in (*keys, "feature") else f"{c} double" for c in names)
+    listed = windows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.col("window_um").cast("double"))).alias("windows"))
+    rows = profile.select(*keys, F.col("feature"), F.col("depth_um").cast("double"), F.col("value").cast("double")).join(unsized(listed), keys)
+    out = spread(rows, *keys).groupBy(*keys).applyInPandas(contrasts, schema)
+    return out.withColumn(value, F.expr(f"CASE WHEN NOT isnan({value}) THEN {value} END"))
+
+
 def contrast_null(profile: DataFrame, keys: list[str], *, window_um: float = 150.0, step_um: float = 25.0) -> DataFrame:
     """Contrasts over a regular grid, for comparison with a boundary's own."""
     windows = profile.select(*keys).distinct().withColumn("window_um", F.lit(float(window_um)))
-    marks = depth_marks(profile, windows, keys, step_um=step_um)
-    return contrast_at(profile, marks, keys, window="window_um").filter("contrast IS NOT NULL")
+    return contrast_grid(profile, windows, keys, step_um=step_um, per_feature=True).filter("contrast IS NOT NULL")
 
 
 def bad_channels(profile: DataFrame, keys: list[str], *, k: float = 5.0, neighbours: int = 9) -> DataFrame:
@@ -353,16 +404,16 @@ def bad_channels(profile: DataFrame, keys: list[str], *, k: float = 5.0, neighbo
     df = level.withColumn("_near", F.array_sort(F.collect_list("_l").over(frame)))
     df = df.withColumn("_r", F.expr("_l - (get(_near, CAST(floor((size(_near) - 1) / 2) AS INT)) + get(_near, CAST(floor(size(_near) / 2) AS INT))) / 2D"))
     centre = df.groupBy(*keys).agg(F.median("_r").alias("_c"), F.count(F.lit(1)).alias("_n"))
-    df = df.join(centre, keys)
+    df = df.join(unsized(centre), keys)
     spread = df.groupBy(*keys).agg((F.median(F.abs(F.col("_r") - F.col("_c"))) * 1.4826).alias("_s"))
     bad = F.expr(f"_n >= 5 AND (_l IS NULL OR coalesce(_s > 0 AND abs(_r) > {k}D * _s, false))")
-    return df.join(spread, keys).select(*keys, "depth_um", bad.alias("bad"))
+    return df.join(unsized(spread), keys).select(*keys, "depth_um", bad.alias("bad"))
 
 
 def interpolate_bad(profile: DataFrame, keys: list[str], **options) -> DataFrame:
     """Values at bad depths replaced by linear interpolation between good ones, held at the ends."""
     flags = bad_channels(profile, keys, **options)
-    df = profile.join(flags, [*keys, "depth_um"])
+    df = profile.join(unsized(flags), [*keys, "depth_um"])
     w = Window.partitionBy(*keys, "feature").orderBy("depth_um")
     knot = F.when(~F.col("bad"), F.struct("depth_um", "value"))
     df = df.withColumns({"_lo": F.last(knot, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
@@ -376,7 +427,7 @@ def standardise(profile: DataFrame, keys: list[str]) -> DataFrame:
     """Each feature of a shank to zero mean and unit SD (SD 1 where it has none)."""
     st = profile.groupBy(*keys, "feature").agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"))
     z = F.expr("(value - _m) / CASE WHEN _s > 0 AND NOT isnan(_s) THEN _s ELSE 1D END")
-    return profile.join(st, [*keys, "feature"]).withColumn("value", z).drop("_m", "_s")
+    return profile.join(unsized(st), [*keys, "feature"]).withColumn("value", z).drop("_m", "_s")
 
 
 def step_profile(profile: DataFrame, windows: DataFrame, keys: list[str], *, step_um: float = 20.0, reject_bad: bool = True) -> DataFrame:
@@ -387,10 +438,7 @@ def step_profile(profile: DataFrame, windows: DataFrame, keys: list[str], *, ste
     clean = interpolate_bad(profile, keys) if reject_bad else profile
     z = standardise(clean.select(*keys, "feature", "depth_um", "value"), keys)
     n = profile.groupBy(*keys).agg(F.count_distinct("depth_um").alias("_n")).filter("_n >= 4").drop("_n")
-    marks = depth_marks(profile.join(n, keys, "left_semi"), windows, keys, step_um=step_um)
-    per_feature = contrast_at(z, marks, keys, window="window_um")
-    score = per_feature.groupBy(*keys, "window_um", "at").agg(F.avg("contrast").alias("_s"))
-    return marks.join(score, [*keys, "window_um", "at"], "left").withColumn("score", F.coalesce("_s", F.lit(0.0))).drop("_s")
+    return contrast_grid(z.join(unsized(n), keys, "left_semi"), windows, keys, step_um=step_um, per_feature=False)
 
 
 def adaptive_windows(profile: DataFrame, keys: list[str], *, ladder=(60.0, 100.0, 150.0, 220.0), max_fraction: float = 1 / 3) -> DataFrame:
@@ -402,72 +450,70 @@ def adaptive_windows(profile: DataFrame, keys: list[str], *, ladder=(60.0, 100.0
 
 
 def _contrast_curve(depths: np.ndarray, z: np.ndarray, window: float, step: float) -> tuple[np.ndarray, np.ndarray]:
-    """W06 at every mark of one profile, by running sums: mean contrast over features, else 0."""
+    """W06 at every mark of one profile, by running sums: mean contrast over features (last axis of ``z``), else 0."""
     marks = np.arange(depths[0] + window, depths[-1] - window, step)
     ends = [np.searchsorted(depths, marks + d, side="left") for d in (-window, 0.0, window)]
-    n = np.array([ends[1] - ends[0], ends[2] - ends[1]])[:, :, None]
+    n = np.array([ends[1] - ends[0], ends[2] - ends[1]]).reshape(2, len(marks), *(1 for _ in z.shape[1:]))
     # Sums about the column mean keep the variances well conditioned.
-    c1 = np.vstack([np.zeros(z.shape[1]), np.cumsum(z, axis=0)])
-    c2 = np.vstack([np.zeros(z.shape[1]), np.cumsum(z * z, axis=0)])
+    start = np.zeros((1, *z.shape[1:]))
+    c1, c2 = (np.concatenate([start, np.cumsum(v, axis=0)]) for v in (z, z * z))
     both = lambda c: np.stack([c[ends[1]] - c[ends[0]], c[ends[2]] - c[ends[1]]])
     with np.errstate(divide="ignore", invalid="ignore"):
         mean, square = both(c1) / n, both(c2) / n
         var = np.maximum(square - mean ** 2, 0.0)
         d = np.abs(mean[0] - mean[1]) / np.sqrt(0.5 * (var[0] + var[1]))
-    d[((n < 3).any(axis=0) | ~np.isfinite(d))] = np.nan
-    counts = np.isfinite(d).sum(axis=1)
-    return marks, np.where(counts > 0, np.nansum(d, axis=1) / np.maximum(counts, 1), 0.0)
+    d[np.broadcast_to((n < 3).any(axis=0), d.shape) | ~np.isfinite(d)] = np.nan
+    counts = np.isfinite(d).sum(axis=-1)
+    return marks, np.where(counts > 0, np.nansum(d, axis=-1) / np.maximum(counts, 1), 0.0)
 
 
-def surrogate_contrasts(profile: DataFrame, windows: DataFrame, keys: list[str], *, step_um: float = 20.0,
-                        n_surrogates: int = 16, seed: int = 0) -> DataFrame:
-    """Contrast curves of phase-randomised copies of each shank, per window.
+def _surrogates(pdf: pd.DataFrame, n_surrogates: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Depths of one shank and its standardised phase-randomised copies (depth, surrogate, feature).
 
-    A shank's few hundred depths are one group; one generator per shank draws surrogate by
-    surrogate and feature by feature. Only the curves leave the group.
+    One generator per shank draws surrogate by surrogate and feature by feature. Values at the
+    same depth of a feature count as their mean.
     """
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index="depth_um", columns="feature", values="value").sort_index()
-        depths, n = wide.index.to_numpy(dtype=float), len(wide)
-        filled = wide.interpolate(method="linear", limit_direction="both").fillna(0.0).to_numpy(dtype=float)
-        spectra, rng, parts = np.abs(np.fft.rfft(filled, axis=0)), np.random.default_rng(seed), []
-        for s in range(n_surrogates):
-            phases = rng.uniform(0.0, 2.0 * np.pi, size=spectra.shape[::-1]).T
-            phases[0] = 0.0
-            if n % 2 == 0:
-                phases[-1] = 0.0
-            copy = np.fft.irfft(spectra * np.exp(1j * phases), n=n, axis=0)
-            spread = copy.std(axis=0)
-            z = (copy - copy.mean(axis=0)) / np.where(spread > 0, spread, 1.0)
-            for w in pdf["windows"].iloc[0]:
-                at, score = _contrast_curve(depths, z, float(w), step_um)
-                parts.append((np.full(len(at), s), np.full(len(at), float(w)), at, score))
-        cols = dict(zip(("surrogate", "window_um", "at", "score"), (np.concatenate(c) for c in zip(*parts))))
-        out = pd.DataFrame({**{c: pdf[c].iloc[0] for c in keys}, **cols})
-        return out[[*keys, "surrogate", "window_um", "at", "score"]]
-
-    enough = profile.groupBy(*keys).agg(F.count_distinct("depth_um").alias("_n")).filter("_n >= 8").drop("_n")
-    listed = windows.groupBy(*keys).agg(F.array_sort(F.collect_list("window_um")).alias("windows")).join(enough, keys)
-    types = {f.name: f.dataType.simpleString() for f in profile.schema.fields}
-    cols = ", ".join([*(f"{c} {types[c]}" for c in keys), "surrogate int", "window_um double", "at double", "score double"])
-    rows = profile.select(*keys, "feature", "depth_um", "value").join(listed, keys)
-    return spread(rows, *keys).groupBy(*keys).applyInPandas(draw, cols)
+    wide = pdf.groupby(["depth_um", "feature"])["value"].mean().unstack()
+    n = len(wide)
+    filled = wide.interpolate(method="linear", limit_direction="both").fillna(0.0).to_numpy(dtype=float)
+    spectra, rng = np.abs(np.fft.rfft(filled, axis=0)), np.random.default_rng(seed)
+    phases = rng.uniform(0.0, 2.0 * np.pi, size=(n_surrogates, *spectra.shape[::-1])).transpose(2, 0, 1)
+    phases[0] = 0.0
+    if n % 2 == 0:
+        phases[-1] = 0.0
+    copies = np.fft.irfft(spectra[:, None, :] * np.exp(1j * phases), n=n, axis=0)
+    spread = copies.std(axis=0)
+    return wide.index.to_numpy(dtype=float), (copies - copies.mean(axis=0)) / np.where(spread > 0, spread, 1.0)
 
 
 def null_calibration(profile: DataFrame, windows: DataFrame, keys: list[str], *, step_um: float = 20.0, n_surrogates: int = 16,
                      percentile: float = 0.9, seed: int = 0) -> DataFrame:
     """Per (shank, window) ``centre`` and ``spread`` of surrogate contrast, and the shank's ``null_z``.
 
-    Shanks need eight depths; ``null_z`` is a percentile of the surrogates' peak z.
+    Shanks need eight depths; ``null_z`` is a percentile of the surrogates' peak z. A shank's few hundred
+    depths are one group, and only its statistics leave it: the curves are many times the profile.
     """
-    curves = cut_lineage(surrogate_contrasts(profile, windows, keys, step_um=step_um, n_surrogates=n_surrogates, seed=seed))
-    wkeys = [*keys, "window_um"]
-    centre = curves.groupBy(*wkeys).agg(F.median("score").alias("centre"))
-    dev = curves.join(centre, wkeys).groupBy(*wkeys).agg((F.median(F.abs(F.col("score") - F.col("centre"))) * 1.4826).alias("_s"))
-    stats = centre.join(dev, wkeys).select(*wkeys, "centre", F.expr("CASE WHEN _s > 0 THEN _s ELSE 1D END AS spread"))
-    peaks = curves.join(stats, wkeys).groupBy(*keys, "surrogate").agg(F.max((F.col("score") - F.col("centre")) / F.col("spread")).alias("_p"))
-    null = peaks.groupBy(*keys).agg(F.percentile("_p", F.lit(percentile)).alias("null_z"))
-    return stats.join(null, keys)
+    def calibrate(pdf: pd.DataFrame) -> pd.DataFrame:
+        depths, z = _surrogates(pdf, n_surrogates, seed)
+        stats, peak = [], np.full(n_surrogates, -np.inf)
+        for w in pdf["windows"].iloc[0]:
+            scores = _contrast_curve(depths, z, float(w), step_um)[1]  # mark, surrogate
+            if not scores.size:
+                continue
+            centre = np.median(scores)
+            dev = np.median(np.abs(scores - centre)) * 1.4826
+            dev = dev if dev > 0 else 1.0
+            stats.append((float(w), centre, dev))
+            peak = np.maximum(peak, ((scores - centre) / dev).max(axis=0))
+        null = float(np.quantile(peak, percentile)) if stats else None
+        return pd.DataFrame([(*(pdf[c].iloc[0] for c in keys), *s, null) for s in stats], columns=[*keys, "window_um", "centre", "spread", "null_z"])
+
+    enough = profile.groupBy(*keys).agg(F.count_distinct("depth_um").alias("_n")).filter("_n >= 8").drop("_n")
+    listed = windows.groupBy(*keys).agg(F.array_sort(F.collect_list("window_um")).alias("windows")).join(unsized(enough), keys)
+    types = {f.name: f.dataType.simpleString() for f in profile.schema.fields}
+    cols = ", ".join([*(f"{c} {types[c]}" for c in keys), "window_um double", "centre double", "spread double", "null_z double"])
+    rows = profile.select(*keys, "feature", "depth_um", "value").join(unsized(listed), keys)
+    return spread(rows, *keys).groupBy(*keys).applyInPandas(calibrate, cols)
 
 
 def multiscale_profile(profile: DataFrame, keys: list[str], *, step_um: float = 5.0, n_surrogates: int = 16, seed: int = 0) -> DataFrame:
@@ -476,14 +522,14 @@ def multiscale_profile(profile: DataFrame, keys: list[str], *, step_um: float =
     stats = cut_lineage(null_calibration(profile, windows, keys, n_surrogates=n_surrogates, seed=seed))
     null = stats.groupBy(*keys).agg(F.max("null_z").alias("null_z"))
     raw = step_profile(profile, windows, keys, step_um=step_um)
-    z = raw.join(stats, [*keys, "window_um"]).withColumn("z", F.expr("(score - centre) / spread"))
+    z = raw.join(unsized(stats), [*keys, "window_um"]).withColumn("z", F.expr("(score - centre) / spread"))
     knots = knot_arrays(z, [*keys, "window_um"], "at", "z")
     rng = profile.groupBy(*keys).agg(F.min("depth_um").alias("_lo"), F.max("depth_um").alias("_hi"))
     grid = spread(rng, *keys).withColumn("_i", F.explode(F.expr(f"sequence(0L, CAST(ceil((_hi + {step_um}D - _lo) / {step_um}D) AS BIGINT) - 1)")))
     grid = grid.select(*keys, F.expr(f"_lo + _i * {step_um}D AS depth_um"))
-    on_grid = interp(grid.join(knots, keys), "z", F.col("depth_um"), "xs", "ys", "null")
+    on_grid = interp(grid.join(unsized(knots), keys), "z", F.col("depth_um"), "xs", "ys", "null")
     best = on_grid.groupBy(*keys, "depth_um").agg(F.max(F.when(F.col("z").isNotNull(), F.struct("z", (-F.col("window_um")).alias("w")))).alias("_b"))
-    return best.join(null, keys, "left").select(*keys, "depth_um", F.col("_b.z").alias("z"), (-F.col("_b.w")).alias("scale_um"), "null_z")
+    return best.join(unsized(null), keys, "left").select(*keys, "depth_um", F.col("_b.z").alias("z"), (-F.col("_b.w")).alias("scale_um"), "null_z")
 
 
 def profile_peaks(profile: DataFrame, keys: list[str], *, min_z: float = 2.0) -> DataFrame:
