@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from voxelkeel.functions import geometry as G
 from voxelkeel.operators import features as A
 from voxelkeel.operators import labels as L
 from voxelkeel.operators import matching as M
@@ -66,3 +67,11 @@ def test_grid_contrasts_agree_with_contrasts_at_marks(spark):
     key = lambda r: (r.k, r.feature, r.window_um, r.at)
     got, want = {key(r): r.contrast for r in grid.collect()}, {key(r): r.contrast for r in want.collect()}
     assert got.keys() == want.keys() and all((a is None) == (want[i] is None) and (a is None or abs(a - want[i]) < 1e-9) for i, a in got.items())
+
+
+def test_plane_centre_is_scaled_once(spark):
+    planes = [[120.0 + i * 2.4 + (i * 7 % 5) / 10, 10.0, 5.0, (i % 7 - 3) * 0.8, 0.0, 440.0, (i % 9 - 4) * 0.9, 300.0, 2.0] for i in range(200)]
+    df = make(spark, "i int, reg_anchoring array<double>, ds_anchoring array<double>, out_h int, out_w int, x0 int, x1 int, y0 int, y1 int, resolution_um double",
+              [(i, p, None, 200, 250, 0, 1, 0, 1, 25.0) for i, p in enumerate(planes)])
+    got = {r.i: r.plane_ap_um for r in G.section_plane_values(df).collect()}
+    assert all(got[i] == (p[0] + p[3] / 2 + p[6] / 2) * 25.0 for i, p in enumerate(planes))

@@ -213,7 +213,7 @@ def plane_values(a: Column, out_h: Column, out_w: Column, resolution_um: Column)
     n = cross3(ax, ay)
     flip = F.when(n[0] < 0, -1.0).otherwise(1.0)
     return {
-        "plane_ap_um": v[0] + v[3] / 2 + v[6] / 2,
+        "plane_ap_um": anchoring_centre_ap(a) * resolution_um,
         "pitch_deg": F.degrees(F.atan2(-n[1] * flip, n[0] * flip)),
         "yaw_deg": F.degrees(F.atan2(-n[2] * flip, n[0] * flip)),
         "rotation_deg_plane": F.degrees(F.atan2(ax[1], F.abs(ax[2]))),
