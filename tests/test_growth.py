@@ -1,11 +1,14 @@
 """What keeps queries whole on larger tables: plans that send no grown table through the driver, and exact ties."""
 
+import duckdb
 import numpy as np
 
+import __spark_entry__ as entry
 from voxelkeel.functions import geometry as G
 from voxelkeel.operators import features as A
 from voxelkeel.operators import labels as L
 from voxelkeel.operators import matching as M
+from voxelkeel.operators import spans as S
 
 
 def make(spark, schema, rows):
@@ -75,3 +78,21 @@ def test_plane_centre_is_scaled_once(spark):
               [(i, p, None, 200, 250, 0, 1, 0, 1, 25.0) for i, p in enumerate(planes)])
     got = {r.i: r.plane_ap_um for r in G.section_plane_values(df).collect()}
     assert all(got[i] == (p[0] + p[3] / 2 + p[6] / 2) * 25.0 for i, p in enumerate(planes))
+
+
+def test_channel_maps_that_do_not_begin_at_their_first_channel(spark, tmp_path):
+    ids = [i for i in range(320) if not (i // 32 in (3, 6) and i % 32 > 1) and not (i // 32 in (5, 9) and i % 32 < 9)]
+    spark.createDataFrame([(i, [0.5] * 64, i % 10) for i in ids], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = entry.queries()["s07_read_channel_map"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({entry.oracle_sql()['s07_read_channel_map']}) q").fetchall()
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_merged_spans_do_not_depend_on_how_equal_ones_are_ordered(spark):
+    # SQL that sorts equal spans anew for each window may number a span -1 or stretch it; the spans themselves leave nothing open.
+    spans = [(30, 2895.0, 3000.0)] * 3 + [(30, 3075.0, 3180.0), (41, 2775.0, 2880.0)] + [(41, 2955.0, 3060.0)] * 3
+    for rows in (spans, spans[::-1]):
+        merged = S.merge_spans(make(spark, "penetration long, top_um double, bottom_um double", rows), ["penetration"])
+        assert sorted(map(tuple, merged.collect())) == [(30, 0, 2895.0, 3000.0), (30, 1, 3075.0, 3180.0), (41, 0, 2775.0, 2880.0), (41, 1, 2955.0, 3060.0)]

@@ -122,8 +122,9 @@ def _s06(t):
 SELECT recording AS map_id, CAST(row_number() OVER (PARTITION BY recording ORDER BY CASE WHEN recording % 3 <> 0 THEN 31 - channel END, channel) - 1 AS INT) AS channel, axial_um AS depth_um, CASE WHEN channel % 5 = 0 THEN 0e0 ELSE x_um END AS x_um,
   CASE WHEN recording % 2 = 0 THEN CAST(shank_id AS INT) END AS shank FROM b_channels""")
 def _s07(t):
-    rows = t.sql("""SELECT recording AS map_id, channel AS row_no, CAST(axial_um AS STRING) AS `Y_um`, CASE WHEN channel % 5 = 0 THEN ' ' ELSE CAST(x_um AS STRING) END AS x, CASE WHEN recording % 2 = 0 OR channel > 3 THEN CAST(shank_id AS STRING) ELSE '' END AS `group`,
-      CASE WHEN recording % 3 = 0 AND channel = 2 THEN NULL ELSE CAST(31 - channel AS STRING) END AS chan FROM b_channels""")
+    # Of every second map the first channel it has lacks its shank, of every third its number, however few channels a map has.
+    rows = t.sql("""SELECT recording AS map_id, channel AS row_no, CAST(axial_um AS STRING) AS `Y_um`, CASE WHEN channel % 5 = 0 THEN ' ' ELSE CAST(x_um AS STRING) END AS x, CASE WHEN recording % 2 = 0 OR channel > first THEN CAST(shank_id AS STRING) ELSE '' END AS `group`,
+      CASE WHEN recording % 3 = 0 AND channel = first THEN NULL ELSE CAST(31 - channel AS STRING) END AS chan FROM (SELECT *, min(channel) OVER (PARTITION BY recording) AS first FROM b_channels) c""")
     return SR.channel_map(rows)
 
 
