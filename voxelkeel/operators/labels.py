@@ -42,19 +42,22 @@ def sample_labels(pixels: DataFrame, annotation: DataFrame, shape, out: str = "r
 def sample_intensity(pixels: DataFrame, volume: DataFrame, keys: list[str], shape, value: str = "value") -> DataFrame:
     """J12, order 1: trilinear value at each pixel; outside [0, n-1] is 0.
 
-    Eight corners per pixel join the volume and are summed back with their weights; the sum
-    is pre-aggregated. Pixels outside never join.
+    The volume is turned into one row per cell with the values of its eight corners, so a pixel takes part
+    in one equi join and no pixel is multiplied or grouped. A corner without a voxel counts as 0. Pixels outside never join.
     """
-    inside = F.expr(_inside(shape))
-    corners = pixels.filter(inside).select(*keys, "v_ap", "v_dv", "v_ml", F.explode(F.expr(
-        "flatten(transform(array(0, 1), a -> flatten(transform(array(0, 1), d -> transform(array(0, 1), m -> named_struct('a', a, 'd', d, 'm', m))))))")).alias("c"))
-    part = lambda v, c: f"CASE WHEN c.{c} = 1 THEN {v} - floor({v}) ELSE 1D - ({v} - floor({v})) END"
-    weighted = corners.withColumns({
-        "_w": F.expr(f"({part('v_ap', 'a')}) * ({part('v_dv', 'd')}) * ({part('v_ml', 'm')})"),
-        "_vox": voxel_key(F.expr("floor(v_ap) + c.a"), F.expr("floor(v_dv) + c.d"), F.expr("floor(v_ml) + c.m"))}).filter("_w > 0")
-    grid = volume.select(voxel_key(F.col("i_ap"), F.col("i_dv"), F.col("i_ml")).alias("_vox"), F.col(value).alias("_v"))
-    total = weighted.join(grid, "_vox").groupBy(*keys).agg(F.sum(F.col("_w") * F.col("_v")).alias("_t"))
-    return pixels.join(total, keys, "left").withColumn("intensity", F.coalesce("_t", F.lit(0.0))).drop("_t")
+    corners = [(a, d, m) for a in (0, 1) for d in (0, 1) for m in (0, 1)]
+    at = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip((*c, i), "admi")]) for i, c in enumerate(corners)])).alias("c")
+    cells = volume.select("i_ap", "i_dv", "i_ml", F.col(value).cast("double").alias("_v"), at).groupBy(
+        (F.col("i_ap") - F.col("c.a")).alias("_a"), (F.col("i_dv") - F.col("c.d")).alias("_d"), (F.col("i_ml") - F.col("c.m")).alias("_m")).agg(
+        *[F.coalesce(F.max(F.when(F.col("c.i") == i, F.col("_v"))), F.lit(0.0)).alias(f"_v{i}") for i in range(8)])
+    cells = cells.filter("_a >= 0 AND _d >= 0 AND _m >= 0").withColumn("_vox", voxel_key(F.col("_a"), F.col("_d"), F.col("_m"))).drop("_a", "_d", "_m")
+    axes = ("v_ap", "v_dv", "v_ml")
+    low = [F.expr(f"CAST(floor({v}) AS BIGINT)") for v in axes]
+    keyed = pixels.withColumn("_vox", spread_outside(F.when(F.expr(_inside(shape)), voxel_key(*low)), *map(F.col, axes)))
+    part = lambda v, one: f"({v} - floor({v}))" if one else f"(1D - ({v} - floor({v})))"
+    total = " + ".join(f"{' * '.join(part(v, one) for v, one in zip(axes, c))} * _v{i}" for i, c in enumerate(corners))
+    joined = keyed.join(cells, "_vox", "left")
+    return joined.withColumn("intensity", F.expr(f"coalesce({total}, 0D)")).drop("_vox", *[f"_v{i}" for i in range(8)])
 
 
 def resize_nearest(sections: DataFrame) -> DataFrame:
