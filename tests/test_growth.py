@@ -96,3 +96,17 @@ def test_merged_spans_do_not_depend_on_how_equal_ones_are_ordered(spark):
     for rows in (spans, spans[::-1]):
         merged = S.merge_spans(make(spark, "penetration long, top_um double, bottom_um double", rows), ["penetration"])
         assert sorted(map(tuple, merged.collect())) == [(30, 0, 2895.0, 3000.0), (30, 1, 3075.0, 3180.0), (41, 0, 2775.0, 2880.0), (41, 1, 2955.0, 3060.0)]
+
+
+def test_section_pairs_and_pixels_are_not_grouped_behind_their_joins(spark):
+    bits = make(spark, "pair long, section long, turn double, mirror boolean, bits array<long>", [(1, 1, t, m, [3 + int(t) + m]) for t in (0.0, 3.0) for m in (False, True)])
+    plan = M.section_overlaps(bits, bits.withColumn("section", bits.section + 10))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in text[:text.index("Join")] and broadcasts(plan) == 0
+    assert [tuple(r) for r in plan.collect()] == [(1, 1, 11, 1.0, False, 0.0)]
+    pixels = make(spark, "p int, v_ap double, v_dv double, v_ml double", [(1, 0.25, 0.5, 1.0), (2, 1.0, 1.0, 1.0), (3, -0.1, 0.0, 0.0)])
+    volume = make(spark, "i_ap int, i_dv int, i_ml int, value double", [(a, d, 1, 1.0 + a + 2 * d) for a in (0, 1) for d in (0, 1)])
+    out = L.sample_intensity(pixels, volume, ["p"], (2, 2, 2))
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in text[:text.index("Join")]
+    assert {r.p: r.intensity for r in out.collect()} == {1: 2.25, 2: 4.0, 3: 0.0}

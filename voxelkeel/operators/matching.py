@@ -181,7 +181,8 @@ def outline_bitmaps(pixels: DataFrame, keys: list[str], *, width: int, height: i
     g = grid.withColumn("c", F.explode(combos)).select("ox", "oy", "bit", "c.turn", "c.mirror")
     g = g.withColumns({"_x": F.expr(f"{cx}D + cos(radians(turn)) * (ox - {cx}D) - sin(radians(turn)) * (oy - {cy}D)"), "_y": F.expr(f"{cy}D + sin(radians(turn)) * (ox - {cx}D) + cos(radians(turn)) * (oy - {cy}D)")})
     g = g.select("bit", "turn", "mirror", F.expr(f"CAST(CASE WHEN mirror THEN {width - 1} - rint(_x) ELSE rint(_x) END AS INT)").alias("x"), F.rint("_y").cast("int").alias("y"))
-    hit = pixels.select(*keys, "x", "y").join(F.broadcast(g), ["x", "y"])
+    # each outline in one partition: pixels are few bytes, but their turned copies are aggregated there
+    hit = spread(pixels.select(*keys, "x", "y"), *keys).join(F.broadcast(g), ["x", "y"])
     words = hit.groupBy(*keys, "turn", "mirror", F.floor(F.col("bit") / 64).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(bit % 64 AS INT)))").alias("v"))
     n = (width * height + 63) // 64
     packed = words.groupBy(*keys, "turn", "mirror").agg(F.map_from_entries(F.collect_list(F.struct("word", "v"))).alias("_w"))
@@ -192,12 +193,15 @@ def section_overlaps(targets: DataFrame, references: DataFrame) -> DataFrame:
     """Best outline overlap (IoU) of every target and reference section of a project pair.
 
     Both projects have some hundred sections, so the pairs are bounded; each costs a few
-    bitwise words instead of its pixels. The first mirror and turn wins a tie.
+    bitwise words instead of its pixels. A section's orientations are one row, so a pair of sections is
+    one row too and nothing is grouped behind the join. The first mirror and turn wins a tie.
     """
-    j = targets.join(references.select("pair", F.col("section").alias("reference"), F.col("bits").alias("_r")), "pair")
-    count = lambda op: f"aggregate(zip_with(bits, _r, (a, b) -> bit_count(a {op} b)), 0L, (s, x) -> s + x)"
-    j = j.withColumn("_iou", F.expr(f"{count('&')} / nullif({count('|')}, 0)"))
-    best = j.groupBy("pair", "section", "reference").agg(F.min(F.struct((-F.coalesce("_iou", F.lit(0.0))).alias("o"), "mirror", "turn")).alias("_b"))
+    turned = targets.groupBy("pair", "section").agg(F.array_sort(F.collect_list(F.struct("mirror", "turn", "bits"))).alias("_t"))
+    refs = references.groupBy("pair", F.col("section").alias("reference")).agg(F.collect_list("bits").alias("_r"))
+    j = turned.join(unsized(refs), "pair")
+    count = lambda op: f"aggregate(zip_with(t.bits, r, (a, b) -> bit_count(a {op} b)), 0L, (s, x) -> s + x)"
+    best = j.withColumn("_b", F.expr(f"""array_min(flatten(transform(_t, t -> transform(_r, r ->
+        named_struct('o', -coalesce({count('&')} / nullif({count('|')}, 0), 0D), 'mirror', t.mirror, 'turn', t.turn)))))"""))
     return best.select("pair", "section", "reference", (-F.col("_b.o")).alias("overlap"), F.col("_b.mirror").alias("mirror"), F.col("_b.turn").alias("turn"))
 
 
@@ -233,16 +237,18 @@ def _assign(cost: np.ndarray) -> list[tuple[int, int]]:
 def match_sections(overlaps: DataFrame, *, min_overlap: float = 0.75) -> DataFrame:
     """One-to-one pairing of a project pair's sections with the largest total overlap; weak pairs dropped."""
     def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index="section", columns="reference", values="overlap").fillna(0.0)
-        score, out = wide.to_numpy(), []
+        wide = {c: pdf.pivot(index="section", columns="reference", values=c) for c in ("overlap", "mirror", "turn")}
+        score, out = wide["overlap"].fillna(0.0).to_numpy(), []
         for i, j in _assign(-score):
-            if score[i, j] >= min_overlap:
+            if score[i, j] >= min_overlap and not pd.isna(wide["turn"].iat[i, j]):
                 others = np.delete(score[i], j)
-                out.append((pdf["pair"].iloc[0], wide.index[i], wide.columns[j], score[i, j], others.max() if others.size else 0.0))
-        return pd.DataFrame(out, columns=["pair", "section", "reference", "overlap", "runner_up"])
+                out.append((pdf["pair"].iloc[0], wide["turn"].index[i], wide["turn"].columns[j], score[i, j], others.max() if others.size else 0.0,
+                            wide["mirror"].iat[i, j], wide["turn"].iat[i, j]))
+        return pd.DataFrame(out, columns=["pair", "section", "reference", "overlap", "runner_up", "mirror", "turn"])
 
-    chosen = spread(overlaps.select("pair", "section", "reference", "overlap"), "pair").groupBy("pair").applyInPandas(pair, "pair long, section long, reference long, overlap double, runner_up double")
-    return chosen.join(overlaps.select("pair", "section", "reference", "mirror", "turn"), ["pair", "section", "reference"])
+    rows = overlaps.select("pair", "section", "reference", "overlap", "mirror", "turn")
+    return spread(rows, "pair").groupBy("pair").applyInPandas(
+        pair, "pair long, section long, reference long, overlap double, runner_up double, mirror boolean, turn double")
 
 
 # --- J17: fragments of one section --------------------------------------------------------------------
