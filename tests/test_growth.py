@@ -110,3 +110,9 @@ def test_section_pairs_and_pixels_are_not_grouped_behind_their_joins(spark):
     text = out._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in text[:text.index("Join")]
     assert {r.p: r.intensity for r in out.collect()} == {1: 2.25, 2: 4.0, 3: 0.0}
+
+
+def test_pixels_of_a_section_are_shuffled_once(spark):
+    for key in ("w15_label_edges", "a26_mutual_information"):
+        plan = entry.queries()[key](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(p_partkey") == plan.count("Exchange"), key

@@ -176,15 +176,14 @@ def mutual_information(pixels: DataFrame, mask: str, *, bins: int = 32) -> DataF
     Under 100 pixels it is null: too few to tell from independent. Values outside [0, 1] fall out of the histogram. A section has at most bins^2 cells.
     """
     inside = pixels.filter(mask)
-    n = inside.groupBy("section").agg(F.count(F.lit(1)).alias("_n"))
+    n = pixels.groupBy("section").agg(F.count_if(F.expr(mask)).alias("_n"))
     cell = lambda c: F.expr(f"least(CAST(floor({c} * {bins}) AS INT), {bins - 1})")
     h = inside.filter("va BETWEEN 0 AND 1 AND vb BETWEEN 0 AND 1").groupBy("section", cell("va").alias("_a"), cell("vb").alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
     tot, row, col = (Window.partitionBy("section", *k) for k in ((), ("_a",), ("_b",)))
     h = h.withColumns({"_t": F.sum("_c").over(tot), "_ra": F.sum("_c").over(row), "_cb": F.sum("_c").over(col)})
     mi = h.groupBy("section").agg(F.sum(F.expr("_c / _t * ln(_c * _t / (_ra * _cb))")).alias("_m"))
-    base = pixels.select("section").distinct()
-    return base.join(n, "section", "left").join(mi, "section", "left").select(
-        "section", F.coalesce("_n", F.lit(0)).alias("n_pixels"), F.expr("CASE WHEN coalesce(_n, 0) >= 100 THEN coalesce(_m, 0D) END AS mutual_information"))
+    return n.join(unsized(mi), "section", "left").select(
+        "section", F.col("_n").alias("n_pixels"), F.expr("CASE WHEN _n >= 100 THEN coalesce(_m, 0D) END AS mutual_information"))
 
 
 def overlap_verdict(pixels: DataFrame, *, margin: float = 0.05) -> DataFrame:

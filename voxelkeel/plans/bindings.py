@@ -20,6 +20,8 @@ import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 
+from voxelkeel.session import spread
+
 SOURCE_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "embeddings",
@@ -220,6 +222,9 @@ SELECT k AS section, CAST(gx AS INT) AS gx, CAST(gy AS INT) AS gy, ((gx * 7 + gy
 FROM (SELECT k, gx, SEQ[0;7] AS gy FROM (SELECT p_partkey AS k, SEQ[0;7] AS gx FROM part) a) t
 """
 
+#: Bindings that make hundreds of rows of one, and the given table and key they are spread by before.
+GROWN = {"b_labels": ("part", "p_partkey"), "b_field": ("part", "p_partkey")}
+
 _SOURCES = re.compile(r"\b(FROM|JOIN)\s+(" + "|".join(SOURCE_TABLES) + r")\b")
 _TOKEN = re.compile(r"(SEQ|ARR|AT)\[((?:[^\[\]]|\[[^\]]*\])*)\]")
 
@@ -275,13 +280,16 @@ class Tables:
             return self.sql(f"SELECT * FROM {name}")
         raise AttributeError(name)
 
-    def _view(self, name: str) -> str:
-        """Temporary view of one given table; made once, so its schema is read once."""
+    def _view(self, name: str, key: str | None = None) -> str:
+        """Temporary view of one given table, with ``key`` spread by it; made once, so its schema is read once."""
         view = f"vk_{zlib.crc32(self.sf_dir.encode()):08x}_{name}"
+        if key:
+            view += f"_spread{self.spark.conf.get('spark.sql.shuffle.partitions')}"
         if not self.spark.catalog.tableExists(view):
-            self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet").createOrReplaceTempView(view)
+            table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            (spread(table, key) if key else table).createOrReplaceTempView(view)
         return view
 
     def sql(self, body: str) -> DataFrame:
-        text = with_bindings(body, "spark")
-        return self.spark.sql(_SOURCES.sub(lambda m: f"{m.group(1)} {self._view(m.group(2))} AS {m.group(2)}", text))
+        text, keys = with_bindings(body, "spark"), dict(GROWN[b] for b in _needed(body, []) if b in GROWN)
+        return self.spark.sql(_SOURCES.sub(lambda m: f"{m.group(1)} {self._view(m.group(2), keys.get(m.group(2)))} AS {m.group(2)}", text))
