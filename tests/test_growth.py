@@ -49,6 +49,16 @@ def test_pixel_chain_broadcasts_nothing_and_a_plain_shift_is_exact(spark):
     assert broadcasts(M.section_pixels_to_ccf(pts, sections, landmarks=lm, field=field, step=4.0, nx=2, ny=2)) == 0
 
 
+def test_pixel_chain_keeps_points_of_one_id_apart_and_solves_splines_in_all_partitions(spark):
+    lm = make(spark, LANDMARKS, [(k, i, 15.0 * (i % 3), 12.0 * (i // 3), 15.0 * (i % 3) + 3, 12.0 * (i // 3) - 2, False) for k in range(40) for i in range(9)])
+    pts = make(spark, POINTS, [(7, 1, 2.0, 3.0), (7, 1, 4.0, 5.0), (8, 2, 2.0, 3.0)])
+    sections = make(spark, "section long, reg_anchoring array<double>, out_w int, out_h int, resolution_um double", [(k, [1.0] * 9, 4, 4, 25.0) for k in (1, 2)])
+    field = make(spark, FIELD, [(1, 0, 0, 0.5, 0.5)])
+    assert sorted(r.pid for r in M.section_pixels_to_ccf(pts, sections, landmarks=lm, field=field, step=4.0, nx=2, ny=2).collect()) == [7, 7, 8]
+    moved = M.tps_warp_points(make(spark, POINTS, [(k * 64, k, 1.0, 1.0) for k in range(40)]), lm)
+    assert "REPARTITION_BY_NUM" in moved._jdf.queryExecution().executedPlan().toString()
+
+
 def test_null_calibration_keeps_curves_in_the_group_and_takes_repeated_depths(spark):
     rows = [(1, f, 20.0 * i, float(np.sin(i * (f + 1)) + (i > 30))) for f in range(2) for i in range(64)]
     schema = "k long, feature long, depth_um double, value double"

@@ -67,15 +67,15 @@ def resize_nearest(sections: DataFrame) -> DataFrame:
     return rows.withColumns({"x": F.expr(even("sx", "out_w", "sec_w")), "y": F.expr(even("sy", "out_h", "sec_h"))})
 
 
-def field_warp_points(points: DataFrame, field: DataFrame, *, step: float, nx: int, ny: int) -> DataFrame:
+def field_warp_points(points: DataFrame, field: DataFrame, *, step: float, nx: int, ny: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """Points moved by a displacement field sampled every ``step`` px: bilinear, held at the edges.
 
     A point is split into the four corners of its cell, which meet the field by position and are summed
     back, so the field is read as it is. Of corners that are missing the weight goes to the others;
-    a point without any stays where it is. ``points`` has ``pid, section, x_px, y_px``; rows that are alike
-    come back as often as they came.
+    a point without any stays where it is. ``points`` has ``pid, section, x_px, y_px`` and the columns of ``keep``, which
+    stay; rows that are alike come back as often as they came.
     """
-    at = ["pid", "section", "x_px", "y_px"]
+    at = ["pid", "section", "x_px", "y_px", *keep]
     df = points.select(*at, F.expr(f"least(greatest(x_px / {step}D, 0D), {nx - 1}D)").alias("_fx"), F.expr(f"least(greatest(y_px / {step}D, 0D), {ny - 1}D)").alias("_fy"))
     df = df.withColumns({"_x0": F.expr(f"CAST(least(floor(_fx), {nx - 2}) AS INT)"), "_y0": F.expr(f"CAST(least(floor(_fy), {ny - 2}) AS INT)")})
     corner = lambda i, j: f"""named_struct('gx', _x0 + {i}, 'gy', _y0 + {j},
@@ -87,7 +87,7 @@ def field_warp_points(points: DataFrame, field: DataFrame, *, step: float, nx: i
         F.sum(F.col("w") * F.col("dx")).alias("_dx"), F.sum(F.col("w") * F.col("dy")).alias("_dy"))
     total = total.withColumn("_again", F.explode(F.expr("array_repeat(0, CAST(_n / 4 AS INT))")))
     moved = lambda p, d: F.expr(f"CASE WHEN _w > 0 THEN {p} + {d} / _w ELSE {p} END AS {p[0]}_warped")
-    return total.select("pid", "section", moved("x_px", "_dx"), moved("y_px", "_dy"))
+    return total.select("pid", "section", *keep, moved("x_px", "_dx"), moved("y_px", "_dy"))
 
 
 def volume_field_to_ccf(points: DataFrame, field: DataFrame, shape) -> DataFrame:

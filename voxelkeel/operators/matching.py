@@ -52,7 +52,7 @@ def tps_warp_points(points: DataFrame, landmarks: DataFrame, *, inverse: bool =
 
     ``landmarks`` has ``section, i, sx, sy, tx, ty, forward``; a section has a few dozen. They
     travel with the points as short arrays, so a section holding many points is spread over
-    tasks; within an Arrow batch the spline is solved once per section. Points of a section
+    tasks, neighbouring ids together; within an Arrow batch the spline is solved once per section. Points of a section
     without landmarks stay where they are; ``settled`` is false where an inverse was not found
     and the start was kept.
     """
@@ -60,6 +60,7 @@ def tps_warp_points(points: DataFrame, landmarks: DataFrame, *, inverse: bool =
     joined = points.join(unsized(packed), "section", "left")
     still = joined.filter("_l IS NULL").select("pid", "section", F.col("x_px").cast("double").alias("x_warped"), F.col("y_px").cast("double").alias("y_warped"), F.lit(True).alias("settled"))
     rows = joined.filter("_l IS NOT NULL").select("pid", "section", "x_px", "y_px", "_fwd", F.col("_l.sx").alias("sx"), F.col("_l.sy").alias("sy"), F.col("_l.tx").alias("tx"), F.col("_l.ty").alias("ty"))
+    rows = spread(rows.withColumn("_near", F.floor(F.col("pid") / 64)), "section", "_near").drop("_near")
 
     def move(batches):
         for pdf in batches:
@@ -108,8 +109,7 @@ def section_pixels_to_ccf(points: DataFrame, sections: DataFrame, *, landmarks:
     df = df.withColumns({"_x": F.when(undo, x).otherwise(F.col("x_px")), "_y": F.when(undo, y).otherwise(F.col("y_px"))})
     df = df.select("pid", "section", "settled", F.col("_x").alias("x_px"), F.col("_y").alias("y_px"))
     if field is not None:
-        warped = field_warp_points(df.select("pid", "section", "x_px", "y_px"), field, step=step, nx=nx, ny=ny)
-        df = df.select("pid", "settled").join(unsized(warped), "pid").withColumnsRenamed({"x_warped": "x_px", "y_warped": "y_px"})
+        df = field_warp_points(df, field, step=step, nx=nx, ny=ny, keep=("settled",)).withColumnsRenamed({"x_warped": "x_px", "y_warped": "y_px"})
     placed = df.withColumnsRenamed({"x_px": "x_local", "y_px": "y_local"}).join(unsized(sections.select("section", "reg_anchoring", "out_w", "out_h", "resolution_um")), "section", "left")
     return G.registered_pixel_to_ccf(placed).select("pid", "section", "ap_um", "ml_um", "dv_um", "settled")
 
