@@ -9,6 +9,8 @@ from voxelkeel.operators import features as A
 from voxelkeel.operators import labels as L
 from voxelkeel.operators import matching as M
 from voxelkeel.operators import spans as S
+from voxelkeel.sources import recordings as SR
+from voxelkeel.streaming import operators as ST
 
 
 def make(spark, schema, rows):
@@ -126,3 +128,12 @@ def test_pixels_of_a_section_are_shuffled_once(spark):
     for key in ("w15_label_edges", "a26_mutual_information"):
         plan = entry.queries()[key](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning(p_partkey") == plan.count("Exchange"), key
+
+
+def test_folders_are_spread_before_grouping_and_not_broadcast_and_a_top_one_stays(spark):
+    rows = [("/top/info.rhd", False), ("/d/1/Record Node 1/notes.txt", False), ("/d/1/Record Node 1/experiment1/recording1", True),
+            ("/d/2/info.rhd", False), ("/d/2/deep/er/info.rhd", False), ("/d/3/a.txt", False), ("/d/4/g0/x.imec0.ap.meta", False), ("/d/4/g0/X.imec0.ap.bin", False)]
+    found = SR.find_recordings(make(spark, "path string, is_dir boolean", rows))
+    assert broadcasts(found) == 0
+    assert sorted(map(tuple, found.collect())) == [("/d/1/Record Node 1", "openephys"), ("/d/2", "intan"), ("/d/4", "spikeglx"), ("/top", "intan")]
+    assert SR.find_recordings(make(spark, "path string, is_dir boolean", rows[5:6])).count() == 0

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from voxelkeel import schemas
 from voxelkeel.functions import text as X
 from voxelkeel.functions.constants import values_table
-from voxelkeel.session import cut_lineage
+from voxelkeel.session import cut_lineage, spread, unsized
 
 
 def _norm(s: str) -> str:
@@ -86,16 +86,19 @@ def find_recordings(listing: DataFrame, *, root: str = "") -> DataFrame:
     below another.
 
     Folders whose name ends in ``.zarr`` are not looked into. Facts of a folder, also those that a
-    child or grandchild tells, are gathered by one grouping per file stem and one per folder;
-    the pruning is an anti join on ancestors.
+    child or grandchild tells, are gathered by one grouping per file stem and one per folder, of rows that
+    tell any; the pruning is an anti join on ancestors. Paths are many rows of few bytes once compressed, so
+    both groupings are spread over all partitions, and no table of folders is broadcast.
     """
     under = root.rstrip("/") + "/"
     rows = listing.filter(F.col("path").startswith(under) & ~F.col("path").contains(".zarr/") & ~(F.col("is_dir") & F.lower("path").endswith(".zarr")))
+    rows = rows.filter(F.lower("path").rlike("[.](meta|bin|rhd|rhs)$|/structure[.]oebin$|/recording[0-9]+$|/record node"))
     parent = lambda c: F.regexp_replace(c, r"/[^/]+$", "")
     rows = rows.select("path", "is_dir", parent(F.col("path")).alias("dir"), F.lower(F.substring_index("path", "/", -1)).alias("name"))
     meta, binary = F.expr("NOT is_dir AND name RLIKE '[.](imec|nidq)' AND endswith(name, '.meta')"), F.expr("NOT is_dir AND endswith(name, '.bin')")
     run = F.expr("is_dir AND name RLIKE '^recording[0-9]+$'") & F.lower(F.substring_index("dir", "/", -1)).rlike("^experiment[0-9]+$")
-    by_stem = rows.groupBy("dir", F.when(meta | binary, F.regexp_replace("name", r"\.(meta|bin)$", "")).alias("stem")).agg(
+    told = spread(rows.withColumn("stem", F.when(meta | binary, F.regexp_replace("name", r"\.(meta|bin)$", ""))), "dir", "stem")
+    by_stem = told.groupBy("dir", "stem").agg(
         F.bool_or(meta).alias("_m"), F.bool_or(binary).alias("_b"), F.bool_or(run).alias("_run"), F.bool_or(F.expr("NOT is_dir AND name IN ('info.rhd', 'info.rhs', 'settings.rhd', 'settings.rhs')")).alias("info"),
         F.count_if(F.expr("NOT is_dir AND (endswith(name, '.rhd') OR endswith(name, '.rhs'))")).alias("loose"), F.bool_or(F.expr("NOT is_dir AND name = 'structure.oebin'")).alias("oebin"))
     no = F.lit(False)
@@ -105,15 +108,18 @@ def find_recordings(listing: DataFrame, *, root: str = "") -> DataFrame:
         fact(F.col("dir"), glx, no, F.col("info"), F.col("loose"), F.col("oebin")),
         F.when(glx, fact(above, F.lit(True), no)), F.when(F.col("_run"), fact(above, no, F.lit(True)))), lambda x: x.isNotNull())))
     folders = rows.filter("is_dir").select(F.inline(F.array(fact(F.col("path"), no, no))))
-    df = told.unionByName(folders).groupBy("dir").agg(F.bool_or("glx").alias("glx"), F.bool_or("exp").alias("exp"), F.bool_or("info").alias("_info"), F.sum("loose").alias("_loose"), F.bool_or("oebin").alias("_oebin"))
+    df = spread(told.unionByName(folders), "dir").groupBy("dir").agg(F.bool_or("glx").alias("glx"), F.bool_or("exp").alias("exp"), F.bool_or("info").alias("_info"), F.sum("loose").alias("_loose"), F.bool_or("oebin").alias("_oebin"))
     df = df.filter(F.concat("dir", F.lit("/")).startswith(under))
     df = df.withColumn("format", F.expr("""CASE WHEN coalesce(_info, false) OR coalesce(_loose, 0) = 1 THEN 'intan' WHEN glx THEN 'spikeglx'
         WHEN coalesce(_oebin, false) OR exp OR startswith(lower(substring_index(dir, '/', -1)), 'record node') THEN 'openephys' END"""))
-    # The hits are read twice below: once as folders, once as ancestors.
+    # The hits are read three times below: for their depths, as folders and as ancestors.
     hits = cut_lineage(df.filter("format IS NOT NULL").select("dir", "format"))
-    above = hits.select(F.col("dir").alias("_hit"), F.explode(F.expr("transform(sequence(2, size(split(dir, '/')) - 1), n -> substring_index(dir, '/', n))")).alias("dir"))
-    nested = above.join(hits.select("dir"), "dir", "left_semi").select(F.col("_hit").alias("dir")).distinct()
-    return hits.join(nested, "dir", "left_anti")
+    # Only ancestors at a depth that has hits can be one; the others, shared by most folders, would all meet in one task.
+    depth = "size(split(dir, '/'))"
+    depths = sorted(r[0] for r in hits.select(F.expr(depth)).distinct().collect())
+    above = hits.select(F.col("dir").alias("_hit"), F.explode(F.expr(f"transform(filter(array({', '.join(map(str, depths or [0]))}), n -> n < {depth}), n -> substring_index(dir, '/', n))")).alias("dir"))
+    nested = above.join(unsized(hits.select("dir")), "dir", "left_semi").select(F.col("_hit").alias("dir")).distinct()
+    return hits.join(unsized(nested), "dir", "left_anti")
 
 
 def labelled_voxels(annotation: DataFrame, structures: DataFrame) -> DataFrame:
