@@ -14,7 +14,7 @@ from voxelkeel.plans.q_placement import PLACED_SQL, region_sql
 from voxelkeel.plans.q_series import BOXES, SLIDE
 from voxelkeel.plans.q_sources import _LIST
 from voxelkeel.plans.registry import query
-from voxelkeel.session import scratch_folder
+from voxelkeel.session import scratch_folder, spread
 from voxelkeel.sinks import tables as K
 from voxelkeel.streaming import operators as ST
 
@@ -149,9 +149,10 @@ def _t02(t):
 @query("t03_stream_discover", """
 SELECT CASE o_orderkey % 7 WHEN 0 THEN 'intan' WHEN 5 THEN 'intan' WHEN 2 THEN 'spikeglx' ELSE 'openephys' END AS format, count(*) AS n_folders FROM orders WHERE o_orderkey % 7 IN (0, 2, 3, 4, 5) GROUP BY 1""")
 def _t03(t):
-    # Two listing files, each holding whole recording folders.
+    # Listing files that each hold whole recording folders; they arrive in two halves, of as many files as there are partitions.
     listed, out = scratch_folder(t.spark, "listing"), scratch_folder(t.spark, "found")
-    t.sql(_LIST).repartition(2, F.expr("substring_index(path, '/', 4)")).write.parquet(listed)
-    stream = ST.event_stream(t.spark, listed, time=None)
+    spread(t.sql(_LIST).withColumn("folder", F.expr("substring_index(path, '/', 4)")), "folder").drop("folder").write.parquet(listed)
+    half = (int(t.spark.conf.get("spark.sql.shuffle.partitions")) + 1) // 2
+    stream = ST.event_stream(t.spark, listed, max_files=half, time=None)
     ST.discover_each_batch(stream, out, scratch_folder(t.spark, "found-ckpt")).awaitTermination()
     return ST.found_folders(t.spark, out).groupBy("format").agg(F.count(F.lit(1)).alias("n_folders"))
