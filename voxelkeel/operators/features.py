@@ -59,7 +59,7 @@ def activity_score(lfp: DataFrame) -> DataFrame:
 def screen_windows(lfp: DataFrame, *, artifact_tolerance: float = 0.02) -> DataFrame:
     """Verdict per window after referencing; rejected windows stay, with the reason."""
     ref = median_reference(lfp)
-    df = artifact_score(ref).join(activity_score(ref), ["recording", "win"])
+    df = artifact_score(ref).join(unsized(activity_score(ref)), ["recording", "win"])
     reason = F.expr(f"CASE WHEN artifact > {artifact_tolerance}D THEN 'artifact' WHEN activity <= 0 THEN 'flat' END")
     return df.withColumn("reject_reason", reason).withColumn("kept", F.col("reject_reason").isNull())
 

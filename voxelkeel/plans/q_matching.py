@@ -141,7 +141,9 @@ def _t02(t):
         samples.filter(F.floor(F.col("recording") * 4 / last) == part).write.mode("append").parquet(fed)
     end = t.spark.range(1).select(F.lit(-1).alias("recording"), F.lit(0).alias("win"), F.lit(0).alias("sample"), F.lit(0).alias("channel"), F.lit(0).alias("shank"), F.lit(0.0).alias("uv"), F.timestamp_seconds(F.lit(last * 400)).alias("closes_at"))
     end.select(*[F.col(f.name).cast(f.dataType) for f in samples.schema.fields]).write.mode("append").parquet(fed)
-    stream = ST.event_stream(t.spark, fed, time=None)
+    # About a part at a time: batches of one file would grow in number with the table, each with all its jobs.
+    per_part = -(-len(t.spark.read.parquet(fed).inputFiles()) // 4)
+    stream = ST.event_stream(t.spark, fed, max_files=per_part, time=None)
     ST.screen_each_batch(stream, out, scratch_folder(t.spark, "screened-ckpt"), late=f"{10 * last + 60} seconds").awaitTermination()
     return G.rounded(ST.latest_verdicts(t.spark, out).select("recording", "win", "artifact", "activity", "reject_reason"))
 
