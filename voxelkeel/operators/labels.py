@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelkeel.operators.regions import spread_outside, voxel_key
-from voxelkeel.session import cut_lineage, unsized
+from voxelkeel.session import cut_lineage, spread, unsized
 
 
 def plane_pixels(sections: DataFrame) -> DataFrame:
@@ -303,7 +303,7 @@ def marker_triangles(sections: DataFrame, margin: float = CORNER_MARGIN) -> Data
 
     ``sections`` has section, width, height and markers (arrays of x, y, moved x, moved y; null: none). The
     triangulation is over the moved positions; ``p`` are a triangle's corners before, ``q`` after. A section's few dozen
-    markers are a row, so this is a map over rows.
+    markers are a row, so this is a map over rows, spread over all partitions.
     """
     def run(batches):
         for pdf in batches:
@@ -319,7 +319,7 @@ def marker_triangles(sections: DataFrame, margin: float = CORNER_MARGIN) -> Data
     corners = [f"{c}{n}{a}" for c in "pq" for n in (1, 2, 3) for a in "xy"]
     kind = sections.schema["section"].dataType.simpleString()
     rows = sections.select("section", F.col("width").cast("double"), F.col("height").cast("double"), F.col("markers").cast("array<array<double>>"))
-    return rows.mapInPandas(run, f"section {kind}, tri int, " + ", ".join(f"{c} double" for c in corners))
+    return spread(rows, "section").mapInPandas(run, f"section {kind}, tri int, " + ", ".join(f"{c} double" for c in corners))
 
 
 def warp_triangles(points: DataFrame, triangles: DataFrame) -> DataFrame:

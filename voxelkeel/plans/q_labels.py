@@ -196,15 +196,17 @@ _MARKED = """SELECT vec_id AS section, 400D AS width, 300D AS height, transform(
 @query("p17_marker_triangles", """SELECT vec_id AS section, CAST(18 AS BIGINT) AS n_triangles, round(480e0 * 360, 3) AS area, CAST(0 AS BIGINT) AS n_in_circles FROM embeddings""")
 def _p17_triangles(t):
     # 12 points with 4 on the outline make 18 triangles, which fill the pinned rectangle, with no point in any circumcircle.
-    tri = L.marker_triangles(t.sql(_MARKED))
-    area = F.expr("abs((q2x - q1x) * (q3y - q1y) - (q3x - q1x) * (q2y - q1y)) / 2")
-    points = tri.select("section", F.explode(F.expr("array(struct(q1x AS x, q1y AS y), struct(q2x AS x, q2y AS y), struct(q3x AS x, q3y AS y))")).alias("p")).distinct()
-    d = "2 * (q1x * (q2y - q3y) + q2x * (q3y - q1y) + q3x * (q1y - q2y))"
-    s = lambda n: f"(q{n}x * q{n}x + q{n}y * q{n}y)"
-    centre = tri.withColumns({"cx": F.expr(f"({s(1)} * (q2y - q3y) + {s(2)} * (q3y - q1y) + {s(3)} * (q1y - q2y)) / ({d})"), "cy": F.expr(f"({s(1)} * (q3x - q2x) + {s(2)} * (q1x - q3x) + {s(3)} * (q2x - q1x)) / ({d})")})
-    inside = F.expr("(p.x - cx) * (p.x - cx) + (p.y - cy) * (p.y - cy) < ((q1x - cx) * (q1x - cx) + (q1y - cy) * (q1y - cy)) * (1 - 1e-7D)")
-    held = centre.join(points, "section").groupBy("section").agg(F.count_if(inside).alias("n_in_circles"))
-    return tri.groupBy("section").agg(F.count(F.lit(1)).alias("n_triangles"), (F.round(F.sum(area), 3) + 0.0).alias("area")).join(held, "section")
+    # A section's triangles become one row, so they are made once and nothing is joined.
+    tri = L.marker_triangles(t.sql(_MARKED)).groupBy("section").agg(F.collect_list(F.struct("*")).alias("t"))
+    points = F.expr("array_distinct(flatten(transform(t, t -> array(struct(t.q1x AS x, t.q1y AS y), struct(t.q2x AS x, t.q2y AS y), struct(t.q3x AS x, t.q3y AS y)))))")
+    area = "abs((t.q2x - t.q1x) * (t.q3y - t.q1y) - (t.q3x - t.q1x) * (t.q2y - t.q1y)) / 2"
+    d = "(2 * (t.q1x * (t.q2y - t.q3y) + t.q2x * (t.q3y - t.q1y) + t.q3x * (t.q1y - t.q2y)))"
+    s = lambda n: f"(t.q{n}x * t.q{n}x + t.q{n}y * t.q{n}y)"
+    centre = f"""struct(({s(1)} * (t.q2y - t.q3y) + {s(2)} * (t.q3y - t.q1y) + {s(3)} * (t.q1y - t.q2y)) / {d} AS x, ({s(1)} * (t.q3x - t.q2x) + {s(2)} * (t.q1x - t.q3x) + {s(3)} * (t.q2x - t.q1x)) / {d} AS y, t.q1x, t.q1y)"""
+    inside = "(p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y) < ((c.q1x - c.x) * (c.q1x - c.x) + (c.q1y - c.y) * (c.q1y - c.y)) * (1 - 1e-7D)"
+    held = tri.withColumns({"p": points, "c": F.expr(f"transform(t, t -> {centre})")})
+    count = f"aggregate(c, 0L, (n, c) -> n + size(filter(p, p -> {inside})))"
+    return held.select("section", F.size("t").cast("long").alias("n_triangles"), (F.round(F.expr(f"aggregate(t, 0D, (a, t) -> a + {area})"), 3) + 0.0).alias("area"), F.expr(count).alias("n_in_circles"))
 
 
 @query("p17_warp_by_markers")
