@@ -10,7 +10,6 @@ from voxelkeel.operators import labels as L
 from voxelkeel.operators import matching as M
 from voxelkeel.operators import spans as S
 from voxelkeel.sources import recordings as SR
-from voxelkeel.streaming import operators as ST
 
 
 def make(spark, schema, rows):
@@ -137,3 +136,25 @@ def test_folders_are_spread_before_grouping_and_not_broadcast_and_a_top_one_stay
     assert broadcasts(found) == 0
     assert sorted(map(tuple, found.collect())) == [("/d/1/Record Node 1", "openephys"), ("/d/2", "intan"), ("/d/4", "spikeglx"), ("/top", "intan")]
     assert SR.find_recordings(make(spark, "path string, is_dir boolean", rows[5:6])).count() == 0
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_window_scores_meet_without_a_broadcast(spark):
+    lfp = make(spark, "recording long, win int, sample long, channel int, shank int, uv double", [(1, 0, s, c, 0, float(s * c % 5)) for s in range(8) for c in range(4)])
+    assert broadcasts(A.screen_windows(lfp)) == 0 and A.screen_windows(lfp).count() == 1
+
+
+def test_triangles_are_made_in_all_partitions(spark):
+    tri = L.marker_triangles(make(spark, "section long, width double, height double, markers array<array<double>>", [(1, 40.0, 30.0, [[10.0, 10.0, 11.0, 9.0]])]))
+    assert "REPARTITION_BY_NUM" in plan(tri) and tri.count() == 4
+
+
+def test_slides_of_fragments_are_rows_of_a_map_and_a_joined_piece_meets_earlier_ones(spark):
+    # the second and third overlap; joined they are wide and large enough to stand first and take the largest too
+    rows = [(1, 0, 0, 0, 10, 10, 100, 5.0, 5.0), (1, 1, 30, 0, 50, 10, 90, 40.0, 5.0), (1, 2, 4, 20, 44, 30, 80, 24.0, 25.0), (2, 3, 0, 0, 5, 5, 7, 2.0, 2.0)]
+    out = M.merge_fragments(make(spark, "s long, k long, x0 long, y0 long, x1 long, y1 long, area_px long, cx double, cy double", rows), ["s"])
+    assert "FlatMapGroupsInPandas" not in plan(out) and broadcasts(out) == 0
+    assert sorted(map(tuple, out.select("s", "piece", "x0", "y0", "x1", "y1", "area_px", "n_merged").collect())) == [(1, 0, 0, 0, 50, 30, 270, 3), (2, 0, 0, 0, 5, 5, 7, 1)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -259,30 +261,53 @@ def merge_fragments(boxes: DataFrame, keys: list[str], *, x_overlap_frac: float
 
     Pieces stand in order of area. While some pair overlaps enough, the first such pair in that order is
     joined and the piece takes its place again; each join leaves one piece fewer, so it ends. The
-    rule is a sequence over one slide's tens of boxes; slides are the parallelism.
+    rule is a sequence over one slide's tens of boxes, a map over slides in Arrow batches; only a new piece is
+    compared again, as pieces before the first pair overlap with none.
     """
     cols = [*keys, "piece", "x0", "y0", "x1", "y1", "area_px", "cx", "cy", "n_merged"]
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["area_px", "k"], ascending=[False, True])
-        lo, hi = (pdf[c].to_numpy(float) for c in (["x0", "y0"], ["x1", "y1"]))
-        area, centre, parts = pdf["area_px"].to_numpy(float), pdf[["cx", "cy"]].to_numpy(float), np.ones(len(pdf))
-        while True:
-            width = hi[:, 0] - lo[:, 0]
-            narrow = np.minimum.outer(width, width)
-            shared = np.minimum.outer(hi[:, 0], hi[:, 0]) - np.maximum.outer(lo[:, 0], lo[:, 0])
-            first, second = np.nonzero(np.triu((narrow > 0) & (np.maximum(shared, 0) >= x_overlap_frac * narrow), 1))
-            if not first.size:
-                break
-            pair = [first[0], second[0]]
-            joined = (lo[pair].min(0), hi[pair].max(0), area[pair].sum(), (centre[pair] * area[pair, None]).sum(0) / area[pair].sum(), parts[pair].sum())
-            rest = [np.delete(v, pair, axis=0) for v in (lo, hi, area, centre, parts)]
-            at = int(np.searchsorted(-rest[2], -joined[2]))
-            lo, hi, area, centre, parts = (np.insert(v, at, new, axis=0) for v, new in zip(rest, joined))
-        out = pd.DataFrame(np.column_stack([lo, hi, area, centre, parts]), columns=["x0", "y0", "x1", "y1", "area_px", "cx", "cy", "n_merged"])
-        for c in keys:
-            out[c] = pdf[c].iloc[0]
-        return out.assign(piece=range(len(out))).astype({c: "int64" for c in ("x0", "y0", "x1", "y1", "area_px", "n_merged")})[cols]
+    sides = ["area_px", "x0", "y0", "x1", "y1", "cx", "cy"]
+
+    def overlap(a: list, b: list) -> bool:
+        narrow = min(a[3] - a[1], b[3] - b[1])
+        return narrow > 0 and max(min(a[3], b[3]) - max(a[1], b[1]), 0.0) >= x_overlap_frac * narrow
+
+    def join(a: list, b: list) -> list:
+        area = a[0] + b[0]
+        centre = ((u * a[0] + v * b[0]) / area for u, v in zip(a[5:7], b[5:7]))
+        return [area, min(a[1], b[1]), min(a[2], b[2]), max(a[3], b[3]), max(a[4], b[4]), *centre, a[7] + b[7]]
+
+    def merge(todo: list[list]) -> list[list]:
+        # ``todo`` are pieces in order not yet compared with those behind them; ``done`` overlap with none behind them.
+        done, at = [], 0
+        while at < len(todo):
+            piece = todo[at]
+            other = next((j for j in range(at + 1, len(todo)) if overlap(piece, todo[j])), None)
+            if other is None:
+                done.append(piece)
+                at += 1
+                continue
+            new, rest = join(piece, todo[other]), done + todo[at + 1 : other] + todo[other + 1 :]
+            n_done = len(done)
+            while True:
+                place = bisect_left(rest, -new[0], key=lambda p: -p[0])
+                other = next((j for j, p in enumerate(rest) if overlap(p, new)), None)
+                if other is None:
+                    break
+                n_done -= other < n_done
+                new = join(new, rest.pop(other)) if other >= place else join(rest.pop(other), new)
+            rest.insert(place, new)
+            done, todo, at = rest[: n_done + 1], rest[n_done + 1 :], 0
+        return done
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                pieces = merge([[*map(float, box), 1] for box in zip(*row[len(keys):])])
+                out += [(*row[: len(keys)], n, *map(int, p[1:5]), int(p[0]), *p[5:]) for n, p in enumerate(pieces)]
+            yield pd.DataFrame(out, columns=cols)
 
     types = ", ".join(f"{c} {'double' if c in ('cx', 'cy') else 'long'}" for c in cols)
-    return spread(boxes.select(*keys, "k", "x0", "y0", "x1", "y1", "area_px", "cx", "cy"), *keys).groupBy(*keys).applyInPandas(merge, types)
+    slides = spread(boxes.select(*keys, "k", *sides), *keys).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("area_px").isNull(), -F.col("area_px"), "k", *sides))).alias("_b"))
+    return slides.select(*keys, *[F.col(f"_b.{c}").alias(c) for c in sides]).mapInPandas(run, types)
