@@ -9,6 +9,7 @@ from voxelkeel.operators import features as A
 from voxelkeel.operators import labels as L
 from voxelkeel.operators import matching as M
 from voxelkeel.operators import spans as S
+from voxelkeel.operators import trajectory as T
 from voxelkeel.sources import recordings as SR
 
 
@@ -158,3 +159,20 @@ def test_slides_of_fragments_are_rows_of_a_map_and_a_joined_piece_meets_earlier_
     out = M.merge_fragments(make(spark, "s long, k long, x0 long, y0 long, x1 long, y1 long, area_px long, cx double, cy double", rows), ["s"])
     assert "FlatMapGroupsInPandas" not in plan(out) and broadcasts(out) == 0
     assert sorted(map(tuple, out.select("s", "piece", "x0", "y0", "x1", "y1", "area_px", "n_merged").collect())) == [(1, 0, 0, 0, 50, 30, 270, 3), (2, 0, 0, 0, 5, 5, 7, 1)]
+
+
+def test_gain_and_count_of_the_ordered_pairs_also_with_ties():
+    r = np.random.default_rng(3)
+    for grid in (1.0, 50.0):
+        f, a = (np.sort(np.round(r.uniform(0, 3000, (400, n)) / grid) * grid, axis=1) for n in (4, 9))
+        w = r.integers(1, 3, f.shape).astype(float)
+        f[::7, 3], w[::7, 3], a[::5, 6:] = np.nan, np.nan, np.nan
+        row, _, _, gain = T._ordered_pairs(f, w, a, 120.0, 350.0)
+        total, matched = T._ordered_gain(f, w, a, 120.0, 350.0)
+        assert np.array_equal(total, np.bincount(row, gain, len(f))) and np.array_equal(matched, np.bincount(row, minlength=len(f)))
+
+
+def test_poses_are_worked_out_in_all_partitions(spark):
+    rows = [(p, k, 1.0 + k, 2.0, 9.0, 1.0 + k, 2.0, 1.0) for p in (1, 2) for k in range(3)]
+    pose = T.probe_pose(make(spark, "probe long, shank int, tip_ap double, tip_ml double, tip_dv double, entry_ap double, entry_ml double, entry_dv double", rows), ["probe"])
+    assert "REPARTITION_BY_NUM" in plan(pose) and pose.count() == 2
