@@ -143,3 +143,42 @@ def test_blocks_carry_on(spark, tokenizer, monkeypatch):
     check_pieces(rows, texts, tokenizer)
     order = [(r.sequence_id, r.offset, r.doc_id) for r in rows]
     assert order == sorted(order)
+
+
+class Counted:
+    """A tokenizer that counts what it is asked: whole texts, and pieces of its model."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.model, self.texts, self.pieces = tokenizer, self, [], []
+
+    def encode(self, text, **how):
+        self.texts.append(text)
+        return self.tokenizer.encode(text, **how)
+
+    def tokenize(self, piece):
+        self.pieces.append(piece)
+        return self.tokenizer.model.tokenize(piece)
+
+
+def test_each_piece_is_worked_out_once(tokenizer):
+    """Signs behind a word neither cost a run of the whole tokenizer nor the word's ids anew."""
+    words = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    words.tokenizer = Counted(tokenizer)
+    text = "Alpha*** alpha, Straße?! ALPHA. alpha beta### straße, beta Beta. *** it's 12"
+    assert words.encode(text)[0].tolist()[:-1] == tokenizer.encode(text, add_special_tokens=False).ids
+    assert set(words.tokenizer.texts) <= {"", "***", "it's", "12"}
+    letters = [p for p in words.tokenizer.pieces if p[0].isalpha()]
+    assert len(letters) == len(set(letters)) == 3
+
+
+def test_texts_together_are_as_alone(tokenizer, monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rng = random.Random(8)
+    texts = [*ODD, *(" ".join(rng.choice(["one", "Two.", " ", "\n\n", "three!!", "x\x1cy", "ÉTÉ,", "a1"]) for _ in range(rng.randrange(60))) for _ in range(200))]
+    for chars in (1, 50, 1 << 22):
+        monkeypatch.setattr(packing, "CHUNK_CHARS", chars)
+        together = list(packing.WordIds(path).encode_all(texts))
+        assert [ids.tolist() for ids, _ in together] == [[*tokenizer.encode(t or "", add_special_tokens=False).ids, packing.END_ID] for t in texts]
+        alone = packing.WordIds(path)
+        assert [ends.tolist() for _, ends in together] == [alone.encode(t)[1].tolist() for t in texts]
+    assert list(packing.WordIds(path).encode_all([])) == []

@@ -17,11 +17,13 @@ from __future__ import annotations
 import re
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,11 +36,13 @@ SENTENCE_CUT, INNER_CUT = 2.0, 6.0
 LEAST_GAP, INNER_STEP = 16, 32
 #: Ids that are laid out at a time; words whose ids are kept.
 BLOCK_IDS, KEPT_WORDS = 2 << 20, 600_000
+#: Characters of texts that are split into words at a time.
+CHUNK_CHARS = 1 << 22
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-#: Letters that neither composition nor the tokenizer's lower-casing changes otherwise than str.lower does.
-_PLAIN = re.compile("[a-zà-öø-ÿÀ-ÖØ-Þ]+")
+#: Words of letters that neither composition nor the tokenizer's lower-casing changes otherwise than str.lower does, and the signs behind them.
+_PLAIN = re.compile(r"([a-zß-öø-ÿÀ-ÖØ-Þ]+)([!-/:-@\[-`{-~]*)")
 
 
 def byte_letters() -> list[str]:
@@ -57,7 +61,8 @@ class WordIds(dict):
     """Ids of lower-cased words, each worked out once: word -> row of ``first`` and ``count``.
 
     White space is dropped by the vocabulary's splitting rule, so a text's ids are those of its
-    words. Words of plain letters go to the model directly, others through the whole tokenizer.
+    words. Plain letters and the signs behind them are a piece each and go to the model directly, other words
+    through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -78,49 +83,85 @@ class WordIds(dict):
         self.pending.append(word)
         return row
 
-    def _ids_of(self, word: bytes) -> list[int]:
-        text = word.decode("utf-8")
-        tail = text[-1]
-        if tail in ".," and "a" <= text[-2:-1] <= "z" and _PLAIN.fullmatch(text, 0, len(text) - 1):
-            return self._model(text[:-1].lower()) + self._model(tail)
-        if _PLAIN.fullmatch(text):
-            return self._model(text.lower())
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _model(self, piece: str) -> list[int]:
-        mapped = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
-        return [t.id for t in self.tokenizer.model.tokenize(mapped)]
-
     def _learn(self) -> None:
+        fresh: dict[str, list[int]] = {}  # of pieces met in this call; those before are words of their own
+
+        def piece(text: str) -> list[int]:
+            found = fresh.get(text)
+            if found is None:
+                row = self.get(text.encode(), self.rows)
+                if row < self.rows:
+                    found = self.ids[self.first[row] : self.first[row] + self.count[row]].tolist()
+                else:
+                    found = [t.id for t in tokenize(text if text.isascii() else "".join([self.letters[b] for b in text.encode()]))]
+                fresh[text] = found
+            return found
+
+        tokenize, ids, count = self.tokenizer.model.tokenize, [], []
         for word in self.pending:
-            found = self._ids_of(word)
-            if self.rows == len(self.first):
-                self.first, self.count, self.ends = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count, self.ends))
-            while self.used + len(found) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[self.used : self.used + len(found)] = found
-            self.first[self.rows], self.count[self.rows], self.ends[self.rows] = self.used, len(found), word[-1:] in b".!?"
-            self.used, self.rows = self.used + len(found), self.rows + 1
-        self.pending = []
+            text = word.decode("utf-8")
+            plain = _PLAIN.fullmatch(text)
+            if plain is None:
+                found = self.tokenizer.encode(text, add_special_tokens=False).ids
+            elif plain[2]:
+                found = piece(plain[1].lower()) + piece(plain[2])
+            else:
+                found = piece(text.lower())
+            ids += found
+            count.append(len(found))
+        rows, used = self.rows + len(count), self.used + len(ids)
+        while rows > len(self.first):
+            self.first, self.count, self.ends = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count, self.ends))
+        while used > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : used], self.count[self.rows : rows] = ids, count
+        self.first[self.rows : rows] = self.used + np.cumsum(count) - count
+        self.ends[self.rows : rows] = [word.endswith((b".", b"!", b"?")) for word in self.pending]
+        self.used, self.rows, self.pending = used, rows, []
 
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of ``text`` with the end id behind, and the places behind sentence ends."""
-        text = text or ""
-        if "<|" in text:  # may hold the string of a special token, which is found before anything else
-            found = np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, END_ID], np.uint32)
-            return found, np.arange(INNER_STEP, len(found), INNER_STEP)
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """What ``encode`` gives, for each of ``texts`` in turn, whose words are looked up together."""
+        chunk, chars = [], 0
+        for text in texts:
+            chunk.append(text or "")
+            chars += len(chunk[-1])
+            if chars >= CHUNK_CHARS:
+                yield from self._encode(chunk)
+                chunk, chars = [], 0
+        yield from self._encode(chunk)
+
+    def _encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if len(self) > KEPT_WORDS:
             self.reset()
-        rows = np.array(list(map(self.__getitem__, text.encode("utf-8", "replace").lower().split())), np.int64)
+        # one that may hold the string of a special token is left out here, as that is found before anything else
+        special = ["<|" in text for text in texts]
+        given = pa.array([b"" if s else t.encode("utf-8", "replace") for t, s in zip(texts, special)], pa.large_string())
+        split = pc.ascii_split_whitespace(pc.ascii_lower(given))
+        known = split.flatten().dictionary_encode()
+        words = known.dictionary.cast(pa.large_binary()).to_pylist()
+        rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         if self.pending:
             self._learn()
+        rows = rows[known.indices.to_numpy()]
         count = self.count[rows]
         behind = np.cumsum(count)
-        total = int(behind[-1]) if len(rows) else 0
-        found = np.full(total + 1, END_ID, np.uint32)
-        if total:
-            found[:-1] = self.ids[np.arange(total) - np.repeat(behind - count - self.first[rows], count)]
-        return found, behind[self.ends[rows]]
+        ids = self.ids[np.arange(behind[-1] if len(rows) else 0) - np.repeat(behind - count - self.first[rows], count)]
+        ending = np.flatnonzero(self.ends[rows])
+        places = behind[ending]
+        bounds = split.offsets.to_numpy()
+        at, among = np.concatenate([[0], behind])[bounds].tolist(), np.searchsorted(ending, bounds).tolist()
+        for k, text in enumerate(texts):
+            if special[k]:
+                found = np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, END_ID], np.uint32)
+                yield found, np.arange(INNER_STEP, len(found), INNER_STEP)
+                continue
+            found = np.full(at[k + 1] - at[k] + 1, END_ID, np.uint32)
+            found[:-1] = ids[at[k] : at[k + 1]]
+            yield found, places[among[k] : among[k + 1]] - at[k]
 
 
 @lru_cache(maxsize=2)
@@ -137,10 +178,10 @@ def cut_places(size: int, sentence_ends: np.ndarray) -> tuple[np.ndarray, np.nda
         if place - last >= LEAST_GAP and size - place >= LEAST_GAP:
             kept.append(place)
             last = place
-    places = np.array([*kept, size], np.int64)
+    at = np.array([0, *kept, size], np.int64)
+    places, gaps = at[1:], at[1:] - at[:-1]
     cost = np.full(len(places), SENTENCE_CUT)
     cost[-1] = 0.0
-    gaps = np.diff(places, prepend=0)
     if gaps.max() > 2 * INNER_STEP:
         inner = np.concatenate([np.arange(b - g + INNER_STEP, b, INNER_STEP) for b, g in zip(places, gaps) if g > 2 * INNER_STEP])
         places, cost = np.concatenate([places, inner]), np.concatenate([cost, np.full(len(inner), INNER_CUT)])
@@ -247,8 +288,8 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         words = word_ids(vocabulary or public_tokenizers.path("word_bpe_49k.json"))
         stream = Stream(TaskContext.get().partitionId() << 36)
         for batch in batches:
-            for doc_id, text in zip(batch.doc_id, batch.text):
-                stream.add(None if pd.isna(doc_id) else int(doc_id), *words.encode(text))
+            for doc_id, found in zip(batch.doc_id, words.encode_all(batch.text)):
+                stream.add(None if pd.isna(doc_id) else int(doc_id), *found)
                 if stream.waiting >= BLOCK_IDS:
                     yield stream.lay_out(False)
         yield stream.lay_out(True)
