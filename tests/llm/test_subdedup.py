@@ -6,6 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from voxelkeel.llm import subdedup
+from voxelkeel.llm.common import staged
 
 COLUMNS = ["doc_id", "text", "n_units", "n_removed", "n_repeated", "removed_start", "removed_end", "kept_doc_id"]
 
@@ -99,6 +100,33 @@ def test_hot_line_repeated_rows_and_empty_table(spark):
     assert subdedup.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_frequent_units_meet_no_join(spark):
+    """A frequent unit is told by a bounded set of digests: its rows meet nothing, and nothing grows faster than they do."""
+    hot = ["a line that a great many of the documents hold", "and another one, just as common as the first of them"]
+    big = 1 << 60
+    for n in (1500, 3000):
+        rows = [(big + k, f"own {k}\n{hot[0]}\n{hot[1]}\n" + (hot[0] if k % 2 else f"more {k}")) for k in range(n)]
+        rows += [(None, f"null id\n{hot[0]}"), (big - 1, hot[1] + "\nearliest"), (-5, None)]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        whole = df.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.xxhash64("text").alias("_key"))
+        units = staged(subdedup.text_units(whole), "units")
+        found, firsts = subdedup.repeated_units(units)
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+        assert 1 <= len(firsts) <= 10
+        apart = found.filter("later IS NULL")
+        assert apart.count() == units.filter(F.col("digest").isin(list(firsts))).count() <= 4 * len(rows)
+        got = sorted((tuple(r) for r in subdedup.remove_repeats(df, 5).select(COLUMNS).collect()), key=str)
+        assert got == brute(rows, 5)
+
+
+def test_only_null_ids(spark):
+    hot = "one line that all of the documents without an id have"
+    rows = [(None, f"{hot}\nown {k}") for k in range(2000)]
+    out = subdedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()
+    assert sum(hot in r.text for r in out) == 1 and sum(r.n_removed for r in out) == 1999
+    assert all(r.kept_doc_id == [None] for r in out if r.n_removed)
+
+
 def test_clashing_columns_stay(spark):
     line = "a line that both of the two documents have in full"
     names = ["text_key", "marks", "marked_id", "marked_key", "cut", "_id", "_key", "_text", "_row", "_cut", "_marks", "_of", "unit", "digest", "rank"]

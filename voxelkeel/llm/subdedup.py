@@ -56,29 +56,34 @@ def text_units(docs: DataFrame) -> DataFrame:
                 unit += range(len(found))
                 digest += [hashlib.blake2b(normal(u), digest_size=8).digest() for u in found]
             digest = np.frombuffer(b"".join(digest), "<i8")
-            yield pd.DataFrame({"doc_id": batch._0.to_numpy()[at], "text_key": batch._1.to_numpy()[at], "unit": np.array(unit, np.int32), "digest": digest}).astype({"doc_id": "Int64"})
+            ids = pd.arrays.IntegerArray(batch._0.to_numpy()[at], batch._3.to_numpy(bool)[at])
+            yield pd.DataFrame({"doc_id": ids, "text_key": batch._1.to_numpy()[at], "unit": np.array(unit, np.int32), "digest": digest})
 
-    return docs.select(F.col("_id").alias("_0"), F.col("_key").alias("_1"), F.col("_text").alias("_2")).mapInPandas(rows, UNITS)
+    # a null among ids would make them floating-point numbers in pandas
+    given = F.coalesce("_id", F.lit(0).cast("long"))
+    return docs.select(given.alias("_0"), F.col("_key").alias("_1"), F.col("_text").alias("_2"), F.col("_id").isNull().alias("_3")).mapInPandas(rows, UNITS)
 
 
-def repeated_units(units: DataFrame) -> DataFrame:
-    """Units that occur more than once: doc_id, text_key, unit, later (not the first), kept_doc_id (of the first).
+def repeated_units(units: DataFrame) -> tuple[DataFrame, dict[int, tuple]]:
+    """Units that occur more than once: doc_id, text_key, unit, later (not the first), kept (doc_id of the first).
 
     Rows are shuffled once by digest and compared within a sorted window. Digests that a look at part of the rows finds frequent,
-    at most twice ``HOT_SHARE``, stay where they are: their first occurrences are aggregated and broadcast.
+    at most twice ``HOT_SHARE``, stay where they are and meet nothing: their first occurrences are aggregated and returned as
+    digest -> (doc_id as text, text_key, unit). Their rows have no ``later`` and the digest as ``kept``.
     """
     rank = F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), "text_key", "unit")
     looked = units.filter(F.pmod(F.xxhash64("doc_id", "text_key", "unit"), F.lit(LOOK)) == 0)
     bound = max(8.0, units.count() / LOOK / (2 * HOT_SHARE))
-    frequent = staged(looked.groupBy("digest").count().filter(F.col("count") > bound).select("digest"), "frequent")
-    marked = units.join(F.broadcast(frequent.withColumn("hot", F.lit(True))), "digest", "left")
-    hot, cold = marked.filter("hot").drop("hot"), marked.filter("hot IS NULL").drop("hot")
-    firsts = hot.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    apart = hot.join(F.broadcast(firsts), "digest")
+    frequent = [r.digest for r in looked.groupBy("digest").count().filter(F.col("count") > bound).select("digest").collect()]
+    is_hot = F.col("digest").isin(frequent)
+    hot, cold = units.filter(is_hot), units.filter(~is_hot)
+    found = hot.groupBy("digest").agg(F.min(rank).alias("first")).collect() if frequent else []
+    firsts = {r.digest: (None if r.first.last else str(r.first.doc_id), r.first.text_key, r.first.unit) for r in found}
+    apart = hot.select("doc_id", "text_key", "unit", F.lit(None).cast("boolean").alias("later"), F.col("digest").alias("kept"))
     order = Window.partitionBy("digest").orderBy(F.col("doc_id").asc_nulls_last(), "text_key", "unit")
-    together = cold.select("*", F.first(rank).over(order).alias("first"), ((F.row_number().over(order) > 1) | F.lead("unit").over(order).isNotNull()).alias("again")).filter("again").drop("again")
+    together = cold.select("*", F.first(rank).over(order).alias("first"), ((F.row_number().over(order) > 1) | F.lead("unit").over(order).isNotNull()).alias("again")).filter("again")
     kept = F.when(~F.col("first.last"), F.col("first.doc_id"))
-    return apart.unionByName(together).select("doc_id", "text_key", "unit", (rank != F.col("first")).alias("later"), kept.alias("kept_doc_id"))
+    return apart.unionByName(together.select("doc_id", "text_key", "unit", (rank != F.col("first")).alias("later"), kept.alias("kept"))), firsts
 
 
 def runs_of(units: list[re.Match], marked: set[int], min_words: int) -> list[tuple[int, int]]:
@@ -105,23 +110,30 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     names = [c for c in docs.columns if c not in ADDED]
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
     whole = whole.withColumn("_key", F.xxhash64("_text"))
-    found = repeated_units(staged(text_units(whole), "units"))
-    marks = found.groupBy(F.col("doc_id").alias("_of"), F.col("text_key").alias("_of_key")).agg(F.collect_set(F.struct("unit", "later", "kept_doc_id")).alias("_marks"))
+    found, frequent = repeated_units(staged(text_units(whole), "units"))
+    marks = found.groupBy(F.col("doc_id").alias("_of"), F.col("text_key").alias("_of_key")).agg(F.collect_set(F.struct("unit", "later", "kept")).alias("_marks"))
     joined = whole.join(marks, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_key") == F.col("_of_key")), "left")
     fields = {"text": "string", "n_units": "long", "n_removed": "long", "n_repeated": "long", "removed_start": "array<long>", "removed_end": "array<long>", "kept_doc_id": "array<long>"}
     cut_type = ", ".join(f"{k} {v}" for k, v in fields.items())
 
     @F.pandas_udf(cut_type)
-    def cut(text: pd.Series, marks: pd.Series) -> pd.DataFrame:
+    def cut(text: pd.Series, marks: pd.Series, doc_id: pd.Series, text_key: pd.Series) -> pd.DataFrame:
         out = []
-        for given, marked in zip(text, marks):
+        for given, marked, own_id, own_key in zip(text, marks, doc_id, text_key):
             units = units_of(given)
             if marked is None or not len(marked):
                 out.append((given, len(units), 0, 0, [], [], []))
                 continue
             # equal rows mark a unit as first and as later: together they keep it
-            firsts = {m["unit"] for m in marked if not m["later"]}
-            later = {m["unit"]: m["kept_doc_id"] for m in marked if m["later"] and m["unit"] not in firsts}
+            firsts = {m["unit"] for m in marked if m["later"] is not None and not m["later"]}
+            later = {m["unit"]: m["kept"] for m in marked if m["later"] and m["unit"] not in firsts}
+            for m in marked:
+                if m["later"] is None:
+                    first = frequent[m["kept"]]
+                    if first == (own_id if isinstance(own_id, str) else None, own_key, m["unit"]):
+                        firsts.add(m["unit"])
+                    else:
+                        later[m["unit"]] = None if first[0] is None else int(first[0])
             repeated = sum(b - a + 1 for a, b in runs_of(units, firsts | later.keys(), min_words))
             runs = runs_of(units, later.keys(), min_words)
             spans = [(units[a].start(), units[b].end()) for a, b in runs]
@@ -133,5 +145,5 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             out.append(("".join(kept) + given[at:] if given else given, len(units), sum(b - a + 1 for a, b in runs), repeated, [a for a, _ in spans], [b for _, b in spans], ids))
         return pd.DataFrame(out, columns=list(fields))
 
-    with_cut = joined.select("_row", cut("_text", "_marks").alias("_cut"))
+    with_cut = joined.select("_row", cut("_text", "_marks", F.col("_id").cast("string"), "_key").alias("_cut"))
     return with_cut.select(*[(F.col("_cut")["text"] if c == "text" else F.col("_row").getField(c)).alias(c) for c in names], *[F.col("_cut")[c].alias(c) for c in fields if c != "text"])
