@@ -35,9 +35,9 @@ SENTENCE_CUT, INNER_CUT = 2.0, 6.0
 #: Least ids between two sentence cuts, and the step of cuts within long sentences.
 LEAST_GAP, INNER_STEP = 16, 32
 #: Ids that are laid out at a time; words whose ids are kept.
-BLOCK_IDS, KEPT_WORDS = 2 << 20, 600_000
+BLOCK_IDS, KEPT_WORDS = 2 << 20, 300_000
 #: Characters of texts that are split into words at a time.
-CHUNK_CHARS = 1 << 22
+CHUNK_CHARS = 1 << 20
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -75,7 +75,7 @@ class WordIds(dict):
     def reset(self) -> None:
         self.clear()
         self.pending: list[bytes] = []
-        self.first, self.count, self.ends = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, bool)
+        self.first, self.count, self.ends = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(1024, bool)
         self.ids, self.used, self.rows = np.zeros(4096, np.uint32), 0, 0
 
     def __missing__(self, word: bytes) -> int:
