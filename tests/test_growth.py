@@ -84,6 +84,51 @@ def test_grid_contrasts_agree_with_contrasts_at_marks(spark):
     assert got.keys() == want.keys() and all((a is None) == (want[i] is None) and (a is None or abs(a - want[i]) < 1e-9) for i, a in got.items())
 
 
+def test_multiscale_profile_is_one_pass_and_agrees_with_its_parts(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(12):
+        # Shanks of equal and of other depths, a bad depth, missing rows and values, repeated depths, a flat feature.
+        lo, step, n = (0.0, 20.0, 50) if k < 6 else (13.7 * k, 15.0 + k, 30 + k)
+        for i in range(n):
+            for f in range(3):
+                v = float(rng.normal() + (i > n // 2) * (f + 1) + (40.0 if i in (0, 8) and k % 3 == 0 else 0.0))
+                if not (k == 2 and f == 1 and i % 7 == 3):
+                    rows.append((f"s{k}", f, lo + i * step, None if k in (3, 8) and i % 11 == f else 2.5 if k == 5 and f == 2 else v))
+                    if k in (4, 9) and i % 5 == 0:
+                        rows.append((f"s{k}", f, lo + i * step, v + 0.5))
+        rows.append((f"s{k}", 0, None, 1.0) if k == 7 else (None, 0, 20.0 * k, 1.0))
+    rows += [("short", 0, 20.0 * i, float(i)) for i in range(7)] + [("narrow", 0, 10.0 * i, float(i % 3)) for i in range(9)]
+    prof = make(spark, "k string, feature int, depth_um double, value double", [rows[i] for i in rng.permutation(len(rows))])
+    plan = A.multiscale_profile(prof, ["k"])
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == 1 and "Join" not in text and "Scan ExistingRDD" in text
+    whole = prof.dropna(subset=["k", "depth_um"])
+    windows = A.adaptive_windows(whole, ["k"])
+    stats = A.null_calibration(whole, windows, ["k"]).toPandas()
+    raw = A.step_profile(whole, windows, ["k"], step_um=5.0).toPandas()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 70)
+    try:
+        got = {k: g.sort_values("depth_um") for k, g in A.multiscale_profile(prof, ["k"]).toPandas().groupby("k")}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(got) == sorted(f"s{k}" for k in range(12))
+    extent = whole.groupBy("k").agg({"depth_um": "min"}).toPandas().set_index("k").iloc[:, 0], whole.groupBy("k").agg({"depth_um": "max"}).toPandas().set_index("k").iloc[:, 0]
+    for k, g in got.items():
+        grid = extent[0][k] + np.arange(int(np.ceil((extent[1][k] + 5.0 - extent[0][k]) / 5.0))) * 5.0
+        each = []
+        for s in stats[stats.k == k].sort_values("window_um").itertuples():
+            r = raw[(raw.k == k) & (raw.window_um == s.window_um)].sort_values("at")
+            each.append(np.interp(grid, r["at"], (r["score"] - s.centre) / s.spread, left=np.nan, right=np.nan))
+        each = np.array(each)
+        seen = ~np.isnan(each).all(axis=0)
+        best = np.where(seen, np.nanmax(np.where(np.isnan(each), -np.inf, each), axis=0), np.nan)
+        assert np.array_equal(g["depth_um"], grid) and np.allclose(g["z"].astype(float), best, atol=1e-9, equal_nan=True), k
+        widths = np.sort(stats[stats.k == k].window_um.to_numpy())
+        assert seen.sum() > 50 and all(abs(each[list(widths).index(w), i] - best[i]) < 1e-9 for i, w in enumerate(g["scale_um"].astype(float)) if seen[i])
+        assert np.allclose(g["null_z"], stats[stats.k == k].null_z.iloc[0])
+
+
 def test_plane_centre_is_scaled_once(spark):
     planes = [[120.0 + i * 2.4 + (i * 7 % 5) / 10, 10.0, 5.0, (i % 7 - 3) * 0.8, 0.0, 440.0, (i % 9 - 4) * 0.9, 300.0, 2.0] for i in range(200)]
     df = make(spark, "i int, reg_anchoring array<double>, ds_anchoring array<double>, out_h int, out_w int, x0 int, x1 int, y0 int, y1 int, resolution_um double",

@@ -12,6 +12,13 @@ from voxelkeel.functions.interp import interp, knot_arrays
 from voxelkeel.functions.ranges import range_join
 from voxelkeel.session import cut_lineage, spread, unsized
 
+#: Windows of the multiscale profile, and the largest as a fraction of the shank's extent.
+WINDOW_LADDER_UM = (60.0, 100.0, 150.0, 220.0)
+MAX_WINDOW_FRACTION = 1 / 3
+
+#: Values of surrogates worked on at once: shanks of equal depths go together up to this many.
+BLOCK_VALUES = 1 << 18
+
 # --- windows and screening (W16, A11-A14, O01) ------------------------------------------------
 
 
@@ -335,6 +342,17 @@ def depth_marks(profile: DataFrame, windows: DataFrame, keys: list[str], *, step
     return df.select(*keys, "window_um", F.expr(f"_lo + window_um + _i * {step_um}D AS at"))
 
 
+def _two_sided(sums: list[np.ndarray], ends: list[np.ndarray], min_samples: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """W05 from running rows, known values, sums and squares along depth (last axis): rows around each mark, and Cohen's d or nan."""
+    (na, ca, sa, qa), (nb, cb, sb, qb) = ([x[..., ends[e + 1]] - x[..., ends[e]] for x in sums] for e in (0, 1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ma, mb = sa / ca, sb / cb
+        half = 0.5 * (np.maximum(0.0, qa / ca - ma * ma) + np.maximum(0.0, qb / cb - mb * mb))
+        # What rounding leaves of a side without spread is no spread.
+        ok = (na >= min_samples) & (nb >= min_samples) & (half > 1e-12 * np.maximum(ma * ma, mb * mb)) & (half > 0)
+        return na + nb, np.where(ok, np.abs(ma - mb) / np.sqrt(half), np.nan)
+
+
 def contrast_grid(profile: DataFrame, windows: DataFrame, keys: list[str], *, step_um: float, per_feature: bool, min_samples: int = 3) -> DataFrame:
     """W05 on a regular grid of each shank: as :func:`contrast_at` at :func:`depth_marks`, from running sums of one shank.
 
@@ -359,15 +377,10 @@ def contrast_grid(profile: DataFrame, windows: DataFrame, keys: list[str], *, st
             total, count = np.zeros(len(at)), np.zeros(len(at))
             for feature, depth, sums in sides:
                 ends = [np.searchsorted(depth, at + d, side="left") for d in (-w, 0.0, w)]
-                (na, ca, sa, qa), (nb, cb, sb, qb) = ([x[ends[e + 1]] - x[ends[e]] for x in sums] for e in (0, 1))
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    ma, mb = sa / ca, sb / cb
-                    half = 0.5 * (np.maximum(0.0, qa / ca - ma * ma) + np.maximum(0.0, qb / cb - mb * mb))
-                    # What rounding leaves of a side without spread is no spread.
-                    ok = (na >= min_samples) & (nb >= min_samples) & (half > 1e-12 * np.maximum(ma * ma, mb * mb)) & (half > 0)
-                    d = np.where(ok, np.abs(ma - mb) / np.sqrt(half), np.nan)
+                near, d = _two_sided(sums, ends, min_samples)
+                ok = ~np.isnan(d)
                 if per_feature:
-                    some = na + nb > 0
+                    some = near > 0
                     parts.append(pd.DataFrame({"feature": feature, "window_um": w, "at": at[some], value: d[some]}))
                 else:
                     total, count = total + np.where(ok, d, 0.0), count + ok
@@ -441,7 +454,7 @@ def step_profile(profile: DataFrame, windows: DataFrame, keys: list[str], *, ste
     return contrast_grid(z.join(unsized(n), keys, "left_semi"), windows, keys, step_um=step_um, per_feature=False)
 
 
-def adaptive_windows(profile: DataFrame, keys: list[str], *, ladder=(60.0, 100.0, 150.0, 220.0), max_fraction: float = 1 / 3) -> DataFrame:
+def adaptive_windows(profile: DataFrame, keys: list[str], *, ladder=WINDOW_LADDER_UM, max_fraction: float = MAX_WINDOW_FRACTION) -> DataFrame:
     """The ladder's windows up to a third of the shank's extent, else the smallest."""
     ext = profile.groupBy(*keys).agg((F.max("depth_um") - F.min("depth_um")).alias("_e"))
     rungs = ", ".join(f"{w!r}D" for w in ladder)
@@ -449,22 +462,48 @@ def adaptive_windows(profile: DataFrame, keys: list[str], *, ladder=(60.0, 100.0
     return ext.select(*keys, F.expr(f"explode(CASE WHEN size({usable}) > 0 THEN {usable} ELSE array({min(ladder)!r}D) END) AS window_um"))
 
 
-def _contrast_curve(depths: np.ndarray, z: np.ndarray, window: float, step: float) -> tuple[np.ndarray, np.ndarray]:
+def _running(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums and squares along depth (first axis), row by row since rows lie together."""
+    c1, c2 = np.zeros((len(z) + 1, *z.shape[1:])), np.zeros((len(z) + 1, *z.shape[1:]))
+    for c, v in ((c1, z), (c2, z * z)):
+        for i in range(len(z)):
+            np.add(c[i], v[i], out=c[i + 1])
+    return c1, c2
+
+
+def _contrast_curve(depths: np.ndarray, z: np.ndarray, window: float, step: float, running: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """W06 at every mark of one profile, by running sums: mean contrast over features (last axis of ``z``), else 0."""
     marks = np.arange(depths[0] + window, depths[-1] - window, step)
     ends = [np.searchsorted(depths, marks + d, side="left") for d in (-window, 0.0, window)]
-    n = np.array([ends[1] - ends[0], ends[2] - ends[1]]).reshape(2, len(marks), *(1 for _ in z.shape[1:]))
     # Sums about the column mean keep the variances well conditioned.
-    start = np.zeros((1, *z.shape[1:]))
-    c1, c2 = (np.concatenate([start, np.cumsum(v, axis=0)]) for v in (z, z * z))
-    both = lambda c: np.stack([c[ends[1]] - c[ends[0]], c[ends[2]] - c[ends[1]]])
+    c1, c2 = running or _running(z)
+
+    def side(lo, hi):
+        n = (hi - lo).reshape(len(marks), *(1 for _ in z.shape[1:]))
+        mean, var = c1[hi], c2[hi]
+        mean -= c1[lo]
+        mean /= n
+        var -= c2[lo]
+        var /= n
+        var -= mean * mean
+        return mean, np.maximum(var, 0.0, out=var)
+
     with np.errstate(divide="ignore", invalid="ignore"):
-        mean, square = both(c1) / n, both(c2) / n
-        var = np.maximum(square - mean ** 2, 0.0)
-        d = np.abs(mean[0] - mean[1]) / np.sqrt(0.5 * (var[0] + var[1]))
-    d[np.broadcast_to((n < 3).any(axis=0), d.shape) | ~np.isfinite(d)] = np.nan
-    counts = np.isfinite(d).sum(axis=-1)
-    return marks, np.where(counts > 0, np.nansum(d, axis=-1) / np.maximum(counts, 1), 0.0)
+        (mean, var), (mean_b, var_b) = side(ends[0], ends[1]), side(ends[1], ends[2])
+        mean -= mean_b
+        var += var_b
+        var *= 0.5
+        d = np.abs(mean, out=mean)
+        d /= np.sqrt(var, out=var)
+    d[(ends[1] - ends[0] < 3) | (ends[2] - ends[1] < 3)] = np.nan
+    known = np.isfinite(d)
+    if known.all():
+        total, counts = d[..., 0].copy(), d.shape[-1]
+        for i in range(1, d.shape[-1]):
+            total += d[..., i]
+        return marks, total / counts
+    counts = known.sum(axis=-1)
+    return marks, np.where(counts > 0, np.where(known, d, 0.0).sum(axis=-1) / np.maximum(counts, 1), 0.0)
 
 
 def _surrogates(pdf: pd.DataFrame, n_surrogates: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -474,16 +513,42 @@ def _surrogates(pdf: pd.DataFrame, n_surrogates: int, seed: int) -> tuple[np.nda
     same depth of a feature count as their mean.
     """
     wide = pdf.groupby(["depth_um", "feature"])["value"].mean().unstack()
-    n = len(wide)
     filled = wide.interpolate(method="linear", limit_direction="both").fillna(0.0).to_numpy(dtype=float)
+    return wide.index.to_numpy(dtype=float), _phase_copies(filled, n_surrogates, seed)
+
+
+def _phase_copies(filled: np.ndarray, n_surrogates: int, seed: int) -> np.ndarray:
+    """Standardised phase-randomised copies of values (depth, ..., feature) as (depth, ..., surrogate, feature)."""
+    n = len(filled)
     spectra, rng = np.abs(np.fft.rfft(filled, axis=0)), np.random.default_rng(seed)
-    phases = rng.uniform(0.0, 2.0 * np.pi, size=(n_surrogates, *spectra.shape[::-1])).transpose(2, 0, 1)
+    phases = rng.uniform(0.0, 2.0 * np.pi, size=(n_surrogates, filled.shape[-1], len(spectra))).transpose(2, 0, 1)
     phases[0] = 0.0
     if n % 2 == 0:
         phases[-1] = 0.0
-    copies = np.fft.irfft(spectra[:, None, :] * np.exp(1j * phases), n=n, axis=0)
+    turns = np.exp(1j * phases).reshape(len(spectra), *(1 for _ in filled.shape[2:]), n_surrogates, filled.shape[-1])
+    copies = np.fft.irfft(spectra[..., None, :] * turns, n=n, axis=0)
     spread = copies.std(axis=0)
-    return wide.index.to_numpy(dtype=float), (copies - copies.mean(axis=0)) / np.where(spread > 0, spread, 1.0)
+    return (copies - copies.mean(axis=0)) / np.where(spread > 0, spread, 1.0)
+
+
+def _null_scores(depths: np.ndarray, copies: np.ndarray, windows, step_um: float, percentile: float) -> tuple[dict[float, tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """A35 of shanks with equal depths: (centre, spread) by window, and the null level, each by shank.
+
+    ``copies`` is (depth, shank, surrogate, feature).
+    """
+    stats, peak, running = {}, np.full(copies.shape[1:3], -np.inf), _running(copies)
+    for w in windows:
+        scores = _contrast_curve(depths, copies, float(w), step_um, running)[1]  # mark, shank, surrogate
+        if not scores.size:
+            continue
+        scores = np.ascontiguousarray(scores.transpose(1, 2, 0))
+        flat = scores.reshape(len(scores), -1)
+        centre = np.median(flat, axis=1)
+        dev = np.median(np.abs(flat - centre[:, None]), axis=1) * 1.4826
+        dev = np.where(dev > 0, dev, 1.0)
+        stats[float(w)] = (centre, dev)
+        peak = np.maximum(peak, (scores.max(axis=2) - centre[:, None]) / dev[:, None])
+    return stats, np.quantile(peak, percentile, axis=1) if stats else np.full(len(peak), np.nan)
 
 
 def null_calibration(profile: DataFrame, windows: DataFrame, keys: list[str], *, step_um: float = 20.0, n_surrogates: int = 16,
@@ -495,17 +560,8 @@ def null_calibration(profile: DataFrame, windows: DataFrame, keys: list[str], *,
     """
     def calibrate(pdf: pd.DataFrame) -> pd.DataFrame:
         depths, z = _surrogates(pdf, n_surrogates, seed)
-        stats, peak = [], np.full(n_surrogates, -np.inf)
-        for w in pdf["windows"].iloc[0]:
-            scores = _contrast_curve(depths, z, float(w), step_um)[1]  # mark, surrogate
-            if not scores.size:
-                continue
-            centre = np.median(scores)
-            dev = np.median(np.abs(scores - centre)) * 1.4826
-            dev = dev if dev > 0 else 1.0
-            stats.append((float(w), centre, dev))
-            peak = np.maximum(peak, ((scores - centre) / dev).max(axis=0))
-        null = float(np.quantile(peak, percentile)) if stats else None
+        found, null = _null_scores(depths, z[:, None], pdf["windows"].iloc[0], step_um, percentile)
+        stats, null = [(w, centre[0], dev[0]) for w, (centre, dev) in found.items()], null[0]
         return pd.DataFrame([(*(pdf[c].iloc[0] for c in keys), *s, null) for s in stats], columns=[*keys, "window_um", "centre", "spread", "null_z"])
 
     enough = profile.groupBy(*keys).agg(F.count_distinct("depth_um").alias("_n")).filter("_n >= 8").drop("_n")
@@ -516,20 +572,157 @@ def null_calibration(profile: DataFrame, windows: DataFrame, keys: list[str], *,
     return spread(rows, *keys).groupBy(*keys).applyInPandas(calibrate, cols)
 
 
-def multiscale_profile(profile: DataFrame, keys: list[str], *, step_um: float = 5.0, n_surrogates: int = 16, seed: int = 0) -> DataFrame:
-    """W06 multiscale: best calibrated z over windows on a common grid, its window, and the null level."""
-    windows = adaptive_windows(profile, keys)
-    stats = cut_lineage(null_calibration(profile, windows, keys, n_surrogates=n_surrogates, seed=seed))
-    null = stats.groupBy(*keys).agg(F.max("null_z").alias("null_z"))
-    raw = step_profile(profile, windows, keys, step_um=step_um)
-    z = raw.join(unsized(stats), [*keys, "window_um"]).withColumn("z", F.expr("(score - centre) / spread"))
-    knots = knot_arrays(z, [*keys, "window_um"], "at", "z")
-    rng = profile.groupBy(*keys).agg(F.min("depth_um").alias("_lo"), F.max("depth_um").alias("_hi"))
-    grid = spread(rng, *keys).withColumn("_i", F.explode(F.expr(f"sequence(0L, CAST(ceil((_hi + {step_um}D - _lo) / {step_um}D) AS BIGINT) - 1)")))
-    grid = grid.select(*keys, F.expr(f"_lo + _i * {step_um}D AS depth_um"))
-    on_grid = interp(grid.join(unsized(knots), keys), "z", F.col("depth_um"), "xs", "ys", "null")
-    best = on_grid.groupBy(*keys, "depth_um").agg(F.max(F.when(F.col("z").isNotNull(), F.struct("z", (-F.col("window_um")).alias("w")))).alias("_b"))
-    return best.join(unsized(null), keys, "left").select(*keys, "depth_um", F.col("_b.z").alias("z"), (-F.col("_b.w")).alias("scale_um"), "null_z")
+def _middle(ordered: np.ndarray) -> np.ndarray:
+    """Median along the last axis of sorted values whose nan lie behind; nan where there are no others."""
+    n = (~np.isnan(ordered)).sum(axis=-1, keepdims=True)
+    return 0.5 * (np.take_along_axis(ordered, np.maximum(n - 1, 0) // 2, axis=-1) + np.take_along_axis(ordered, np.minimum(n // 2, ordered.shape[-1] - 1), axis=-1))[..., 0]
+
+
+def _bad_depths(level: np.ndarray, k: float = 5.0, neighbours: int = 9) -> np.ndarray:
+    """W08 on mean levels (shank, depth): far from the local median, or without a finite level."""
+    half = max(1, neighbours // 2)
+    near = np.lib.stride_tricks.sliding_window_view(np.pad(level, ((0, 0), (half, half)), constant_values=np.nan), 2 * half + 1, axis=1)
+    with np.errstate(invalid="ignore"):
+        off = level - _middle(np.sort(near, axis=-1))
+        scale = 1.4826 * _middle(np.sort(np.abs(off - _middle(np.sort(off, axis=-1))[:, None]), axis=-1))[:, None]
+        return (level.shape[1] >= 5) & (~np.isfinite(level) | ((scale > 0) & (np.abs(off) > k * scale)))
+
+
+def _clean_sums(depths: np.ndarray, cell: np.ndarray, value: np.ndarray, shape: tuple[int, int, int]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Values of shanks with equal depths, by (shank, feature, depth): their means, nan where there is none, and of what
+    W08 leaves, standardised, the rows, known values, sums and squares that a depth holds, running along depth."""
+    n = shape[2]
+    held = lambda w=None: np.bincount(cell, weights=w, minlength=shape[0] * shape[1] * n).reshape(shape)
+    known = ~np.isnan(value)
+    rows, count, total = held(), held(known), held(np.where(known, value, 0.0))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mean = np.where(count > 0, total / count, np.nan)
+        bad = _bad_depths(total.sum(axis=1) / count.sum(axis=1))[:, None, :]
+        # A bad depth takes the line between the good rows of its feature on both sides, held at the ends.
+        good, at = (rows > 0) & ~bad, np.arange(n)
+        lo = np.maximum.accumulate(np.where(good, at, -1), axis=-1)
+        hi = np.minimum.accumulate(np.where(good, at, n)[..., ::-1], axis=-1)[..., ::-1]
+        i, j = np.maximum(lo, 0), np.minimum(hi, n - 1)
+        a, b = np.take_along_axis(mean, i, axis=-1), np.take_along_axis(mean, j, axis=-1)
+        line = np.where(lo < 0, b, np.where(hi >= n, a, a + (b - a) * (depths - depths[i]) / (depths[j] - depths[i])))
+        new = bad & (rows > 0) & ((lo >= 0) | (hi < n))
+        count = np.where(new, np.where(np.isnan(line), 0, rows), count)
+        line = np.where(new & (count > 0), line, 0.0)
+        size = count.sum(axis=-1, keepdims=True)
+        centre = np.where(new, count * line, total).sum(axis=-1, keepdims=True) / size
+        off = np.where(known & ~new.ravel()[cell], value - centre.ravel()[cell // n], 0.0)
+        moved = np.where(new & (count > 0), line - centre, 0.0)
+        sums, squares = held(off) + count * moved, held(off * off) + count * moved * moved
+        spread = np.sqrt(squares.sum(axis=-1, keepdims=True) / size)
+        spread = np.where(spread > 0, spread, 1.0)
+    start = np.zeros((*shape[:2], 1))
+    return mean, [np.concatenate([start, np.cumsum(c, axis=-1)], axis=-1) for c in (rows, count, sums / spread, squares / spread ** 2)]
+
+
+def _filled(mean: np.ndarray) -> np.ndarray:
+    """Missing values along the last axis on the line between their neighbours by position, held at the ends; 0 without any."""
+    n = mean.shape[-1]
+    there, at = ~np.isnan(mean), np.arange(n)
+    if there.all():
+        return mean
+    lo = np.maximum.accumulate(np.where(there, at, -1), axis=-1)
+    hi = np.minimum.accumulate(np.where(there, at, n)[..., ::-1], axis=-1)[..., ::-1]
+    i, j = np.where(lo < 0, np.minimum(hi, n - 1), lo), np.where(hi >= n, np.maximum(lo, 0), hi)
+    a, b = np.take_along_axis(mean, i, axis=-1), np.take_along_axis(mean, j, axis=-1)
+    return np.nan_to_num(np.where(there, mean, a + (b - a) / np.maximum(j - i, 1) * (at - i)), nan=0.0, posinf=np.inf, neginf=-np.inf)
+
+
+def _best_scales(depths: np.ndarray, mean: np.ndarray, sums: list[np.ndarray], step_um: float, null_step_um: float,
+                 n_surrogates: int, seed: int, percentile: float) -> tuple[np.ndarray, ...] | None:
+    """W06 multiscale of shanks with equal depths: grid, best z and its window by (shank, grid depth), null level by shank."""
+    lo, hi = depths[0], depths[-1]
+    windows = [w for w in WINDOW_LADDER_UM if w <= (hi - lo) * MAX_WINDOW_FRACTION] or [min(WINDOW_LADDER_UM)]
+    copies = _phase_copies(np.ascontiguousarray(_filled(mean).transpose(2, 0, 1)), n_surrogates, seed)
+    stats, null = _null_scores(depths, copies, windows, null_step_um, percentile)
+    if not stats:
+        return None
+    grid = lo + np.arange(int(np.ceil((hi + step_um - lo) / step_um))) * step_um
+    best, scale = np.full((len(mean), len(grid)), -np.inf), np.full((len(mean), len(grid)), np.nan)
+    for w, (centre, dev) in stats.items():
+        at = lo + w + np.arange(int(np.ceil((hi - w - (lo + w)) / step_um))) * step_um
+        d = _two_sided(sums, [np.searchsorted(depths, at + e, side="left") for e in (-w, 0.0, w)])[1]
+        count = (~np.isnan(d)).sum(axis=1)
+        z = (np.where(count > 0, np.nansum(d, axis=1) / np.maximum(count, 1), 0.0) - centre[:, None]) / dev[:, None]
+        seen = np.flatnonzero((grid >= at[0]) & (grid <= at[-1]))
+        i = np.clip(np.searchsorted(at, grid[seen], side="right") - 1, 0, max(len(at) - 2, 0))
+        j = np.minimum(i + 1, len(at) - 1)
+        slope = (z[:, j] - z[:, i]) / np.where(j > i, at[j] - at[i], 1.0)
+        # At the last mark the line is drawn from there, so that it gives the mark's own value.
+        end = grid[seen] >= at[-1]
+        z = np.where(end, z[:, j], z[:, i] + slope * (grid[seen] - at[i]))
+        better = z > best[:, seen]
+        best[:, seen] = np.where(better, z, best[:, seen])
+        scale[:, seen] = np.where(better, w, scale[:, seen])
+    return grid, np.where(np.isnan(scale), np.nan, best), scale, null
+
+
+def multiscale_profile(profile: DataFrame, keys: list[str], *, step_um: float = 5.0, n_surrogates: int = 16, seed: int = 0,
+                       null_step_um: float = 20.0, percentile: float = 0.9) -> DataFrame:
+    """W06 multiscale: best calibrated z over windows on a common grid, its window, and the null level.
+
+    As :func:`step_profile` at :func:`adaptive_windows`, set off against :func:`null_calibration` and drawn on the grid, but
+    in one pass: the profile is shuffled once and its rows leave their shank only as the result. Shanks of a batch that
+    have the same depths are worked out together, since their marks, sides and random phases are the same. Rows without
+    key, depth or feature take no part, a value that is null or nan is missing, and shanks need eight depths.
+    """
+    def whole(frames):
+        """Rows lie together by shank; a batch's last shank waits for the next batch."""
+        held = None
+        for pdf in frames:
+            if pdf.empty:
+                continue
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            shank = pdf.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+            last = np.searchsorted(shank, shank[-1])
+            held = pdf.iloc[last:]
+            if last:
+                yield pdf.iloc[:last], shank[:last]
+        if held is not None:
+            yield held, np.zeros(len(held), int)
+
+    def ranked(shank, x):
+        """Rank of ``x`` among its shank's distinct values, those values, and where each shank's begin and end."""
+        order = np.lexsort((x, shank))
+        s, y = shank[order], x[order]
+        first = np.concatenate([[True], s[1:] != s[:-1]])
+        new = first | np.concatenate([[True], y[1:] != y[:-1]])
+        number = np.cumsum(new) - 1
+        bounds = np.append(number[first], number[-1] + 1)
+        rank = np.empty(len(x), int)
+        rank[order] = number - bounds[s]
+        return rank, y[new], bounds
+
+    def scales(frames):
+        for pdf, shank in whole(frames):
+            depth, value = pdf["depth_um"].to_numpy(float), pdf["value"].to_numpy(float)
+            at, depths, begin = ranked(shank, depth)
+            feature, _, features = ranked(shank, pd.factorize(pdf["feature"], sort=True)[0])
+            begin_row, alike = np.searchsorted(shank, np.arange(shank[-1] + 2)), {}
+            for i in np.flatnonzero(np.diff(begin) >= 8):
+                alike.setdefault((depths[begin[i]:begin[i + 1]].tobytes(), features[i + 1] - features[i]), []).append(i)
+            for (xs, n_features), members in alike.items():
+                xs = np.frombuffer(xs)
+                size = max(1, BLOCK_VALUES // (n_surrogates * n_features * len(xs)))
+                for block in (members[i:i + size] for i in range(0, len(members), size)):
+                    rows = np.concatenate([np.arange(begin_row[i], begin_row[i + 1]) for i in block])
+                    place = np.repeat(np.arange(len(block)), [begin_row[i + 1] - begin_row[i] for i in block])
+                    cell = (place * n_features + feature[rows]) * len(xs) + at[rows]
+                    found = _best_scales(xs, *_clean_sums(xs, cell, value[rows], (len(block), n_features, len(xs))), step_um, null_step_um, n_surrogates, seed, percentile)
+                    if found is not None:
+                        grid, z, scale, null = found
+                        out = pdf[keys].iloc[np.repeat(begin_row[block], len(grid))].reset_index(drop=True)
+                        yield out.assign(depth_um=np.tile(grid, len(block)), z=z.ravel(), scale_um=scale.ravel(), null_z=np.repeat(null, len(grid)))
+
+    types = {f.name: f.dataType.simpleString() for f in profile.schema.fields}
+    schema = ", ".join([*(f"{c} {types[c]}" for c in keys), "depth_um double, z double, scale_um double, null_z double"])
+    rows = profile.select(*keys, "feature", F.col("depth_um").cast("double"), F.col("value").cast("double")).dropna(subset=[*keys, "feature", "depth_um"])
+    out = spread(rows, *keys).sortWithinPartitions(*keys).mapInPandas(scales, schema)
+    return out.withColumns({c: F.expr(f"CASE WHEN NOT isnan({c}) THEN {c} END") for c in ("z", "scale_um")})
 
 
 def profile_peaks(profile: DataFrame, keys: list[str], *, min_z: float = 2.0) -> DataFrame:
