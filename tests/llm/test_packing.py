@@ -171,6 +171,15 @@ def test_each_piece_is_worked_out_once(tokenizer):
     assert len(letters) == len(set(letters)) == 3
 
 
+def test_words_that_differ_in_signs_share_a_piece(tokenizer):
+    """The store grows with pieces: a word's letters are kept once, whatever stands behind them."""
+    words = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    text = " ".join(f"{w}{s}" for w in ("alpha", "Über", "gamma") for s in ("", ".", ",", "?!", "...", "_", ")."))
+    ids, ends = words.encode(text)
+    assert ids.tolist()[:-1] == tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(words) == 3 + 7 and len(ends) == 3 * 4
+
+
 def test_texts_together_are_as_alone(tokenizer, monkeypatch):
     path = public_tokenizers.path("word_bpe_49k.json")
     rng = random.Random(8)

@@ -34,7 +34,7 @@ END_ID = 2
 SENTENCE_CUT, INNER_CUT = 2.0, 6.0
 #: Least ids between two sentence cuts, and the step of cuts within long sentences.
 LEAST_GAP, INNER_STEP = 16, 32
-#: Ids that are laid out at a time; words whose ids are kept.
+#: Ids that are laid out at a time; pieces of words whose ids are kept.
 BLOCK_IDS, KEPT_WORDS = 2 << 20, 300_000
 #: Characters of texts that are split into words at a time.
 CHUNK_CHARS = 1 << 20
@@ -42,7 +42,9 @@ CHUNK_CHARS = 1 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 #: Words of letters that neither composition nor the tokenizer's lower-casing changes otherwise than str.lower does, and the signs behind them.
-_PLAIN = re.compile(r"([a-zß-öø-ÿÀ-ÖØ-Þ]+)([!-/:-@\[-`{-~]*)")
+PLAIN = r"^(?P<letters>[a-zß-öø-ÿÀ-ÖØ-Þ]+)(?P<signs>[!-/:-@\[-`{-~]*)$"
+#: What goes to the model directly: such letters alone, or signs alone.
+_PIECE = re.compile(r"[a-zß-öø-ÿ]+|[!-/:-@\[-`{-~]+")
 
 
 def byte_letters() -> list[str]:
@@ -58,11 +60,11 @@ def byte_letters() -> list[str]:
 
 
 class WordIds(dict):
-    """Ids of lower-cased words, each worked out once: word -> row of ``first`` and ``count``.
+    """Ids of the pieces of lower-cased words, each worked out once: piece -> row of ``first`` and ``count``.
 
     White space is dropped by the vocabulary's splitting rule, so a text's ids are those of its
     words. Plain letters and the signs behind them are a piece each and go to the model directly, other words
-    through the whole tokenizer.
+    are a piece as they are and go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -75,50 +77,54 @@ class WordIds(dict):
     def reset(self) -> None:
         self.clear()
         self.pending: list[bytes] = []
-        self.first, self.count, self.ends = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(1024, bool)
+        self.first, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
         self.ids, self.used, self.rows = np.zeros(4096, np.uint32), 0, 0
 
-    def __missing__(self, word: bytes) -> int:
-        row = self[word] = len(self)
-        self.pending.append(word)
+    def __missing__(self, piece: bytes) -> int:
+        row = self[piece] = len(self)
+        self.pending.append(piece)
         return row
 
     def _learn(self) -> None:
-        fresh: dict[str, list[int]] = {}  # of pieces met in this call; those before are words of their own
-
-        def piece(text: str) -> list[int]:
-            found = fresh.get(text)
-            if found is None:
-                row = self.get(text.encode(), self.rows)
-                if row < self.rows:
-                    found = self.ids[self.first[row] : self.first[row] + self.count[row]].tolist()
-                else:
-                    found = [t.id for t in tokenize(text if text.isascii() else "".join([self.letters[b] for b in text.encode()]))]
-                fresh[text] = found
-            return found
-
         tokenize, ids, count = self.tokenizer.model.tokenize, [], []
-        for word in self.pending:
-            text = word.decode("utf-8")
-            plain = _PLAIN.fullmatch(text)
-            if plain is None:
-                found = self.tokenizer.encode(text, add_special_tokens=False).ids
-            elif plain[2]:
-                found = piece(plain[1].lower()) + piece(plain[2])
+        for piece in self.pending:
+            text = piece.decode("utf-8")
+            if not text:
+                found = []
+            elif _PIECE.fullmatch(text):
+                found = [t.id for t in tokenize(text if text.isascii() else "".join([self.letters[b] for b in piece]))]
             else:
-                found = piece(text.lower())
+                found = self.tokenizer.encode(text, add_special_tokens=False).ids
             ids += found
             count.append(len(found))
         rows, used = self.rows + len(count), self.used + len(ids)
         while rows > len(self.first):
-            self.first, self.count, self.ends = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count, self.ends))
+            self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
         while used > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.used : used], self.count[self.rows : rows] = ids, count
         self.first[self.rows : rows] = self.used + np.cumsum(count) - count
-        self.ends[self.rows : rows] = [word.endswith((b".", b"!", b"?")) for word in self.pending]
         self.used, self.rows, self.pending = used, rows, []
 
+    def _rows(self, pieces: pa.Array) -> np.ndarray:
+        """The row of each of ``pieces``; those not met before wait in ``pending``."""
+        known = pieces.dictionary_encode()
+        found = known.dictionary.cast(pa.large_binary()).to_pylist()
+        return np.fromiter(map(self.__getitem__, found), np.int64, len(found))[known.indices.to_numpy()]
+
+    def _word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct ``words``, one after another, and where each word's begin and how many they are."""
+        parts = pc.extract_regex(words, pattern=PLAIN)
+        letters, signs = pc.struct_field(parts, "letters"), pc.struct_field(parts, "signs")
+        pieces = np.column_stack([self._rows(pc.coalesce(pc.utf8_lower(letters), words)), self._rows(pc.fill_null(signs, ""))]).ravel()
+        if self.pending:
+            self._learn()
+        count = self.count[pieces]
+        behind = np.cumsum(count)
+        ids = self.ids[np.arange(behind[-1] if len(pieces) else 0) - np.repeat(behind - count - self.first[pieces], count)]
+        count = count[::2] + count[1::2]
+        return ids, behind[1::2] - count, count
+
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of ``text`` with the end id behind, and the places behind sentence ends."""
         return next(self.encode_all([text]))
@@ -142,15 +148,13 @@ class WordIds(dict):
         given = pa.array([b"" if s else t.encode("utf-8", "replace") for t, s in zip(texts, special)], pa.large_string())
         split = pc.ascii_split_whitespace(pc.ascii_lower(given))
         known = split.flatten().dictionary_encode()
-        words = known.dictionary.cast(pa.large_binary()).to_pylist()
-        rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if self.pending:
-            self._learn()
-        rows = rows[known.indices.to_numpy()]
-        count = self.count[rows]
+        words, rows = known.dictionary, known.indices.to_numpy()
+        word_ids, first, count = self._word_ids(words)
+        ends = pc.match_substring_regex(words, "[.!?]$").to_numpy(zero_copy_only=False)
+        first, count = first[rows], count[rows]
         behind = np.cumsum(count)
-        ids = self.ids[np.arange(behind[-1] if len(rows) else 0) - np.repeat(behind - count - self.first[rows], count)]
-        ending = np.flatnonzero(self.ends[rows])
+        ids = word_ids[np.arange(behind[-1] if len(rows) else 0) - np.repeat(behind - count - first, count)]
+        ending = np.flatnonzero(ends[rows])
         places = behind[ending]
         bounds = split.offsets.to_numpy()
         at, among = np.concatenate([[0], behind])[bounds].tolist(), np.searchsorted(ending, bounds).tolist()
