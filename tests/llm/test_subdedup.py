@@ -136,3 +136,12 @@ def test_clashing_columns_stay(spark):
     out = subdedup.remove_repeats(df, 5).orderBy("doc_id").collect()
     assert [r.text for r in out] == [line, "more"]
     assert all(r[name] == f"given {name}" for r in out for name in names)
+
+
+def test_text_and_first_places_are_shuffled_once(spark):
+    passage = " ".join(f"passage{j} of four words." for j in range(9))
+    docs = spark.createDataFrame([(i, f"{passage}\nown {i}.", i % 3) for i in range(40)], "doc_id long, text string, n int")
+    out = subdedup.remove_repeats(docs)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "struct(doc_id, doc_id" in plan and "text, text#" not in plan and "struct(last" not in plan
+    assert [(r.doc_id, r.n, r.text) for r in out.orderBy("doc_id").limit(2).collect()] == [(0, 0, f"{passage}\nown 0."), (1, 1, "own 1.")]

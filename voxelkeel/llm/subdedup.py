@@ -81,9 +81,11 @@ def repeated_units(units: DataFrame) -> tuple[DataFrame, dict[int, tuple]]:
     firsts = {r.digest: (None if r.first.last else str(r.first.doc_id), r.first.text_key, r.first.unit) for r in found}
     apart = hot.select("doc_id", "text_key", "unit", F.lit(None).cast("boolean").alias("later"), F.col("digest").alias("kept"))
     order = Window.partitionBy("digest").orderBy(F.col("doc_id").asc_nulls_last(), "text_key", "unit")
-    together = cold.select("*", F.first(rank).over(order).alias("first"), ((F.row_number().over(order) > 1) | F.lead("unit").over(order).isNotNull()).alias("again")).filter("again")
-    kept = F.when(~F.col("first.last"), F.col("first.doc_id"))
-    return apart.unionByName(together.select("doc_id", "text_key", "unit", (rank != F.col("first")).alias("later"), kept.alias("kept"))), firsts
+    # the first one's place is told by its columns, as a struct of them would be shuffled beside them
+    first = [F.first(c).over(order).alias(f"first_{c}") for c in ("doc_id", "text_key", "unit")]
+    together = cold.select("*", *first, ((F.row_number().over(order) > 1) | F.lead("unit").over(order).isNotNull()).alias("again")).filter("again")
+    later = ~(F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("text_key") == F.col("first_text_key")) & (F.col("unit") == F.col("first_unit")))
+    return apart.unionByName(together.select("doc_id", "text_key", "unit", later.alias("later"), F.col("first_doc_id").alias("kept"))), firsts
 
 
 def runs_of(units: list[re.Match], marked: set[int], min_words: int) -> list[tuple[int, int]]:
@@ -108,7 +110,8 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     characters) and the document that keeps its first unit.
     """
     names = [c for c in docs.columns if c not in ADDED]
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
+    # the text goes along once
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
     whole = whole.withColumn("_key", F.xxhash64("_text"))
     found, frequent = repeated_units(staged(text_units(whole), "units"))
     marks = found.groupBy(F.col("doc_id").alias("_of"), F.col("text_key").alias("_of_key")).agg(F.collect_set(F.struct("unit", "later", "kept")).alias("_marks"))
